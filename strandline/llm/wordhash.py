@@ -35,19 +35,19 @@ _VALUE = _byte_values()
 _INVERSE = pow(_MULT, -1, 2**64)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    have = _powers.get("tables")
+    if have is None or len(have[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
         with np.errstate(over="ignore"):
             up = np.full(size, _MULT, dtype=np.uint64)
             down = np.full(size, _INVERSE, dtype=np.uint64)
             up[0] = down[0] = 1
-            _powers[size] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _powers[size]
+            have = _powers["tables"] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+    return have
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +86,27 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes, starts, np.searchsorted(starts, offsets)
 
 
+def word_prefixes(raw: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text of each) of all words, and of their first bytes where they are longer than one of ``lengths``."""
+    hashes, starts, first = words(raw, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    if not len(hashes):
+        return hashes, text
+    ends = np.flatnonzero(np.append(_SEP[raw], True))
+    stops = np.minimum(ends[np.searchsorted(ends, starts)], offsets[1:][text])
+    up, down = _power_tables(len(raw))
+    out, of = [hashes], [text]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
+        for n in lengths:
+            longer = np.flatnonzero(stops - starts > n)
+            at = starts[longer]
+            out.append(mix((sums[at + n] - sums[at]) * down[at] + _U(n)))
+            of.append(text[longer])
+    return np.concatenate(out), np.concatenate(of)
+
+
 _RAW_VALUE = mix(np.arange(256, dtype=np.uint64) + _U(0x2000))
 
 
