@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, media, ngram_join, packing, pii, sharding
+from . import decontam, line_dedup, media, ngram_join, packing, pii, quality, sharding, toxicity
 from .runtime import table
 
 SECRET = "key of the registered query; a deployment passes its own"
@@ -24,6 +24,18 @@ def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from weak labels alone."""
+    ship(spark)
+    documents = table(spark, sf_dir, "documents")
+    return quality.classify(documents, quality.fit(documents))
+
+
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without line chunks that an earlier one has."""
+    return line_dedup.dedup_line_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_payload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as chunked media, read back and described."""
     ship(spark)
@@ -57,6 +69,15 @@ def op9_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    ship(spark)
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.classify(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+OP3_SQL = line_dedup.SQL.format(documents="documents") + "SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(left_text, '') END AS text, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed FROM documents d LEFT JOIN result r ON r.doc_id = d.doc_id"
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -72,7 +93,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GRO
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip)
+    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity)
 }
 
-SQL: dict[str, str] = {"op9_divide_skip": OP9_SQL}
+SQL: dict[str, str] = {"op3_line_chunks": OP3_SQL, "op9_divide_skip": OP9_SQL}
