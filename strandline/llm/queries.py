@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, line_dedup, media, ngram_join, packing, pii, quality, sharding, toxicity
+from . import decontam, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, toxicity
 from .runtime import table
 
 SECRET = "key of the registered query; a deployment passes its own"
@@ -36,6 +36,13 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_line_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of good documents less that under a model of all."""
+    ship(spark)
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op5_payload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as chunked media, read back and described."""
     ship(spark)
@@ -93,7 +100,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GRO
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity)
+    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity)
 }
 
 SQL: dict[str, str] = {"op3_line_chunks": OP3_SQL, "op9_divide_skip": OP9_SQL}
