@@ -299,11 +299,17 @@ def _sets(k: int):
 
 
 def _block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """Members of long lists, repeated for each pair of blocks that theirs takes part in: (shingle, p, q, side, id)."""
-    lists = members.groupBy("shingle").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).where("size > 1")
-    dealt = members.join(lists, "shingle").withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
+    """Members of long lists, repeated for each pair of blocks that theirs takes part in: (head, p, q, side, id).
+
+    Lists with one smallest member are mostly those of one family, so they are searched
+    together: their members once, not once for each list.
+    """
+    heads = members.groupBy("shingle").agg(F.min("id").alias("head"))
+    family = members.join(heads, "shingle").select("head", "id").distinct()
+    sizes = family.groupBy("head").agg(F.count("*").alias("size")).where("size > 1").select("head", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    dealt = family.join(sizes, "head").withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("shingle", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
+    return other.select("head", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
 
 
 def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, short: int = 32, block: int = 256, longest: int = 100_000, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +338,7 @@ def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den:
     few = chosen.count() <= broadcast_rows
     sets = stored(docs.join(F.broadcast(chosen) if few else chosen, "key").select("id", "text").mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]), "shingle-sets")
     checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").mapInArrow(_verify(num, den), "a long, b long")
-    blocks = _block_pairs(members, block).join(sets, "id").groupBy("shingle", "p", "q").applyInArrow(_block(num, den), "a long, b long")
+    blocks = _block_pairs(members, block).join(sets, "id").groupBy("head", "p", "q").applyInArrow(_block(num, den), "a long, b long")
     return checked.unionByName(blocks).distinct(), documents
 
 
