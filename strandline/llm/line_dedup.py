@@ -56,20 +56,20 @@ def dedup_line_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", re
     index = stored(cut.select(*who, F.col("_c.at").alias("at"), F.col("_c.n").alias("n"), F.xxhash64("_c.body", F.reverse("_c.body")).alias("hash")).distinct(), "line-chunks")
     again = index.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct(*who, "at")).alias("first")).where("uses > 1").drop("uses")
     repeated = index.join(again, "hash").withColumn("kept", F.struct(*who, "at") == F.col("first")).drop("first")
-    places = repeated.groupBy(*who).agg(F.collect_list(F.struct("at", "n", "hash", "kept")).alias("places")).select(F.col("_ld_key").alias("_pk"), F.col("_ld_text").alias("_pt"), "places")
+    places = repeated.groupBy(*who).agg(F.collect_list(F.struct("at", "n", "hash", "kept")).alias("_ld_places")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_places")
 
     def same(k: str, t: str) -> Column:
         return F.col("_ld_key").eqNullSafe(F.col(k)) & F.col("_ld_text").eqNullSafe(F.col(t))
 
     body = F.array_join(F.slice("_lines", F.col("p.at") + 1, F.col("p.n")), "\n")
-    found = keyed.join(places, same("_pk", "_pt")).withColumn("_lines", F.split(F.col(text), "\n", -1)).select(*who, "_lines", F.explode("places").alias("p")).select(*who, "p.at", "p.n", "p.hash", "p.kept", body.alias("body"))
+    found = keyed.select(*who, text).join(places, same("_ld_pk", "_ld_pt")).withColumn("_lines", F.split(F.col(text), "\n", -1)).select(*who, "_lines", F.explode("_ld_places").alias("p")).select(*who, "p.at", "p.n", "p.hash", "p.kept", body.alias("body"))
     first = found.where("kept").select("hash", F.col("body").alias("first_body"))
     out = found.where("not kept").join(first, "hash").where(F.col("body") == F.col("first_body"))
-    gone = out.groupBy(*who).agg(F.collect_set(F.struct("at", "n")).alias("_ld_gone")).select(F.col("_ld_key").alias("_pk"), F.col("_ld_text").alias("_pt"), "_ld_gone")
-    joined = keyed.join(gone, same("_pk", "_pt"), "left")
+    gone = out.groupBy(*who).agg(F.collect_set(F.struct("at", "n")).alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
+    joined = keyed.join(gone, same("_ld_pk", "_ld_pt"), "left")
     left = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.exists("_ld_gone", lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
     count = F.coalesce(F.aggregate("_ld_gone", F.lit(0), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
-    return joined.withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn(removed, count).drop("_ld_key", "_ld_text", "_ld_gone", "_pk", "_pt")
+    return joined.withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn(removed, count).drop("_ld_key", "_ld_text", "_ld_gone", "_ld_pk", "_ld_pt")
 
 
 #: DuckDB SQL of the same, for (doc_id, text, n_removed).
