@@ -10,14 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CHUNK = 1000
+
+
 def kmers(seqs: DataFrame, k: int, *keys: str, every: int = 1) -> DataFrame:
-    """keys, pos, kmer; sequences shorter than k have none."""
-    places = F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(every)))
-    return seqs.where(F.length("seq") >= k).select(*keys, "seq", places.alias("pos")).select(*keys, F.col("pos").cast("long").alias("pos"), F.expr(f"substr(seq, pos + 1, {k})").alias("kmer"))
+    """keys, pos, kmer; sequences shorter than k have none.
+
+    Sequences are cut into overlapping chunks first: neither a long sequence nor a copy
+    of it for each k-mer is ever in one row.
+    """
+    step = CHUNK - CHUNK % every
+    begins = F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(step)))
+    chunks = seqs.where(F.length("seq") >= k).select(*keys, "seq", begins.alias("_b")).select(*keys, "_b", F.expr(f"substr(seq, _b + 1, {step + k - 1})").alias("_s"))
+    inside = F.transform(F.sequence(F.lit(0), F.length("_s") - k, F.lit(every)), lambda i: F.substring("_s", i + 1, F.lit(k)))
+    return chunks.select(*keys, "_b", F.posexplode(inside).alias("_i", "kmer")).select(*keys, (F.col("_b") + F.col("_i") * every).cast("long").alias("pos"), "kmer")
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
-    return kmers(seqs, k, "seq_idx").groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("seq_idx").alias("n_seqs"))
+    """kmer, n, n_seqs: counted for each sequence first, so that distinct counting needs no second pass over k-mers."""
+    own = kmers(seqs, k, "seq_idx").groupBy("kmer", "seq_idx").agg(F.count("*").alias("c"))
+    return own.groupBy("kmer").agg(F.sum("c").alias("n"), F.count("*").alias("n_seqs"))
 
 
 def shared_kmers(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
@@ -46,13 +58,16 @@ def unique_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
 
 
 def prefix_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
-    """ref_idx, query_idx, query_pos, length, ref_positions: the longest exact match from each place of a query, with all its places."""
-    index = kmers(reference, least, "ref_idx").withColumnRenamed("pos", "ref_pos").join(reference.select("ref_idx", F.col("seq").alias("ref")), "ref_idx")
-    starts = kmers(queries, least, "ref_idx", "query_idx").withColumnRenamed("pos", "query_pos")
-    hits = starts.join(index, ["ref_idx", "kmer"]).join(queries.select("ref_idx", "query_idx", F.col("seq").alias("query")), ["ref_idx", "query_idx"])
-    same = F.zip_with(F.split(F.expr("substr(query, query_pos + 1)"), ""), F.split(F.expr("substr(ref, ref_pos + 1)"), ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    length = F.expr("if(first_off = 0, least(length(query) - query_pos, length(ref) - ref_pos), first_off - 1)")
-    grown = hits.withColumn("same", same).withColumn("first_off", F.array_position("same", F.lit(False))).withColumn("length", length).drop("same", "first_off")
+    """ref_idx, query_idx, query_pos, length, ref_positions: the longest exact match from each place of a query, with all its places.
+
+    Neighbouring k-mer hits on one diagonal are one match: a hit's length follows from
+    the end of its island, without comparing bases.
+    """
+    index = kmers(reference, least, "ref_idx").withColumnRenamed("pos", "ref_pos")
+    hits = kmers(queries, least, "ref_idx", "query_idx").withColumnRenamed("pos", "query_pos").join(index, ["ref_idx", "kmer"]).drop("kmer")
+    diagonal = ["ref_idx", "query_idx", F.col("ref_pos") - F.col("query_pos")]
+    island = F.col("query_pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("query_pos"))
+    grown = hits.withColumn("island", island).withColumn("length", F.max("query_pos").over(Window.partitionBy(*diagonal, "island")) - F.col("query_pos") + least)
     best = Window.partitionBy("ref_idx", "query_idx", "query_pos")
     longest = grown.withColumn("most", F.max("length").over(best)).where("length = most")
     return longest.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").cast("long").alias("length"), F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))

@@ -12,14 +12,26 @@ from pyspark.sql import functions as F
 KEYS = ("aln_id", "row_idx")
 
 
-def _at(keys: tuple[str, ...]) -> Window:
-    return Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def symbol_runs(rows: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, idx, number: runs of ``symbol`` in the sequences of ``rows`` (keys, seq), in coordinates without it.
+
+    A sequence is cut at its runs, so there is one row a run and not one a base.
+    """
+    parts = F.arrays_zip(F.transform(F.split("seq", f"{symbol}+", -1), F.length).alias("core"), F.transform(F.regexp_extract_all("seq", F.lit(f"({symbol}+)"), F.lit(1)), F.length).alias("number"))
+    cut = rows.select(*keys, F.posexplode(parts).alias("nth", "p")).where("p.number is not null")
+    so_far = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.select(*keys, F.sum(F.col("p.core").cast("long")).over(so_far).alias("idx"), F.col("p.number").cast("long").alias("number"))
 
 
-def symbol_runs(cells: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, idx, number: runs of ``symbol`` in coordinates without it."""
-    counted = cells.withColumn("idx", F.sum((F.col("base") != symbol).cast("long")).over(_at(keys)))
-    return counted.where(F.col("base") == symbol).groupBy(*keys, "idx").agg(F.count("*").alias("number"))
+def splice(rows: DataFrame, edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, seq: each sequence with ``len`` symbols at ``start`` exchanged for ``str_value``; edits (keys, start, len, str_value) are disjoint."""
+    own = edits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "len", "str_value"))).alias("_e"))
+    joined = rows.select(*keys, "seq").join(own, list(keys), "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_e", lambda e: e["start"] + e["len"]))
+    cut = joined.withColumn("_ends", ends)
+    pieces = F.transform("_e", lambda e, i: F.concat(F.substring("seq", F.get("_ends", i) + 1, e["start"] - F.get("_ends", i)), e["str_value"]))
+    rest = F.substring("seq", F.element_at("_ends", -1) + 1, F.length("seq"))
+    return cut.select(*keys, F.when(F.col("_e").isNull(), F.col("seq")).otherwise(F.concat(F.array_join(pieces, ""), rest)).alias("seq"))
 
 
 def run_offsets(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -30,21 +42,16 @@ def run_offsets(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 def insert_runs(cores: DataFrame, runs: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, seq: cores (keys, seq) with their runs put back; the inverse of removing a symbol."""
-    parts = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "number"))).alias("runs"))
-    joined = cores.join(parts, list(keys), "left")
-    stops = F.concat(F.transform("runs", lambda r: r["idx"]), F.array(F.length("seq").cast("long")))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("runs", lambda r: r["idx"]))
-    pieces = F.transform("starts", lambda a, i: F.concat(F.substring("seq", a + 1, F.get("stops", i) - a), F.repeat(F.lit(symbol), F.coalesce(F.get("runs", i)["number"], F.lit(0)).cast("int"))))
-    built = joined.withColumn("stops", stops).withColumn("starts", starts).withColumn("built", F.array_join(pieces, ""))
-    return built.select(*keys, F.when(F.col("runs").isNull(), F.col("seq")).otherwise(F.col("built")).alias("seq"))
+    back = runs.select(*keys, F.col("idx").alias("start"), F.lit(0).cast("long").alias("len"), F.repeat(F.lit(symbol), F.col("number").cast("int")).alias("str_value"))
+    return splice(cores, back, keys)
 
 
 def merge_needs(gap_runs: DataFrame, n_runs: DataFrame) -> DataFrame:
-    """aln_id, row_idx, idx, used, left, c: unknown bases that fill gaps, those left over, and their aligned column."""
+    """aln_id, row_idx, idx, g, used, left, c: gaps there, unknown bases that fill gaps, those left over, and their aligned column."""
     g, n = gap_runs.withColumnRenamed("number", "g"), n_runs.withColumnRenamed("number", "n")
     both = g.join(n, ["aln_id", "row_idx", "idx"], "full").na.fill(0, ["g", "n"])
     so_far = Window.partitionBy("aln_id", "row_idx").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select("aln_id", "row_idx", "idx", F.least("g", "n").alias("used"), F.greatest(F.col("n") - F.col("g"), F.lit(0)).alias("left"), (F.col("idx") + F.sum("g").over(so_far)).alias("c"))
+    return both.select("aln_id", "row_idx", "idx", "g", F.least("g", "n").alias("used"), F.greatest(F.col("n") - F.col("g"), F.lit(0)).alias("left"), (F.col("idx") + F.sum("g").over(so_far)).alias("c"))
 
 
 def merge_widths(needs: DataFrame) -> DataFrame:
@@ -59,17 +66,10 @@ def restore_unknown(aligned: DataFrame, n_runs: DataFrame) -> DataFrame:
     is widened for all rows by the largest excess, N before gaps.  Rows stay equally long,
     and without gaps each is its original sequence.
     """
-    from ..plans.adapters import cells
-
-    base = cells(aligned)
-    needs = merge_needs(symbol_runs(base, "-"), n_runs)
-    placed = base.withColumn("idx", F.sum((F.col("base") != "-").cast("long")).over(_at(KEYS)))
-    nth = F.row_number().over(Window.partitionBy("aln_id", "row_idx", "idx", F.col("base") == "-").orderBy("pos"))
-    filled = placed.withColumn("nth", nth).join(needs.where("used > 0").select("aln_id", "row_idx", "idx", "used"), ["aln_id", "row_idx", "idx"], "left")
-    symbols = filled.select("aln_id", "row_idx", (F.col("pos") * 2 + 1).alias("k"), F.when((F.col("base") == "-") & (F.col("nth") <= F.coalesce("used", F.lit(0))), "N").otherwise(F.col("base")).alias("s"))
+    needs = merge_needs(symbol_runs(aligned, "-"), n_runs)
+    fill = needs.where("used > 0").select("aln_id", "row_idx", (F.col("c") - F.col("g")).alias("start"), F.col("used").alias("len"), F.repeat(F.lit("N"), F.col("used").cast("int")).alias("str_value"))
     own = needs.where("left > 0").select("aln_id", "row_idx", "c", "left")
     wide = aligned.select("aln_id", "row_idx").join(merge_widths(needs), "aln_id").join(own, ["aln_id", "row_idx", "c"], "left")
     left = F.coalesce("left", F.lit(0))
-    inserts = wide.select("aln_id", "row_idx", (F.col("c") * 2).alias("k"), F.concat(F.repeat(F.lit("N"), left.cast("int")), F.repeat(F.lit("-"), (F.col("w") - left).cast("int"))).alias("s"))
-    joined = symbols.union(inserts).groupBy("aln_id", "row_idx").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("parts"))
-    return joined.select("aln_id", "row_idx", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("seq"))
+    widen = wide.select("aln_id", "row_idx", F.col("c").alias("start"), F.lit(0).cast("long").alias("len"), F.concat(F.repeat(F.lit("N"), left.cast("int")), F.repeat(F.lit("-"), (F.col("w") - left).cast("int"))).alias("str_value"))
+    return splice(splice(aligned, fill), widen)  # an insertion may fall inside a filled gap, so fill first

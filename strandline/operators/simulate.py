@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import splice
+
 #: Codes of variant types.
 SMALL_INSERT, SMALL_DELETE, SMALL_SUBSTITUTE, BIG_INSERT, BIG_DELETE, TANDEM, TRANSLOCATION, INVERSION, INVERTED_TRANSLOCATION, DISPERSED, INVERTED_DUPLICATION = 1, 2, 3, 4, 5, 6, 7, 8, 9, 61, 62
 REPORTABLE_ABOVE = 5
@@ -126,13 +128,7 @@ def variant_edits(variants: DataFrame, reference: DataFrame, times: int = 2, see
 
 def apply_edits(reference: DataFrame, edits: DataFrame) -> DataFrame:
     """seq_idx, seq: the reference with disjoint edits applied, by cutting it at their places."""
-    sorted_edits = edits.groupBy("seq_idx").agg(F.array_sort(F.collect_list(F.struct("start", "len", "str_value"))).alias("edits"))
-    joined = reference.select("seq_idx", "seq").join(sorted_edits, "seq_idx", "left")
-    kind = "struct<at: bigint, out: array<string>>"
-    begin = F.expr(f"cast(named_struct('at', 0L, 'out', array()) as {kind})")
-    fold = F.aggregate("edits", begin, lambda s, e: F.struct((e["start"] + e["len"]).alias("at"), F.concat(s["out"], F.array(F.substring("seq", s["at"] + 1, e["start"] - s["at"]), e["str_value"])).alias("out")).cast(kind))
-    done = joined.withColumn("s", fold)
-    return done.select("seq_idx", F.when(F.col("edits").isNull(), F.col("seq")).otherwise(F.concat(F.array_join("s.out", ""), F.substring("seq", F.col("s.at") + 1, F.length("seq")))).alias("seq"))
+    return splice(reference, edits, ("seq_idx",))
 
 
 def liftover(points: DataFrame, edits: DataFrame) -> DataFrame:

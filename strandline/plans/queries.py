@@ -190,12 +190,12 @@ def max_scoring_segment(spark, sf_dir):
 
 @query(f"WITH {CELLS_SQL} {RUNS_SQL.format(keys='aln_id, row_idx', s='N', cells='cells')}")
 def n_runs(spark, sf_dir):
-    return runs.symbol_runs(cells(aln(spark, sf_dir)), "N")
+    return runs.symbol_runs(aln(spark, sf_dir), "N")
 
 
 @query(f"WITH {CELLS_SQL} {RUNS_SQL.format(keys='aln_id, row_idx', s='-', cells='cells')}")
 def gap_runs(spark, sf_dir):
-    return runs.symbol_runs(cells(aln(spark, sf_dir)), "-")
+    return runs.symbol_runs(aln(spark, sf_dir), "-")
 
 
 @query(f"WITH {CELLS_SQL}, r AS ({RUNS_SQL.format(keys='aln_id, row_idx', s='N', cells='cells')}) SELECT *, CAST(coalesce(sum(number) OVER (PARTITION BY aln_id, row_idx ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM r")
@@ -206,7 +206,7 @@ def n_offsets(spark, sf_dir):
 @query(f"WITH {ALN_SQL} SELECT aln_id, row_idx, seq FROM aln")
 def run_expand_roundtrip(spark, sf_dir):
     rows = aln(spark, sf_dir)
-    return runs.insert_runs(rows.withColumn("seq", S.strip_n(F.col("seq"))), runs.symbol_runs(cells(rows), "N"), "N")
+    return runs.insert_runs(rows.withColumn("seq", S.strip_n(F.col("seq"))), runs.symbol_runs(rows, "N"), "N")
 
 
 RESTORE_SQL = f"""{ALN_SQL},
@@ -228,13 +228,13 @@ def _restorable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     gapped = orig.withColumn("seq", F.regexp_replace(S.strip_n(F.col("seq")), "(A[CG])", "$1-"))
     width = gapped.groupBy("aln_id").agg(F.max(F.length("seq")).alias("w"))
     aligned = gapped.join(width, "aln_id").select("aln_id", "row_idx", F.expr("rpad(seq, w, '-')").alias("seq"))
-    return aligned.where("seq <> ''"), runs.symbol_runs(cells(orig.where("seq <> ''")), "N")
+    return aligned.where("seq <> ''"), runs.symbol_runs(orig.where("seq <> ''"), "N")
 
 
 @query(f"WITH {RESTORE_SQL} SELECT aln_id, c, w FROM widths")
 def n_merge_widths(spark, sf_dir):
     aligned, n = _restorable(spark, sf_dir)
-    return runs.merge_widths(runs.merge_needs(runs.symbol_runs(cells(aligned), "-"), n))
+    return runs.merge_widths(runs.merge_needs(runs.symbol_runs(aligned, "-"), n))
 
 
 @query(f"""WITH {RESTORE_SQL},
@@ -561,6 +561,6 @@ def xmfa_interval_len(spark, sf_dir):
 @query(f"WITH {SEQ_CELLS_SQL}, r AS ({RUNS_SQL.format(keys='seq_idx', s='N', cells='sc')}) SELECT seq_idx, idx, number FROM r")
 def n_record_roundtrip(spark, sf_dir):
     rows = seqs(spark, sf_dir)
-    text = formats.render_runs(rows, runs.symbol_runs(cells(rows.where("seq <> ''"), "seq_idx"), "N", ("seq_idx",)))
+    text = formats.render_runs(rows, runs.symbol_runs(rows.where("seq <> ''"), "N", ("seq_idx",)))
     found = formats.parse_runs(_as_lines(text.withColumn("f", F.lit("all")), "f", "seq_idx")).where("idx is not null")
     return found.select(F.expr("cast(substr(name, 2) as bigint)").alias("seq_idx"), "idx", "number")

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from strandline.operators import runs
-from strandline.plans.adapters import cells
 from strandline.sources import formats
 from strandline.sources.text import read_lines, write_text
 
@@ -80,7 +79,7 @@ def test_fastq(spark, tmp_path):
 
 def test_run_records(spark, tmp_path):
     seqs = spark.createDataFrame([(0, "s", "NNACNGN"), (1, "t", "AC")], "seq_idx long, name string, seq string")
-    found = runs.symbol_runs(cells(seqs, "seq_idx"), "N", ("seq_idx",))
+    found = runs.symbol_runs(seqs, "N", ("seq_idx",))
     text = formats.render_runs(seqs, found).orderBy("seq_idx")
     body = "\n".join(r["text"] for r in text.collect())
     assert body == "2         \n> s\n3 3\n0 2 \n2 1 \n3 1 \n> t\n0 2"

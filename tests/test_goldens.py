@@ -55,7 +55,7 @@ def test_identity(spark):
 
 def test_runs_and_their_return(spark):
     rows = aln(spark, "NNACNGN")
-    found = runs.symbol_runs(cells(rows), "N")
+    found = runs.symbol_runs(rows, "N")
     assert sorted((r["idx"], r["number"]) for r in found.collect()) == [(0, 2), (2, 1), (3, 1)]
     core = rows.withColumn("seq", S.strip_n(F.col("seq")))
     assert core.first()["seq"] == "ACG"
