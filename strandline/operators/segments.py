@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import INVERSION
+from .pairs import best_segment
+
 
 def pair_cells(pairs: DataFrame) -> DataFrame:
     """aln_id, row_idx, pos, x, y of centre pairs (a, b)."""
@@ -58,3 +61,25 @@ def drawable_segments(blocks: DataFrame) -> DataFrame:
     y1 = F.when(same, b).when(F.col("major"), total - b).otherwise(b + lb)
     y2 = F.when(same, b + lb).when(F.col("major"), total - b - lb).otherwise(b)
     return marked.select("other", "ord", a.alias("x1"), y1.alias("y1"), (a + la).alias("x2"), y2.alias("y2"))
+
+
+def inverted_blocks(aligned: DataFrame, least: int = 1) -> DataFrame:
+    """aln_id, row_idx, a_start, a_len, b_start, b_len, score: where a row matches the reverse complement of another.
+
+    ``aligned`` has aln_id, row_idx, a and b, b being the aligned reverse complement. Rows
+    are trimmed to their first maximum-scoring segment; spans of fewer than ``least``
+    columns between first and last are dropped. ``b_start`` counts on b's own strand.
+    """
+    found = aligned.withColumn("m", best_segment(F.col("a"), F.col("b"), *INVERSION)).where(F.col("m.stop") - F.col("m.start") >= least)
+    before = lambda c: F.length(F.replace(F.substring(c, F.lit(1), F.col("m.start").cast("int")), F.lit("-"), F.lit(""))).cast("long")
+    inside = lambda c: F.length(F.replace(F.substring(c, (F.col("m.start") + 1).cast("int"), (F.col("m.stop") - F.col("m.start") + 1).cast("int")), F.lit("-"), F.lit(""))).cast("long")
+    total = F.length(F.replace("b", F.lit("-"), F.lit(""))).cast("long")
+    placed = found.select("aln_id", "row_idx", before("a").alias("a_start"), inside("a").alias("a_len"), before("b").alias("_b"), inside("b").alias("b_len"), total.alias("_n"), F.col("m.score").alias("score"))
+    return placed.select("aln_id", "row_idx", "a_start", "a_len", (F.col("_n") - F.col("_b") - F.col("b_len")).alias("b_start"), "b_len", "score")
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Points (keys, idx) with the intervals (keys, start, stop exclusive) that hold them, joined on buckets of ``width``."""
+    p = points.withColumn("_k", F.floor(F.col("idx") / width))
+    i = intervals.where("stop > start").withColumn("_k", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    return p.join(i, [*keys, "_k"]).where("idx >= start and idx < stop").drop("_k")

@@ -146,3 +146,51 @@ def liftover(points: DataFrame, edits: DataFrame) -> DataFrame:
 
 def reportable(variants: DataFrame) -> DataFrame:
     return variants.where(F.col("sv_type") > REPORTABLE_ABOVE)
+
+
+INVERTED = (INVERSION, INVERTED_TRANSLOCATION, INVERTED_DUPLICATION)
+
+
+def variants_by_rate(reference: DataFrame, rates: dict[int, tuple[float, int]], seed: int = 1) -> DataFrame:
+    """seq_idx, sv_id, sv_type, a_index, len, b_site: each position draws for every type of ``rates`` (type: chance, length) in turn.
+
+    The first type drawn at a position counts; the first event in each slot, as wide as
+    two of the longest variants and two bases, is placed there, and what it inserts
+    elsewhere goes to the slot's second half.
+    """
+    width = 2 * (max((n for _, n in rates.values()), default=1) + 1)
+    cells = reference.select("seq_idx", F.explode(F.expr(f"sequence(0, length(seq) - length(seq) % {width} - 1)")).alias("pos")).where("pos >= 0")
+    kind = None
+    for purpose, (t, (chance, _)) in enumerate(rates.items(), 20):
+        hit = draw(F.col("seq_idx") + seed, F.col("pos").cast("long"), purpose) < int(chance * 2**31)
+        kind = F.when(hit, t) if kind is None else kind.when(hit, t)
+    length = F.create_map(*(F.lit(x) for t, (_, n) in rates.items() for x in (t, n)))
+    slot = F.expr(f"pos div {width}").alias("slot")
+    first = cells.withColumn("sv_type", kind).where("sv_type is not null").groupBy("seq_idx", slot).agg(F.min_by("sv_type", "pos").alias("sv_type"))
+    start = F.col("slot") * width
+    return first.select("seq_idx", F.col("slot").cast("long").alias("sv_id"), "sv_type", start.cast("long").alias("a_index"), F.element_at(length, F.col("sv_type")).cast("long").alias("len"), (start + width // 2).cast("long").alias("b_site"))
+
+
+def truth_rows(variants: DataFrame, edits: DataFrame, reference: DataFrame) -> DataFrame:
+    """seq_idx, sv_id, row_ord, name, start, len, strand, src_size, seq: three rows for each reported variant that puts in bases.
+
+    The reference segment, the segment found in the simulated sequence, and the string
+    expected there; inverted variants are on the minus strand, starts counted from its end.
+    """
+    simulated = apply_edits(reference, edits).withColumnRenamed("seq", "sim")
+    put = edits.where((F.col("sv_type") > REPORTABLE_ABOVE) & (F.col("str_value") != ""))
+    lifted = liftover(put.select("seq_idx", F.col("start").alias("pos")).distinct(), edits).withColumnRenamed("pos", "start")
+    n = F.length("str_value")
+    at = F.col("lifted") - F.when(F.col("kind") == "INSERT", n).otherwise(0)
+    rows = put.join(lifted, ["seq_idx", "start"]).withColumn("b", at).join(variants.select("seq_idx", "sv_id", "a_index", F.col("len").alias("a_len")), ["seq_idx", "sv_id"]).join(reference.select("seq_idx", "seq"), "seq_idx").join(simulated, "seq_idx")
+    minus = F.col("sv_type").isin(*INVERTED)
+    size = F.length("sim")
+    start = F.when(minus, size - F.col("b") - n).otherwise(F.col("b"))
+    line = lambda name, s, length, strand, total, seq: F.struct(F.lit(name).alias("name"), s.cast("long").alias("start"), length.cast("long").alias("len"), strand.alias("strand"), total.cast("long").alias("src_size"), seq.alias("seq"))
+    strand = F.when(minus, "-").otherwise("+")
+    three = F.array(
+        line("reference", F.col("a_index"), F.col("a_len"), F.lit("+"), F.length("seq"), F.expr("substr(seq, cast(a_index + 1 as int), cast(a_len as int))")),
+        line("simulated", start, n, strand, size, F.expr("substr(sim, cast(b + 1 as int), length(str_value))")),
+        line("expected", start, n, strand, size, F.col("str_value")),
+    )
+    return rows.select("seq_idx", "sv_id", F.posexplode(three).alias("row_ord", "r")).select("seq_idx", "sv_id", "row_ord", "r.*")

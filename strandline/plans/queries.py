@@ -176,7 +176,7 @@ def affine_match_score(spark, sf_dir):
 @query(f"""WITH {PAIRS_SQL}, c AS (SELECT *, CASE WHEN x = '-' OR y = '-' THEN -2 WHEN x = 'N' OR y = 'N' THEN 0 WHEN x = y THEN 1 ELSE -2 END AS cost FROM pc),
 p AS (SELECT *, sum(cost) OVER (PARTITION BY aln_id, row_idx ORDER BY pos) AS s FROM c),
 q AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY aln_id, row_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM p),
-b AS (SELECT aln_id, row_idx, pos AS stop, low, s - low AS score FROM q WHERE s - low > 0 QUALIFY row_number() OVER (PARTITION BY aln_id, row_idx ORDER BY s - low DESC, pos) = 1),
+b AS MATERIALIZED (SELECT aln_id, row_idx, pos AS stop, low, s - low AS score FROM q WHERE s - low > 0 QUALIFY row_number() OVER (PARTITION BY aln_id, row_idx ORDER BY s - low DESC, pos) = 1),
 f AS (SELECT b.aln_id, b.row_idx, min(p.pos) AS reset FROM b JOIN p ON p.aln_id = b.aln_id AND p.row_idx = b.row_idx AND p.pos < b.stop AND p.s = b.low AND b.low < 0 GROUP BY ALL)
 SELECT r.aln_id, r.row_idx, CAST(score AS BIGINT) AS score, CASE WHEN score IS NOT NULL THEN coalesce(reset + 1, 0) END AS start, stop
 FROM (SELECT DISTINCT aln_id, row_idx FROM pc) r LEFT JOIN b ON b.aln_id = r.aln_id AND b.row_idx = r.row_idx LEFT JOIN f ON f.aln_id = r.aln_id AND f.row_idx = r.row_idx""")
@@ -296,6 +296,31 @@ def drawable_segments(spark, sf_dir):
     return segments.drawable_segments(_pair_blocks(spark, sf_dir))
 
 
+@query(f"""WITH {CELLS_SQL}, wd AS (SELECT aln_id, max(pos) AS w FROM cells GROUP BY aln_id),
+rc AS (SELECT c.aln_id, row_idx, w - pos AS pos, translate(base, 'ACGT', 'TGCA') AS y FROM cells c JOIN wd ON wd.aln_id = c.aln_id WHERE row_idx > 0),
+pc AS MATERIALIZED (SELECT b.aln_id, b.row_idx, a.pos, a.base AS x, b.y FROM cells a JOIN rc b ON b.aln_id = a.aln_id AND b.pos = a.pos WHERE a.row_idx = 0),
+c AS (SELECT *, CASE WHEN x = '-' OR y = '-' THEN -2 WHEN x = 'N' OR y = 'N' THEN 0 WHEN x = y THEN 1 ELSE -2 END AS cost FROM pc),
+p AS (SELECT *, sum(cost) OVER (PARTITION BY aln_id, row_idx ORDER BY pos) AS s FROM c),
+q AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY aln_id, row_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM p),
+b AS MATERIALIZED (SELECT aln_id, row_idx, pos AS stop, low, s - low AS score FROM q WHERE s - low > 0 QUALIFY row_number() OVER (PARTITION BY aln_id, row_idx ORDER BY s - low DESC, pos) = 1),
+f AS (SELECT b.aln_id, b.row_idx, min(p.pos) AS reset FROM b JOIN p ON p.aln_id = b.aln_id AND p.row_idx = b.row_idx AND p.pos < b.stop AND p.s = b.low AND b.low < 0 GROUP BY ALL),
+m AS (SELECT b.aln_id, b.row_idx, stop, score, coalesce(reset + 1, 0) AS start FROM b LEFT JOIN f ON f.aln_id = b.aln_id AND f.row_idx = b.row_idx)
+SELECT m.aln_id, m.row_idx, count(*) FILTER (x <> '-' AND pos < start) AS a_start, count(*) FILTER (x <> '-' AND pos BETWEEN start AND stop) AS a_len,
+  count(*) FILTER (y <> '-' AND pos > stop) AS b_start, count(*) FILTER (y <> '-' AND pos BETWEEN start AND stop) AS b_len, CAST(max(score) AS BIGINT) AS score
+FROM m JOIN pc ON pc.aln_id = m.aln_id AND pc.row_idx = m.row_idx WHERE stop - start >= 3 GROUP BY m.aln_id, m.row_idx""")
+def inverted_blocks(spark, sf_dir):
+    rows = pairs.centre_pairs(aln(spark, sf_dir)).where("row_idx > 0").withColumn("b", S.reverse_complement(F.col("b")))
+    return segments.inverted_blocks(rows, 3)
+
+
+@query(f"""WITH {CELLS_SQL}, r AS ({RUNS_SQL.format(keys='aln_id, row_idx', s='N', cells='cells')})
+SELECT aln_id, row_idx, idx, number, idx // 250 * 250 AS start, idx // 250 * 250 + 250 AS stop FROM r""")
+def n_runs_in_blocks(spark, sf_dir):
+    found = n_runs(spark, sf_dir)
+    blocks = found.groupBy("aln_id", "row_idx").agg(F.max("idx").alias("most")).select("aln_id", "row_idx", F.explode(F.expr("sequence(0L, most, 250L)")).alias("start")).withColumn("stop", F.col("start") + 250)
+    return segments.points_in_intervals(found, blocks, ["aln_id", "row_idx"], 100)
+
+
 # ---- scores and windows
 
 
@@ -434,6 +459,22 @@ def sv_truth_table(spark, sf_dir):
     return simulate.variant_edits(simulate.reportable(simulate.place_variants(reference, WANTED)), reference)
 
 
+RATES = {simulate.TANDEM: (0.0005, 20), simulate.INVERSION: (0.0005, 20), simulate.TRANSLOCATION: (0.0005, 20), simulate.BIG_DELETE: (0.0005, 20), simulate.SMALL_INSERT: (0.001, 1), simulate.SMALL_SUBSTITUTE: (0.001, 1)}
+
+
+@query()
+def sv_by_rate(spark, sf_dir):
+    return simulate.variants_by_rate(seqs(spark, sf_dir), RATES)
+
+
+@query()
+def sv_truth_maf(spark, sf_dir):
+    reference = seqs(spark, sf_dir)
+    variants = simulate.place_variants(reference, WANTED)
+    rows = simulate.truth_rows(variants, simulate.variant_edits(variants, reference), reference)
+    return formats.render_maf(rows, rows.select("seq_idx", "sv_id").distinct().withColumn("score", F.lit(0)), ["seq_idx", "sv_id"])
+
+
 EDITS_SQL = """ed AS (SELECT seq_idx, CASE WHEN j % 2 = 0 THEN 'INSERT' ELSE 'EXCHANGE' END AS kind, j * 40 + 7 AS start, CASE WHEN j % 2 = 0 THEN 0 ELSE 5 END AS len, CASE WHEN j % 2 = 0 THEN 'acgt' ELSE '' END AS str_value, j % 12 AS sv_type
   FROM (SELECT seq_idx, unnest(range(length(seq) // 40)) AS j FROM seqs))"""
 

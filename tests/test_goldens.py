@@ -159,3 +159,22 @@ def test_extension_stops_at_gaps():
 def test_histogram_of_one_value(spark):
     got = pairs.histogram(spark.createDataFrame([(3,), (3,)], "v int"), "v").collect()
     assert [(r["bin"], r["n"]) for r in got] == [(10, 2)]
+
+
+def test_truth_rows_agree(spark):
+    ref = simulate.random_sequences(spark.createDataFrame([(2,), (3,)], "seq_idx long"), 900)
+    wanted = {t: (1, 25) for t in (simulate.TANDEM, simulate.DISPERSED, simulate.INVERTED_DUPLICATION, simulate.TRANSLOCATION, simulate.INVERSION, simulate.INVERTED_TRANSLOCATION, simulate.BIG_DELETE, simulate.BIG_INSERT)}
+    for variants in (simulate.place_variants(ref, wanted), simulate.variants_by_rate(ref, {t: (0.01, 25) for t in wanted})):
+        rows = simulate.truth_rows(variants, simulate.variant_edits(variants, ref), ref).collect()
+        assert len(rows) >= 12
+        found = {(r["seq_idx"], r["sv_id"]): [x for x in rows if (x["seq_idx"], x["sv_id"]) == (r["seq_idx"], r["sv_id"])] for r in rows}
+        for own in found.values():
+            by = {r["name"]: r for r in own}
+            assert len(own) == 3 and by["simulated"]["seq"] == by["expected"]["seq"] and len(by["reference"]["seq"]) == 25
+
+
+def test_inverted_blocks(spark):
+    rows = spark.createDataFrame([(0, 1, "TTACGTCA-G", "GGACGTCATT")], "aln_id long, row_idx long, a string, b string")
+    got = segments.inverted_blocks(rows, 3).first()
+    assert (got["a_start"], got["a_len"], got["b_start"], got["b_len"], got["score"]) == (2, 6, 2, 6, 6)
+    assert segments.inverted_blocks(rows, 6).count() == 0
