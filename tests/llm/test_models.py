@@ -141,13 +141,14 @@ def plain_scores(texts, targets, vocabulary, classes, mixture=0.7, smoothing=0.5
     return out
 
 
-def test_losses_equal_plain_models(spark):
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_losses_equal_plain_models(spark, few):
     draw = random.Random(3)
     texts = [None, "", "Solo"] + [" ".join(draw.choice("abcdef") * draw.randint(1, 2) for _ in range(draw.randint(1, 60))) for _ in range(50)]
     targets = [i % 3 == 0 for i in range(len(texts))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS n_words").repartition(3)
     keys = spark.createDataFrame([(i,) for i, t in enumerate(targets) if t] + [(None,), (0,)], "doc_id long")
-    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, keys, vocabulary=100, classes=8).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, keys, broadcast_rows=few, vocabulary=100, classes=8).collect()}
     for i, (a, b) in enumerate(plain_scores(texts, targets, 100, 8)):
         assert got[i]["target_loss"] == pytest.approx(a, abs=1e-9) and got[i]["background_loss"] == pytest.approx(b, abs=1e-9)
         assert got[i]["difference"] == pytest.approx(a - b, abs=1e-9)
