@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
 from .runtime import slices, stored
@@ -67,7 +68,7 @@ def class_keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([mix(np.array([x.sum(dtype=np.uint64) * np.uint64(31) + np.bitwise_xor.reduce(mix(x)) + np.uint64(len(x))]))[0] if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64)
 
 
-def _scan(k: int):
+def _scan(k: int, key_type: pa.DataType):
     """Rows (key, class, set size) of documents, and of shingles that a task has seen in several classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +76,11 @@ def _scan(k: int):
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            several = counts > 2
+            several = counts > 1
             n = int(several.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, key_type), pa.array(values[several].view(np.int64)), pa.array(counts[several])], names=["kind", "key", "id", "n"])
 
-        key_type = pa.int64()
         for batch in batches:
-            key_type = batch.column("key").type
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 ids, counts = class_keys(sets), np.array([len(x) for x in sets], dtype=np.int64)
@@ -312,7 +311,7 @@ def _block_pairs(members: DataFrame, block: int) -> DataFrame:
     return other.select("head", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
 
 
-def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, short: int = 32, block: int = 256, longest: int = 100_000, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, short: int = 32, block: int = 256, longest: int = 200_000, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(links between classes: a, b; documents: key, id, n_shingles).
 
     The links connect every two classes that similarity links, directly or through
@@ -321,7 +320,7 @@ def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den:
     """
     kind = dict(df.dtypes)[key]
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    scan = stored(docs.mapInArrow(_scan(k), f"kind byte, key {kind}, id long, n long"), "shingle-scan")
+    scan = stored(docs.mapInArrow(_scan(k, to_arrow_type(docs.schema["key"].dataType)), f"kind byte, key {kind}, id long, n long"), "shingle-scan")
     documents = scan.where("kind = 0").select("key", "id", F.col("n").alias("n_shingles"))
     frequent = scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(longest).collect()
     held = df.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in frequent])
