@@ -15,6 +15,9 @@ A chunk with one line (at a text's edges, or where a text has one line) is never
 removed.  Null texts stay null, empty ones empty; rows with the same key and text are
 one document and are treated alike; extra columns stay.  If two different chunks had
 one hash, those that differ from the first would stay whole.
+
+``dedup_line_chunks`` (whose result its SQL fixes) so leaves most passages of a few
+lines, and a longer one's edges; ``dedup_passages`` takes these too, by pairs of lines.
 """
 
 from __future__ import annotations
@@ -72,7 +75,48 @@ def dedup_line_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", re
     return joined.withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn(removed, count).drop("_ld_key", "_ld_text", "_ld_gone", "_ld_pk", "_ld_pt")
 
 
-#: DuckDB SQL of the same, for (doc_id, text, n_removed).
+def _with_pairs(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_c``: array<struct<at, hash>> of a text's pairs of neighbouring lines, but those of blank lines."""
+    blank = lambda i: F.trim(F.get("_lines", i)) == ""
+    pair = lambda h, i: F.when((i + 1 < F.size("_hashes")) & ~(blank(i) & blank(i + 1)), F.struct(i.alias("at"), F.xxhash64(h, F.get("_hashes", i + 1)).alias("hash")))
+    return (
+        df.withColumn("_lines", F.split(F.col(text), "\n", -1))
+        .withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
+        .withColumn("_c", F.filter(F.transform("_hashes", pair), lambda p: p.isNotNull()))
+        .drop("_lines", "_hashes")
+    )
+
+
+def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
+    """``df`` without repeated passages of two or more lines; ``removed`` counts the lines taken out.
+
+    A line goes where it and a neighbour stand, byte for byte, at an earlier place (by key,
+    then by line); runs of such pairs are whole passages, edges included, wherever chunks
+    are cut.  It takes all that ``dedup_line_chunks`` takes but chunks of blank lines.  A
+    line's first place in the corpus always stays, and single lines are never removed.
+    """
+    keyed = df.withColumn("_ld_key", F.col(key)).withColumn("_ld_text", F.xxhash64(F.col(text)))
+    who = ["_ld_key", "_ld_text"]
+    cut = _with_pairs(keyed.select(*who, text), text).select(*who, F.explode_outer("_c").alias("_c")).where("_c.at IS NOT NULL")
+    index = stored(cut.select(*who, "_c.at", "_c.hash").distinct(), "line-pairs")
+    again = index.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct(*who, "at")).alias("first")).where("uses > 1").drop("uses")
+    repeated = index.join(again, "hash").withColumn("kept", F.struct(*who, "at") == F.col("first")).drop("first")
+    places = repeated.groupBy(*who).agg(F.collect_list(F.struct("at", "hash", "kept")).alias("_ld_places")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_places")
+    same = F.col("_ld_key").eqNullSafe(F.col("_ld_pk")) & F.col("_ld_text").eqNullSafe(F.col("_ld_pt"))
+    body = F.concat_ws("\n", F.get("_lines", F.col("p.at")), F.get("_lines", F.col("p.at") + 1))
+    found = keyed.select(*who, text).join(places, same).withColumn("_lines", F.split(F.col(text), "\n", -1)).select(*who, "_lines", F.explode("_ld_places").alias("p")).select(*who, "p.at", "p.hash", "p.kept", body.alias("body"))
+    first = found.where("kept").select("hash", F.col("body").alias("first_body")).dropDuplicates(["hash"])
+    out = found.where("not kept").join(first, "hash").where(F.col("body") == F.col("first_body"))
+    gone = out.groupBy(*who).agg(F.collect_set("at").alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
+    # array_except looks places up in a hash set, so a text costs time in proportion to its lines.
+    joined = keyed.join(gone, same, "left").withColumn("_ld_lines", F.split(F.col(text), "\n", -1))
+    joined = joined.withColumn("_ld_stay", F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.concat("_ld_gone", F.transform("_ld_gone", lambda i: i + 1))))
+    left = F.array_join(F.transform("_ld_stay", lambda i: F.get("_ld_lines", i)), "\n")
+    count = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_stay")).cast("long")
+    return joined.withColumn(removed, count).withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(left)).drop("_ld_key", "_ld_text", "_ld_gone", "_ld_pk", "_ld_pt", "_ld_lines", "_ld_stay")
+
+
+#: DuckDB SQL of the same as ``dedup_line_chunks``, for (doc_id, text, n_removed).
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM {documents}),

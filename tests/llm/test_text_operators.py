@@ -58,6 +58,36 @@ def test_line_chunks_keep_columns_and_first_occurrence(spark):
     assert [r["n_removed"] for r in same] == [0, 0, 0, 0]
 
 
+def test_passages_equal_brute_force(spark):
+    """Planted passages of 2 to 6 lines go whole, wherever they stand; the first place of each line stays."""
+    draw = random.Random(11)
+    line = lambda: " ".join(draw.choice("abcdefgh") * 3 for _ in range(5)) + str(draw.random())
+    passages = [[line() for _ in range(2 + i % 5)] for i in range(20)]
+    texts, planted = line_corpus() + ["a\n\n\nb", "c\n\n\nd", "a\na\na\na"], []
+    for i in range(60):
+        own = [line() for _ in range(20)]
+        at = draw.randint(0, 20)
+        texts.append("\n".join(own[:at] + passages[i % 20] + own[at:]))
+        planted.append((len(texts) - 1, "\n".join(own), i >= 20))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_passages(odd(spark, list(enumerate(texts))).repartition(3)).collect()}
+    for k, own, again in planted:
+        assert got[k] == ((own, len(passages[(k - planted[0][0]) % 20])) if again else (texts[k], 0))
+    seen, wanted = set(), {}
+    for k, t in enumerate(texts):
+        lines, gone = (t or "").split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if any(x.strip(" ") for x in pair):
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        wanted[k] = (None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    assert got == wanted
+    df = odd(spark, [(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (None, "a\nb")])
+    out = line_dedup.dedup_passages(df)
+    assert out.columns == [*df.columns, "n_removed"]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in out.collect()) == [(0, 0), (0, 0), (1, 2), (1, 2)]
+    assert line_dedup.dedup_passages(df.limit(0)).collect() == []
+
+
 # ---- edit matching
 
 
