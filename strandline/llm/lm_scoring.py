@@ -5,16 +5,18 @@ vocabulary, one n-gram inventory and one smoothing.  A document's score is the m
 over its words of the target model's loss less the background model's, in bits: the
 lower, the more it is like the target set.
 
-The vocabulary is exact: the ``vocabulary`` most frequent words of the whole corpus
-(ties by hash); all other words fall into ``classes`` classes by hash, so that rare
-words still differ.  Unigrams are counted for each vocabulary entry, bigrams in
-``2**bits`` hashed cells, in both models alike; the smoothed chance of a word after
-another is a mixture of its bigram cell's share and its unigram share.  The background
-model is scaled to the target's size by its shares, so neither model gains by size.
-
-Counts cover all texts.  Each task counts into arrays and sends only cells that it
-has seen, in blocks, so what is gathered grows with the input while both models stay
-bounded by the parameters; they reach the executors as a broadcast of that bounded size.
+Vocabulary and inventory are exact and grow with the corpus: each word, each context and
+each bigram has a count of its own in both models (62-bit hashes stand for them).  The
+smoothed chance of a word after another is a mixture of its bigram's share and its
+unigram share.  The background model is scaled to the target's size by its shares, so
+neither model gains by size.
+
+Counts are a table distributed by hash and never gathered.  Texts are stored in slices of
+a few MB; each slice sends its distinct n-grams with its own counts to the buckets of
+their hashes, each bucket sums them over the corpus and answers every slice with the
+totals of what it sent, and the stored texts are scored with their slice's answers.  The
+driver sees three sums.  A caller may still limit the ``vocabulary`` to the most frequent
+words (ties by hash); all others then fall into ``classes`` classes by hash.
 
 Null and empty texts have no words and score 0; repeated rows count as often as they
 occur; with an empty target set both models differ by smoothing alone.
@@ -27,36 +29,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import slices, stored
 from .wordhash import mix, text_buffer, words
 
-BLOCK = 1 << 14
-
-
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the words in it; other words have classes after them, and the text's start the last id."""
+    """Sorted hashes of the words that differ; all other words have classes."""
 
     hashes: np.ndarray
     classes: int
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + self.classes + 1
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        other = len(self.hashes) + (hashes % np.uint64(self.classes)).astype(np.int64)
+    def mapped(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' hashes, and for words not in it their classes."""
+        other = hashes % np.uint64(self.classes)
         if not len(self.hashes):
             return other
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, other)
+        return np.where(self.hashes[at] == hashes, hashes, other)
 
 
 def fit_vocabulary(df: DataFrame, text: str = "text", vocabulary: int = 50_000, classes: int = 4096) -> Vocabulary:
-    """Words by their counts in all texts."""
+    """The most frequent words of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -79,128 +76,195 @@ def fit_vocabulary(df: DataFrame, text: str = "text", vocabulary: int = 50_000,
     return Vocabulary(np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)), classes)
 
 
-def cells(ids: np.ndarray, first: np.ndarray, start: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id before each word, hashed cell of the bigram)."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1][first[:-1] < len(ids)]] = start
+WORD, START, BIGRAM = 0, 1, 2
+_START = np.uint64(0x57A27)
+
+
+def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes whose last two bits tell the kind."""
     with np.errstate(over="ignore"):
-        return before, (mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        return (mix(hashes + np.uint64(kind + 1)) & ~np.uint64(3)) | np.uint64(kind)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes, after the size of the planes."""
+    planes = np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(body: pa.BinaryScalar, kind: type) -> np.ndarray:
+    raw = body.as_buffer()
+    planes = pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+@dataclass
+class Slice:
+    """The n-grams of a slice of texts.
+
+    ``keys`` are sorted and distinct: words, the start of a text, bigrams.  ``at`` has the
+    places in them of each word, of the one before it and of their bigram.
+    """
+
+    keys: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array, vocabulary: Vocabulary | None) -> Slice:
+        hashes, _, first = words(*text_buffer(column))
+        if vocabulary is not None:
+            hashes = vocabulary.mapped(hashes)
+        begins = first[:-1][np.diff(first) > 0]
+        before = np.roll(hashes, 1)
+        before[begins] = _START
+        with np.errstate(over="ignore"):
+            pairs = mix(before * np.uint64(0xD6E8FEB86659FD93) + hashes)
+        keys, at = np.unique(np.concatenate([_keys(hashes, WORD), _keys(np.array([_START]), START), _keys(pairs, BIGRAM)]), return_inverse=True)
+        word, start, pair = np.split(at, [len(hashes), len(hashes) + 1])
+        context = np.roll(word, 1)
+        context[begins] = start
+        n = np.diff(first)
+        return cls(keys, np.stack([word, context, pair], axis=1), np.repeat(np.arange(len(n)), n), n)
+
+    def counts(self, target: np.ndarray) -> np.ndarray:
+        """(keys, 4): how often each key occurs in the slice's target texts and in its others, and how often less as a context."""
+        own, many = target[self.text], len(self.keys)
+        found, contexts = (np.stack([sum(np.bincount(self.at[w, k], minlength=many) for k in kinds) for w in (own, ~own)], axis=1) for kinds in ((0, 2), (1,)))
+        less = np.where(((self.keys & np.uint64(3)) == BIGRAM)[:, None], 0, found - contexts)
+        return np.concatenate([found, less], axis=1)
+
+    def score(self, table: np.ndarray, sums: Sums, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, target loss a word, background loss a word, difference) of each text; ``table`` has the corpus's counts of the keys."""
+        loss = sums.losses(table, self.at, self.text, target)
+        mean = np.stack([np.bincount(self.text, weights=loss[:, j], minlength=len(self.n)) for j in (0, 1)]) / np.maximum(self.n, 1)
+        return self.n, mean[0], mean[1], mean[0] - mean[1]
 
 
 @dataclass
-class Models:
-    """Counts of both models; column 0 is the target, column 1 the background."""
-
-    vocabulary: Vocabulary
-    bits: int
-    unigrams: np.ndarray
-    contexts: np.ndarray
-    bigrams: np.ndarray
+class Sums:
+    """What both models share: the words of the target and of the background, and the vocabulary's size."""
+
+    totals: np.ndarray
+    size: int
     mixture: float = 0.7
     smoothing: float = 0.5
 
-    def losses(self, ids: np.ndarray, before: np.ndarray, cell: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def losses(self, table: np.ndarray, at: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
         """(words, 2): bits that each model needs for each word, without the word's own text."""
-        totals = self.unigrams.sum(0)
+        totals = self.totals
         scale = np.array([1.0, totals[0] / max(totals[1], 1) if totals[0] else 1.0])
         model = np.where(target[text], 0, 1)
-        rows = np.arange(len(ids))
+        rows = np.arange(len(text))
 
-        def less_own(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        def less_own(at: np.ndarray, table: np.ndarray) -> np.ndarray:
             _, back, n = np.unique(text.astype(np.int64) << 32 | at, return_inverse=True, return_counts=True)
-            out = table[at]
+            out = table[at].astype(float)
             out[rows, model] -= n[back]
             return np.maximum(out, 0) * scale
 
-        lengths = np.bincount(text)[text]
-        size = np.repeat(totals[None, :], len(ids), axis=0)
+        lengths = np.bincount(text)[text] if len(text) else text
+        size = np.repeat(totals[None, :].astype(float), len(text), axis=0)
         size[rows, model] -= lengths
-        single = (less_own(self.unigrams, ids) + self.smoothing) / (np.maximum(size, 0) * scale + self.smoothing * len(self.unigrams))
-        context = less_own(self.contexts, before)
-        paired = np.minimum(less_own(self.bigrams, cell), context) / np.maximum(context, 1e-9)
+        single = (less_own(at[:, 0], table[:, :2]) + self.smoothing) / (np.maximum(size, 0) * scale + self.smoothing * self.size)
+        context = less_own(at[:, 1], table[:, :2] - table[:, 2:])
+        paired = np.minimum(less_own(at[:, 2], table[:, :2]), context) / np.maximum(context, 1e-9)
         weight = self.mixture * context / (context + 1)
         return -np.log2(weight * paired + (1 - weight) * single)
 
-    def score(self, column: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, target loss a word, background loss a word, difference) of each text; ``target`` tells the target set's texts."""
-        raw, offsets = text_buffer(column)
-        hashes, _, first = words(raw, offsets)
-        ids = self.vocabulary.ids(hashes)
-        before, cell = cells(ids, first, self.vocabulary.size - 1, self.bits)
-        n = np.diff(first)
-        text = np.repeat(np.arange(len(n)), n)
-        loss = self.losses(ids, before, cell, text, target)
-        mean = np.stack([np.bincount(text, weights=loss[:, j], minlength=len(n)) for j in (0, 1)]) / np.maximum(n, 1)
-        return n, mean[0], mean[1], mean[0] - mean[1]
-
 
-def fit(df: DataFrame, is_target: str, vocabulary: Vocabulary, text: str = "text", bits: int = 20) -> Models:
-    """Counts both models over all rows of ``df``; ``is_target`` is a boolean column."""
-    layout = [("u", vocabulary.size), ("c", vocabulary.size), ("b", 1 << bits)]
-    held = df.sparkSession.sparkContext.broadcast(vocabulary)
+def slice_texts(df: DataFrame, is_target: str, key: str, text: str) -> DataFrame:
+    """(slice, rows): all rows (key, text, target) in stored slices of a few MB; ``is_target`` is a boolean column."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        tables = {name: np.zeros((n, 2), dtype=np.int64) for name, n in layout}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, _, first = words(*text_buffer(part.column("text")))
-                ids = known.ids(hashes)
-                before, cell = cells(ids, first, known.size - 1, bits)
-                target = np.repeat(part.column("target").to_numpy(zero_copy_only=False), np.diff(first))
-                for name, at in (("u", ids), ("c", before), ("b", cell)):
-                    for j, own in enumerate((target, ~target)):
-                        if own.any():
-                            tables[name][:, j] += np.bincount(at[own], minlength=len(tables[name]))
-        for name, n in layout:
-            for block in range(0, n, BLOCK):
-                part = tables[name][block : block + BLOCK]
-                seen = np.flatnonzero(part.any(axis=1))
-                if len(seen):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block // BLOCK]), pa.array([seen.astype(np.int16).tobytes()]), pa.array([part[seen].tobytes()])], names=["part", "block", "places", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((BLOCK, 2), dtype=np.int64)
-        for places, counts in zip(table.column("places"), table.column("counts")):
-            total[np.frombuffer(places.as_buffer(), np.int16)] += np.frombuffer(counts.as_buffer(), np.int64).reshape(-1, 2)
-        return pa.table({"part": [table.column("part")[0].as_py()], "block": [table.column("block")[0].as_py()], "counts": [total.tobytes()]})
-
-    rows = df.select(F.coalesce(F.col(is_target), F.lit(False)).alias("target"), F.col(text).alias("text"))
-    summed = rows.mapInArrow(count, "part string, block long, places binary, counts binary").groupBy("part", "block").applyInArrow(add, "part string, block long, counts binary").toLocalIterator()
-    tables = {name: np.zeros((n, 2)) for name, n in layout}
-    for part, block, counts in summed:
-        own = np.frombuffer(counts, np.int64).reshape(-1, 2)
-        at = block * BLOCK
-        tables[part][at : at + BLOCK] = own[: len(tables[part]) - at]
-    return Models(vocabulary, bits, tables["u"], tables["c"], tables["b"])
-
-
-def score(df: DataFrame, models: Models, is_target: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, target_loss, background_loss, difference) of every row; losses are bits a word."""
-    kind = dict(df.dtypes)[key]
-    held = df.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text"):
-                target = part.column("target").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column("key"), *map(pa.array, held.value.score(part.column("text"), target))], names=[key, "n_words", "target_loss", "background_loss", "difference"])
+            for part in slices(batch, "text", 8 << 20):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sink.getvalue().to_pybytes()])], names=["slice", "rows"])
+                at += 1
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(is_target), F.lit(False)).alias("target"))
+    return stored(rows.mapInArrow(cut, "slice long, rows binary"), "slices")
+
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(is_target), F.lit(False)).alias("target")).mapInArrow(run, f"`{key}` {kind}, n_words long, target_loss double, background_loss double, difference double")
+def rows_of(body: pa.BinaryScalar) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(keys, texts, targets) of a stored slice."""
+    rows = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks()
+    key, text, target = (pa.concat_arrays(rows.column(c).chunks) for c in ("key", "text", "target"))
+    return key, text, target.to_numpy(zero_copy_only=False)
 
 
-def cross_entropy_difference(df: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 250_000, **sizes: int) -> DataFrame:
+def count_ngrams(sliced: DataFrame, vocabulary: Vocabulary | None, buckets: int) -> DataFrame:
+    """(slice, bucket, totals, words, target, background): the corpus's counts of each slice's n-grams, bucket by bucket.
+
+    The last three columns add up to the distinct words and to the words of either model.
+    """
+    held = sliced.sparkSession.sparkContext.broadcast(vocabulary)
+    edges = np.array([(i << 64) // buckets for i in range(buckets)], dtype=np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, body in zip(batch.column("slice"), batch.column("rows")):
+                _, texts, target = rows_of(body)
+                own = Slice.of(texts, held.value)
+                counts = own.counts(target).astype(np.int32)
+                ends = np.append(np.searchsorted(own.keys, edges), len(own.keys))
+                some = np.flatnonzero(np.diff(ends))
+                bodies = [packed(np.diff(own.keys[ends[i] : ends[i + 1]], prepend=np.uint64(0))) for i in some], [packed(counts[ends[i] : ends[i + 1]].T.copy()) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * len(some), pa.int64()), pa.array(some, pa.int64()), *(pa.array(b, pa.binary()) for b in bodies)], names=["slice", "bucket", "asked", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("asked")]
+        sizes = [len(x) for x in asked]
+        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+        counts = np.concatenate([unpacked(x, np.int32).reshape(4, -1) for x in table.column("counts")], axis=1)
+        totals = np.stack([np.bincount(back, weights=c, minlength=len(keys)) for c in counts], axis=1).astype(np.int64)
+        word = (keys & np.uint64(3)) == WORD
+        once = [[int(x)] + [0] * (len(sizes) - 1) for x in (word.sum(), *totals[word, :2].sum(0))]
+        bodies = [packed(totals[part].T.copy()) for part in np.split(back, np.cumsum(sizes)[:-1])]
+        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "totals": pa.array(bodies, pa.binary()), **dict(zip(("words", "target", "background"), once))})
+
+    asked = sliced.mapInArrow(ask, "slice long, bucket long, asked binary, counts binary")
+    return stored(asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket long, totals binary, words long, target long, background long"), "ngrams")
+
+
+def score(sliced: DataFrame, counted: DataFrame, vocabulary: Vocabulary | None, classes: int, kind: str, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, target_loss, background_loss, difference) of every row; losses are bits a word, keys of type ``kind``."""
+    n, target, background = (x or 0 for x in counted.agg(F.sum("words"), F.sum("target"), F.sum("background")).first())
+    known = n if vocabulary is None else len(vocabulary.hashes)
+    sums = Sums(np.array([target, background]), known + classes + 1)
+    held = sliced.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(_, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        answers = answers.sort_by("bucket")
+        table = np.concatenate([np.zeros((4, 0), np.int64), *(unpacked(x, np.int64).reshape(4, -1) for x in answers.column("totals"))], axis=1).T
+        for body in texts.column("rows"):
+            keys, rows, target = rows_of(body)
+            scores = Slice.of(rows, held.value).score(table, sums, target)
+            out.append(pa.table([keys, *map(pa.array, scores)], names=[key, "n_words", "target_loss", "background_loss", "difference"]))
+        return pa.concat_tables(out)
+
+    answers = counted.select("slice", "bucket", "totals")
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, f"`{key}` {kind}, n_words long, target_loss double, background_loss double, difference double")
+
+
+def cross_entropy_difference(df: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 250_000, vocabulary: int | None = None, classes: int = 4096) -> DataFrame:
     """Scores all rows against the rows whose key is in ``target_keys``.
 
-    Up to ``broadcast_rows`` keys are sent to the scans, so that no text moves; more are
-    joined by one shuffle of the texts, whose result is stored for both passes.
+    Up to ``broadcast_rows`` keys are sent to the scan that stores the texts in slices;
+    more are joined by one shuffle of the texts.
     """
     targets = target_keys.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_target", F.lit(True))
     rows = df.select(key, F.col(text))
-    if targets.count() <= broadcast_rows:
-        marked = rows.join(F.broadcast(targets), key, "left")
-    else:
-        marked = stored(rows.join(targets.hint("merge"), key, "left"), "marked")
-    models = fit(marked, "_target", fit_vocabulary(df, text, **sizes), text)
-    return score(marked, models, "_target", key, text)
+    few = targets.count() <= broadcast_rows
+    marked = rows.join(F.broadcast(targets) if few else targets.hint("merge"), key, "left")
+    known = None if vocabulary is None else fit_vocabulary(df, text, vocabulary, classes)
+    sliced = slice_texts(marked, "_target", key, text)
+    # A bucket reads a share of all slices' n-grams: about 32 slices' worth at most.
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sliced.count() // 32)
+    return score(sliced, count_ngrams(sliced, known, buckets), known, classes, dict(df.dtypes)[key], key)

@@ -154,3 +154,18 @@ def test_losses_equal_plain_models(spark, few):
         assert got[i]["difference"] == pytest.approx(a - b, abs=1e-9)
     assert lm_scoring.cross_entropy_difference(df.limit(0), keys).collect() == []
     assert len(lm_scoring.cross_entropy_difference(odd(spark), keys.limit(0)).collect()) == len(ODD)
+
+
+def test_losses_are_exact_beyond_any_fixed_table(spark):
+    """More distinct words than 50,000 and more distinct bigrams than 2**20: counts stay those of brute force."""
+    draw = random.Random(5)
+    word = lambda: f"w{int(70_000 * draw.random() ** 1.2)}"
+    texts = [" ".join(word() for _ in range(2_000)) for _ in range(650)]
+    split = [t.split() for t in texts]
+    assert len({w for t in split for w in t}) > 50_000 and len({p for t in split for p in zip(t, t[1:])}) > 1 << 20
+    targets = [i % 3 == 0 for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    keys = spark.createDataFrame([(i,) for i, t in enumerate(targets) if t], "doc_id long")
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, keys).collect()}
+    for i, (a, b) in enumerate(plain_scores(texts, targets, 1 << 40, 4096)):
+        assert got[i]["target_loss"] == pytest.approx(a, abs=1e-9) and got[i]["background_loss"] == pytest.approx(b, abs=1e-9)
