@@ -3,13 +3,14 @@
 A logistic model over hashed words and word beginnings is fitted to labelled texts with a
 penalty on counterfactuals: in labelled sentences, an identity term is swapped for
 another term of its kind (or put into a sentence without one, where the sentence's
-label is neutral), and the squared change of the score's logit is penalised.  Naming a
+label is neutral), and the squared change of the score's logit is penalised, over all
+features of both sentences: words, word beginnings and their counts.  Naming a
 group then does not move the score, and neutral mentions are not taken for toxic ones
 even where identity terms and toxic labels coincide in the sample.
 
 The model is fitted in one task on a bounded sample: at most ``sample`` labelled rows,
 chosen by a hash of their key.  Words that fewer than ``least`` sampled texts have get
-no weight.  Scoring sees words only; no label, language, source or key.
+no weight, unless they are features of identity terms.  Scoring sees words only; no label, language, source or key.
 
 Null and empty texts have no words and get the score of the bias.  Null labels are not
 used; a text with several labels is used with each.  Without usable labels, all scores
@@ -68,32 +69,62 @@ _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[list(_EDGES)] = True
 
 
-def term_buckets(bits: int) -> dict[str, np.ndarray]:
-    return {kind: np.unique([word_bucket(t, bits) for t in terms]) for kind, terms in IDENTITY.items()}
+def term_features(bits: int) -> dict[str, list[np.ndarray]]:
+    """Buckets of each identity term, by kind: its word's first, then those of its beginnings."""
 
+    def of(term: str) -> np.ndarray:
+        return (word_prefixes(*text_buffer(pa.array([term])), BEGINNINGS)[0] >> np.uint64(64 - bits)).astype(np.int64)
 
-def counterfactuals(rows: list[np.ndarray], labels: np.ndarray, bits: int, most: int = 20_000) -> list[tuple[int, int]]:
-    """Pairs (bucket that goes, bucket that comes; -1 for none) of swaps in labelled sentences.
+    return {kind: [of(t) for t in terms] for kind, terms in IDENTITY.items()}
 
-    A sentence with an identity term yields a swap with the next term of its kind, and one
-    without the term where its label is neutral.  If there are few such sentences, terms of
-    every kind are put into neutral ones in turn.
+
+def counterfactuals(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(pair, bucket, change of value) between two versions of labelled sentences, and the number of pairs.
+
+    Each identity term of a sentence is swapped, wherever it stands, for another term of its
+    kind (in turn), and taken out where the sentence's label is neutral.  A term, and the
+    next one of its kind, is put into each neutral sentence without one, in turn, and so
+    that each term is put somewhere if there is a neutral sentence at all.
     """
-    kinds = list(term_buckets(bits).values())
-    next_of = {int(t): int(k[(i + 1) % len(k)]) for k in kinds for i, t in enumerate(k)}
-    out: list[tuple[int, int]] = []
-    for words_, label in zip(rows, labels):
-        for t in words_.tolist():
-            if t in next_of and len(out) < most:
-                out.append((t, next_of[t]))
-                if not label:
-                    out.append((t, -1))
-    terms = sorted(next_of)
-    neutral = int((labels == 0).sum())
-    for i in range(min(most - len(out), max(neutral, len(terms)))):
-        out.append((-1, terms[i % len(terms)]))
-        out.append((terms[i % len(terms)], next_of[terms[i % len(terms)]]))
-    return out
+    kinds = list(term_features(bits).values())
+    terms = [(k, i) for k, own in enumerate(kinds) for i in range(len(own))]
+    of_word = {int(kinds[k][i][0]): (k, i) for k, i in terms}
+    out: list[tuple[int, int, float]] = []
+    n = 0
+
+    def add(have: dict[int, int], go: np.ndarray, come: np.ndarray, times: int, start: tuple[int, ...] = ()) -> None:
+        """A pair: the sentence (with ``start`` added) and that without ``go`` and with ``come``."""
+        nonlocal n
+        change: dict[int, int] = {}
+        for f, d in [*((int(f), -times) for f in go), *((int(f), times) for f in come)]:
+            change[f] = change.get(f, 0) + d
+        for f, d in change.items():
+            was = have.get(f, 0) + start.count(f)
+            if d:
+                out.append((n, f, float(np.log2(1 + max(was + d, 0)) - np.log2(1 + was))))
+        n += 1
+
+    none, bare = np.zeros(0, np.int64), []
+    for row, (words_, value, label) in enumerate(zip(rows, values, labels)):
+        found = [int(t) for t in words_ if int(t) in of_word]
+        have = dict(zip(words_.tolist(), np.rint(2.0 ** value.astype(float) - 1).astype(int).tolist())) if found or not label else {}
+        for t in found:
+            k, i = of_word[t]
+            own, times = kinds[k], have[t]
+            add(have, own[i], own[(i + 1 + row % (len(own) - 1)) % len(own)], times)
+            if not label:
+                add(have, own[i], none, times)
+        if not found and not label:
+            bare.append(have)
+    for j in range(max(len(bare), len(terms)) if bare else 0):
+        have, (k, i) = bare[j % len(bare)], terms[j % len(terms)]
+        own = kinds[k]
+        add(have, none, own[i], 1)
+        add(have, own[i], own[(i + 1) % len(own)], 1, tuple(own[i].tolist()))
+    if not out:
+        return none, none, np.zeros(0), n
+    pair, bucket, change = zip(*out)
+    return np.array(pair), np.array(bucket), np.array(change), n
 
 
 def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, bits: int, least: int = 8, penalty: float = 2.0, decay: float = 3e-4, rounds: int = 200) -> np.ndarray:
@@ -102,18 +133,20 @@ def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.nda
     w = np.zeros(dim + 1)
     if not len(rows):
         return w
-    pairs = np.array(counterfactuals(rows, labels, bits), dtype=np.int64).reshape(-1, 2)
+    pair, bucket, change, n_pairs = counterfactuals(rows, values, labels, bits)
     lengths = np.array([len(r) for r in rows])
     idx = np.concatenate(rows)
     seen = np.bincount(idx, minlength=dim)
-    used = np.flatnonzero(seen >= least)
+    kept = seen >= least
+    kept[np.concatenate([f for own in term_features(bits).values() for f in own])] = True
+    used = np.flatnonzero(kept)
     place = np.full(dim + 1, -1)
     place[used] = np.arange(len(used))
     at = np.repeat(np.arange(len(rows)), lengths)
     keep = place[idx] >= 0
     col, at, val = place[idx[keep]], at[keep], np.concatenate(values)[keep]
     k = len(used)
-    go, come = (np.where(pairs[:, j] >= 0, place[pairs[:, j]], -1) for j in (0, 1))
+    turned = place[bucket]
     v, m, s = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3)) / len(rows)
     for step in range(1, rounds + 1):
@@ -121,11 +154,9 @@ def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.nda
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
         grad = np.append(np.bincount(col, weights=g[at] * val, minlength=k), g.sum())
         grad[:k] += decay * v[:k]
-        if len(pairs):
-            change = np.where(come >= 0, v[come], 0) - np.where(go >= 0, v[go], 0)
-            pull = 2 * penalty * change / len(pairs)
-            np.add.at(grad, come[come >= 0], pull[come >= 0])
-            np.add.at(grad, go[go >= 0], -pull[go >= 0])
+        if n_pairs:
+            moved = np.bincount(pair, weights=v[turned] * change, minlength=n_pairs)
+            grad[:k] += np.bincount(turned, weights=(2 * penalty / n_pairs) * moved[pair] * change, minlength=k)
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         v -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     w[used], w[dim] = v[:k], v[k]

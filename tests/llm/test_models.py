@@ -102,6 +102,45 @@ def test_identity_terms_do_not_move_scores():
     assert toxicity.score(pa.array(["w1 idiot w2"]), toxicity.fit_weights(rows, values, np.array(labels), 16), 16)[0] > 0.5
 
 
+def rows_of(texts, bits):
+    text, bucket, value = toxicity.features(pa.array(texts), bits)
+    ends = np.cumsum(np.bincount(text, minlength=len(texts)))[:-1]
+    return np.split(bucket, ends), np.split(value, ends)
+
+
+def test_counterfactuals_are_the_swapped_sentences_features():
+    """The change of each pair is that between the feature vectors of the written-out sentences."""
+    dense = lambda t: np.bincount(toxicity.features(pa.array([t]), 18)[1], weights=toxicity.features(pa.array([t]), 18)[2], minlength=1 << 18)
+    text = "some muslims and immigrated muslims say muslin"
+    pair, bucket, change, n = toxicity.counterfactuals(*rows_of([text], 18), np.array([0.0]), 18)
+    wanted = [dense(text.replace("muslims", other)) - dense(text) for other in ("muslim", "")]
+    assert n == 2
+    for i in range(n):
+        got = np.bincount(bucket[pair == i], weights=change[pair == i], minlength=1 << 18)
+        assert np.allclose(got, wanted[i], atol=1e-5) and np.abs(wanted[i]).sum() > 1
+
+
+def test_production_penalty_moves_whole_logits():
+    """With the production penalty, terms that coincide with toxic labels hardly move a neutral sentence's logit."""
+    draw = random.Random(2)
+    words, biased = [f"w{i}" for i in range(200)], ("muslims", "women", "immigrants", "refugees")
+    texts, labels = [], []
+    for i in range(600):
+        w = [draw.choice(words) for _ in range(20)]
+        if i % 3 == 0:
+            w[3:5] = ["idiot", draw.choice(biased)]
+        texts.append(" ".join(w))
+        labels.append(float(i % 3 == 0))
+    rows, values = rows_of(texts, 18)
+    logit = lambda t, w: (lambda p: np.log(p / (1 - p)))(toxicity.score(pa.array([t]), w, 18)[0])
+    plain, fair = (toxicity.fit_weights(rows, values, np.array(labels), 18, **x) for x in ({"penalty": 0.0}, {}))
+    neutral = " ".join(words[:16])
+    for t in biased:
+        moved = [abs(logit(f"{neutral} {t}", w) - logit(neutral, w)) for w in (plain, fair)]
+        assert moved[1] < 0.2 * moved[0] and toxicity.score(pa.array([f"{neutral} {t}"]), fair, 18)[0] < 0.5
+    assert toxicity.score(pa.array([f"{neutral} idiot"]), fair, 18)[0] > 0.5
+
+
 def test_toxicity_of_odd_rows(spark):
     none = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     rows = toxicity.classify(odd(spark), toxicity.fit(odd(spark), none)).collect()
