@@ -12,6 +12,7 @@ format has a single value.  Null texts stay null; empty texts stay empty.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -27,15 +28,23 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>\b(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})\b)"
+    r"|(?P<date>\b(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+[1-9](?:(?:[ ./-]| ?\(|\)[ ./-]?)?\d){6,15}(?!\w|[.-]\w)"
+    r"|(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])"
+    r"|(?<![\w+.,-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,]\d))"
 )
+#: ITU country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+#: Fewest and most digits after the country code where they are not 4 to 12; all numbers have 7 to 15 with it.
+_DIGITS = {"+1": (10, 10), "+7": (10, 10), "+31": (9, 9), "+32": (8, 9), "+33": (9, 9), "+34": (9, 9), "+39": (6, 11), "+41": (9, 9), "+43": (4, 13), "+44": (9, 10), "+49": (5, 13)}
 _MAYBE = re.compile(r"[0-9@]")
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
+#: Dates that can only be read with the month first.
+_LATE = [d for d in range(_DAYS) if datetime.date.fromordinal(d + _DAY0).day > 12]
 
 
 class Feistel:
@@ -151,13 +160,28 @@ class Pseudonyms:
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def _phone(self, value: str) -> str | None:
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        if re.fullmatch(r"\d{10}", value):  # North American: area and exchange begin with 2 to 9
+            rank = (int(value[0]) - 2) * 8 * 10**8 + int(value[1:3]) * 8 * 10**6 + (int(value[3]) - 2) * 10**6 + int(value[4:])
+            rank, low = divmod(self._permute(rank, 64 * 10**8, b"phone10"), 10**6)
+            rank, exchange = divmod(rank, 8)
+            return f"{rank // 100 + 2}{rank % 100:02d}{exchange + 2}{low:06d}"
+        plain = re.fullmatch(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}", value)
+        country = re.match(r"\+\d{1,3}(?=[ .(-])", value) if plain else _COUNTRY.match(value)
         head = country.group(0) if country else ""
-        rest = value[len(head):]
+        if not plain and (not head or value.count("(") != value.count(")")):
+            return None
+        trunk = re.match(r" ?\(0\)", value[len(head):])
+        shown = head + (trunk.group(0) if trunk else "")
+        rest = value[len(shown):]
         digits = re.sub(r"\D", "", rest)
-        if not 8 <= len(digits) <= 14:
+        if plain:
+            fits = 8 <= len(digits) <= 14
+        else:
+            least, most = _DIGITS.get(head, (4, 12))
+            fits = least <= len(digits) <= most and 7 <= len(head) - 1 + len(digits) <= 15
+        if not fits:
             return None
-        return head + _fill(rest, _mixed(digits, self._permute, b"phone" + head.encode()))
+        return shown + _fill(rest, _mixed(digits, self._permute, b"phone" + head.encode()))
 
     def _ip(self, value: str) -> str | None:
         octets = [int(x) for x in value.split(".")]
@@ -167,28 +191,45 @@ class Pseudonyms:
         return ".".join(map(str, y.to_bytes(4, "big")))
 
     def _date(self, value: str) -> str | None:
-        iso = "-" in value
-        parts = [int(x) for x in re.split(r"\D", value)]
+        iso, marks = "-" in value, re.findall(r"\D", value)
+        said = re.split(r"\D", value)
+        parts = [int(x) for x in said]
+        year, month, day = parts if iso else parts[::-1]
+        us = not iso and month > 12 >= day  # no day/month, so month/day
+        if us:
+            month, day = day, month
         try:
-            day = datetime.date(*(parts if iso else parts[::-1])).toordinal() - _DAY0
+            at = datetime.date(year, month, day).toordinal() - _DAY0
         except ValueError:
             return None
-        if not 0 <= day < _DAYS:
+        if not 0 <= at < _DAYS:
             return None
-        new = datetime.date.fromordinal(self._permute(day, _DAYS, b"date") + _DAY0)
-        return new.isoformat() if iso else new.strftime(f"%d{value[2]}%m{value[2]}%Y")
+        if us:
+            at = _LATE[self._permute(bisect.bisect_left(_LATE, at), len(_LATE), b"month first")]
+        else:
+            at = self._permute(at, _DAYS, b"date")
+        new = datetime.date.fromordinal(at + _DAY0)
+        width = 1 if any(len(x) == 1 for x in said) else 2
+        day, month = f"{new.day:0{width}d}", f"{new.month:0{width}d}"
+        a, b, c = (str(new.year), month, day) if iso else (month, day, str(new.year)) if us else (day, month, str(new.year))
+        return a + marks[0] + b + marks[1] + c
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """(text with pseudonyms, [(kind, start, end) in the old text])."""
         if not _MAYBE.search(text):
             return text, []
-        out, at, spans = [], 0, []
-        for m in _PATTERN.finditer(text):
-            new = self.of(m.lastgroup, m.group())
+        out, at, spans, look = [], 0, [], 0
+        while m := _PATTERN.search(text, look):
+            value, look = m.group(), m.end()
+            new = self.of(m.lastgroup, value)
+            while new is None and value[0] == "+" and (short := re.match(r"(.*\d)\)?[ ./-]", value)):  # other digits may follow a number
+                value = short.group(1)
+                new = self.of(m.lastgroup, value)
             if new is not None:
+                look = m.start() + len(value)
                 out += [text[at : m.start()], new]
-                at = m.end()
-                spans.append((m.lastgroup, m.start(), m.end()))
+                at = look
+                spans.append((m.lastgroup, m.start(), look))
         return ("".join(out) + text[at:], spans) if spans else (text, [])
 
 

@@ -169,6 +169,28 @@ def test_pseudonyms_keep_format_and_validity():
     assert pii.luhn_ok(re.sub(r"\D", "", names.of("card", "4111 1111 1111 1111")))
 
 
+WIDER = ["+33 1 23 45 67 89", "+49 30 1234567", "+34 612 345 678", "9745553436", "+33123456789", "+44 (0)20 7946 0958", "+351 21 123 4567", "+49 (30) 123456", "12/25/1999", "12.25.1999"]
+UNPADDED = ["1/2/1999", "31.1.2001", "2/29/2024", "1999-1-2"]
+
+
+def test_pseudonyms_of_wider_phones_and_dates():
+    names = pii.Pseudonyms(hashlib.sha256(b"k").digest())
+    for value in WIDER + UNPADDED:
+        new, spans = names.replace(f"x {value} y")
+        assert len(spans) == 1 and spans[0][1:] == (2, 2 + len(value)) and new[2:-2] != value, value
+        if value in WIDER:
+            assert re.sub(r"\d", "0", new[2:-2]) == re.sub(r"\d", "0", value)
+        again, more = names.replace(new)
+        assert len(more) == 1 and again != new, new
+    for i in range(0, len(pii._LATE), 97):
+        day = datetime.date.fromordinal(pii._LATE[i] + pii._DAY0)
+        month, of, year = map(int, names.of("date", day.strftime("%m/%d/%Y")).split("/"))
+        assert of > 12 and datetime.date(year, month, of)
+    for value in ("13/13/1999", "2/30/2024", "+33 1 23 45 67", "+1 555 1234", "1745553436", "9740553436", "0.9745553436"):
+        assert names.replace(f"x {value} y") == (f"x {value} y", []), value
+    assert [k for k, *_ in names.replace("+33 1 23 45 67 89 2024-02-29")[1]] == ["phone", "date"]
+
+
 def test_pseudonyms_link_documents(spark):
     df = odd(spark, [(1, f"call {VALID[1]}"), (2, f"{VALID[1]}, or {VALID[2]}"), (3, None), (4, ""), (5, "no numbers"), (None, VALID[2]), (5, "9" * 100_000)])
     got = pii.pseudonymise(df, "secret").collect()
