@@ -26,9 +26,19 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch that a Python worker gets, where the session sets nothing else.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to all executors, once for each context, so that Python workers can import it."""
+    """Sends the package to all executors, once for each context, so that Python workers can import it.
+
+    Arrow batches are bounded by bytes as well as by rows, since a row may be a long text;
+    a session's own setting stays.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) == 2**31 - 1:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(context, "_strandline_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(), "strandline.zip")
