@@ -9,7 +9,10 @@ with every run of other characters than letters and digits as one space.
 Items are taken in blocks of bounded size (``block_bytes``), each block being one pass
 over the documents; nothing that is sent to executors grows with the documents.
 Items without letters or digits match nothing; null and empty texts have no hits;
-repeated items are reported under each id.  Whole texts are searched.
+repeated items are reported under each id, repeated rows once each.  Whole texts are
+searched, in slices of about 1 MB, a longer text alone.  Of equally near places the first
+is reported.  Empty tables have no hits.  ``find_leaks`` returns its own columns only,
+``decontaminate`` keeps all of the table's, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import slices
+from .runtime import lean, slices
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -141,7 +144,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
                     if at:
                         yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at)), pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits], pa.int32()), pa.array([h[2] for h in hits], pa.int32())], names=[key, item_id, "distance", "end_at"])
 
-        part = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+        part = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -159,5 +162,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
                     keep = [not matcher.find(value) for value in part.column(text).to_pylist()]
                     yield part.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, df.schema)
+        out = out.mapInArrow(lean(run), df.schema)
     return out

@@ -35,19 +35,37 @@ _VALUE = _byte_values()
 _INVERSE = pow(_MULT, -1, 2**64)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers are products of a low and a high table, so that tables stay small however long a text is.
+_BLOCK = 1 << 16
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("tables")
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+_UP_LOW, _UP_HIGH = _power_table(_MULT, _BLOCK), _power_table(pow(_MULT, _BLOCK, 2**64), 1 << 15)
+_DOWN_LOW, _DOWN_HIGH = _power_table(_INVERSE, _BLOCK), _power_table(pow(_INVERSE, _BLOCK, 2**64), 1 << 15)
+
+
+class _Sums:
+    """Prefix sums of a batch's byte values times powers of their places; one array of the batch's length."""
+
+    def __init__(self, raw: np.ndarray, values: np.ndarray):
+        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(0, len(raw), _BLOCK):
+                part = self.sums[i + 1 : i + 1 + _BLOCK]
+                np.multiply(values[raw[i : i + _BLOCK]], _UP_LOW[: len(part)], out=part)
+                part *= _UP_HIGH[i // _BLOCK]
+            np.cumsum(self.sums, out=self.sums)
+
+    def between(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The polynomial of each range, from its own start."""
         with np.errstate(over="ignore"):
-            up = np.full(size, _MULT, dtype=np.uint64)
-            down = np.full(size, _INVERSE, dtype=np.uint64)
-            up[0] = down[0] = 1
-            have = _powers["tables"] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return have
+            return (self.sums[stops] - self.sums[starts]) * (_DOWN_LOW[starts % _BLOCK] * _DOWN_HIGH[starts // _BLOCK])
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +96,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after[ends[ends >= 0]] = False
     starts = np.flatnonzero(inside & ~before)
     stops = np.flatnonzero(inside & ~after) + 1
-    up, down = _power_tables(n)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[raw] * up[:n], out=sums[1:])
-        hashes = mix((sums[stops] - sums[starts]) * down[starts])
+        hashes = mix(_Sums(raw, _VALUE).between(starts, stops))
     return hashes, starts, np.searchsorted(starts, offsets)
 
 
@@ -94,15 +109,13 @@ def word_prefixes(raw: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]
         return hashes, text
     ends = np.flatnonzero(np.append(_SEP[raw], True))
     stops = np.minimum(ends[np.searchsorted(ends, starts)], offsets[1:][text])
-    up, down = _power_tables(len(raw))
     out, of = [hashes], [text]
+    sums = _Sums(raw, _VALUE)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[raw] * up[: len(raw)], out=sums[1:])
         for n in lengths:
             longer = np.flatnonzero(stops - starts > n)
             at = starts[longer]
-            out.append(mix((sums[at + n] - sums[at]) * down[at] + _U(n)))
+            out.append(mix(sums.between(at, at + n) + _U(n)))
             of.append(text[longer])
     return np.concatenate(out), np.concatenate(of)
 
@@ -114,11 +127,8 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     """Hashes of byte ranges, letter case included."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(raw))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_RAW_VALUE[raw] * up[: len(raw)], out=sums[1:])
-        return mix((sums[stops] - sums[starts]) * down[starts])
+        return mix(_Sums(raw, _RAW_VALUE).between(starts, stops))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
