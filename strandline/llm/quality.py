@@ -6,13 +6,17 @@ the corpus) estimates how often each labeller is right and every pattern's poste
 Posteriors then train a linear scorer on hashed byte trigrams and shares of repeated words, which generalises beyond
 the labellers' thresholds and gives every text a score.
 
-Votes and patterns cover all rows.  The scorer alone is fitted on a bounded sample,
-``sample`` rows chosen by a hash of their text (a documented parameter); one task holds
-them.  True labels are never used.
+Votes and patterns cover all rows.  The scorer alone is fitted on a bounded sample: at
+most ``sample`` distinct rows (a documented parameter), chosen and ordered by a hash of
+their key and text, each weighted by how often it is repeated.  Rows that copy one text
+are therefore drawn no more often than others, and one task holds ``sample`` rows at
+most.  True labels are never used.
 
 Null and empty texts abstain everywhere and get the prior as posterior; their score is
-that of a text without trigrams.  Repeated rows count as often as they occur; an empty
-table gives an empty result.
+that of a text without trigrams.  Whole texts are read, in slices of about 1 MB, a longer
+text alone.  Ties of the hash go by key and text.  Repeated rows count as often as they
+occur and get equal scores; an empty table gives an empty result.  ``classify`` returns
+its own columns only; ``filter_quality`` keeps all of the table's, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import slices
+from .runtime import lean, slices
 from .wordhash import text_buffer, words
 
 LABELLERS = ("symbols", "shouting", "exclaims", "tables", "repeats", "word_length", "variety", "common_words")
@@ -174,12 +178,14 @@ def features(column: pa.Array, bits: int) -> Iterator[np.ndarray]:
 EXTRA = 2
 
 
-def fit_scorer(columns: list[pa.Array], target: np.ndarray, bits: int, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (bias last) of a logistic scorer fitted to soft targets by Adam."""
+def fit_scorer(columns: list[pa.Array], target: np.ndarray, bits: int, times: np.ndarray | None = None, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (bias last) of a logistic scorer fitted to soft targets by Adam; ``times`` says how often each text counts."""
     dim = (1 << bits) + EXTRA
     w, m, s, step = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1), 0
     rows = [(i := np.flatnonzero(x), x[i]) for c in columns for x in features(c, bits)]
-    balance = np.where(target >= 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3)) if rows else target
+    times = np.ones(len(rows)) if times is None else times
+    share = float((target * times).sum() / max(times.sum(), 1))
+    balance = np.where(target >= 0.5, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) * times / max(times.mean(), 1) if rows else target
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 128)):
@@ -213,7 +219,7 @@ class QualityModel:
         return score(column, self.weights, self.bits)
 
 
-def fit(df: DataFrame, text: str = "text", sample: int = 6000, bits: int = 12) -> QualityModel:
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 6000, bits: int = 12) -> QualityModel:
     """Fits label model and scorer; ``sample`` bounds the rows that the scorer is fitted on."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,26 +230,36 @@ def fit(df: DataFrame, text: str = "text", sample: int = 6000, bits: int = 12) -
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], names=["pattern", "n"])
 
-    texts = df.select(F.col(text).alias("text"))
-    rows = texts.mapInArrow(vote, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    rows = df.select(F.col(text).alias("text")).mapInArrow(lean(vote), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     labels = LabelModel.fit(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float))
     total = sum(r[1] for r in rows)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, targets = [], []
+        texts, targets, times = [], [], []
         for batch in batches:
             for part in slices(batch, "text"):
                 targets.append(labels.posterior(patterns(votes(part.column("text")))))
                 texts.append(part.column("text"))
-        w = fit_scorer(texts, np.concatenate(targets) if targets else np.zeros(0), bits)
+                times.append(part.column("n").to_numpy())
+        w = fit_scorer(texts, np.concatenate(targets), bits, np.concatenate(times).astype(float)) if targets else fit_scorer([], np.zeros(0), bits)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
-    limit = int(2**31 * min(1.0, sample / max(total, 1)))
-    chosen = texts.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(2**31)) < limit)).repartition(1)
-    weights = chosen.mapInArrow(train, "weights binary").first()
+    weights = sample_rows(df, key, text, sample, total).select("text", "n").mapInArrow(lean(train), "weights binary").first()
     return QualityModel(labels, np.frombuffer(weights[0], dtype=np.float64) if weights else np.zeros((1 << bits) + EXTRA + 1), bits)
 
 
+def sample_rows(df: DataFrame, key: str, text: str, sample: int, total: int) -> DataFrame:
+    """(key, text, n): at most ``sample`` distinct rows with a text, by a hash of key and text; ``n`` says how often each occurs.
+
+    A threshold on the hash passes about ``sample`` of ``total`` rows; repeats of one row
+    are counted where they are read, and the limit makes the bound hold for any table.
+    """
+    limit = int(2**31 * min(1.0, sample / max(total, 1)))
+    drawn = F.pmod(F.xxhash64("key", "text"), F.lit(2**31))
+    some = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).where(drawn < limit)
+    return some.groupBy("key", "text").agg(F.count("*").alias("n")).orderBy(drawn, "key", "text").limit(sample)
+
+
 def classify(df: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, keep) of every row; keep where the score is at least one half."""
     kind = dict(df.dtypes)[key]
@@ -255,7 +271,7 @@ def classify(df: DataFrame, model: QualityModel, key: str = "doc_id", text: str
                 value = held.value.apply(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(value), pa.array(value >= 0.5)], names=[key, "score", "keep"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, keep boolean")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"`{key}` {kind}, score double, keep boolean")
 
 
 def filter_quality(df: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
@@ -267,4 +283,4 @@ def filter_quality(df: DataFrame, model: QualityModel, text: str = "text") -> Da
             for part in slices(batch, text):
                 yield part.filter(pa.array(held.value.apply(part.column(text)) >= 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
