@@ -8,13 +8,15 @@ features of both sentences: words, word beginnings and their counts.  Naming a
 group then does not move the score, and neutral mentions are not taken for toxic ones
 even where identity terms and toxic labels coincide in the sample.
 
-The model is fitted in one task on a bounded sample: at most ``sample`` labelled rows,
-chosen by a hash of their key.  Words that fewer than ``least`` sampled texts have get
+The model is fitted in one task on a bounded sample: at most ``sample`` distinct labelled
+rows, chosen by a hash of their key; a row that is repeated counts as often.  Words that fewer than ``least`` sampled texts have get
 no weight, unless they are features of identity terms.  Scoring sees words only; no label, language, source or key.
 
-Null and empty texts have no words and get the score of the bias.  Null labels are not
-used; a text with several labels is used with each.  Without usable labels, all scores
-are one half.
+Null and empty texts have no words and get the score of the bias.  Whole texts are read,
+in slices of about 1 MB, a longer text alone.  Null labels are not used; a text with
+several labels is used with each.  Ties of the hash go by key, label and text; repeated
+rows get equal scores.  Without usable labels, all scores are one half; an empty table
+gives an empty result.  Further columns are not read, and clash with none here.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import slices
+from .runtime import lean, slices
 from .wordhash import text_buffer, word_prefixes, words
 
 #: Identity terms by kind; swaps stay within a kind.
@@ -127,8 +129,8 @@ def counterfactuals(rows: list[np.ndarray], values: list[np.ndarray], labels: np
     return np.array(pair), np.array(bucket), np.array(change), n
 
 
-def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, bits: int, least: int = 8, penalty: float = 2.0, decay: float = 3e-4, rounds: int = 200) -> np.ndarray:
-    """Weights (bias last) by full-batch Adam on the logistic loss, weight decay and the counterfactual penalty."""
+def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, bits: int, times: np.ndarray | None = None, least: int = 8, penalty: float = 2.0, decay: float = 3e-4, rounds: int = 200) -> np.ndarray:
+    """Weights (bias last) by full-batch Adam on the logistic loss, weight decay and the counterfactual penalty; ``times`` says how often each row counts."""
     dim = 1 << bits
     w = np.zeros(dim + 1)
     if not len(rows):
@@ -148,7 +150,9 @@ def fit_weights(rows: list[np.ndarray], values: list[np.ndarray], labels: np.nda
     k = len(used)
     turned = place[bucket]
     v, m, s = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3)) / len(rows)
+    times = np.ones(len(rows)) if times is None else times
+    share = float((labels * times).sum() / times.sum())
+    weight = np.where(labels == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) * times / times.sum()
     for step in range(1, rounds + 1):
         z = np.bincount(at, weights=v[col] * val, minlength=len(rows)) + v[k]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
@@ -179,7 +183,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     """Weights fitted to at most ``sample`` labelled rows that are not held out."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, values, marks = [], [], []
+        rows, values, marks, times = [], [], [], []
         for batch in batches:
             for part in slices(batch, "text"):
                 text, bucket, value = features(part.column("text"), bits)
@@ -187,13 +191,14 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                 rows += np.split(bucket, ends)
                 values += np.split(value, ends)
                 marks.append(part.column("label").to_numpy())
-        w = fit_weights(rows, values, np.concatenate(marks).astype(float) if marks else np.zeros(0), bits)
+                times.append(part.column("n").to_numpy())
+        w = fit_weights(rows, values, np.concatenate(marks).astype(float), bits, np.concatenate(times).astype(float)) if marks else np.zeros((1 << bits) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     chosen = usable.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key", "label").limit(sample)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").repartition(1).sortWithinPartitions("key", "label", "text")
-    found = rows.select("text", "label").mapInArrow(train, "weights binary").first()
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").groupBy("key", "label", "text").agg(F.count("*").alias("n"))
+    found = rows.orderBy(F.xxhash64("key"), "key", "label", "text").limit(sample).select("text", "label", "n").mapInArrow(lean(train), "weights binary").first()
     return np.frombuffer(found[0], dtype=np.float64) if found else np.zeros((1 << bits) + 1)
 
 
@@ -209,5 +214,5 @@ def classify(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str
                 value = score(part.column("text"), held.value, bits)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[key, "score", "predicted"])
 
-    scored = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+    scored = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"`{key}` {kind}, score double, predicted int")
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", "predicted")
