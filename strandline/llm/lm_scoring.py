@@ -18,8 +18,10 @@ totals of what it sent, and the stored texts are scored with their slice's answe
 driver sees three sums.  A caller may still limit the ``vocabulary`` to the most frequent
 words (ties by hash); all others then fall into ``classes`` classes by hash.
 
-Null and empty texts have no words and score 0; repeated rows count as often as they
-occur; with an empty target set both models differ by smoothing alone.
+Null and empty texts have no words and score 0.  Whole texts are read, in slices of a few
+MB, a longer text alone.  Repeated rows count as often as they occur and get equal scores.
+With an empty target set both models differ by smoothing alone; an empty table gives an
+empty result.  Further columns are not read, and clash with none here.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import slices, stored
+from .runtime import lean, most_frequent, slices, stored
 from .wordhash import mix, text_buffer, words
 
 @dataclass
@@ -72,8 +74,9 @@ def fit_vocabulary(df: DataFrame, text: str = "text", vocabulary: int = 50_000,
                     size = 0
         yield flush()
 
-    top = df.select(F.col(text).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
-    return Vocabulary(np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)), classes)
+    counted = df.select(F.col(text).alias("text")).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = most_frequent(stored(counted, "word-counts"), vocabulary, "word")
+    return Vocabulary(np.sort(np.array([r[0] for r in top.select("word").collect()], dtype=np.int64).view(np.uint64)), classes)
 
 
 WORD, START, BIGRAM = 0, 1, 2
@@ -174,21 +177,31 @@ class Sums:
         return -np.log2(weight * paired + (1 - weight) * single)
 
 
-def slice_texts(df: DataFrame, is_target: str, key: str, text: str) -> DataFrame:
-    """(slice, rows): all rows (key, text, target) in stored slices of a few MB; ``is_target`` is a boolean column."""
+def slice_texts(df: DataFrame, is_target: str, key: str, text: str, most: int = 8 << 20) -> DataFrame:
+    """(slice, rows): all rows (key, text, target) in stored slices of about ``most`` bytes; ``is_target`` is a boolean column."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def put() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            rows = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sink.getvalue().to_pybytes()])], names=["slice", "rows"])
+
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sink.getvalue().to_pybytes()])], names=["slice", "rows"])
-                at += 1
+            for part in slices(batch, "text", most):
+                if held and size + part.nbytes > most:
+                    yield put()
+                    at, held, size = at + 1, [], 0
+                held.append(part)
+                size += part.nbytes
+        if held:
+            yield put()
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(is_target), F.lit(False)).alias("target"))
-    return stored(rows.mapInArrow(cut, "slice long, rows binary"), "slices")
+    return stored(rows.mapInArrow(lean(cut), "slice long, rows binary"), "slices")
 
 
 def rows_of(body: pa.BinaryScalar) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -228,7 +241,7 @@ def count_ngrams(sliced: DataFrame, vocabulary: Vocabulary | None, buckets: int)
         bodies = [packed(totals[part].T.copy()) for part in np.split(back, np.cumsum(sizes)[:-1])]
         return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "totals": pa.array(bodies, pa.binary()), **dict(zip(("words", "target", "background"), once))})
 
-    asked = sliced.mapInArrow(ask, "slice long, bucket long, asked binary, counts binary")
+    asked = sliced.mapInArrow(lean(ask), "slice long, bucket long, asked binary, counts binary")
     return stored(asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket long, totals binary, words long, target long, background long"), "ngrams")
 
 
