@@ -8,8 +8,15 @@ pack, shared ones in a chunk table.  A file is rebuilt from its ordered chunk li
 checked against its SHA-256, and decoded again for features.
 
 Only digests are shuffled for all rows.  Bytes are moved for shared chunks and for the
-packs of files that have some.  Equal texts are stored and rebuilt once.  Null texts
-count as empty; repeated rows and an empty table need no special case.
+packs of files that have some.  Equal texts are stored and rebuilt once; their features
+are stored before they are joined to the rows, so that Spark can split a text that many
+rows have.
+
+Null texts count as empty, and empty ones have one unit of spaces.  Whole texts are read,
+in slices of about 1 MB, a longer text alone.  Repeated rows each get a row; rows with one
+text get equal values.  Of equal chunks the one of the smallest text key and place is
+stored.  An empty table gives an empty result.  Further columns are not returned, and
+clash with none here.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import lean, slices, stored
 from .wordhash import mix
 
 UNIT = 192
@@ -90,7 +97,7 @@ def features(payload: bytes) -> str:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         seen, out = set(), {"text_key": [], "seq": [], "digest": [], "length": []}
         for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text")):
             if key in seen:
@@ -109,8 +116,8 @@ _PACKS = pa.schema([("kind", pa.string()), ("text_key", pa.binary()), ("digest",
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A pack with the chunks that only this file has, and a row for each shared chunk that it owns."""
-    for batch in batches:
-        rows, size = [], 0
+    for batch in (part for whole in batches for part in slices(whole, "text")):
+        rows = []
         for key, text, shared, owned in zip(*(batch.column(c) for c in ("text_key", "text", "shared", "owned"))):
             payload, n_bytes = payload_of(text.as_py())
             media = to_wav(payload)
@@ -121,10 +128,6 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append({"kind": "chunk", "text_key": None, "digest": hashlib.sha256(pieces[seq]).digest(), "parts": [pieces[seq]]})
             kept = [i for i in range(len(pieces)) if i not in elsewhere]
             rows.append({"kind": "part" if elsewhere else "whole", "text_key": key, "media_sha256": hashlib.sha256(media).hexdigest(), "n_bytes": n_bytes, "n_chunks": len(pieces), "seqs": kept, "parts": [pieces[i] for i in kept]})
-            size += len(media)
-            if size > 8 << 20:
-                yield pa.RecordBatch.from_pylist(rows, schema=_PACKS)
-                rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=_PACKS)
 
 
@@ -160,7 +163,7 @@ def store_media(df: DataFrame, key: str = "doc_id", text: str = "text", broadcas
     to the scan; more are joined by a shuffle.
     """
     docs = df.select(F.col(key).alias("key"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("text_key"), F.col(text).alias("text"))
-    index = stored(docs.select("text_key", "text").mapInArrow(_index, "text_key binary, seq int, digest binary, length int").dropDuplicates(["text_key", "seq"]), "media-index")
+    index = stored(docs.select("text_key", "text").mapInArrow(lean(_index), "text_key binary, seq int, digest binary, length int").dropDuplicates(["text_key", "seq"]), "media-index")
     rows = docs.select("key", "text_key")
     first = rows.groupBy("text_key").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     owner = index.groupBy("digest").agg(F.count("*").alias("uses"), F.min(F.struct("text_key", "seq")).alias("owner")).where("uses > 1").drop("uses")
@@ -170,22 +173,22 @@ def store_media(df: DataFrame, key: str = "doc_id", text: str = "text", broadcas
     small = plan.count() <= broadcast_rows
     planned = docs.join(F.broadcast(plan) if small else plan, "text_key", "left")
     once = planned.where(F.col("copies").isNull() | (F.col("copies") == 1) | F.col("key").eqNullSafe(F.col("first")))
-    packs = stored(once.select("text_key", "text", "shared", "owned").mapInArrow(_store, _ddl(_PACKS)), "media-packs", partition_by="kind")
+    packs = stored(once.select("text_key", "text", "shared", "owned").mapInArrow(lean(_store), _ddl(_PACKS)), "media-packs", partition_by="kind")
     return rows, packs, lists
 
 
 def read_media(packs: DataFrame, lists: DataFrame) -> DataFrame:
     """Rebuilds, verifies and describes every stored file: a row for each text_key."""
     names = ["text_key", "media_sha256", "n_bytes", "n_chunks", "seqs", "parts"]
-    whole = packs.where("kind = 'whole'").select(*names).mapInArrow(_rebuild, _ddl(_READ))
+    whole = packs.where("kind = 'whole'").select(*names).mapInArrow(lean(_rebuild), _ddl(_READ))
     shared = packs.where("kind = 'chunk'").select("digest", F.col("parts")[0].alias("part")).dropDuplicates(["digest"])
     others = lists.join(shared, "digest").groupBy("text_key").agg(F.collect_list(F.struct("seq", "part")).alias("others"))
-    part = packs.where("kind = 'part'").select(*names).join(others, "text_key").mapInArrow(_rebuild, _ddl(_READ))
+    part = packs.where("kind = 'part'").select(*names).join(others, "text_key").mapInArrow(lean(_rebuild), _ddl(_READ))
     return whole.unionByName(part).dropDuplicates(["text_key"])
 
 
 def media_features(df: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
     """Stores every text as media, reads it back and returns a row of digests and features for each input row."""
     rows, packs, lists = store_media(df, key, text, broadcast_rows)
-    read = read_media(packs, lists)
+    read = stored(read_media(packs, lists), "media-read")
     return rows.withColumnRenamed("key", key).join(read, "text_key").drop("text_key")
