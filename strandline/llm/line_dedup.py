@@ -8,13 +8,18 @@ wherever it stands, and two boundaries are never adjacent.  Chunks of two or mor
 that occur again anywhere are removed after their bytes have been compared with those
 of the first occurrence (by key, then by place), which stays.
 
-Only hashes and places are shuffled for all chunks.  Bytes move once with their
-documents and once for chunks whose hash repeats.
+Only hashes and places are shuffled for all chunks.  Texts are shuffled by key, once where
+the table has no other columns (both joins then read one exchange), else once for each of
+two joins; chunks whose hash repeats move once more, by hash and, where a hash has many
+uses, a salt.
 
 A chunk with one line (at a text's edges, or where a text has one line) is never
-removed.  Null texts stay null, empty ones empty; rows with the same key and text are
-one document and are treated alike; extra columns stay.  If two different chunks had
-one hash, those that differ from the first would stay whole.
+removed.  Null texts stay null, empty ones empty; whole texts are read.  Rows with the same
+key and text are one document and are treated alike; of equal chunks the first place, by
+key, then by a hash of the text, then by line, stays.  A null key is a key like any other
+and comes first.  Extra columns stay; one named as ``removed`` is replaced.  If two
+different chunks had one hash, those that differ from the first would stay whole.  An empty
+table gives an empty result.
 
 ``dedup_line_chunks`` (whose result its SQL fixes) so leaves most passages of a few
 lines, and a longer one's edges; ``dedup_passages`` takes these too, by pairs of lines.
@@ -48,31 +53,70 @@ def _with_chunks(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+#: Uses of one hash that go to one task.
+SHARE = 1000
+
+
+def _keyed(df: DataFrame, key: str, text: str, removed: str) -> DataFrame:
+    """Key, text and its hash as _ld_key, _ld_value and _ld_text, after all other columns but ``removed``."""
+    others = [F.col(c) for c in df.columns if c not in (key, text, removed)]
+    return df.select(*others, F.col(key).alias("_ld_key"), F.col(text).alias("_ld_value"), F.xxhash64(F.col(text)).alias("_ld_text"))
+
+
+def _named(out: DataFrame, df: DataFrame, key: str, text: str, removed: str) -> DataFrame:
+    """The columns of ``df`` in their order, then ``removed``."""
+    names = {key: "_ld_key", text: "_ld_value"}
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in df.columns if c != removed), removed)
+
+
+def _repeated(index: DataFrame, who: list[str]) -> DataFrame:
+    """Rows of ``index`` (who, at, hash) whose hash occurs again, with ``kept`` (the first place) and ``salts``, and a ``salt`` below it."""
+    again = index.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct(*who, "at")).alias("first")).where("uses > 1")
+    marked = index.join(again, "hash").withColumn("kept", F.struct(*who, "at") == F.col("first")).withColumn("salts", (F.floor(F.col("uses") / SHARE) + 1).cast("int"))
+    return marked.withColumn("salt", F.pmod(F.xxhash64(*who, "at"), F.col("salts")).cast("int")).drop("first", "uses")
+
+
+def _places(repeated: DataFrame, who: list[str]) -> DataFrame:
+    """The repeated places of each text, in one row."""
+    each = F.struct(*(c for c in repeated.columns if c not in who))
+    return repeated.groupBy(*who).agg(F.collect_list(each).alias("_ld_places")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_places")
+
+
+def _same() -> Column:
+    return F.col("_ld_key").eqNullSafe(F.col("_ld_pk")) & F.col("_ld_text").eqNullSafe(F.col("_ld_pt"))
+
+
+def _later(found: DataFrame, who: list[str]) -> DataFrame:
+    """Places of ``found`` (who, p, body) whose bytes are those of the first place of their hash.
+
+    A hash with many uses is dealt to several tasks by salt, each with a copy of the first
+    place's bytes; repeated rows of one document give one first place.
+    """
+    first = found.where("p.kept").select("p.hash", "p.salts", F.col("body").alias("first_body")).dropDuplicates(["hash"])
+    dealt = first.select("hash", "first_body", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rest = found.where("not p.kept").select(*who, "p.at", *(["p.n"] if "n" in found.schema["p"].dataType.names else []), "p.hash", "p.salt", "body")
+    return rest.join(dealt, ["hash", "salt"]).where(F.col("body") == F.col("first_body"))
+
+
 def dedup_line_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
-    """``df`` with repeated chunks taken out of ``text``; ``removed`` counts the lines taken out.
+    """``df`` with repeated chunks taken out of ``text``; ``removed`` counts the lines taken out, and replaces a column of that name.
 
     Temporary columns are named with a leading ``_ld_``.
     """
-    keyed = df.withColumn("_ld_key", F.col(key)).withColumn("_ld_text", F.xxhash64(F.col(text)))
+    keyed = _keyed(df, key, text, removed)
     who = ["_ld_key", "_ld_text"]
-    cut = _with_chunks(keyed.select(*who, text), text).select(*who, F.explode_outer("_c").alias("_c")).where("_c.n > 1")
+    cut = _with_chunks(keyed.select(*who, "_ld_value"), "_ld_value").select(*who, F.explode_outer("_c").alias("_c")).where("_c.n > 1")
     index = stored(cut.select(*who, F.col("_c.at").alias("at"), F.col("_c.n").alias("n"), F.xxhash64("_c.body", F.reverse("_c.body")).alias("hash")).distinct(), "line-chunks")
-    again = index.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct(*who, "at")).alias("first")).where("uses > 1").drop("uses")
-    repeated = index.join(again, "hash").withColumn("kept", F.struct(*who, "at") == F.col("first")).drop("first")
-    places = repeated.groupBy(*who).agg(F.collect_list(F.struct("at", "n", "hash", "kept")).alias("_ld_places")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_places")
-
-    def same(k: str, t: str) -> Column:
-        return F.col("_ld_key").eqNullSafe(F.col(k)) & F.col("_ld_text").eqNullSafe(F.col(t))
-
-    body = F.array_join(F.slice("_lines", F.col("p.at") + 1, F.col("p.n")), "\n")
-    found = keyed.select(*who, text).join(places, same("_ld_pk", "_ld_pt")).withColumn("_lines", F.split(F.col(text), "\n", -1)).select(*who, "_lines", F.explode("_ld_places").alias("p")).select(*who, "p.at", "p.n", "p.hash", "p.kept", body.alias("body"))
-    first = found.where("kept").select("hash", F.col("body").alias("first_body"))
-    out = found.where("not kept").join(first, "hash").where(F.col("body") == F.col("first_body"))
-    gone = out.groupBy(*who).agg(F.collect_set(F.struct("at", "n")).alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
-    joined = keyed.join(gone, same("_ld_pk", "_ld_pt"), "left")
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.exists("_ld_gone", lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
+    places = _places(_repeated(index, who), who)
+    body = F.array_join(F.slice("_ld_lines", F.col("p.at") + 1, F.col("p.n")), "\n")
+    split = keyed.join(places, _same()).withColumn("_ld_lines", F.split("_ld_value", "\n", -1))
+    found = split.select(*who, "_ld_lines", F.explode("_ld_places").alias("p")).select(*who, "p", body.alias("body"))
+    gone = _later(found, who).groupBy(*who).agg(F.collect_set(F.struct("at", "n")).alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
+    joined = keyed.join(gone, _same(), "left")
+    left = F.filter(F.split("_ld_value", "\n", -1), lambda _, i: ~F.exists("_ld_gone", lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
     count = F.coalesce(F.aggregate("_ld_gone", F.lit(0), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
-    return joined.withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn(removed, count).drop("_ld_key", "_ld_text", "_ld_gone", "_ld_pk", "_ld_pt")
+    out = joined.withColumn("_ld_value", F.when(F.col("_ld_gone").isNull(), F.col("_ld_value")).otherwise(F.array_join(left, "\n"))).withColumn(removed, count)
+    return _named(out, df, key, text, removed)
 
 
 def _with_pairs(df: DataFrame, text: str) -> DataFrame:
@@ -95,25 +139,22 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", remov
     are cut.  It takes all that ``dedup_line_chunks`` takes but chunks of blank lines.  A
     line's first place in the corpus always stays, and single lines are never removed.
     """
-    keyed = df.withColumn("_ld_key", F.col(key)).withColumn("_ld_text", F.xxhash64(F.col(text)))
+    keyed = _keyed(df, key, text, removed)
     who = ["_ld_key", "_ld_text"]
-    cut = _with_pairs(keyed.select(*who, text), text).select(*who, F.explode_outer("_c").alias("_c")).where("_c.at IS NOT NULL")
+    cut = _with_pairs(keyed.select(*who, "_ld_value"), "_ld_value").select(*who, F.explode_outer("_c").alias("_c")).where("_c.at IS NOT NULL")
     index = stored(cut.select(*who, "_c.at", "_c.hash").distinct(), "line-pairs")
-    again = index.groupBy("hash").agg(F.count("*").alias("uses"), F.min(F.struct(*who, "at")).alias("first")).where("uses > 1").drop("uses")
-    repeated = index.join(again, "hash").withColumn("kept", F.struct(*who, "at") == F.col("first")).drop("first")
-    places = repeated.groupBy(*who).agg(F.collect_list(F.struct("at", "hash", "kept")).alias("_ld_places")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_places")
-    same = F.col("_ld_key").eqNullSafe(F.col("_ld_pk")) & F.col("_ld_text").eqNullSafe(F.col("_ld_pt"))
-    body = F.concat_ws("\n", F.get("_lines", F.col("p.at")), F.get("_lines", F.col("p.at") + 1))
-    found = keyed.select(*who, text).join(places, same).withColumn("_lines", F.split(F.col(text), "\n", -1)).select(*who, "_lines", F.explode("_ld_places").alias("p")).select(*who, "p.at", "p.hash", "p.kept", body.alias("body"))
-    first = found.where("kept").select("hash", F.col("body").alias("first_body")).dropDuplicates(["hash"])
-    out = found.where("not kept").join(first, "hash").where(F.col("body") == F.col("first_body"))
-    gone = out.groupBy(*who).agg(F.collect_set("at").alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
+    places = _places(_repeated(index, who), who)
+    body = F.concat_ws("\n", F.get("_ld_lines", F.col("p.at")), F.get("_ld_lines", F.col("p.at") + 1))
+    split = keyed.join(places, _same()).withColumn("_ld_lines", F.split("_ld_value", "\n", -1))
+    found = split.select(*who, "_ld_lines", F.explode("_ld_places").alias("p")).select(*who, "p", body.alias("body"))
+    gone = _later(found, who).groupBy(*who).agg(F.collect_set("at").alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
     # array_except looks places up in a hash set, so a text costs time in proportion to its lines.
-    joined = keyed.join(gone, same, "left").withColumn("_ld_lines", F.split(F.col(text), "\n", -1))
+    joined = keyed.join(gone, _same(), "left").withColumn("_ld_lines", F.split("_ld_value", "\n", -1))
     joined = joined.withColumn("_ld_stay", F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.concat("_ld_gone", F.transform("_ld_gone", lambda i: i + 1))))
     left = F.array_join(F.transform("_ld_stay", lambda i: F.get("_ld_lines", i)), "\n")
     count = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_stay")).cast("long")
-    return joined.withColumn(removed, count).withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(left)).drop("_ld_key", "_ld_text", "_ld_gone", "_ld_pk", "_ld_pt", "_ld_lines", "_ld_stay")
+    out = joined.withColumn(removed, count).withColumn("_ld_value", F.when(F.col("_ld_gone").isNull(), F.col("_ld_value")).otherwise(left))
+    return _named(out, df, key, text, removed)
 
 
 #: DuckDB SQL of the same as ``dedup_line_chunks``, for (doc_id, text, n_removed).
