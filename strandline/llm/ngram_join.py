@@ -7,23 +7,33 @@ are skipped, the others are merged, and a text that the merge finds at least ``T
 times is looked up in the long ones by binary search.  Here, on Spark:
 
 1. Texts with equal sets are one class; only classes take part.
-2. Shingles are ordered by the length of their lists (a bounded table of the longest,
-   counted over all texts, then by hash).  Only a text's ``n - T + ell`` shortest
-   lists are built, so a partner occurs at least ``ell`` times among them.
+2. Shingles are ordered by the length of their lists: counted over all tasks in a share of
+   the classes, chosen by hash, so that the order is the same however texts are dealt to
+   tasks; the most frequent ones, a bounded table, are sent to the scan, and the rest go
+   by hash.  Only a text's ``n - T + ell`` shortest lists are built, so a partner occurs
+   at least ``ell`` times among them.
 3. A sort by shingle puts each list together; one streaming pass with bounded memory
    merges it.  Lists up to ``short`` members give pairs, which are counted; those with
-   ``ell`` occurrences are looked up in the partner's sorted set by binary search.
-4. Longer lists are dealt out in blocks of members, and each pair of blocks is searched
-   by itself with DivideSkip over its own inverted lists, returning only links that
-   join separate trees.  A third of all rows in one list is so many block pairs, not
+   ``ell`` occurrences are looked up in the partner's sorted set by binary search.  Lists
+   that are known to be very long are dealt to many tasks.
+4. Longer lists are searched family by family.  Members of a large family are first
+   compared with the one that most of its lists share; those it does not link are searched
+   against the whole family.  Either is dealt out in blocks, and each pair of blocks is
+   searched by itself with DivideSkip over its own inverted lists, returning only links
+   that join separate trees.  A third of all rows in one list is so many block pairs, not
    one task.
 5. Connected components of the links, then of the documents.
 
-Shingles stand as 64-bit hashes.  Nothing is capped or sampled: the table in 2 only
-orders lists, and any order gives the same links.
+Shingles and classes stand as 64-bit hashes, which are not compared: among 10**9 classes
+two that differ agree with a chance of 3 %.  Nothing is capped or sampled: the table in 2
+only orders lists, and any order gives the same links.
 
-Null, empty and wordless texts have an empty set and no link; repeated rows share a
-class; an empty table gives an empty result.
+Null, empty and wordless texts have an empty set and no link.  Whole texts are read, in
+slices of about 1 MB, a longer text alone.  Repeated rows, and rows with one key and
+different texts, are rows of their own: each gets its class's component.  Null keys are
+passed over where the smallest key is sought; a component with null keys alone has none.
+Further columns are not returned, and clash with none here; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -38,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .runtime import slices, stored
+from .runtime import lean, most_frequent, slices, stored
 from .wordhash import mix, shingle_sets
 
 
@@ -68,32 +78,37 @@ def class_keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([mix(np.array([x.sum(dtype=np.uint64) * np.uint64(31) + np.bitwise_xor.reduce(mix(x)) + np.uint64(len(x))]))[0] if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64)
 
 
+#: One class in so many is counted to order lists; a task remembers so many classes.
+RATE, REMEMBERED = 16, 200_000
+
+
 def _scan(k: int, key_type: pa.DataType):
-    """Rows (key, class, set size) of documents, and of shingles that a task has seen in several classes."""
+    """Rows (key, class, set size) of documents, and (shingle, occurrences) of the classes that order lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
-        def frequent() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            several = counts > 1
-            n = int(several.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, key_type), pa.array(values[several].view(np.int64)), pa.array(counts[several])], names=["kind", "key", "id", "n"])
+        def counted() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            n = len(values)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, key_type), pa.array(values.view(np.int64)), pa.array(counts)], names=["kind", "key", "id", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 ids, counts = class_keys(sets), np.array([len(x) for x in sets], dtype=np.int64)
                 for x, c in zip(sets, ids.tolist()):
-                    if len(x) and c not in seen:
+                    if len(x) and c % RATE == 0 and c not in seen:
                         seen.add(c)
                         held.append(x)
                         size += len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), part.column("key"), pa.array(ids), pa.array(counts)], names=["kind", "key", "id", "n"])
-                if size > 4_000_000:
-                    yield frequent()
+                if size > 1_000_000:
+                    yield counted()
                     held, size = [], 0
-        yield frequent()
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+        yield counted()
 
     return run
 
@@ -101,41 +116,60 @@ def _scan(k: int, key_type: pa.DataType):
 class Order:
     """Ranks shingles by the logarithm of their list's length, then by hash."""
 
-    def __init__(self, longest: list[tuple[int, int]]):
-        known = np.array(longest, dtype=np.int64).reshape(-1, 2)
+    def __init__(self, longest: np.ndarray):
+        known = longest.reshape(-1, 2)  # shingle, occurrences
         known = known[np.argsort(known[:, 0].view(np.uint64))] if len(known) else known
-        self.values, self.levels = known[:, 0].copy().view(np.uint64), np.log2(np.maximum(known[:, 1], 1)).astype(np.int8) + 1
+        self.values, self.lengths = known[:, 0].copy().view(np.uint64), known[:, 1]
 
-    def levels_of(self, x: np.ndarray) -> np.ndarray:
+    def lengths_of(self, x: np.ndarray) -> np.ndarray:
+        """The counted occurrences of each shingle, 0 where it is not among the longest."""
         if not len(self.values):
-            return np.zeros(len(x), dtype=np.int8)
+            return np.zeros(len(x), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
-        return np.where(self.values[at] == x, self.levels[at], np.int8(0))
+        return np.where(self.values[at] == x, self.lengths[at], 0)
+
+    def shortest(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, their counted occurrences) of the ``count`` shortest lists."""
+        lengths = self.lengths_of(x)
+        if not lengths.any():
+            return x[:count], lengths[:count]
+        levels = np.where(lengths > 0, np.log2(np.maximum(lengths, 1)).astype(np.int8) + 1, 0)
+        chosen = np.argsort(levels, kind="stable")[:count]
+        return x[chosen], lengths[chosen]
 
-    def shortest(self, x: np.ndarray, count: int) -> np.ndarray:
-        levels = self.levels_of(x)
-        if not levels.any():
-            return x[:count]
-        return x[np.argsort(levels, kind="stable")[:count]]
+
+#: Members of a very long list that go to one task.
+SHARE = 4096
 
 
 def _post(k: int, num: int, den: int, held):
-    """Rows (shingle, class, set size) of the merged lists; a task posts a class once."""
+    """Rows (shingle, part, class, set size) of the merged lists; a task posts a class once as far as it remembers.
+
+    A list that must be expected to be longer than ``SHARE`` has parts 1 and up, any other one part 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = Order(held.value), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out, ids, sizes = [], [], []
+                out, many, ids, sizes = [], [], [], []
                 sets = shingle_sets(part.column("text"), k)
                 for x, c in zip(sets, class_keys(sets).tolist()):
                     if len(x) and c not in seen:
                         seen.add(c)
-                        out.append(order.shortest(x, merged_lists(len(x), num, den)))
+                        chosen, lengths = order.shortest(x, merged_lists(len(x), num, den))
+                        out.append(chosen)
+                        many.append(lengths * RATE // SHARE)
                         ids.append(c)
                         sizes.append(len(x))
                 lengths = [len(x) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["shingle", "id", "n"])
+                shingle = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                parts = np.concatenate(many) if many else np.zeros(0, np.int64)
+                members = np.repeat(np.array(ids, np.int64), lengths)
+                parts = np.where(parts > 0, (members >> 8) % np.maximum(parts + 1, 1) + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(parts), pa.array(members), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["shingle", "part", "id", "n"])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
 
     return run
 
@@ -152,7 +186,7 @@ def _merge(num: int, den: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict[tuple[int, int, int, int], int] = {}
         members: list[tuple[int, int, int]] = []
-        token, own, long = None, [], False
+        token, own, long = None, [], False  # a list, or a part of one
 
         def close() -> None:
             if not long and len(own) > 1:
@@ -169,9 +203,9 @@ def _merge(num: int, den: int, short: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])], names=["kind", *_PAIR, "shingle"])
 
         for batch in batches:
-            tokens = batch.column("shingle").to_numpy()
+            tokens, parts = batch.column("shingle").to_numpy(), batch.column("part").to_numpy()
             # rows whose shingle stands alone in this batch and is not at its edge need no look
-            same = np.zeros(len(tokens), dtype=bool)
+            same = parts > 0
             if len(tokens):
                 equal = tokens[1:] == tokens[:-1]
                 same[1:] |= equal
@@ -179,10 +213,10 @@ def _merge(num: int, den: int, short: int):
                 same[0] = same[-1] = True
             look = np.flatnonzero(same)
             ids, sizes = batch.column("id").to_numpy()[look].tolist(), batch.column("n").to_numpy()[look].tolist()
-            for t, c, n in zip(tokens[look].tolist(), ids, sizes):
-                if t != token:
+            for t, p, c, n in zip(tokens[look].tolist(), parts[look].tolist(), ids, sizes):
+                if (t, p) != token:
                     close()
-                    token, own, long = t, [], False
+                    token, own, long = (t, p), [], p > 0
                 if own and own[-1][0] == c:
                     continue
                 if long:
@@ -193,10 +227,8 @@ def _merge(num: int, den: int, short: int):
                     if len(own) > short:
                         members += [(t, *x) for x in own]
                         long = True
-                if len(members) > 50_000:
+                if len(members) > 50_000 or len(pairs) > 100_000:
                     yield flush()
-            if len(pairs) > 200_000:
-                yield flush()
         close()
         yield flush()
 
@@ -289,26 +321,57 @@ def _block(num: int, den: int):
 
 
 def _sets(k: int):
+    """(class, set) of texts; rows whose text is of another class than the one asked for are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), k)], pa.binary())], names=["id", "set"])
+                sets = shingle_sets(part.column("text"), k)
+                own = np.flatnonzero(class_keys(sets) == part.column("id").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(own)), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["id", "set"])
 
     return run
 
 
-def _block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """Members of long lists, repeated for each pair of blocks that theirs takes part in: (head, p, q, side, id).
+def _families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(head, id: members of long lists; head, pivot, size of each family of two or more).
 
-    Lists with one smallest member are mostly those of one family, so they are searched
-    together: their members once, not once for each list.
+    Lists with one smallest member, the head, are mostly those of one family, so they are
+    searched together: their members once, not once for each list.  The pivot is the
+    member that most of the lists have.
     """
     heads = members.groupBy("shingle").agg(F.min("id").alias("head"))
-    family = members.join(heads, "shingle").select("head", "id").distinct()
-    sizes = family.groupBy("head").agg(F.count("*").alias("size")).where("size > 1").select("head", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    family = stored(members.join(heads, "shingle").groupBy("head", "id").agg(F.count("*").alias("lists")), "families")
+    sizes = family.groupBy("head").agg(F.max(F.struct("lists", "id"))["id"].alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    return family.select("head", "id"), stored(sizes, "family-sizes")
+
+
+def _star(family: DataFrame, large: DataFrame, sets: DataFrame, num: int, den: int, share: int = 1024) -> DataFrame:
+    """Links (a: pivot, b) of large families; a pivot's set is repeated for every ``share`` members."""
+    salt = lambda size: F.floor(size / share).cast("int")
+    pivots = large.join(sets.withColumnRenamed("id", "pivot").withColumnRenamed("set", "set_a"), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), salt(F.col("size")))))
+    dealt = family.join(large, "head").where("id <> pivot").select("head", "id", F.pmod(F.hash("id"), salt(F.col("size")) + 1).alias("salt"))
+    both = dealt.join(sets.withColumnRenamed("set", "set_b"), "id").join(pivots.select("head", "salt", "pivot", "set_a"), ["head", "salt"])
+    return both.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "set_a", "set_b").mapInArrow(lean(_verify(num, den)), "a long, b long")
+
+
+def _small_blocks(family: DataFrame, small: DataFrame, block: int) -> DataFrame:
+    """Members repeated for each pair of blocks of their family: (head, p, q, side, id)."""
+    sizes = small.select("head", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     dealt = family.join(sizes, "head").withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("head", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
+    return other.select("head", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.lit(False).alias("large"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
+
+
+def _large_blocks(family: DataFrame, large: DataFrame, star: DataFrame, block: int) -> DataFrame:
+    """Members that the pivot does not link (side 0) against all of their family (side 1), by pairs of blocks."""
+    linked_ = star.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    every = family.join(large, "head")
+    rest = stored(every.where("id <> pivot").join(linked_, ["pivot", "id"], "left_anti").select("head", "id"), "unlinked")
+    counts = rest.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("rows")).join(large.select("head", F.ceil(F.col("size") / block).cast("int").alias("columns")), "head")
+    deal = lambda df, own, other: df.join(counts, "head").withColumn("own", F.pmod(F.hash("id"), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    asked = deal(rest, "rows", "columns").select("head", F.col("own").alias("p"), F.col("other").alias("q"), F.lit(True).alias("large"), F.lit(0).alias("side"), "id")
+    return asked.unionByName(deal(family, "columns", "rows").select("head", F.col("other").alias("p"), F.col("own").alias("q"), F.lit(True).alias("large"), F.lit(1).alias("side"), "id"))
 
 
 def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, short: int = 32, block: int = 256, longest: int = 200_000, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
@@ -320,25 +383,32 @@ def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den:
     """
     kind = dict(df.dtypes)[key]
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    scan = stored(docs.mapInArrow(_scan(k, to_arrow_type(docs.schema["key"].dataType)), f"kind byte, key {kind}, id long, n long"), "shingle-scan")
+    scan = stored(docs.mapInArrow(lean(_scan(k, to_arrow_type(docs.schema["key"].dataType))), f"kind byte, key {kind}, id long, n long"), "shingle-scan")
     documents = scan.where("kind = 0").select("key", "id", F.col("n").alias("n_shingles"))
-    frequent = scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(longest).collect()
-    held = df.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in frequent])
+    frequent = stored(scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 1"), "frequent")
+    held = df.sparkSession.sparkContext.broadcast(np.array(most_frequent(frequent, longest, "id").collect(), dtype=np.int64))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = docs.mapInArrow(_post(k, num, den, held), "shingle long, id long, n int")
-    merged = stored(posted.repartition(partitions, "shingle").sortWithinPartitions("shingle", "id").mapInArrow(_merge(num, den, short), "kind byte, a long, b long, na int, nb int, times long, shingle long"), "merged-lists")
+    posted = docs.mapInArrow(lean(_post(k, num, den, held)), "shingle long, part int, id long, n int")
+    merged = stored(posted.repartition(partitions, "shingle", "part").sortWithinPartitions("shingle", "part", "id").mapInArrow(lean(_merge(num, den, short)), "kind byte, a long, b long, na int, nb int, times long, shingle long"), "merged-lists")
     ell = lambda c: F.expr(f"least(2 + {c} div 20, ({num} * {c} + {den} - 1) div {den})")
     pairs = merged.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times")).where(F.col("times") >= F.least(ell("na"), ell("nb"))).select("a", "b")
     members = merged.where("kind = 1").select("shingle", F.col("a").alias("id"))
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(members.select("id")).distinct()
-    classes = documents.where("n_shingles > 0").groupBy("id").agg(F.min("key").alias("key"))
+    classes = documents.where("n_shingles > 0").groupBy("id").agg(F.min("key").alias("class_key"))
     chosen = stored(classes.join(wanted, "id"), "chosen-classes")
     few = chosen.count() <= broadcast_rows
-    sets = stored(docs.join(F.broadcast(chosen) if few else chosen, "key").select("id", "text").mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]), "shingle-sets")
-    checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").mapInArrow(_verify(num, den), "a long, b long")
-    blocks = _block_pairs(members, block).join(sets, "id").groupBy("head", "p", "q").applyInArrow(_block(num, den), "a long, b long")
-    return checked.unionByName(blocks).distinct(), documents
+    found = docs.join(F.broadcast(chosen) if few else chosen, F.col("key").eqNullSafe(F.col("class_key"))).select("id", "text")
+    sets = stored(found.mapInArrow(lean(_sets(k)), "id long, set binary").dropDuplicates(["id"]), "shingle-sets")
+    checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").mapInArrow(lean(_verify(num, den)), "a long, b long")
+    family, sizes = _families(members)
+    small, large = (sizes.where(F.col("size") <= 2 * block), sizes.where(F.col("size") > 2 * block))
+    blocks = _small_blocks(family, small, block)
+    if not large.isEmpty():
+        star = stored(_star(family, large, sets, num, den), "star")
+        blocks, checked = blocks.unionByName(_large_blocks(family, large, star, block)), checked.unionByName(star)
+    searched = blocks.join(sets, "id").groupBy("head", "p", "q", "large").applyInArrow(_block(num, den), "a long, b long")
+    return checked.unionByName(searched).distinct(), documents
 
 
 def near_duplicate_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, **more) -> DataFrame:
