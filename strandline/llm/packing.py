@@ -10,10 +10,16 @@ Sizes are whole numbers up to the sequence length, so documents of one size, and
 sequences with one content, are interchangeable.  A round therefore works on classes
 (size, count): at most ``capacity`` of them, however many documents there are.  The
 sweep over classes yields runs of ranks, and every document finds its place from its
-rank in its size by one join with those runs, a table bounded by the number of classes
-swept.  Only ranking shuffles rows, and rows are a few numbers; no text moves.
-
-Null and empty texts have the closing id only.  Ties between equal sizes go by key.
+rank in its size by one join with those runs.  A sweep of a size splits one class of gaps
+at most and opens one, so classes and runs are bounded by the capacity, whatever the
+number of documents; the runs are broadcast up to ``broadcast_rows``, else joined by a
+shuffle.  Only ranking shuffles rows, and rows are a few numbers; no text moves.
+
+Null and empty texts have the closing id only.  Whole texts are encoded, in slices of
+about 1 MB, a longer text alone.  Ties between equal sizes go by a hash of key, piece and
+ids, then by these; repeated rows are documents of their own, each packed, and a null key
+is a key like any other.  An empty table gives an empty result.  Further columns are not
+returned, and clash with none here.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import slices, stored
+from .runtime import lean, slices, stored
 from .wordhash import range_hashes, text_buffer
 
 _SPACE = 0x20
@@ -67,73 +73,57 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary for whole batches.
 
     Texts are cut at safe places (:func:`segment_starts`); each distinct segment of a
-    batch, known by a 64-bit hash of its bytes, is encoded once and remembered (at most
-    ``most`` of them), and the batch's ids are gathered with numpy.  With ``ranks``, the
-    same vocabulary as a rank file, new segments are encoded by a faster library with
-    the same ids (segments that hold a special token's string are not).
+    batch is encoded once and remembered (at most ``most`` of them), and the batch's ids
+    are gathered with numpy.  A 64-bit hash finds a segment, its bytes confirm it; a batch
+    in which two segments share a hash is encoded text by text.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = None
-        if ranks:
-            import base64
-
-            import tiktoken
-            from public_tokenizers import PATTERN
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
-
-    def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each segment) of new segments."""
-        texts = [s.decode("utf-8") for s in segments]
-        if self.fast and not any(s in t for s in self.special for t in texts):
-            found = [self.fast.encode_ordinary(t) for t in texts]
-        else:
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.keys, self.ids, self.bytes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.known = np.zeros((0, 4), np.int64)  # of each key: first id, ids, first byte, bytes
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each text)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for ids in found for i in ids), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
+    def _learn(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        body = raw.tobytes()
+        ids, counts = self._encode([body[a : a + n].decode("utf-8") for a, n in zip(starts.tolist(), lengths.tolist())])
+        new = np.stack([len(self.ids) + np.cumsum(counts) - counts, counts, len(self.bytes) + np.cumsum(lengths) - lengths, lengths], axis=1)
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, _gather(raw, starts, lengths)])
+        merged, known = np.concatenate([self.keys, keys]), np.concatenate([self.known, new])
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.known = merged[order], known[order]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the total)."""
         raw, offsets = text_buffer(column)
         starts = segment_starts(raw, offsets)
-        stops = np.append(starts[1:], len(raw)) if len(starts) else starts
-        keys, first, inverse = np.unique(range_hashes(raw, starts, stops), return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = where < len(self.keys)
-        known[inside] = self.keys[where[inside]] == keys[inside]
-        if not known.all():
-            if len(self.keys) + np.count_nonzero(~known) > self.most:
-                self._forget()
-                known[:] = False
-            new = first[~known]
-            body = raw.tobytes()
-            ids, counts = self._encode([body[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist())])
-            at = len(self.ids) + np.cumsum(counts) - counts
-            self.ids = np.concatenate([self.ids, ids])
-            merged = np.concatenate([self.keys, keys[~known]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.at, self.count = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, counts])[order]
-            where = np.searchsorted(self.keys, keys)
-        at, count = self.at[where][inverse], self.count[where][inverse]
-        total = np.concatenate([[0], np.cumsum(count)])
-        return _gather(self.ids, at, count), total[np.searchsorted(starts, offsets)]
+        lengths = np.diff(np.append(starts, len(raw)))
+        keys, first, inverse = np.unique(range_hashes(raw, starts, starts + lengths), return_index=True, return_inverse=True)
+        is_known = np.isin(keys, self.keys, assume_unique=True)
+        if len(self.keys) + np.count_nonzero(~is_known) > self.most:
+            self._forget()
+            is_known[:] = False
+        if not is_known.all():
+            new = first[~is_known]
+            self._learn(keys[~is_known], raw, starts[new], lengths[new])
+        id_at, n_ids, byte_at, n_bytes = self.known[np.searchsorted(self.keys, keys)].T
+        if not np.array_equal(n_bytes[inverse], lengths) or not np.array_equal(_gather(self.bytes, byte_at[inverse], lengths), raw):
+            ids, counts = self._encode([t or "" for t in column.to_pylist()])
+            return ids, np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(n_ids[inverse])])
+        return _gather(self.ids, id_at[inverse], n_ids[inverse]), total[np.searchsorted(starts, offsets)]
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -145,7 +135,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nd
 _PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def tokenised_pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = 2048, closing: int = 0) -> DataFrame:
+def tokenised_pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, closing: int = 0) -> DataFrame:
     """(key, piece, start, length, ids_crc32): a text's ids and ``closing``, cut from its end into full pieces.
 
     The first piece of a longer document is the remainder, the others are full.
@@ -154,7 +144,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, ke
     end = np.array([closing], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, ranks)
+        encoder = Encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, first = encoder.encode(part.column("text"))
@@ -172,7 +162,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, ke
                         crc.append(zlib.crc32(own[4 * x : 4 * y]))
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at, pa.int64())), *(pa.array(x, f.type) for x, f in zip((piece, start, length, crc), _PIECES))], names=[key, *_PIECES.names])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def sweep(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -231,7 +221,23 @@ def ranked(pieces: DataFrame, order: list[str], buckets: int) -> DataFrame:
     return numbered.join(F.broadcast(offsets), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_at")).drop("_bucket", "_at", "_before")
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int = 2048, buckets: int = 32) -> DataFrame:
+def run_table(sizes: dict[int, int], runs: list[tuple[int, int, int, int, int]]) -> pa.Table:
+    """(length, width, bucket, low, high, first, at): the runs by buckets of ``width`` ranks.
+
+    A size's ranks are cut into as many buckets as it has runs, so a run lies in two
+    buckets on average and a rank meets few runs in its bucket.
+    """
+    size, low, count, first, offset = (np.array(c, dtype=np.int64) for c in zip(*runs)) if runs else (np.zeros(0, np.int64),) * 5
+    kinds, inverse, many = np.unique(size, return_inverse=True, return_counts=True)
+    width = (-(-np.array([sizes[k] for k in kinds.tolist()], dtype=np.int64) // many))[inverse] if runs else size
+    begin, end = low // np.maximum(width, 1), (low + count - 1) // np.maximum(width, 1)
+    n = end - begin + 1
+    which = np.repeat(np.arange(len(size)), n)
+    bucket = begin[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return pa.table({"length": size[which], "width": width[which], "bucket": bucket, "low": low[which], "high": (low + count)[which], "first": first[which], "at": offset[which]})
+
+
+def pack(pieces: DataFrame, order: list[str], capacity: int = 2048, buckets: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to every piece.
 
     The driver gets one count for each length (at most ``capacity`` rows) and sends back
@@ -240,23 +246,15 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = 2048, buckets: int
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("a piece is empty or longer than a sequence")
-    per_size: dict[int, list[tuple[int, int, int]]] = {}
-    for size, rank, _, first, offset in sweep(counts, capacity):
-        per_size.setdefault(size, []).append((rank, first, offset))
-    spark = pieces.sparkSession
-    rows = [(size, [r[0] for r in runs], [r[1] for r in runs], [r[2] for r in runs]) for size, runs in per_size.items()]
-    plan = spark.createDataFrame(rows, "length long, ranks array<long>, firsts array<long>, offsets array<long>")
-    placed = ranked(pieces, order, buckets).join(F.broadcast(plan), "length")
-    at = F.expr("cast(aggregate(ranks, 0, (n, r) -> n + if(r <= _rank, 1, 0)) as int)")
-    return (
-        placed.withColumn("_run", at)
-        .withColumn("sequence_id", F.expr("element_at(firsts, _run) + _rank - element_at(ranks, _run)"))
-        .withColumn("offset", F.expr("element_at(offsets, _run)"))
-        .drop("ranks", "firsts", "offsets", "_rank", "_run")
-    )
-
-
-def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
+    runs = run_table(counts, sweep(counts, capacity))
+    plan = pieces.sparkSession.createDataFrame(runs)
+    widths = plan.select("length", "width").distinct()
+    placed = ranked(pieces, order, buckets).join(F.broadcast(widths), "length").withColumn("bucket", F.expr("_rank div width")).drop("width")
+    found = placed.join(F.broadcast(plan.drop("width")) if runs.num_rows <= broadcast_rows else plan.drop("width").hint("merge"), ["length", "bucket"]).where("_rank >= low and _rank < high")
+    return found.withColumn("sequence_id", F.expr("first + _rank - low")).withColumnRenamed("at", "offset").drop("bucket", "low", "high", "first", "_rank")
+
+
+def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    pieces = stored(tokenised_pieces(df, tokenizer, ranks, key, text, capacity), "pieces")
+    pieces = stored(tokenised_pieces(df, tokenizer, key, text, capacity), "pieces")
     return pack(pieces, [key, "piece", "ids_crc32"], capacity).select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
