@@ -46,14 +46,17 @@ _ASCII_WORD[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = False
 #: Bytes that stand before the last byte of a white-space character in UTF-8.
 _BEFORE_LAST = np.zeros(256, dtype=bool)
 _BEFORE_LAST[[0xC2, 0x80, 0x81, 0x9A]] = True
+_MARK, _LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_MARK[list(b",.;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def segment_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where texts may be cut without changing their ids: at each text, and at each single space between characters that are not white space.
+    """Where texts may be cut without changing their ids: at each text, at each single space between characters that are not white space, and at punctuation behind a letter.
 
     No pattern of a byte-level pre-tokenizer goes from a character that is not white
-    space on to a space, so what follows such a space is encoded by itself.  Where bytes
-    leave a doubt there is no cut.
+    space on to a space, nor from a letter on to a mark, so what follows is encoded by
+    itself.  Where bytes leave a doubt there is no cut.
     """
     cut = np.zeros(len(raw) + 1, dtype=bool)
     if len(raw) > 2:
@@ -65,6 +68,7 @@ def segment_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         cut[edges - 1] = False  # the last byte of a text; its neighbour is in another text
         inner = edges[raw[edges] == _SPACE]
         cut[inner] = False
+        cut[1:-1] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut[: len(raw)])
 
@@ -78,7 +82,7 @@ class Encoder:
     in which two segments share a hash is encoded text by text.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
