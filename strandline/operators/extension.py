@@ -1,108 +1,136 @@
 """Extension and fusion of window blocks along an alignment.
 
-A block grows column by column to both sides while its running score, an average
-weighted by length, holds a share of the centre's own running score.  Where gaps pile
-up (one row, or half of all cells over several columns) it falls back to the first
-column of the gapped stretch.  A block that reaches its predecessor with the same rows
-is fused with it.  Sequential inside an alignment, parallel over alignments.
+A block takes columns beyond either end while its mean score keeps ``share`` per cent of the
+centre's own.  Both means have one width, so the test compares two running totals, and the
+first column that fails it is found on arrays of prefix sums.  Likewise gaps pile up where,
+since the last column without one, one of the rows has ``PATIENCE`` of them, or ``PATIENCE``
+columns have half of all cells gapped; the block then ends with the first column of that
+stretch.  A block that reaches the one before it, with the same rows, is fused with it.
+
+Blocks of one alignment wait for each other's ends; alignments are independent.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.sequence import GAP_EXTEND, GAP_OPEN, HOXD70
 
 SCHEMA = "aln_id long, start long, end long, rows string, score double, score_100 double"
-PATIENCE = 5
+#: Columns or cells that a stretch of gaps may have, and the share of the centre's score in per cent.
+PATIENCE, SHARE = 5, 98.0
 
+_GAP = ord("-")
+_SCORES = np.zeros((256, 256))
+for _pair, _value in HOXD70.items():
+    _SCORES[ord(_pair[0]), ord(_pair[1])] = _SCORES[ord(_pair[1]), ord(_pair[0])] = _value
 
-@dataclass
-class Block:
+
+class Block(NamedTuple):
     start: int
     end: int
     rows: tuple[int, ...]
     score: float
     score_100: float
 
-
-def _cell(x: str, y: str) -> int:
-    return HOXD70.get(min(x, y) + max(x, y), 0)
-
-
-def grow(seqs: dict[int, str], block: Block, step: int, limit: int, share: float) -> Block:
-    """Extends ``block`` leftwards (step -1) or rightwards (step 1) up to column ``limit`` (exclusive end or inclusive start)."""
-    edge = block.start if step < 0 else block.end - 1
-    closed = {r: seqs[r][edge] != "-" for r in block.rows}
-    stretch, gaps, per_row, safe = 0, 0, dict.fromkeys(block.rows, 0), block
-    at = block.start - 1 if step < 0 else block.end
-    while (at >= limit) if step < 0 else (at < limit):
-        centre, cost = seqs[0][at], 0.0
-        for r in block.rows:
-            base = seqs[r][at]
-            if base == "-" or centre == "-":
-                cost += GAP_OPEN if closed[r] else GAP_EXTEND
-                closed[r] = False
-            else:
-                cost += _cell(centre, base)
-                closed[r] = True
-        width = block.end - block.start
-        new, old = 100.0 / (width + 1), width / (width + 1)
-        score = cost / len(block.rows) * new + block.score * old
-        score_100 = _cell(centre, centre) * new + block.score_100 * old
-        if score < score_100 * share / 100.0:
-            break
-        block = replace(block, start=min(block.start, at), end=max(block.end, at + 1), score=score, score_100=score_100)
-        gapped = [r for r in block.rows if seqs[r][at] == "-"]
-        if not gapped:
-            stretch, gaps, per_row = 0, 0, dict.fromkeys(block.rows, 0)
-        else:
-            safe = block if stretch == 0 else safe
-            stretch, gaps = stretch + 1, gaps + len(gapped)
-            for r in gapped:
-                per_row[r] += 1
-            if max(per_row.values()) >= PATIENCE or (stretch >= PATIENCE and gaps >= stretch * len(block.rows) // 2):
-                return safe
-        at += step
-    return block
-
-
-def fuse(before: Block, block: Block) -> Block:
-    """Both as one, scores weighted by length."""
-    a, b = before.end - before.start, block.end - block.start
-    mean = lambda x, y: (x * a + y * b) / (a + b)
-    return Block(before.start, block.end, before.rows, mean(before.score, block.score), mean(before.score_100, block.score_100))
-
-
-def extend_all(seqs: dict[int, str], blocks: list[Block], share: float = 98.0) -> list[Block]:
-    """Extends the blocks in order; none grows into its predecessor or its successor's place."""
-    columns = len(seqs[0])
-    out: list[Block] = []
-    for i, block in enumerate(blocks):
-        limit = out[-1].end if out else 0
-        block = grow(seqs, block, -1, limit, share)
-        if out and block.start == limit and block.rows == out[-1].rows:
-            block = fuse(out.pop(), block)
-        until = blocks[i + 1].start if i + 1 < len(blocks) else columns
-        out.append(grow(seqs, block, 1, until, share))
-    return out
-
-
-def extend_blocks(aln: DataFrame, merged: DataFrame, width: int = 100, share: float = 98.0) -> DataFrame:
+    @property
+    def width(self) -> int:
+        return self.end - self.start
+
+
+class Sheet:
+    """The letters of an alignment; row 0 is the centre."""
+
+    def __init__(self, seqs: dict[int, str]):
+        self.place = {r: i for i, r in enumerate(seqs)}
+        self.letters = np.stack([np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8) for s in seqs.values()])
+        self.centre = self.letters[self.place[0]]
+
+    @property
+    def columns(self) -> int:
+        return self.letters.shape[1]
+
+    def rows(self, rows: tuple[int, ...], columns: np.ndarray) -> np.ndarray:
+        return self.letters[np.ix_([self.place[r] for r in rows], columns)]
+
+
+def column_costs(open_: np.ndarray, broken: np.ndarray, edge: np.ndarray, paired: np.ndarray) -> np.ndarray:
+    """Mean score of each column: a substitution, or a gap that opens or goes on from the column before (``edge`` for the first)."""
+    before = np.column_stack([edge, broken[:, :-1]])
+    return np.where(broken, np.where(before, GAP_EXTEND, GAP_OPEN), paired).mean(axis=0)
+
+
+def gap_pile(open_: np.ndarray) -> tuple[int, int] | None:
+    """(column, first column of its stretch) where gaps first pile up."""
+    n = open_.shape[1]
+    some = open_.any(axis=0)
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(some, -1, at)) + 1  # behind the last column without a gap
+    sums = np.concatenate([np.zeros((len(open_), 1), dtype=np.int64), np.cumsum(open_, axis=1)], axis=1)
+    inside = sums[:, 1:] - sums[:, first * some]
+    long = at - first + 1
+    piled = np.flatnonzero(some & ((inside.max(axis=0) >= PATIENCE) | ((long >= PATIENCE) & (inside.sum(axis=0) >= long * len(open_) // 2))))
+    return (int(piled[0]), int(first[piled[0]])) if len(piled) else None
+
+
+def extended(sheet: Sheet, block: Block, columns: np.ndarray, share: float = SHARE) -> Block:
+    """``block`` with as many of ``columns``, listed from its end outwards, as it takes."""
+    if not len(columns):
+        return block
+    step = 1 if columns[0] >= block.end else -1
+    own, centre = sheet.rows(block.rows, columns), sheet.centre[columns]
+    open_ = own == _GAP
+    edge = sheet.rows(block.rows, columns[:1] - step)[:, 0] == _GAP
+    costs = column_costs(open_, open_ | (centre == _GAP), edge, _SCORES[centre[None, :], own])
+    have = block.score * block.width + 100 * np.cumsum(costs)
+    full = block.score_100 * block.width + 100 * np.cumsum(_SCORES[centre, centre])
+    fails = np.flatnonzero(have < full * share / 100)
+    n = int(fails[0]) if len(fails) else len(columns)
+    pile = gap_pile(open_[:, :n]) if n else None
+    if pile:
+        n = pile[1] + 1
+    if not n:
+        return block
+    width = block.width + n
+    ends = {"end": block.end + n} if step > 0 else {"start": block.start - n}
+    return block._replace(**ends, score=float(have[n - 1] / width), score_100=float(full[n - 1] / width))
+
+
+def fused(before: Block, after: Block) -> Block:
+    """Both as one, scores weighted by width."""
+    weights = (before.width, after.width)
+    mean = lambda *x: float(np.average(x, weights=weights))
+    return Block(before.start, after.end, before.rows, mean(before.score, after.score), mean(before.score_100, after.score_100))
+
+
+def extend_all(sheet: Sheet, blocks: list[Block], share: float = SHARE) -> list[Block]:
+    """The blocks, in order, each extended to the end of the one before and the start of the next."""
+    done: list[Block] = []
+    for block, until in zip(blocks, [*(b.start for b in blocks[1:]), sheet.columns]):
+        since = done[-1].end if done else 0
+        block = extended(sheet, block, np.arange(block.start - 1, since - 1, -1), share)
+        if done and (block.start, block.rows) == (since, done[-1].rows):
+            block = fused(done.pop(), block)
+        done.append(extended(sheet, block, np.arange(block.end, until), share))
+    return done
+
+
+def extend_blocks(aln: DataFrame, merged: DataFrame, width: int = 100, share: float = SHARE) -> DataFrame:
     """aln_id, start, end, rows, score, score_100 of extended and fused blocks of merged windows."""
 
     def run(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         seqs = dict(zip(rows.row_idx, rows.seq))
         if found.empty or 0 not in seqs:
             return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        columns = len(seqs[0])
-        blocks = [
-            Block(int(b.first_win) * width, min(columns, int(b.first_win + b.n_win) * width), tuple(int(r) for r in b["rows"].split(",")), float(b.score), float(b.score_100))
-            for _, b in found.sort_values("first_win").iterrows()
-        ]
-        return pd.DataFrame([(key[0], b.start, b.end, ",".join(map(str, b.rows)), b.score, b.score_100) for b in extend_all(seqs, blocks, share)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        sheet = Sheet(seqs)
+        found = found.sort_values("first_win")
+        ends = np.minimum((found.first_win + found.n_win) * width, sheet.columns)
+        sets = (tuple(map(int, r.split(","))) for r in found["rows"])
+        blocks = list(map(Block, found.first_win * width, ends, sets, found.score, found.score_100))
+        return pd.DataFrame([(key[0], int(b.start), int(b.end), ",".join(map(str, b.rows)), b.score, b.score_100) for b in extend_all(sheet, blocks, share)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return aln.groupBy("aln_id").cogroup(merged.groupBy("aln_id")).applyInPandas(run, SCHEMA)

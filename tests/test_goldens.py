@@ -1,5 +1,7 @@
 """Literal cases of each operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,18 +144,62 @@ def test_aligned_samples(spark):
 
 
 def test_extension_grows_and_fuses():
-    seqs = {0: "ACGT" * 60, 1: "ACGT" * 60}
-    own = sum(extension._cell(c, c) for c in seqs[0][:100])
+    sheet = extension.Sheet({0: "ACGT" * 60, 1: "ACGT" * 60})
+    own = sum(S.HOXD70[c + c] for c in "ACGT" * 25)
     first, second = extension.Block(20, 120, (0, 1), own, own), extension.Block(130, 220, (0, 1), own, own)
-    got = extension.extend_all(seqs, [first, second])
+    got = extension.extend_all(sheet, [first, second])
     assert [(b.start, b.end) for b in got] == [(0, 240)]
 
 
 def test_extension_stops_at_gaps():
-    seqs = {0: "A" * 100 + "C" * 40, 1: "A" * 100 + "-" * 40}
+    sheet = extension.Sheet({0: "A" * 100 + "C" * 40, 1: "A" * 100 + "-" * 40})
     block = extension.Block(0, 100, (0, 1), 9100.0, 9100.0)
-    got = extension.grow(seqs, block, 1, 140, 1.0)
-    assert 100 <= got.end <= 101
+    assert extension.extended(sheet, block, extension.np.arange(100, 140), 1.0).end == 101
+
+
+def taken_by_definition(seqs, block, columns, share):
+    """The largest number of columns whose every prefix holds the share, cut back to the first column of a piled stretch."""
+    step = 1 if columns and columns[0] >= block.end else -1
+
+    def cost(c):
+        total = 0
+        for r in block.rows:
+            edge = block.end - 1 if step > 0 else block.start
+            gap = "-" in (seqs[r][c], seqs[0][c])
+            before = seqs[r][edge] == "-" if c - step == edge else "-" in (seqs[r][c - step], seqs[0][c - step])
+            pair = "".join(sorted(seqs[r][c] + seqs[0][c]))
+            total += (S.GAP_EXTEND if before else S.GAP_OPEN) if gap else S.HOXD70.get(pair, 0)
+        return total / len(block.rows)
+
+    for n in range(1, len(columns) + 1):
+        width = block.width + n
+        mean = (block.score * block.width + 100 * sum(cost(c) for c in columns[:n])) / width
+        full = (block.score_100 * block.width + 100 * sum(S.HOXD70.get(seqs[0][c] * 2, 0) for c in columns[:n])) / width
+        if mean < full * share / 100:
+            return n - 1
+        stretch = []
+        for c in reversed(columns[:n]):
+            if not any(seqs[r][c] == "-" for r in block.rows):
+                break
+            stretch.append(c)
+        gaps = [sum(seqs[r][c] == "-" for c in stretch) for r in block.rows]
+        if stretch and (max(gaps) >= 5 or (len(stretch) >= 5 and sum(gaps) >= len(stretch) * len(block.rows) // 2)):
+            return n - len(stretch) + 1
+    return len(columns)
+
+
+def test_extension_equals_its_definition():
+    draw = random.Random(4)
+    for _ in range(150):
+        n, k = draw.randint(20, 60), draw.randint(1, 4)
+        base = [draw.choice("ACGT") for _ in range(n)]
+        seqs = {r: "".join("-" if draw.random() < 0.2 else c if draw.random() < 0.9 else draw.choice("ACGTN") for c in base) for r in range(k)}
+        start = draw.randint(0, n - 2)
+        block = extension.Block(start, draw.randint(start + 1, n - 1), tuple(sorted(draw.sample(range(k), draw.randint(1, k)))), draw.uniform(-500, 9000), 9000.0)
+        share = draw.choice([98.0, 10.0, -100.0])
+        for columns in (list(range(block.end, n)), list(range(block.start - 1, -1, -1))):
+            got = extension.extended(extension.Sheet(seqs), block, extension.np.array(columns, dtype=int), share)
+            assert got.width - block.width == taken_by_definition(seqs, block, columns, share)
 
 
 def test_histogram_of_one_value(spark):
