@@ -7,7 +7,7 @@ base and a gap are ``gap1`` as N and a gap are, and N-N, N-base and gap-gap are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SYMBOLS = {"a": "A", "c": "C", "g": "G", "t": "T", "n": "N", "gap": "-"}
@@ -40,3 +40,9 @@ def sp_scores(cells: DataFrame, match: int = 1, mismatch: int = -1, gap1: int =
     sums = classes.groupBy("aln_id").agg(F.sum(total).alias("sp"), F.max(pairs).alias("pairs"), F.count("*").alias("columns")).where("pairs > 0")
     average = F.col("sp").cast("double") / F.col("pairs")
     return sums.select("aln_id", "sp", average.alias("avg_sp"), (average / F.col("columns")).alias("scaled_sp"))
+
+
+def occurrence_table(cells: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, base, n_a .. n_gap: how often each symbol occurs up to and at each place of a sequence."""
+    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select(*keys, "pos", "base", *(F.sum((F.col("base") == s).cast("long")).over(so_far).alias(f"n_{k}") for k, s in SYMBOLS.items()))

@@ -9,21 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
+from ..storage import stored
 
-CHUNK = 1000
+CHUNK = 64
 
 
 def kmers(seqs: DataFrame, k: int, *keys: str, every: int = 1) -> DataFrame:
     """keys, pos, kmer; sequences shorter than k have none.
 
-    Sequences are cut into overlapping chunks first: neither a long sequence nor a copy
-    of it for each k-mer is ever in one row.
+    Sequences are cut once into short chunks, each with the first letters of the next:
+    a place inside a string is found by walking to it, so k-mers are cut from chunks.
     """
-    step = CHUNK - CHUNK % every
-    begins = F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(step)))
-    chunks = seqs.where(F.length("seq") >= k).select(*keys, "seq", begins.alias("_b")).select(*keys, "_b", F.expr(f"substr(seq, _b + 1, {step + k - 1})").alias("_s"))
+    step = max(CHUNK, k - 1)
+    step += -step % every
+    parts = F.regexp_extract_all("seq", F.lit("(?s).{1,%d}" % step), F.lit(0))
+    cut = seqs.where(F.length("seq") >= k).select(*keys, parts.alias("_p"))
+    chunks = F.transform("_p", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_p", i + 1), 1, k - 1), F.lit(""))))
+    rows = cut.select(*keys, F.posexplode(chunks).alias("_c", "_s")).where(F.length("_s") >= k)
     inside = F.transform(F.sequence(F.lit(0), F.length("_s") - k, F.lit(every)), lambda i: F.substring("_s", i + 1, F.lit(k)))
-    return chunks.select(*keys, "_b", F.posexplode(inside).alias("_i", "kmer")).select(*keys, (F.col("_b") + F.col("_i") * every).cast("long").alias("pos"), "kmer")
+    return rows.select(*keys, "_c", F.posexplode(inside).alias("_i", "kmer")).select(*keys, (F.col("_c").cast("long") * step + F.col("_i") * every).alias("pos"), "kmer")
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
@@ -56,34 +61,55 @@ def unique_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
 
 
 
+def longest_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
+    """ref_idx, query_idx, query_pos, length, ref_pos: the longest exact match from each place of a query, a row for each of its places.
 
-def prefix_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
-    """ref_idx, query_idx, query_pos, length, ref_positions: the longest exact match from each place of a query, with all its places.
-
-    Neighbouring k-mer hits on one diagonal are one match: a hit's length follows from
-    the end of its island, without comparing bases.
+    Queries with a ref_idx are compared with that reference, others with all.  Neighbouring
+    k-mer hits on one diagonal are one match: a hit's length follows from the end of its
+    island, without comparing bases.
     """
     index = kmers(reference, least, "ref_idx").withColumnRenamed("pos", "ref_pos")
-    hits = kmers(queries, least, "ref_idx", "query_idx").withColumnRenamed("pos", "query_pos").join(index, ["ref_idx", "kmer"]).drop("kmer")
+    known = [c for c in ("ref_idx", "query_idx") if c in queries.columns]
+    hits = kmers(queries, least, *known).withColumnRenamed("pos", "query_pos").join(index, [*(c for c in known if c == "ref_idx"), "kmer"]).drop("kmer")
     diagonal = ["ref_idx", "query_idx", F.col("ref_pos") - F.col("query_pos")]
     island = F.col("query_pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("query_pos"))
-    grown = hits.withColumn("island", island).withColumn("length", F.max("query_pos").over(Window.partitionBy(*diagonal, "island")) - F.col("query_pos") + least)
+    grown = hits.withColumn("island", island).withColumn("length", (F.max("query_pos").over(Window.partitionBy(*diagonal, "island")) - F.col("query_pos") + least).cast("long"))
     best = Window.partitionBy("ref_idx", "query_idx", "query_pos")
-    longest = grown.withColumn("most", F.max("length").over(best)).where("length = most")
-    return longest.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").cast("long").alias("length"), F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))
+    return grown.withColumn("most", F.max("length").over(best)).where("length = most").select("ref_idx", "query_idx", "query_pos", "length", "ref_pos")
+
+
+def prefix_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
+    """ref_idx, query_idx, query_pos, length, ref_positions: the longest match from each place, with all its places in one row."""
+    found = longest_matches(queries, reference, least)
+    return found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))
 
 
 def greedy_seeds(queries: DataFrame, reference: DataFrame, least: int = 15, unique: bool = False) -> DataFrame:
     """ref_idx, query_idx, ref_pos, query_pos, length: from the left, the longest match at a place, then on behind it.
 
     With ``unique``, places whose longest match occurs several times are stepped over.
+    Only places and lengths are walked, in one row for each query; hits are joined to the
+    places that are taken.
     """
-    found = prefix_matches(queries, reference, least)
+    found = stored(longest_matches(queries, reference, least), "matches")
+    places = found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.count("*").alias("n"))
     if unique:
-        found = found.where(F.size("ref_positions") == 1)
-    ordered = found.groupBy("ref_idx", "query_idx").agg(F.array_sort(F.collect_list(F.struct("query_pos", "length", "ref_positions"))).alias("m"))
-    kind = "struct<next: bigint, taken: array<struct<query_pos: bigint, length: bigint, ref_positions: array<bigint>>>>"
+        places = places.where("n = 1")
+    ordered = places.groupBy("ref_idx", "query_idx").agg(F.array_sort(F.collect_list(F.struct("query_pos", "length"))).alias("m"))
+    kind = "struct<next: bigint, taken: array<bigint>>"
     start = F.expr(f"cast(named_struct('next', 0L, 'taken', array()) as {kind})")
-    fold = F.aggregate("m", start, lambda s, x: F.when(x["query_pos"] < s["next"], s).otherwise(F.struct((x["query_pos"] + x["length"]).alias("next"), F.concat(s["taken"], F.array(x)).alias("taken")).cast(kind)))
-    rows = ordered.select("ref_idx", "query_idx", F.explode(fold["taken"]).alias("t"))
-    return rows.select("ref_idx", "query_idx", F.explode("t.ref_positions").alias("ref_pos"), "t.query_pos", "t.length")
+    fold = F.aggregate("m", start, lambda s, x: F.when(x["query_pos"] < s["next"], s).otherwise(F.struct((x["query_pos"] + x["length"]).alias("next"), F.concat(s["taken"], F.array(x["query_pos"])).alias("taken")).cast(kind)))
+    taken = ordered.select("ref_idx", "query_idx", F.explode(fold["taken"]).alias("query_pos"))
+    return found.join(taken, ["ref_idx", "query_idx", "query_pos"]).select("ref_idx", "query_idx", "ref_pos", "query_pos", "length")
+
+
+def map_reads(reads: DataFrame, references: DataFrame, least: int = 15, unique: bool = False) -> DataFrame:
+    """read_idx, strand, ref_idx, ref_pos, query_pos, length: greedy seeds of reads (read_idx, seq) on all references (ref_idx, seq).
+
+    A read is searched as it is (strand +) and as its reverse complement (strand -), whose
+    own coordinates query_pos then counts.
+    """
+    forward = reads.select("read_idx", F.lit("+").alias("strand"), "seq")
+    both = forward.unionByName(reads.select("read_idx", F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))
+    seeds = greedy_seeds(both.select(F.struct("read_idx", "strand").alias("query_idx"), "seq"), references, least, unique)
+    return seeds.select("query_idx.read_idx", "query_idx.strand", "ref_idx", "ref_pos", "query_pos", "length")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def length_stats(seqs: DataFrame) -> DataFrame:
     n = F.length("seq")
@@ -12,14 +14,18 @@ def length_stats(seqs: DataFrame) -> DataFrame:
 
 
 def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """bin, n: equal widths from least to most; the last bin is closed; one value alone gets a range of one around it."""
-    v = F.col(column).cast("double")
-    span = values.agg(F.min(v).alias("low"), F.max(v).alias("high")).select(
+    """bin, n: equal widths from least to most; the last bin is closed; one value alone gets a range of one around it.
+
+    Values are counted and stored once, then read for the range and for the bins.
+    """
+    v = F.col("v")
+    counted = stored(values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("_n")), "values")
+    span = counted.agg(F.min(v).alias("low"), F.max(v).alias("high")).select(
         F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
     )
     at = F.least(F.floor((v - F.col("low")) / ((F.col("high") - F.col("low")) / bins)), F.lit(bins - 1))
-    return values.where(F.col(column).isNotNull()).crossJoin(F.broadcast(span)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(span)).groupBy(at.cast("long").alias("bin")).agg(F.sum("_n").alias("n"))
 
 
 def equal_letters(a: Column, b: Column) -> Column:
@@ -89,7 +95,3 @@ def best_segment(a: Column, b: Column, match: int = 1, mismatch: int = -2, gap:
         ).cast(state)
 
     return F.aggregate(step, first, add)
-
-
-def running(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

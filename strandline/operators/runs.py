@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 KEYS = ("aln_id", "row_idx")
 
 
@@ -40,6 +42,23 @@ def run_offsets(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return runs.withColumn("before", F.coalesce(F.sum("number").over(earlier), F.lit(0)))
 
 
+def offsets_at(points: DataFrame, runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, start, before: how many symbols of ``runs`` stand before or at each place (keys, start) of the coordinates without them.
+
+    A running sum over runs and places together; no run is compared with every place.
+    """
+    both = runs.select(*keys, F.col("idx").alias("start"), F.lit(0).alias("_kind"), "number").unionByName(points.select(*keys, "start", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("number")))
+    so_far = Window.partitionBy(*keys).orderBy("start", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("before", F.sum("number").over(so_far)).where("_kind = 1").select(*keys, "start", "before")
+
+
+def with_runs(rows: DataFrame, symbol: str = "N", keys: tuple[str, ...] = KEYS, name: str = "n_runs") -> DataFrame:
+    """Adds an ordered array<struct<idx, number>> of the runs of ``symbol`` in ``seq``; empty where there is none."""
+    own = symbol_runs(rows, symbol, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "number"))).alias(name))
+    none = F.expr("cast(array() as array<struct<idx: bigint, number: bigint>>)")
+    return rows.join(own, list(keys), "left").withColumn(name, F.coalesce(name, none))
+
+
 def insert_runs(cores: DataFrame, runs: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, seq: cores (keys, seq) with their runs put back; the inverse of removing a symbol."""
     back = runs.select(*keys, F.col("idx").alias("start"), F.lit(0).cast("long").alias("len"), F.repeat(F.lit(symbol), F.col("number").cast("int")).alias("str_value"))
@@ -64,12 +83,30 @@ def restore_unknown(aligned: DataFrame, n_runs: DataFrame) -> DataFrame:
 
     At a gap run the first gaps become N; where a row has more N than gaps, the alignment
     is widened for all rows by the largest excess, N before gaps.  Rows stay equally long,
-    and without gaps each is its original sequence.
+    and without gaps each is its original sequence.  Rows and needs are stored once, as
+    several steps read them.
     """
-    needs = merge_needs(symbol_runs(aligned, "-"), n_runs)
+    aligned = stored(aligned.select("aln_id", "row_idx", "seq"), "aligned")
+    needs = stored(merge_needs(symbol_runs(aligned, "-"), n_runs), "needs")
     fill = needs.where("used > 0").select("aln_id", "row_idx", (F.col("c") - F.col("g")).alias("start"), F.col("used").alias("len"), F.repeat(F.lit("N"), F.col("used").cast("int")).alias("str_value"))
     own = needs.where("left > 0").select("aln_id", "row_idx", "c", "left")
     wide = aligned.select("aln_id", "row_idx").join(merge_widths(needs), "aln_id").join(own, ["aln_id", "row_idx", "c"], "left")
     left = F.coalesce("left", F.lit(0))
     widen = wide.select("aln_id", "row_idx", F.col("c").alias("start"), F.lit(0).cast("long").alias("len"), F.concat(F.repeat(F.lit("N"), left.cast("int")), F.repeat(F.lit("-"), (F.col("w") - left).cast("int"))).alias("str_value"))
     return splice(splice(aligned, fill), widen)  # an insertion may fall inside a filled gap, so fill first
+
+
+def restore_named(aligned: DataFrame, records: DataFrame) -> DataFrame:
+    """aln_id, row_idx, name, seq: aligned rows (aln_id, name, seq without N) with the unknown bases of their records back.
+
+    ``records`` (aln_id, seq_idx, name, length, idx, number) are run records as the parser
+    gives them; rows find theirs by name (the first of one name) and come in the records'
+    order.  A row without a record, or with another ungapped length, is an error.
+    """
+    heads = records.groupBy("aln_id", "name").agg(F.min("seq_idx").alias("row_idx"), F.min_by("length", "seq_idx").alias("_length"))
+    joined = aligned.join(heads, ["aln_id", "name"], "left")
+    problem = F.when(F.col("row_idx").isNull(), F.concat(F.lit("no record of sequence "), "name")).when(F.length(F.replace("seq", F.lit("-"), F.lit(""))) != F.col("_length"), F.concat(F.lit("the record has another length than sequence "), "name"))
+    rows = stored(joined.withColumn("seq", F.when(problem.isNull(), F.col("seq")).otherwise(F.raise_error(problem))).select("aln_id", "row_idx", "name", "seq"), "named-rows")
+    runs = records.where("idx is not null").select("aln_id", F.col("seq_idx").alias("row_idx"), "idx", "number")
+    restored = restore_unknown(rows, runs.join(rows.select("aln_id", "row_idx"), ["aln_id", "row_idx"], "left_semi"))
+    return restored.join(rows.select("aln_id", "row_idx", "name"), ["aln_id", "row_idx"]).select("aln_id", "row_idx", "name", "seq")

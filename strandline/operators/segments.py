@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import INVERSION
+from ..storage import stored
 from .pairs import best_segment
+from .runs import offsets_at, restore_unknown
 
 
 def pair_cells(pairs: DataFrame) -> DataFrame:
@@ -46,6 +48,14 @@ def exact_match_blocks(cells: DataFrame, least: int = 1) -> DataFrame:
     return islands.groupBy("aln_id", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).where(F.col("length") >= least).select("aln_id", "start", "length")
 
 
+def exact_match_rows(cells: DataFrame, least: int = 1) -> DataFrame:
+    """aln_id, start, length, row_idx, row_start: exact-match runs with each row's own start, its bases before the run."""
+    blocks = exact_match_blocks(cells, least)
+    before = F.sum((F.col("base") != "-").cast("long")).over(Window.partitionBy("aln_id", "row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    placed = cells.select("aln_id", "row_idx", F.col("pos").alias("start"), before.alias("row_start"))
+    return blocks.join(placed, ["aln_id", "start"]).select("aln_id", "start", "length", "row_idx", "row_start")
+
+
 def orientation_majority(blocks: DataFrame) -> DataFrame:
     """other, same_majority: whether strictly more than half of a pair's blocks lie on the same strand."""
     return blocks.groupBy("other").agg((F.count_if(F.col("a_fwd") == F.col("b_fwd")) * 2 > F.count("*")).alias("same_majority"))
@@ -78,6 +88,33 @@ def inverted_blocks(aligned: DataFrame, least: int = 1) -> DataFrame:
     return placed.select("aln_id", "row_idx", "a_start", "a_len", (F.col("_n") - F.col("_b") - F.col("b_len")).alias("b_start"), "b_len", "score")
 
 
+def side_blocks(pairs: DataFrame, n_runs: DataFrame, least: int = 1) -> DataFrame:
+    """aln_id, row_idx, a_start, a_len, a, b_start, b_len, b: maximum-scoring parts of side blocks, with their unknown bases.
+
+    ``pairs`` has aln_id, row_idx, a and b (a stretch of the centre aligned with the reverse
+    complement of a stretch of the row, both without N) and the stretches a_start, a_end,
+    b_start, b_end (half-open, in coordinates without N).  ``n_runs`` has the runs of
+    centre (row 0) and rows.  Runs inside a stretch are put back into the alignment, those
+    up to its start are added to it; then rows are trimmed as in :func:`inverted_blocks`.
+    """
+    block = F.struct("aln_id", "row_idx").alias("aln_id")
+    both = pairs.select(block, F.explode(F.array(F.struct(F.lit(0).cast("long").alias("row_idx"), F.col("a").alias("seq")), F.struct(F.lit(1).cast("long").alias("row_idx"), F.col("b").alias("seq")))).alias("r")).select("aln_id", "r.*")
+    centre, others = n_runs.where("row_idx = 0").drop("row_idx"), n_runs.where("row_idx > 0")
+    in_a = pairs.join(centre, "aln_id").where("idx > a_start and idx < a_end").select(block, F.lit(0).cast("long").alias("row_idx"), (F.col("idx") - F.col("a_start")).alias("idx"), "number")
+    in_b = pairs.join(others, ["aln_id", "row_idx"]).where("idx > b_start and idx < b_end").select(block, F.lit(1).cast("long").alias("row_idx"), (F.col("b_end") - F.col("idx")).alias("idx"), "number")
+    restored = stored(restore_unknown(both, in_a.unionByName(in_b)), "side-blocks")
+    rows = restored.groupBy("aln_id").agg(F.max(F.when(F.col("row_idx") == 0, F.col("seq"))).alias("a"), F.max(F.when(F.col("row_idx") == 1, F.col("seq"))).alias("b"))
+    rows = rows.select("aln_id.*", "a", "b")
+    place = inverted_blocks(rows, least).drop("score").withColumnsRenamed({"a_start": "_a", "b_start": "_b"})
+    cut = lambda c: F.expr(f"substr({c}, cast(m.start + 1 as int), cast(m.stop - m.start + 1 as int))").alias(c)
+    shown = rows.withColumn("m", best_segment(F.col("a"), F.col("b"), *INVERSION)).where("m.score is not null").select("aln_id", "row_idx", cut("a"), cut("b"))
+    keys = ["aln_id", "row_idx"]
+    before_a = offsets_at(pairs.select("aln_id", F.col("a_start").alias("start")).distinct(), centre, ("aln_id",)).withColumnsRenamed({"start": "a_start", "before": "_na"})
+    before_b = offsets_at(pairs.select(*keys, F.col("b_start").alias("start")).distinct(), others).withColumnsRenamed({"start": "b_start", "before": "_nb"})
+    found = place.join(shown, keys).join(pairs.select(*keys, "a_start", "b_start"), keys).join(before_a, ["aln_id", "a_start"]).join(before_b, [*keys, "b_start"])
+    return found.select(*keys, (F.col("_a") + F.col("a_start") + F.col("_na")).alias("a_start"), "a_len", "a", (F.col("_b") + F.col("b_start") + F.col("_nb")).alias("b_start"), "b_len", "b")
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Points (keys, idx) with the intervals (keys, start, stop exclusive) that hold them, joined on buckets of ``width``."""
     p = points.withColumn("_k", F.floor(F.col("idx") / width))

@@ -30,8 +30,8 @@ def base_of(number: Column) -> Column:
 
 def other_base(base: Column, number: Column) -> Column:
     """One of the three other bases; anything but A, C, G and T stays."""
-    at = F.locate("A", F.lit("")) + F.instr(F.lit("ACGT"), base)
-    return F.when(at > 0, F.expr("substr('ACGT', 1, 4)").substr(((at - 1 + 1 + number % 3) % 4 + 1).cast("int"), F.lit(1))).otherwise(base)
+    at = F.instr(F.lit("ACGT"), base)
+    return F.when(at > 0, F.lit("ACGT").substr(((at + number % 3) % 4 + 1).cast("int"), F.lit(1))).otherwise(base)
 
 
 def random_sequences(ids: DataFrame, length: int, seed: int = 1) -> DataFrame:
@@ -134,41 +134,55 @@ def apply_edits(reference: DataFrame, edits: DataFrame) -> DataFrame:
 def liftover(points: DataFrame, edits: DataFrame) -> DataFrame:
     """seq_idx, pos, lifted: where a reference position lies after the edits; a deleted one lies where its remainder would.
 
-    lifted = pos - bases removed before pos + bases inserted at or before pos.
+    lifted = pos - bases removed before pos + bases inserted at or before pos.  Edits are
+    disjoint, so all that begin before a place lie wholly before it but the last exchange:
+    a running sum over edits and places together, corrected by that exchange.
     """
-    e = edits.select("seq_idx", "start", "len", F.length("str_value").alias("add"), "kind")
-    removed = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("start"), F.col("len")))
-    # an insertion stands before its start; an exchange brings its string as its bases pass
-    added = F.when((F.col("kind") == "INSERT") & (F.col("start") <= F.col("pos")), F.col("add")).when((F.col("kind") == "EXCHANGE") & (F.col("start") < F.col("pos")), F.least(F.col("add"), F.greatest(F.col("pos") - F.col("start"), F.when(F.col("start") + F.col("len") <= F.col("pos"), F.col("add")).otherwise(0)))).otherwise(0)
-    shift = points.join(e, "seq_idx", "left").groupBy("seq_idx", "pos").agg(F.coalesce(F.sum(added - removed), F.lit(0)).alias("shift"))
-    return shift.select("seq_idx", "pos", (F.col("pos") + F.col("shift")).alias("lifted"))
+    n, at = F.length("str_value"), F.col("start")
+    e = edits.select("seq_idx", at.alias("pos"), F.when(F.col("kind") == "INSERT", 0).otherwise(2).alias("_order"), (n - F.col("len")).cast("long").alias("_shift"), F.when(F.col("kind") == "EXCHANGE", F.struct(at.alias("start"), F.col("len").cast("long").alias("len"), n.cast("long").alias("add"))).alias("_last"))
+    p = points.select("seq_idx", "pos").distinct().select("seq_idx", "pos", F.lit(1).alias("_order"), F.lit(0).cast("long").alias("_shift"), F.lit(None).cast(e.schema["_last"].dataType).alias("_last"))
+    so_far = Window.partitionBy("seq_idx").orderBy("pos", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    summed = e.unionByName(p).withColumn("_sum", F.sum("_shift").over(so_far)).withColumn("_in", F.last("_last", ignorenulls=True).over(so_far)).where("_order = 1")
+    gone = F.col("pos") - F.col("_in.start")
+    partly = F.when(gone < F.col("_in.len"), F.least(F.col("_in.add"), gone) - gone - (F.col("_in.add") - F.col("_in.len"))).otherwise(0)
+    return summed.select("seq_idx", "pos", (F.col("pos") + F.col("_sum") + F.coalesce(partly, F.lit(0))).alias("lifted"))
 
 
 def reportable(variants: DataFrame) -> DataFrame:
     return variants.where(F.col("sv_type") > REPORTABLE_ABOVE)
 
 
+ELSEWHERE = (DISPERSED, INVERTED_DUPLICATION, TRANSLOCATION, INVERTED_TRANSLOCATION)
 INVERTED = (INVERSION, INVERTED_TRANSLOCATION, INVERTED_DUPLICATION)
 
 
 def variants_by_rate(reference: DataFrame, rates: dict[int, tuple[float, int]], seed: int = 1) -> DataFrame:
     """seq_idx, sv_id, sv_type, a_index, len, b_site: each position draws for every type of ``rates`` (type: chance, length) in turn.
 
-    The first type drawn at a position counts; the first event in each slot, as wide as
-    two of the longest variants and two bases, is placed there, and what it inserts
-    elsewhere goes to the slot's second half.
+    The first type drawn at a position counts.  An event takes its length and one base, twice
+    that where it puts something elsewhere (behind its own part); from the left, it is placed
+    where the last placed one does not reach it and the sequence has room.  The walk begins
+    anew wherever no earlier event reaches, so it goes over a few events at a time.
     """
-    width = 2 * (max((n for _, n in rates.values()), default=1) + 1)
-    cells = reference.select("seq_idx", F.explode(F.expr(f"sequence(0, length(seq) - length(seq) % {width} - 1)")).alias("pos")).where("pos >= 0")
+    cells = reference.select("seq_idx", F.length("seq").alias("total"), F.explode(F.expr("sequence(0L, cast(length(seq) as bigint) - 1)")).alias("pos")).where("pos >= 0")
     kind = None
     for purpose, (t, (chance, _)) in enumerate(rates.items(), 20):
-        hit = draw(F.col("seq_idx") + seed, F.col("pos").cast("long"), purpose) < int(chance * 2**31)
+        hit = draw(F.col("seq_idx") + seed, F.col("pos"), purpose) < int(chance * 2**31)
         kind = F.when(hit, t) if kind is None else kind.when(hit, t)
     length = F.create_map(*(F.lit(x) for t, (_, n) in rates.items() for x in (t, n)))
-    slot = F.expr(f"pos div {width}").alias("slot")
-    first = cells.withColumn("sv_type", kind).where("sv_type is not null").groupBy("seq_idx", slot).agg(F.min_by("sv_type", "pos").alias("sv_type"))
-    start = F.col("slot") * width
-    return first.select("seq_idx", F.col("slot").cast("long").alias("sv_id"), "sv_type", start.cast("long").alias("a_index"), F.element_at(length, F.col("sv_type")).cast("long").alias("len"), (start + width // 2).cast("long").alias("b_site"))
+    drawn = cells.withColumn("sv_type", kind).where("sv_type is not null").withColumn("len", F.element_at(length, F.col("sv_type")).cast("long"))
+    wide = (F.col("len") + 1) * F.when(F.col("sv_type").isin(*ELSEWHERE), 2).otherwise(1)
+    room = drawn.withColumn("stop", F.col("pos") + wide).where("stop <= total")
+    order = Window.partitionBy("seq_idx").orderBy("pos")
+    reached = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    islands = room.withColumn("_free", (F.col("pos") >= reached).cast("long")).withColumn("_island", F.sum("_free").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = "struct<reached: bigint, kept: array<struct<pos: bigint, sv_type: int, len: bigint, stop: bigint>>>"
+    start = F.expr(f"cast(named_struct('reached', 0L, 'kept', array()) as {kind})")
+    events = islands.groupBy("seq_idx", "_island").agg(F.array_sort(F.collect_list(F.struct("pos", "sv_type", "len", "stop"))).alias("e"))
+    walk = F.aggregate("e", start, lambda s, x: F.when(x["pos"] < s["reached"], s).otherwise(F.struct(x["stop"].alias("reached"), F.concat(s["kept"], F.array(x)).alias("kept")).cast(kind)))
+    placed = events.select("seq_idx", F.explode(walk["kept"]).alias("e")).select("seq_idx", "e.*")
+    number = (F.row_number().over(order) - 1).cast("long")
+    return placed.select("seq_idx", number.alias("sv_id"), "sv_type", F.col("pos").alias("a_index"), "len", (F.col("pos") + F.col("len") + 1).alias("b_site"))
 
 
 def truth_rows(variants: DataFrame, edits: DataFrame, reference: DataFrame) -> DataFrame:

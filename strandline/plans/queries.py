@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import composition as C
-from ..operators import extension, kmers, pairs, runs, segments, simulate, windows
+from ..operators import extension, kmers, pairs, planes, runs, segments, simulate, windows
 from ..session import ship
 from ..sources import formats
 from .adapters import ALN_SQL, CELLS_SQL, SEQS_SQL, aln, cells, letters, seqs
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 LETTERS_SQL = "letters AS (SELECT doc_id AS seq_idx, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
 COMP_SQL = f"""{CELLS_SQL},
@@ -148,7 +132,7 @@ ids AS (SELECT a.aln_id, a.row_idx AS i, b.row_idx AS j, CAST(count(*) FILTER (l
 
 @query(f"WITH {IDENTITY_SQL} SELECT * FROM ids")
 def pair_identity(spark, sf_dir):
-    return pairs.row_pairs(aln(spark, sf_dir)).select("aln_id", "i", "j", pairs.identity(F.col("a"), F.col("b")).alias("identity"))
+    return planes.pair_identities(aln(spark, sf_dir))
 
 
 @query(f"WITH {IDENTITY_SQL}, vals AS (SELECT identity AS v FROM ids), {HIST_SQL}")
@@ -158,7 +142,7 @@ def identity_histogram(spark, sf_dir):
 
 @query(f"WITH {PAIRS_SQL} SELECT aln_id, row_idx, CAST(count(*) FILTER (lower(x) = lower(y)) AS DOUBLE) / count(*) AS identity FROM pc WHERE row_idx > 0 GROUP BY aln_id, row_idx")
 def center_identity(spark, sf_dir):
-    return pairs.centre_pairs(aln(spark, sf_dir)).where("row_idx > 0").select("aln_id", "row_idx", pairs.identity(F.col("a"), F.col("b")).alias("identity"))
+    return planes.centre_identities(aln(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS_SQL}, m AS (SELECT aln_id, row_idx AS i, count(*) FILTER (x = y AND x NOT IN ('N', '-')) AS match_num, count(*) FILTER (y <> '-') AS len_sequence FROM pc GROUP BY ALL) SELECT *, CASE WHEN len_sequence > 0 THEN CAST(match_num AS DOUBLE) / len_sequence END AS ratio FROM m")
@@ -387,7 +371,9 @@ def kmer_shared(spark, sf_dir):
     return kmers.shared_kmers(aln(spark, sf_dir), 5)
 
 
-@query()
+@query(f"""WITH {UNGAPPED_SQL}, k AS (SELECT DISTINCT aln_id, row_idx, kmer FROM ({KMER_SQL.format(keys='aln_id, row_idx', k=5, t='u')})),
+n AS (SELECT aln_id, row_idx, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT k.aln_id, k.row_idx, count(*) AS shared FROM k JOIN k c ON c.aln_id = k.aln_id AND c.kmer = k.kmer AND c.row_idx = 0 GROUP BY ALL)
+SELECT n.aln_id, n.row_idx, CAST(coalesce(shared, 0) AS DOUBLE) / (n.n + m.n - coalesce(shared, 0)) AS similarity FROM n JOIN n m ON m.aln_id = n.aln_id AND m.row_idx = 0 LEFT JOIN b ON b.aln_id = n.aln_id AND b.row_idx = n.row_idx""")
 def kmer_approx_similarity(spark, sf_dir):
     return kmers.approximate_similarity(aln(spark, sf_dir), 5)
 
@@ -406,7 +392,20 @@ def kmer_unique_hits(spark, sf_dir):
     return kmers.unique_hits(queries, reference, 8)
 
 
-@query()
+SEEDS_SQL = """hits AS (SELECT q.ref_idx, query_idx, q.pos AS query_pos, r.pos AS ref_pos FROM qk q JOIN rk r ON {on}),
+isl AS (SELECT *, query_pos - row_number() OVER (PARTITION BY ref_idx, query_idx, ref_pos - query_pos ORDER BY query_pos) AS island FROM hits),
+len AS (SELECT *, max(query_pos) OVER (PARTITION BY ref_idx, query_idx, ref_pos - query_pos, island) - query_pos + 15 AS length FROM isl),
+top AS MATERIALIZED (SELECT * FROM len QUALIFY length = max(length) OVER (PARTITION BY ref_idx, query_idx, query_pos)),
+m AS MATERIALIZED (SELECT ref_idx, query_idx, query_pos, max(length) AS length FROM top GROUP BY ALL),
+t AS (SELECT ref_idx, query_idx, query_pos, length FROM m QUALIFY row_number() OVER (PARTITION BY ref_idx, query_idx ORDER BY query_pos) = 1
+  UNION ALL SELECT m.ref_idx, m.query_idx, m.query_pos, m.length FROM t JOIN m ON m.ref_idx = t.ref_idx AND m.query_idx = t.query_idx AND m.query_pos >= t.query_pos + t.length
+  QUALIFY row_number() OVER (PARTITION BY m.ref_idx, m.query_idx ORDER BY m.query_pos) = 1),
+seeds AS (SELECT top.ref_idx, top.query_idx, top.ref_pos, top.query_pos, top.length FROM top JOIN t ON t.ref_idx = top.ref_idx AND t.query_idx = top.query_idx AND t.query_pos = top.query_pos)"""
+
+
+@query(f"""WITH RECURSIVE {UNGAPPED_SQL}, k AS ({KMER_SQL.format(keys='aln_id, row_idx', k=15, t='u')}),
+qk AS (SELECT aln_id AS ref_idx, row_idx AS query_idx, pos, kmer FROM k WHERE row_idx > 0), rk AS (SELECT aln_id AS ref_idx, pos, kmer FROM k WHERE row_idx = 0),
+{SEEDS_SQL.format(on='q.ref_idx = r.ref_idx AND q.kmer = r.kmer')} SELECT * FROM seeds""")
 def greedy_seeds(spark, sf_dir):
     queries, reference = _reads(spark, sf_dir)
     return kmers.greedy_seeds(queries, reference, 15)
@@ -445,7 +444,14 @@ def random_sequence_lengths(spark, sf_dir):
     return made.select("seq_idx", F.length("seq").alias("length"), F.length(F.regexp_replace("seq", "[^ACGT]", "")).alias("n_bases"))
 
 
-@query()
+BASE_SQL = "substr('ACGT', CAST(({n}) % 4 + 1 AS INT), 1)"
+SAMPLES_SQL = f"""{SEQ_CELLS_SQL}, e AS (SELECT *, seq_idx * 1009 + sample + 1 AS key FROM sc, (SELECT unnest([0, 1, 2]) AS sample)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seq_idx, sample ORDER BY {_draw_sql('key', 'pos', 5)}, pos) AS r, row_number() OVER (PARTITION BY seq_idx, sample ORDER BY {_draw_sql('key', 'pos', 6)}, pos) AS i FROM e),
+ch AS (SELECT *, CASE WHEN sample > 0 AND r <= 5 THEN {OTHER_SQL.format(b='base', n='(' + _draw_sql('key', 'pos', 7) + ' >> 8)')} WHEN sample > 0 AND r <= 10 THEN '-' ELSE base END AS o, sample > 0 AND i <= 5 AS ins FROM rk),
+sy AS (SELECT seq_idx, sample, pos, CASE WHEN bool_or(ins) OVER (PARTITION BY seq_idx, pos) THEN CASE WHEN ins THEN {BASE_SQL.format(n='(' + _draw_sql('key', 'pos', 8) + ' >> 8)')} ELSE '-' END ELSE '' END || o AS s FROM ch)"""
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT seq_idx, CAST(sample AS INT) AS sample, string_agg(s, '' ORDER BY pos) AS seq FROM sy GROUP BY ALL")
 def aligned_sample_simulation(spark, sf_dir):
     return simulate.aligned_samples(seqs(spark, sf_dir).where("seq <> ''"), 3, 5, 5, 5)
 
@@ -453,7 +459,19 @@ def aligned_sample_simulation(spark, sf_dir):
 WANTED = {simulate.TANDEM: (1, 20), simulate.DISPERSED: (1, 20), simulate.INVERTED_DUPLICATION: (1, 20), simulate.TRANSLOCATION: (1, 20), simulate.INVERSION: (1, 20), simulate.INVERTED_TRANSLOCATION: (1, 20), simulate.BIG_INSERT: (1, 20), simulate.BIG_DELETE: (1, 20), simulate.SMALL_INSERT: (2, 1), simulate.SMALL_DELETE: (2, 1), simulate.SMALL_SUBSTITUTE: (2, 1)}
 
 
-@query()
+_TURNED = "translate(reverse({s}), 'ACGTacgt', 'TGCAtgca')"
+VARIANTS_SQL = f"""{SEQS_SQL}, plan AS (SELECT * FROM (VALUES {', '.join(f'({i}, {t}, {n})' for i, (t, n) in enumerate((t, n) for t, (c, n) in WANTED.items() for _ in range(c)))}) AS p(sv_id, sv_type, len)),
+slots AS (SELECT seq_idx, slot, row_number() OVER (PARTITION BY seq_idx ORDER BY {_draw_sql('seq_idx + 1', 'slot', 9)}, slot) - 1 AS rank FROM (SELECT seq_idx, unnest(range(length(seq) // 21)) AS slot FROM seqs)),
+va AS (SELECT a.seq_idx, p.sv_id, p.sv_type, a.slot * 21 AS a_index, p.len, b.slot * 21 AS b_site FROM slots a JOIN plan p ON a.rank = 2 * p.sv_id JOIN slots b ON b.seq_idx = a.seq_idx AND b.rank = a.rank + 1),
+vp AS (SELECT va.*, substr(seq, a_index + 1, len) AS part FROM va JOIN seqs ON seqs.seq_idx = va.seq_idx),
+vs AS (SELECT *, {_TURNED.format(s='part')} AS turned,
+  array_to_string(list_transform(range(len), lambda p: {BASE_SQL.format(n='(' + _draw_sql('seq_idx * 31 + sv_id + 1', 'p', 10) + ' >> 8)')}), '') AS noise,
+  array_to_string(list_transform(range(len), lambda p: {OTHER_SQL.format(b='substr(part, CAST(p + 1 AS INT), 1)', n='(' + _draw_sql('seq_idx * 31 + sv_id + 1', 'p', 11) + ' >> 8)')}), '') AS fresh FROM vp),
+ve AS (SELECT seq_idx, sv_id, sv_type, 'INSERT' AS kind, CASE WHEN sv_type = 6 THEN a_index + len WHEN sv_type > 6 THEN b_site ELSE a_index END AS start, 0 AS len, CASE WHEN sv_type IN (1, 4) THEN noise WHEN sv_type IN (9, 62) THEN turned ELSE part END AS str_value FROM vs WHERE sv_type IN (1, 4, 6, 7, 9, 61, 62)
+  UNION ALL SELECT seq_idx, sv_id, sv_type, 'EXCHANGE', a_index, len, CASE sv_type WHEN 3 THEN fresh WHEN 8 THEN turned ELSE '' END FROM vs WHERE sv_type IN (2, 3, 5, 7, 8, 9))"""
+
+
+@query(f"WITH {VARIANTS_SQL} SELECT seq_idx, CAST(sv_id AS BIGINT) AS sv_id, sv_type, kind, start, CAST(len AS BIGINT) AS len, str_value FROM ve WHERE sv_type > 5")
 def sv_truth_table(spark, sf_dir):
     reference = seqs(spark, sf_dir)
     return simulate.variant_edits(simulate.reportable(simulate.place_variants(reference, WANTED)), reference)
@@ -462,12 +480,27 @@ def sv_truth_table(spark, sf_dir):
 RATES = {simulate.TANDEM: (0.0005, 20), simulate.INVERSION: (0.0005, 20), simulate.TRANSLOCATION: (0.0005, 20), simulate.BIG_DELETE: (0.0005, 20), simulate.SMALL_INSERT: (0.001, 1), simulate.SMALL_SUBSTITUTE: (0.001, 1)}
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQS_SQL}, p AS (SELECT seq_idx, length(seq) AS total, unnest(range(length(seq))) AS pos FROM seqs),
+k AS (SELECT *, CASE {' '.join(f"WHEN {_draw_sql('seq_idx + 1', 'pos', i)} < {int(c * 2**31)} THEN {t}" for i, (t, (c, _)) in enumerate(RATES.items(), 20))} END AS sv_type FROM p),
+n AS (SELECT *, CASE sv_type {' '.join(f'WHEN {t} THEN {n}' for t, (_, n) in RATES.items())} END AS len FROM k WHERE sv_type IS NOT NULL),
+w AS MATERIALIZED (SELECT * FROM (SELECT *, pos + CASE WHEN sv_type IN (7, 9, 61, 62) THEN 2 * (len + 1) ELSE len + 1 END AS stop FROM n) WHERE stop <= total),
+f AS (SELECT seq_idx, pos, stop, sv_type, len FROM w QUALIFY row_number() OVER (PARTITION BY seq_idx ORDER BY pos) = 1
+  UNION ALL SELECT w.seq_idx, w.pos, w.stop, w.sv_type, w.len FROM f JOIN w ON w.seq_idx = f.seq_idx AND w.pos >= f.stop QUALIFY row_number() OVER (PARTITION BY w.seq_idx ORDER BY w.pos) = 1)
+SELECT seq_idx, row_number() OVER (PARTITION BY seq_idx ORDER BY pos) - 1 AS sv_id, sv_type, pos AS a_index, CAST(len AS BIGINT) AS len, pos + len + 1 AS b_site FROM f""")
 def sv_by_rate(spark, sf_dir):
     return simulate.variants_by_rate(seqs(spark, sf_dir), RATES)
 
 
-@query()
+@query(f"""WITH {VARIANTS_SQL},
+od AS (SELECT *, coalesce(lag(start + len) OVER (PARTITION BY seq_idx ORDER BY start, len), 0) AS since FROM ve),
+sim AS (SELECT s.seq_idx, coalesce(string_agg(substr(seq, CAST(since + 1 AS INT), CAST(start - since AS INT)) || str_value, '' ORDER BY start, len), '') || substr(any_value(seq), CAST(coalesce(max(start + len), 0) + 1 AS INT)) AS sim FROM seqs s LEFT JOIN od ON od.seq_idx = s.seq_idx GROUP BY s.seq_idx),
+put AS (SELECT e.*, v.a_index, v.len AS a_len, seq, sim, length(str_value) AS n, e.start + (SELECT sum(CASE WHEN o.kind = 'INSERT' AND o.start <= e.start THEN length(o.str_value) WHEN o.kind = 'EXCHANGE' AND o.start < e.start THEN length(o.str_value) - o.len ELSE 0 END) FROM ve o WHERE o.seq_idx = e.seq_idx)
+    - CASE WHEN e.kind = 'INSERT' THEN length(str_value) ELSE 0 END AS b
+  FROM ve e JOIN va v ON v.seq_idx = e.seq_idx AND v.sv_id = e.sv_id JOIN seqs ON seqs.seq_idx = e.seq_idx JOIN sim ON sim.seq_idx = e.seq_idx WHERE e.sv_type > 5 AND str_value <> ''),
+ln AS (SELECT *, sv_type IN (8, 9, 62) AS minus, CASE WHEN sv_type IN (8, 9, 62) THEN length(sim) - b - n ELSE b END AS put_at FROM put)
+SELECT seq_idx, CAST(sv_id AS BIGINT) AS sv_id, 'a score=0' || chr(10) || printf('s %-20s %10d %10d %s %10d %s', 'reference', CAST(a_index AS BIGINT), CAST(a_len AS BIGINT), '+', length(seq), substr(seq, CAST(a_index + 1 AS INT), a_len)) || chr(10)
+  || printf('s %-20s %10d %10d %s %10d %s', 'simulated', CAST(put_at AS BIGINT), CAST(n AS BIGINT), CASE WHEN minus THEN '-' ELSE '+' END, length(sim), substr(sim, CAST(b + 1 AS INT), CAST(n AS INT))) || chr(10)
+  || printf('s %-20s %10d %10d %s %10d %s', 'expected', CAST(put_at AS BIGINT), CAST(n AS BIGINT), CASE WHEN minus THEN '-' ELSE '+' END, length(sim), str_value) || chr(10) AS text FROM ln""")
 def sv_truth_maf(spark, sf_dir):
     reference = seqs(spark, sf_dir)
     variants = simulate.place_variants(reference, WANTED)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import header, reverse_complement, strip_n
-from .text import number
+from ..functions.sequence import encode, header, reverse_complement, strip_n
+from ..operators.runs import with_runs
+from .text import number, six_digits
 
 
 def _joined(value: str = "line") -> Column:
@@ -64,6 +65,13 @@ def render_fasta(seqs: DataFrame, mark: str = ">", width: int | None = None, sig
     return seqs.select("seq_idx", F.concat(head, F.lit("\n"), body).alias("text"))
 
 
+def coded_records(seqs: DataFrame, keys: tuple[str, ...] = ("file", "seq_idx")) -> DataFrame:
+    """Records (keys, name, seq) as codes without N, with length, all_length (N included) and n_runs."""
+    core = strip_n(F.upper("seq"))
+    rows = with_runs(seqs.withColumn("seq", F.upper("seq")), "N", keys)
+    return rows.select(*keys, "name", encode(core).alias("codes"), F.length(core).cast("long").alias("length"), F.length("seq").cast("long").alias("all_length"), "n_runs")
+
+
 # ---- FASTQ
 
 
@@ -142,20 +150,24 @@ def render_maf(rows: DataFrame, scores: DataFrame, keys: list[str], name_width:
     """keys, text: one block a row, ``a score=`` and an ``s`` line a sequence; six significant digits."""
     line = F.format_string(f"s %-{name_width}s %{number_width}d %{number_width}d %s %{number_width}d %s", "name", "start", "len", "strand", "src_size", "seq")
     blocks = rows.select(*keys, "row_ord", line.alias("line")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    head = F.concat(F.lit("a score="), F.regexp_replace(F.format_string("%.6g", F.col("score").cast("double")), r"\.0+(?=$|e)|(?<=\.\d{1,9})0+(?=$|e)", ""))
+    head = F.concat(F.lit("a score="), six_digits(F.col("score")))
     return blocks.join(scores, keys).select(*keys, F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n")).alias("text"))
 
 
 # ---- records of unknown-base runs
 
 
-def render_runs(seqs: DataFrame, runs: DataFrame) -> DataFrame:
-    """seq_idx, text: first the padded count (seq_idx -1), then name, run count and ungapped length, and the runs."""
+def render_run_records(seqs: DataFrame, runs: DataFrame) -> DataFrame:
+    """seq_idx, text: name, run count and length without N, and the runs, of each sequence."""
     parts = runs.groupBy("seq_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "number"))).alias("runs"))
     lines = F.transform("runs", lambda r: F.concat(r["idx"].cast("string"), F.lit(" "), r["number"].cast("string"), F.lit(" ")))
     head = F.concat(F.lit("> "), F.col("name"), F.lit("\n"), F.coalesce(F.size("runs"), F.lit(0)).cast("string"), F.lit(" "), F.length(strip_n(F.col("seq"))).cast("string"))
-    body = seqs.join(parts, "seq_idx", "left").select("seq_idx", F.concat_ws("\n", head, F.when(F.size("runs") > 0, F.array_join(lines, "\n"))).alias("text"))
-    return body.union(seqs.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long"), F.rpad(F.col("n").cast("string"), 10, " ")))
+    return seqs.join(parts, "seq_idx", "left").select("seq_idx", F.concat_ws("\n", head, F.when(F.size("runs") > 0, F.array_join(lines, "\n"))).alias("text"))
+
+
+def render_runs(seqs: DataFrame, runs: DataFrame) -> DataFrame:
+    """seq_idx, text: first the padded count (seq_idx -1), then the records."""
+    return render_run_records(seqs, runs).union(seqs.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long"), F.rpad(F.col("n").cast("string"), 10, " ")))
 
 
 def parse_runs(lines: DataFrame) -> DataFrame:

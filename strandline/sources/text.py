@@ -31,3 +31,11 @@ def number(lines: DataFrame, marks: dict[str, Column]) -> DataFrame:
 def write_text(df: DataFrame, path: str, order: list[str]) -> None:
     """Writes the column ``text`` in order, in range partitions whose file names follow it."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.text(path)
+
+
+def six_digits(value: Column) -> Column:
+    """A number with six significant digits and no trailing zeros; ties go to the even digit."""
+    v = value.cast("double")
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(v))))
+    shown = F.format_string("%.6g", F.when(v == 0, v).otherwise(F.rint(v * scale) / scale))
+    return F.regexp_replace(shown, r"\.0+(?=$|e)|(?<=\.\d{1,9})0+(?=$|e)", "")

@@ -24,4 +24,6 @@ def small_dir(spark, tmp_path_factory):
     odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, "12 3."), (9004, "n u N"), (9005, "uuuuuuuuuuuuuuuuuuuuuu")], "doc_id long, text string")
     rows = given.select("doc_id", "text").union(odd).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) as bigint) AS n_chars")
     rows.coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    items = [(1, given.first()["text"]), (2, None), (3, " ".join(r["text"] for r in given.tail(2)))]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(folder / "benchmark.parquet"))
     return str(folder)

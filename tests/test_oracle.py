@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from strandline.plans.queries import QUERIES, SQL
+import strandline.plans.reports  # noqa: F401
+from strandline.plans.registry import QUERIES, SQL
 
 
 def normal(frame):
@@ -17,7 +18,8 @@ def normal(frame):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, small_dir, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{small_dir}/documents.parquet/*.parquet'")
+    for name_ in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{small_dir}/{name_}.parquet/*.parquet'")
     wanted, found = db.sql(SQL[name]).df(), QUERIES[name](spark, small_dir).toPandas()
     assert sorted(wanted.columns) == sorted(found.columns)
     assert normal(found).equals(normal(wanted))
