@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import column_keys
+
 SYMBOLS = {"a": "A", "c": "C", "g": "G", "t": "T", "n": "N", "gap": "-"}
 
 
 def composition(cells: DataFrame) -> DataFrame:
-    """aln_id, pos, a, c, g, t, n, gap: one partial and one final aggregation."""
-    return cells.groupBy("aln_id", "pos").agg(*(F.count_if(F.col("base") == s).alias(k) for k, s in SYMBOLS.items()))
+    """aln_id, pos, a, c, g, t, n, gap: cells of a column are in one chunk, so no exchange is needed after theirs."""
+    return cells.groupBy(*column_keys(cells)).agg(*(F.count_if(F.col("base") == s).alias(k) for k, s in SYMBOLS.items())).drop("chunk")
 
 
 def pair_classes(comp: DataFrame) -> DataFrame:

@@ -7,31 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import INVERSION
 from ..storage import stored
+from .columns import cells, column_keys
 from .pairs import best_segment
-from .runs import offsets_at, restore_unknown
-
-
-def pair_cells(pairs: DataFrame) -> DataFrame:
-    """aln_id, row_idx, pos, x, y of centre pairs (a, b)."""
-    both = F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y"))
-    return pairs.select("aln_id", "row_idx", F.posexplode(both).alias("pos", "p")).select("aln_id", "row_idx", F.col("pos").cast("long").alias("pos"), "p.x", "p.y")
+from .runs import offsets_at, restore_unknown, run_offsets, symbol_runs
 
 
 def ungapped_segments(cells: DataFrame, tolerance: int = 0) -> DataFrame:
     """aln_id, row_idx, s1, s2, e1, e2 (inclusive) of runs of columns without a gap.
 
     Neighbouring runs are merged where fewer than ``tolerance`` residues of either row
-    lie between them; ends are always columns without a gap.
+    lie between them; ends are always columns without a gap.  ``cells`` are pair cells: runs
+    and residues are counted inside chunks, and then one row a run and chunk is put together
+    over a pair.
     """
-    row = Window.partitionBy("aln_id", "row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("aln_id", "row_idx", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     on = (F.col("x") != "-") & (F.col("y") != "-")
     placed = cells.select(
-        "aln_id", "row_idx", on.alias("on"),
-        F.sum((~on).cast("long")).over(row).alias("island"),
-        (F.sum((F.col("x") != "-").cast("long")).over(row) - 1).alias("p1"),
-        (F.sum((F.col("y") != "-").cast("long")).over(row) - 1).alias("p2"),
+        "aln_id", "row_idx", "chunk", "pos", on.alias("on"),
+        F.sum((~on).cast("long")).over(inside).alias("island"),
+        F.sum((F.col("x") != "-").cast("long")).over(inside).alias("n1"),
+        F.sum((F.col("y") != "-").cast("long")).over(inside).alias("n2"),
     )
-    spans = placed.where("on").groupBy("aln_id", "row_idx", "island").agg(F.min("p1").alias("s1"), F.min("p2").alias("s2"), F.max("p1").alias("e1"), F.max("p2").alias("e2"))
+    kept = lambda c, f: f(F.when(F.col("on"), F.col(c)))
+    runs = placed.groupBy("aln_id", "row_idx", "chunk", "island").agg(kept("pos", F.min).alias("start"), kept("pos", F.max).alias("stop"), kept("n1", F.min).alias("s1"), kept("n2", F.min).alias("s2"), kept("n1", F.max).alias("e1"), kept("n2", F.max).alias("e2"), F.max("n1").alias("t1"), F.max("n2").alias("t2"))
+    pair = Window.partitionBy("aln_id", "row_idx").orderBy("chunk", "island")
+    before = pair.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lead("chunk").over(pair).isNull() | (F.lead("chunk").over(pair) != F.col("chunk"))
+    ended = runs.withColumn("u1", F.when(last, F.col("t1")).otherwise(0)).withColumn("u2", F.when(last, F.col("t2")).otherwise(0))
+    moved = ended.withColumn("o1", F.coalesce(F.sum("u1").over(before), F.lit(0)) - 1).withColumn("o2", F.coalesce(F.sum("u2").over(before), F.lit(0)) - 1).where("start is not null")
+    order = Window.partitionBy("aln_id", "row_idx").orderBy("start")
+    joined = (F.lag("stop").over(order) == F.col("start") - 1).cast("long")
+    group = F.sum(1 - F.coalesce(joined, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    spans = moved.withColumn("group", group).groupBy("aln_id", "row_idx", "group").agg(F.min(F.col("s1") + F.col("o1")).alias("s1"), F.min(F.col("s2") + F.col("o2")).alias("s2"), F.max(F.col("e1") + F.col("o1")).alias("e1"), F.max(F.col("e2") + F.col("o2")).alias("e2"))
     if tolerance > 0:
         order = Window.partitionBy("aln_id", "row_idx").orderBy("s1")
         apart = (F.col("s1") - F.lag("e1").over(order) - 1 >= tolerance) | (F.col("s2") - F.lag("e2").over(order) - 1 >= tolerance)
@@ -41,19 +48,32 @@ def ungapped_segments(cells: DataFrame, tolerance: int = 0) -> DataFrame:
 
 
 def exact_match_blocks(cells: DataFrame, least: int = 1) -> DataFrame:
-    """aln_id, start, length of maximal column runs in which all rows have one base; runs at the end count."""
-    columns = cells.groupBy("aln_id", "pos").agg(((F.min("base") == F.max("base")) & (F.min("base") != "-")).alias("same"))
-    order = Window.partitionBy("aln_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    islands = columns.withColumn("island", F.sum((~F.col("same")).cast("long")).over(order)).where("same")
-    return islands.groupBy("aln_id", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).where(F.col("length") >= least).select("aln_id", "start", "length")
-
-
-def exact_match_rows(cells: DataFrame, least: int = 1) -> DataFrame:
-    """aln_id, start, length, row_idx, row_start: exact-match runs with each row's own start, its bases before the run."""
-    blocks = exact_match_blocks(cells, least)
-    before = F.sum((F.col("base") != "-").cast("long")).over(Window.partitionBy("aln_id", "row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    placed = cells.select("aln_id", "row_idx", F.col("pos").alias("start"), before.alias("row_start"))
-    return blocks.join(placed, ["aln_id", "start"]).select("aln_id", "start", "length", "row_idx", "row_start")
+    """aln_id, start, length of maximal column runs in which all rows have one base; runs at the end count.
+
+    Runs are found inside chunks, and those that meet at a chunk's edge are put together.
+    """
+    keys = column_keys(cells)[:-1]
+    columns = cells.groupBy(*keys, "pos").agg(((F.min("base") == F.max("base")) & (F.min("base") != "-")).alias("same"))
+    inside = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    islands = columns.withColumn("island", F.sum((~F.col("same")).cast("long")).over(inside)).where("same")
+    runs = islands.groupBy(*keys, "island").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+    order = Window.partitionBy("aln_id").orderBy("start")
+    joined = (F.lag("stop").over(order) == F.col("start") - 1).cast("long")
+    group = F.sum(1 - F.coalesce(joined, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    whole = runs.withColumn("group", group).groupBy("aln_id", "group").agg(F.min("start").alias("start"), (F.max("stop") - F.min("start") + 1).alias("length"))
+    return whole.where(F.col("length") >= least).select("aln_id", "start", "length")
+
+
+def exact_match_rows(aln: DataFrame, least: int = 1) -> DataFrame:
+    """aln_id, start, length, row_idx, row_start: exact-match runs with each row's own start, its bases before the run.
+
+    A row's start is the run's less the gaps before it, by a running sum over gap runs.
+    """
+    blocks = exact_match_blocks(cells(aln), least)
+    points = blocks.join(aln.select("aln_id", "row_idx"), "aln_id")
+    gaps = run_offsets(symbol_runs(aln, "-")).select("aln_id", "row_idx", (F.col("idx") + F.col("before")).alias("idx"), "number")
+    before = offsets_at(points.select("aln_id", "row_idx", "start"), gaps)
+    return points.join(before, ["aln_id", "row_idx", "start"]).select("aln_id", "start", "length", "row_idx", (F.col("start") - F.col("before")).alias("row_start"))
 
 
 def orientation_majority(blocks: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import GAP_EXTEND, GAP_OPEN, HOXD70, hoxd70
+from .columns import column_keys
 
 WIDTH = 100
 
 
 def scored_cells(pair_cells: DataFrame) -> DataFrame:
-    """Adds ``cost``: the substitution score, or an opened or continued gap; the gap state runs through a row."""
-    gap = (F.col("x") == "-") | (F.col("y") == "-")
-    before = F.lag("gap").over(Window.partitionBy("aln_id", "row_idx").orderBy("pos"))
-    cost = F.when(F.col("gap"), F.when(before, GAP_EXTEND).otherwise(GAP_OPEN)).otherwise(hoxd70(F.col("x"), F.col("y")))
-    return pair_cells.withColumn("gap", gap).withColumn("cost", cost)
+    """Adds ``cost``: the substitution score, or a gap that opens, or goes on from the column before."""
+    either = lambda x, y: (F.col(x) == "-") | (F.col(y) == "-")
+    gap = F.when(either("x_before", "y_before"), GAP_EXTEND).otherwise(GAP_OPEN)
+    return pair_cells.withColumn("cost", F.when(either("x", "y"), gap).otherwise(hoxd70(F.col("x"), F.col("y"))))
 
 
 def row_scores(scored: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def merged_windows(chosen: DataFrame) -> DataFrame:
 
 def gap_columns(cells: DataFrame) -> DataFrame:
     """aln_id, columns, gap_columns: columns with at least one gap."""
-    columns = cells.groupBy("aln_id", "pos").agg(F.bool_or(F.col("base") == "-").alias("gap"))
+    columns = cells.groupBy(*column_keys(cells)).agg(F.bool_or(F.col("base") == "-").alias("gap"))
     return columns.groupBy("aln_id").agg(F.count("*").alias("columns"), F.count_if("gap").alias("gap_columns"))
 
 

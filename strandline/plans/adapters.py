@@ -39,9 +39,3 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = seqs(spark, sf_dir).where("length(seq) > 0").withColumn("w", F.expr(f"(length(seq) + {ROWS - 1}) div {ROWS}"))
     rows = laid.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))))
     return rows.select(F.col("seq_idx").alias("aln_id"), F.col("r").cast("long").alias("row_idx"), F.expr("rpad(substr(seq, cast(r * w + 1 as int), cast(w as int)), cast(w as int), '-')").alias("seq"))
-
-
-def cells(alignment: DataFrame, *keys: str) -> DataFrame:
-    """One row a base: keys, pos, base."""
-    keys = keys or ("aln_id", "row_idx")
-    return alignment.select(*keys, F.posexplode(F.split("seq", "")).alias("pos", "base")).withColumn("pos", F.col("pos").cast("long"))

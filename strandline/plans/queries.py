@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import composition as C
-from ..operators import extension, kmers, pairs, planes, runs, segments, simulate, windows
+from ..operators import columns, extension, kmers, pairs, planes, runs, segments, simulate, windows
+from ..operators.columns import cells
 from ..session import ship
 from ..sources import formats
-from .adapters import ALN_SQL, CELLS_SQL, SEQS_SQL, aln, cells, letters, seqs
+from .adapters import ALN_SQL, CELLS_SQL, SEQS_SQL, aln, letters, seqs
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 LETTERS_SQL = "letters AS (SELECT doc_id AS seq_idx, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
@@ -38,7 +39,7 @@ merged AS (SELECT aln_id, min(win) AS first_win, count(*) AS n_win, rows, avg(sc
 
 
 def pair_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.pair_cells(pairs.centre_pairs(aln(spark, sf_dir)))
+    return columns.pair_cells(aln(spark, sf_dir))
 
 
 # ---- composition and sum of pairs

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import composition, kmers, pairs, runs, segments, simulate, windows
+from ..operators.columns import cells
 from ..sources import formats, reports, text
 from ..storage import fresh_path, stored
-from .adapters import ALN_SQL, LETTERS, BASES, SEQS_SQL, aln, cells, seqs
+from .adapters import ALN_SQL, BASES, LETTERS, SEQS_SQL, aln, seqs
 from .queries import (
     BASE_SQL,
     CELLS_SQL,
@@ -179,7 +180,7 @@ bl AS (SELECT aln_id, min(pos) AS start, count(*) AS length FROM isl WHERE same
 st AS (SELECT aln_id, row_idx, pos, CAST(sum(CAST(base <> '-' AS INT)) OVER (PARTITION BY aln_id, row_idx ORDER BY pos) AS BIGINT) - 1 AS row_start FROM cells)
 SELECT bl.aln_id, bl.start, bl.length, st.row_idx, st.row_start FROM bl JOIN st ON st.aln_id = bl.aln_id AND st.pos = bl.start""")
 def exact_match_rows(spark, sf_dir):
-    return segments.exact_match_rows(cells(aln(spark, sf_dir)), 2)
+    return segments.exact_match_rows(aln(spark, sf_dir), 2)
 
 
 @query(f"""WITH {CELLS_SQL}, r AS ({RUNS_SQL.format(keys='aln_id, row_idx', s='N', cells='cells')}),

@@ -93,3 +93,20 @@ def test_written_text_reads_back_in_order(spark, tmp_path):
     got = formats.parse_fasta(read_lines(spark, str(tmp_path / "out")))
     assert {(r["name"], r["seq"]) for r in got.collect()} == {(f"n{i}", "ACGT" * 3) for i in range(20)}
     assert formats.render_fasta(seqs.withColumn("sg", F.lit("+")), sign="sg").first()["text"].startswith(">n0(+)\n")
+
+
+def test_xmfa_ids_must_be_listed(spark):
+    from strandline.sources import reports
+
+    lines = ["#SequenceIndex 1", "#SequenceHeader >seq a", "#SequenceLength 10bp", ">1:1-4 + c1", "ACGT", ">2:3-6 + c1", "AC-T", "="]
+    table = spark.createDataFrame([("f", 0, i, x) for i, x in enumerate(lines)], "file string, block long, at long, line string")
+    with pytest.raises(Exception, match="no sequence has the index 2"):
+        reports.xmfa_to_maf(table).collect()
+
+
+def test_six_digits(spark):
+    from strandline.sources.text import six_digits
+
+    values = [0.0, 1.0, -2055.125, 123456789.0, 0.1234565, 1234565.0]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(six_digits(F.col("v"))).collect()]
+    assert got[:3] == ["0", "1", "-2055.12"] and got[4] in ("0.123456", "0.123457")

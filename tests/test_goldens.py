@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators import composition, extension, kmers, pairs, runs, segments, simulate, windows
-from strandline.plans.adapters import cells
+from strandline.operators import columns, composition, extension, kmers, pairs, runs, segments, simulate, windows
+from strandline.operators.columns import cells, pair_cells
 
 
 def one(spark, column, **values):
@@ -71,10 +71,10 @@ def test_restore_unknown(spark):
 
 
 def test_segments(spark):
-    pair = pairs.centre_pairs(aln(spark, "ACGT-ACG", "AC-TTACG")).where("row_idx = 1")
-    found = segments.ungapped_segments(segments.pair_cells(pair))
+    pair = pair_cells(aln(spark, "ACGT-ACG", "AC-TTACG")).where("row_idx = 1")
+    found = segments.ungapped_segments(pair)
     assert sorted((r["s1"], r["s2"], r["e1"], r["e2"]) for r in found.collect()) == [(0, 0, 1, 1), (3, 2, 3, 2), (4, 4, 6, 6)]
-    merged = segments.ungapped_segments(segments.pair_cells(pair), 3)
+    merged = segments.ungapped_segments(pair, 3)
     assert [(r["s1"], r["s2"], r["e1"], r["e2"]) for r in merged.collect()] == [(0, 0, 6, 6)]
 
 
@@ -84,7 +84,7 @@ def test_exact_blocks_reach_the_end(spark):
 
 
 def test_block_score(spark):
-    scored = windows.scored_cells(segments.pair_cells(pairs.centre_pairs(aln(spark, "ACGT-A", "A--TCA", "ACGTNA"))))
+    scored = windows.scored_cells(pair_cells(aln(spark, "ACGT-A", "A--TCA", "ACGTNA")))
     assert [r["score"] for r in windows.row_scores(scored).orderBy("row_idx").collect()] == [73, -557, 73]
     assert windows.block_scores(scored).first()["score"] == -137.0
 
@@ -224,3 +224,68 @@ def test_inverted_blocks(spark):
     got = segments.inverted_blocks(rows, 3).first()
     assert (got["a_start"], got["a_len"], got["b_start"], got["b_len"], got["score"]) == (2, 6, 2, 6, 6)
     assert segments.inverted_blocks(rows, 6).count() == 0
+
+
+def test_chunks_meet_at_their_edges(spark, monkeypatch):
+    """Short chunks give what one chunk gives."""
+    draw = random.Random(6)
+    base = [draw.choice("ACGT") for _ in range(60)]
+    rows = ["".join("-" if draw.random() < 0.15 else c if draw.random() < 0.95 else draw.choice("ACGTN") for c in base) for _ in range(3)]
+    table = aln(spark, *rows)
+    ask = {
+        "composition": lambda: composition.composition(cells(table)),
+        "matches": lambda: segments.exact_match_rows(table),
+        "segments": lambda: segments.ungapped_segments(pair_cells(table), 2),
+        "scores": lambda: windows.row_scores(windows.scored_cells(pair_cells(table))),
+        "gaps": lambda: windows.gap_columns(cells(table)),
+    }
+    whole = {k: sorted(map(tuple, f().collect())) for k, f in ask.items()}
+    monkeypatch.setattr(columns, "CHUNK", 7)
+    assert {k: sorted(map(tuple, f().collect())) for k, f in ask.items()} == whole
+    for start, length, row in {(r[1], r[2], r[3]) for r in whole["matches"]}:
+        assert len({r[start : start + length] for r in rows}) == 1 and "-" not in rows[0][start : start + length]
+    assert all(r[4] == len(rows[r[3]][: r[1]].replace("-", "")) for r in whole["matches"])
+
+
+def test_kmers_over_short_and_long_sequences(spark, monkeypatch):
+    draw = random.Random(8)
+    seqs = ["".join(draw.choice("ACGT") for _ in range(n)) for n in (0, 3, 64, 65, 127, 128, 200)]
+    table = spark.createDataFrame(list(enumerate(seqs)), "seq_idx long, seq string")
+    for k, every in ((4, 1), (4, 4), (70, 1), (9, 2)):
+        got = sorted(map(tuple, kmers.kmers(table, k, "seq_idx", every=every).collect()))
+        assert got == sorted((i, p, s[p : p + k]) for i, s in enumerate(seqs) for p in range(0, len(s) - k + 1, every))
+
+
+def test_reads_map_on_both_strands(spark):
+    draw = random.Random(9)
+    reference = "".join(draw.choice("ACGT") for _ in range(400))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = [reference[50:120], turn(reference[200:260]), "ACGT" * 3]
+    got = kmers.map_reads(spark.createDataFrame(list(enumerate(reads)), "read_idx long, seq string"), spark.createDataFrame([(7, reference)], "ref_idx long, seq string"), 20).collect()
+    assert {tuple(r) for r in got} == {(0, "+", 7, 50, 0, 70), (1, "-", 7, 200, 0, 60)}
+    repeated = spark.createDataFrame([(1, "A" * 40)], "ref_idx long, seq string")
+    poly = spark.createDataFrame([(0, "A" * 22)], "read_idx long, seq string")
+    assert len(kmers.map_reads(poly, repeated, 20).collect()) == 19
+    assert kmers.map_reads(poly, repeated, 20, unique=True).where("strand = '+'").collect() == []
+
+
+def test_liftover_inside_edits(spark):
+    edits = spark.createDataFrame([(1, "INSERT", 3, 0, "xx"), (1, "EXCHANGE", 5, 4, "yyyyyy"), (1, "EXCHANGE", 12, 3, ""), (1, "INSERT", 20, 0, "z")], "seq_idx long, kind string, start long, len long, str_value string")
+    points = spark.createDataFrame([(1, p) for p in range(22)] + [(2, 5)], "seq_idx long, pos long")
+    got = {(r["seq_idx"], r["pos"]): r["lifted"] for r in simulate.liftover(points, edits).collect()}
+    assert got[2, 5] == 5
+    for p in range(22):
+        added = 2 * (p >= 3) + (p >= 20) + (min(6, p - 5) if 5 < p < 9 else 6 * (p >= 9))
+        gone = max(0, min(p - 5, 4)) + max(0, min(p - 12, 3))
+        assert got[1, p] == p + added - gone
+
+
+def test_named_restoration_checks_names_and_lengths(spark):
+    records = spark.createDataFrame([(0, 0, "a", 4, 2, 3), (0, 1, "b", 5, 0, 1)], "aln_id long, seq_idx long, name string, length long, idx long, number long")
+    rows = lambda *r: spark.createDataFrame([(0, *x) for x in r], "aln_id long, name string, seq string")
+    got = {r["name"]: (r["row_idx"], r["seq"]) for r in runs.restore_named(rows(("b", "ACCGT"), ("a", "AC-GT")), records).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": 0, "b": 1} and got["a"][1].replace("-", "") == "ACNNNGT" and got["b"][1].replace("-", "") == "NACCGT"
+    with pytest.raises(Exception, match="no record of sequence c"):
+        runs.restore_named(rows(("c", "AC")), records)
+    with pytest.raises(Exception, match="another length than sequence a"):
+        runs.restore_named(rows(("a", "AC")), records)
