@@ -7,10 +7,10 @@ are skipped, the others are merged, and a text that the merge finds at least ``T
 times is looked up in the long ones by binary search.  Here, on Spark:
 
 1. Texts with equal sets are one class; only classes take part.
-2. Shingles are ordered by the length of their lists: counted over all tasks in a share of
-   the classes, chosen by hash, so that the order is the same however texts are dealt to
-   tasks; the most frequent ones, a bounded table, are sent to the scan, and the rest go
-   by hash.  Only a text's ``n - T + ell`` shortest lists are built, so a partner occurs
+2. Shingles are ordered by the length of their lists: estimated from a share of the
+   classes, chosen by hash and counted over all tasks, so that the order holds however
+   texts are dealt to tasks, and from what single tasks see of all classes; the most
+   frequent ones, a bounded table, are sent to the scan, and the rest go by hash.  Only a text's ``n - T + ell`` shortest lists are built, so a partner occurs
    at least ``ell`` times among them.
 3. A sort by shingle puts each list together; one streaming pass with bounded memory
    merges it.  Lists up to ``short`` members give pairs, which are counted; those with
@@ -78,37 +78,46 @@ def class_keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.array([mix(np.array([x.sum(dtype=np.uint64) * np.uint64(31) + np.bitwise_xor.reduce(mix(x)) + np.uint64(len(x))]))[0] if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64)
 
 
-#: One class in so many is counted to order lists; a task remembers so many classes.
-RATE, REMEMBERED = 16, 200_000
+#: One class in so many is counted over all tasks to order lists; a task counts so many shingles at once, and remembers so many classes.
+RATE, COUNTED, REMEMBERED = 16, 2_000_000, 200_000
 
 
 def _scan(k: int, key_type: pa.DataType):
-    """Rows (key, class, set size) of documents, and (shingle, occurrences) of the classes that order lists."""
+    """Rows (key, class, set size) of documents (kind 0), and of shingles that classes share.
+
+    Kind 1 are shingles that a task has seen in several classes, kind 2 those of a share of
+    the classes: the first finds lists early, the second does so whatever a task sees.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, some, size, seen = [], [], 0, set()
 
-        def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        def counted(kind: int, sets: list[np.ndarray], least: int) -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            values, counts = values[counts >= least], counts[counts >= least]
             n = len(values)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, key_type), pa.array(values.view(np.int64)), pa.array(counts)], names=["kind", "key", "id", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.nulls(n, key_type), pa.array(values.view(np.int64)), pa.array(counts)], names=["kind", "key", "id", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 ids, counts = class_keys(sets), np.array([len(x) for x in sets], dtype=np.int64)
                 for x, c in zip(sets, ids.tolist()):
-                    if len(x) and c % RATE == 0 and c not in seen:
+                    if len(x) and c not in seen:
                         seen.add(c)
                         held.append(x)
                         size += len(x)
+                        if c % RATE == 0:
+                            some.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), part.column("key"), pa.array(ids), pa.array(counts)], names=["kind", "key", "id", "n"])
-                if size > 1_000_000:
-                    yield counted()
-                    held, size = [], 0
+                if size > COUNTED:
+                    yield counted(1, held, 2)
+                    yield counted(2, some, 1)
+                    held, some, size = [], [], 0
                 if len(seen) > REMEMBERED:
                     seen.clear()
-        yield counted()
+        yield counted(1, held, 2)
+        yield counted(2, some, 1)
 
     return run
 
@@ -159,7 +168,7 @@ def _post(k: int, num: int, den: int, held):
                         seen.add(c)
                         chosen, lengths = order.shortest(x, merged_lists(len(x), num, den))
                         out.append(chosen)
-                        many.append(lengths * RATE // SHARE)
+                        many.append(lengths // SHARE)
                         ids.append(c)
                         sizes.append(len(x))
                 lengths = [len(x) for x in out]
@@ -385,7 +394,9 @@ def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den:
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     scan = stored(docs.mapInArrow(lean(_scan(k, to_arrow_type(docs.schema["key"].dataType))), f"kind byte, key {kind}, id long, n long"), "shingle-scan")
     documents = scan.where("kind = 0").select("key", "id", F.col("n").alias("n_shingles"))
-    frequent = stored(scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n > 1"), "frequent")
+    each = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    shared = scan.where("kind > 0").groupBy("id").agg(each(1).alias("near"), each(2).alias("far")).where("near > 0 or far > 1")
+    frequent = stored(shared.select("id", F.greatest("near", F.col("far") * RATE).alias("n")), "frequent")
     held = df.sparkSession.sparkContext.broadcast(np.array(most_frequent(frequent, longest, "id").collect(), dtype=np.int64))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = docs.mapInArrow(lean(_post(k, num, den, held)), "shingle long, part int, id long, n int")
