@@ -45,6 +45,81 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(empty, quality.fit(empty)).collect() == []
 
 
+def test_quality_sample_is_bounded_and_weighted(spark):
+    """A text that a third of the rows copy, and rows that repeat, do not widen the sample."""
+    rows = [(i, "copied text") for i in range(400)] + [(9_999, "one row")] * 400 + [(10_000 + i, f"own text {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for sample in (50, 300, 5_000):
+        got = quality.sample_rows(df, "doc_id", "text", sample, len(rows)).collect()
+        assert len(got) <= sample and len({(r["key"], r["text"]) for r in got}) == len(got)
+        assert all(r["n"] == (400 if r["key"] == 9_999 else 1) for r in got)
+    assert len(got) == 801 and sum(r["n"] for r in got) == 1200
+
+
+def plain_votes(text):
+    """The eight labellers by their rules, a word at a time."""
+    words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    n, raw = max(len(words), 1), (text or "").encode()
+    if not words:
+        return [0] * 8
+    letters = max(sum(chr(b).isalpha() and b < 128 or b >= 128 for b in raw), 1)
+    again = sum(a == b for a, b in zip(words, words[1:])) / n
+    distinct, size = len(set(words)) / n, letters / n
+    common = sum(w in quality.COMMON for w in words) / n
+    count = lambda chars: sum(chr(b) in chars for b in raw if b < 128)
+    symbols, upper = count("#$%&*<>{}[]\\^~=_@") / n, sum(65 <= b <= 90 for b in raw) / letters
+    marks, bars = count("!") / n, count("|") / n
+    rules = [(symbols < 0.02, symbols > 0.2), (upper < 0.15, upper > 0.4), (marks < 0.05, marks > 0.15), (bars < 0.02, bars > 0.15), (again < 0.05, again > 0.2), (2.5 < size < 9, size < 2 or size > 14), (distinct > 0.45 or len(words) < 50, distinct < 0.3 and len(words) >= 50), (common > 0.08, common < 0.02 and len(words) >= 20)]
+    return [2 if bad else 1 if good else 0 for good, bad in rules]
+
+
+def test_votes_and_label_model_equal_plain_ones(spark):
+    """Votes of whole texts, and expectation-maximisation over rows instead of patterns, in plain Python."""
+    documents = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = [r["text"] for r in documents.collect()] + [None, "", "A B c! | #"]
+    found = quality.votes(pa.array(texts))
+    plain = [plain_votes(t) for t in texts]
+    assert found.tolist() == plain
+    model = quality.fit(documents).labels
+    rows = plain[:-3]
+    post = [(sum(a == 1 for a in v) + 1.0) / (sum(a == 1 for a in v) + 3.0 * sum(a == 2 for a in v) + 2.0) for v in rows]
+    for _ in range(100):
+        prior = (sum(post) + 1) / (len(rows) + 2)
+        tables = []
+        for j in range(8):
+            own = []
+            for y in (0, 1):
+                mass = [0.5, 1.0 - 0.5 * y, 0.5 + 0.5 * y]
+                for v, p in zip(rows, post):
+                    mass[v[j]] += p if y == 0 else 1 - p
+                own.append([m / sum(mass) for m in mass])
+            tables.append(own)
+        new = []
+        for v in rows:
+            good, bad = math.log(prior), math.log(1 - prior)
+            for j, a in enumerate(v):
+                if a:
+                    good, bad = good + math.log(tables[j][0][a]), bad + math.log(tables[j][1][a])
+            new.append(1 / (1 + math.exp(max(-50, min(50, bad - good)))))
+        moved = max(abs(a - b) for a, b in zip(new, post))
+        if moved < 1e-9:
+            break
+        post = new
+    assert model.prior == pytest.approx(prior, abs=1e-6) and np.allclose(model.tables, tables, atol=1e-6)
+    scorer = quality.fit(documents)
+    dense = np.zeros((1 << scorer.bits) + quality.EXTRA)
+    text = texts[0]
+    raw = text.encode()
+    for i in range(len(raw) - 2):
+        dense[((int.from_bytes(raw[i : i + 3], "little") * 0x9E3779B1) % 2**32) >> (32 - scorer.bits)] += 1
+    dense = np.sqrt(dense / max(1, len(raw) - 2))
+    words = [w.lower() for w in text.split()]
+    again, distinct = sum(a == b for a, b in zip(words, words[1:])) / len(words), len(set(words)) / len(words)
+    dense[-2:] = math.sqrt(again), (1 - distinct) * min(len(words), 200) / 200
+    got = quality.classify(documents, scorer).where(f"doc_id = {documents.first()['doc_id']}").first()["score"]
+    assert got == pytest.approx(1 / (1 + math.exp(-(dense @ scorer.weights[:-1] + scorer.weights[-1]))), abs=1e-9)
+
+
 def test_label_model_finds_accuracies():
     draw = np.random.default_rng(1)
     truth = draw.random(20_000) < 0.8
@@ -141,6 +216,56 @@ def test_production_penalty_moves_whole_logits():
     assert toxicity.score(pa.array([f"{neutral} idiot"]), fair, 18)[0] > 0.5
 
 
+def plain_toxicity(text, w, bits):
+    """The logit from a word at a time: each word, and its first 4 to 8 bytes where it is longer."""
+    clean = "".join(" " if c in ".,;:!?\"'()[]" else c for c in text or "")
+    counts = Counter()
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", clean.lower().encode()):
+        hashes, _ = toxicity.word_prefixes(*toxicity.text_buffer(pa.array([word.decode()])), toxicity.BEGINNINGS)
+        assert len(hashes) == 1 + sum(len(word) > n for n in toxicity.BEGINNINGS)
+        counts.update((hashes >> np.uint64(64 - bits)).tolist())
+    return sum(w[b] * math.log2(1 + n) for b, n in counts.items()) + w[-1]
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    documents = table(spark, "/root/testdata/sf0.001", "documents")
+    weights = toxicity.fit(documents, table(spark, "/root/testdata/sf0.001", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in documents.collect() if (r["text"] or "").isascii()}
+    scored = {r["doc_id"]: r["score"] for r in toxicity.classify(documents, weights).collect()}
+    for key, text in list(texts.items())[:60]:
+        assert scored[key] == pytest.approx(1 / (1 + math.exp(-plain_toxicity(text, weights, 18))), abs=1e-5)
+
+
+def test_every_swap_of_a_kind_moves_scores_little():
+    """With the production penalty, and labels that coincide with some terms, no swap within a kind moves a neutral sentence far."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    biased = [t for kind in toxicity.IDENTITY.values() for t in kind[:2]]
+    texts, labels = [], []
+    for i in range(900):
+        w = [draw.choice(words) for _ in range(20)]
+        if i % 3 == 0:
+            w[3:5] = ["idiot", draw.choice(biased)]
+        texts.append(" ".join(w))
+        labels.append(float(i % 3 == 0))
+    rows, values = rows_of(texts, 18)
+    w = toxicity.fit_weights(rows, values, np.array(labels), 18)
+    neutral = " ".join(words[:16])
+    for terms in toxicity.IDENTITY.values():
+        scores = toxicity.score(pa.array([f"{neutral} {t}" for t in terms]), w, 18)
+        assert scores.max() - scores.min() < 0.1 and scores.max() < 0.5
+    assert toxicity.score(pa.array([f"{neutral} idiot"]), w, 18)[0] > 0.5
+
+
+def test_toxicity_sample_is_bounded_where_a_key_repeats(spark):
+    rows = [(1, "bad bad words"), (2, "good words")] * 300 + [(i, f"other {i}") for i in range(3, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 AS n", "6 AS label")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    once = spark.createDataFrame(sorted(set(rows)), "doc_id long, text string")
+    assert np.isfinite(toxicity.fit(df, labels, sample=10, bits=12)).all()
+    assert len(toxicity.classify(df, toxicity.fit(once, labels, bits=12)).collect()) == len(rows)
+
+
 def test_toxicity_of_odd_rows(spark):
     none = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     rows = toxicity.classify(odd(spark), toxicity.fit(odd(spark), none)).collect()

@@ -135,3 +135,66 @@ def test_packed_documents(spark):
         assert at <= 256
     assert len(by_sequence) == plain_best_fit(Counter(r["length"] for r in got), 256)
     assert packing.pack_documents(df.limit(0), JSON).collect() == []
+
+
+def test_draws_recomputed_outside_spark(spark):
+    """Every key's path through the tree, by the same hash in plain Python."""
+    xxhash = pytest.importorskip("xxhash")
+    import math
+    import struct
+
+    def hashed(level, node, key):
+        h = xxhash.xxh64_intdigest(level.encode(), seed=42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", node), seed=h)
+        return h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=h)
+
+    def child(nodes, level, key):
+        draw = lambda n: -math.log(((hashed(level, n, key) >> 11) + 0.5) / 2.0**53) / nodes[n]
+        return min(sorted(nodes), key=draw)
+
+    def shard(leaves, key):
+        chosen = leaves
+        for level in ("region", "rack", "shard"):
+            nodes = defaultdict(float)
+            for leaf in chosen:
+                nodes[getattr(leaf, level)] += leaf.weight
+            node = child(nodes, level, key)
+            chosen = [leaf for leaf in chosen if getattr(leaf, level) == node]
+        return node
+
+    leaves = [sharding.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard / 4) for x in sharding.topology(10)]
+    keys = [*range(300), None, -5, 2**62]
+    df = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(df, leaves).collect()}
+    assert got == {k: shard(leaves, k) for k in keys}
+
+
+def test_packing_of_repeated_rows_and_null_keys(spark):
+    rows = [(None, "same words here")] * 3 + [(1, "same words here")] * 2 + [(2, None), (2, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 AS sequence_id", "8 AS first", "7 AS low")
+    got = packing.pack_documents(df, JSON, capacity=8).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and sorted(own)[0][0] == 0
+    assert len(places) == plain_best_fit(Counter(r["length"] for r in got), 8)
+
+
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_runs_are_found_by_bucket(spark, broadcast_rows):
+    draw = random.Random(8)
+    sizes = [draw.randint(1, 97) for _ in range(1500)]
+    df = spark.createDataFrame([(i, 0, s) for i, s in enumerate(sizes)], "doc_id long, piece int, length long")
+    got = packing.pack(df, ["doc_id"], 97, 4, broadcast_rows).collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == 1500 and len(places) == plain_best_fit(Counter(sizes), 97)
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 97
