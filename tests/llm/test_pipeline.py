@@ -41,3 +41,32 @@ def test_queries_equal_sql(spark):
     for name, sql in SQL.items():
         wanted, found = db.sql(sql).df(), QUERIES[name](spark, DATA).toPandas()[db.sql(sql).columns]
         assert sorted(map(tuple, wanted.values.tolist())) == sorted(map(tuple, found.values.tolist()))
+
+
+def rows(spark, values):
+    return spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in values], table(spark, DATA, "documents").schema)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Repeated rows, null ids, several texts under one id, ties, empty texts; all against a plain rule."""
+    base = " ".join(f"w{i}" for i in range(40))
+    near, other = base + " tail", " ".join(f"v{i}" for i in range(30))
+    values = [(5, base), (5, base), (5, other), (3, near), (None, base), (None, other), (None, other), (7, None), (8, None), (9, ""), (9, ""), (10, "alone one two")]
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, rows(spark, values), DATA).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(3, near), (5, other), (7, None), (8, None), (9, ""), (10, "alone one two")], key=str)
+    nothing = corpus_pipeline.keep_one_of_near_duplicates(spark, rows(spark, []), DATA)
+    assert nothing.columns == table(spark, DATA, "documents").columns and nothing.collect() == []
+
+
+def test_stages_on_odd_rows_and_extra_columns(spark):
+    """Every stage but the last keeps all columns, clashing names too, and defines nulls, empties and repeats."""
+    values = [(1, None), (2, ""), (None, "some words of a text that is good enough to stay in the set"), (4, "word " * 30_000)]
+    docs = rows(spark, values + values[:2]).selectExpr("*", "1 AS id", "2 AS gone", "3 AS _removed", "4 AS key", "5 AS n", "6 AS hash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count()
+        assert stage(spark, docs.limit(0), DATA).collect() == [], name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert packed.where("doc_id = 1").count() == 2 and {r["length"] for r in packed.where("doc_id in (1, 2)").collect()} == {1}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).collect() == []

@@ -88,6 +88,22 @@ def test_passages_equal_brute_force(spark):
     assert line_dedup.dedup_passages(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("dedup", [line_dedup.dedup_line_chunks, line_dedup.dedup_passages])
+def test_line_dedup_with_clashing_columns_and_hot_chunks(spark, dedup, monkeypatch):
+    """A column named as the result's is replaced, inner names may occur, and a chunk with many uses is dealt by salt."""
+    monkeypatch.setattr(line_dedup, "SHARE", 3)
+    text = "\n".join(f"line number {i}" for i in range(40))
+    rows = [(i, text) for i in range(20)] + [(0, text)] * 3 + [(50, "own\nwords"), (None, text), (51, None), (52, "")]
+    df = odd(spark, rows, "9 AS n_removed, 1 AS hash, 2 AS salt, 3 AS p, 4 AS _ld_lines")
+    out = dedup(df)
+    assert out.columns == ["doc_id", "text", "hash", "salt", "p", "_ld_lines", "n_removed"]
+    plain = {(r["doc_id"], r["text"]): r["n_removed"] for r in dedup(spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string")).collect()}
+    got = out.collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["text"]): r["n_removed"] for r in got} == plain
+    kept = [r for r in got if r["n_removed"] == 0 and r["text"] == text]
+    assert {r["doc_id"] for r in kept} == {None}
+
+
 # ---- edit matching
 
 
@@ -149,6 +165,35 @@ def test_feistel_permutes_every_range():
     assert [f.permute(x, 1000, b"t") for x in range(50)] != [pii.Feistel(b"other").permute(x, 1000, b"t") for x in range(50)]
 
 
+@pytest.mark.parametrize("key", [b"key", b"another"])
+def test_no_value_is_its_own_pseudonym(key):
+    """Every value of small ranges and formats: all are permuted, none stays."""
+    f = pii.Feistel(key)
+    for n in [*range(2, 130), 257, 1000]:
+        got = [f.permute(x, n, b"t%d" % (n % 3)) for x in range(n)]
+        assert sorted(got) == list(range(n)) and all(x != y for x, y in enumerate(got))
+        seen, x = set(), 0
+        while x not in seen:
+            seen.add(x)
+            x = got[x]
+        assert len(seen) == n  # one cycle
+    names = pii.Pseudonyms(hashlib.sha256(key).digest())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    formats = {
+        "email": [f"{a}@example.com" for a in letters] + [f"{a}{i}@example.com" for a in letters for i in range(10)],
+        "date": [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(0, pii._DAYS, 5)],
+        "phone": [f"+355 {i:04d}" for i in range(1000)],
+        "ssn": [f"{a:03d}-01-0001" for a in range(1, 900) if a != 666],
+        "ip": [f"10.0.0.{i}" for i in range(256)],
+        "card": [b + pii.luhn_digit(b) for b in (f"4{i:011d}" for i in range(300))],
+    }
+    for kind, values in formats.items():
+        got = [names.of(kind, v) for v in values]
+        assert len(set(got)) == len(set(values)) and not any(a == b for a, b in zip(got, values)), kind
+        assert None not in got
+    assert all(names.of("email", v).split("@")[1] == "example.com" for v in formats["email"])
+
+
 VALID = ["und.34@mail7.example.com", "+1 (974) 555-3436", "97.51.17.173", "4111 1111 1111 1111", "123-45-6789", "2024-02-29", "31/12/1999", "GB82 WEST 1234 5698 7654 32"]
 INVALID = ["9807915762804491", "999.51.17.173", "000-45-6789", "2023-02-29", "GB83 WEST 1234 5698 7654 32", "version 1.2.3.4.5"]
 
