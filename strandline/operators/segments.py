@@ -140,3 +140,16 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]
     p = points.withColumn("_k", F.floor(F.col("idx") / width))
     i = intervals.where("stop > start").withColumn("_k", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
     return p.join(i, [*keys, "_k"]).where("idx >= start and idx < stop").drop("_k")
+
+
+def free_intervals(totals: DataFrame, used: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """keys, start, len: maximal stretches of at least ``least`` positions that no used interval holds.
+
+    ``totals`` has keys and total, the length of each sequence; ``used`` has keys, start and
+    len, overlapping or not.  Intervals are ordered by start and compared with the furthest
+    end so far; no position becomes a row.
+    """
+    both = used.where("len > 0").select(*keys, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("len")).cast("long").alias("_stop")).unionByName(totals.select(*keys, F.col("total").cast("long").alias("start"), F.col("total").cast("long").alias("_stop")))
+    earlier = Window.partitionBy(*keys).orderBy("start", "_stop").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = both.withColumn("_since", F.coalesce(F.max("_stop").over(earlier), F.lit(0)))
+    return gaps.where(F.col("start") - F.col("_since") >= least).select(*keys, F.col("_since").alias("start"), (F.col("start") - F.col("_since")).alias("len"))

@@ -13,7 +13,10 @@ from ..storage import fresh_path, stored
 from .adapters import ALN_SQL, BASES, LETTERS, SEQS_SQL, aln, seqs
 from .queries import (
     BASE_SQL,
+    BLOCKS_SQL,
     CELLS_SQL,
+    COMP_SQL,
+    EDITS_SQL,
     KMER_SQL,
     NAMED_SQL,
     PAIRS_SQL,
@@ -24,8 +27,10 @@ from .queries import (
     SEQ_CELLS_SQL,
     _as_lines,
     _draw_sql,
+    _edits,
     _named,
     _restorable,
+    drawable_segments,
     n_runs,
 )
 from .registry import query
@@ -214,6 +219,31 @@ def match_report(spark, sf_dir):
     return reports.render_matches(pairs.match_table(aln(spark, sf_dir)).withColumn("name", F.concat_ws("_", "aln_id", "i")))
 
 
+@query(f"""WITH {COMP_SQL} SELECT aln_id, 0 AS line_no, 'SP score: ' || CAST(sum(n_match - n_mismatch - 2 * n_gap1) AS BIGINT) AS text FROM cls GROUP BY aln_id""")
+def sp_report(spark, sf_dir):
+    """The whole-number line of the sum-of-pairs report."""
+    return reports.render_sp(composition.sp_scores(cells(aln(spark, sf_dir)))).where("line_no = 0")
+
+
+@query(f"""WITH {BLOCKS_SQL}, m AS (SELECT *, count(*) FILTER (a_fwd = b_fwd) OVER (PARTITION BY other) * 2 > count(*) OVER (PARTITION BY other) AS maj FROM pb),
+d AS (SELECT other, ord, a_start AS x1, CASE WHEN a_fwd = b_fwd THEN b_start WHEN maj THEN b_total - b_start ELSE b_start + b_len END AS y1, a_start + a_len AS x2, CASE WHEN a_fwd = b_fwd THEN b_start + b_len WHEN maj THEN b_total - b_start - b_len ELSE b_start END AS y2 FROM m),
+t AS (SELECT CAST(a.aln_id AS VARCHAR) || '_' || CAST(a.row_idx AS VARCHAR) AS other, length(replace(c.seq, '-', '')) AS ta, length(replace(a.seq, '-', '')) AS tb FROM aln a JOIN aln c ON c.aln_id = a.aln_id AND c.row_idx = 0)
+SELECT other, row_number() OVER (PARTITION BY other ORDER BY ord, x1, y1, x2, y2) AS line_no, '<line x1="' || x1 || '" y1="' || y1 || '" x2="' || x2 || '" y2="' || y2 || '" stroke="' || CASE WHEN y2 >= y1 THEN 'red' ELSE 'dodgerblue' END || '"/>' AS text FROM d
+UNION ALL SELECT other, 0, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ' || ta || ' ' || tb || '">' FROM t UNION ALL SELECT other, 4611686018427387904, '</svg>' FROM t""")
+def dotplot_svg(spark, sf_dir):
+    rows = aln(spark, sf_dir).select("aln_id", F.concat_ws("_", "aln_id", "row_idx").alias("other"), "row_idx", F.length(S.strip_gaps(F.col("seq"))).alias("b_total"))
+    centre = rows.where("row_idx = 0").select("aln_id", F.col("b_total").alias("a_total"))
+    return reports.render_dotplot(drawable_segments(spark, sf_dir), rows.join(centre, "aln_id").select("other", "a_total", "b_total"))
+
+
+@query(f"""WITH {SEQ_CELLS_SQL}, {EDITS_SQL}, f AS (SELECT seq_idx, pos FROM sc WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.seq_idx = sc.seq_idx AND pos >= start AND pos < start + len)),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_idx ORDER BY pos) AS island FROM f) SELECT seq_idx, min(pos) AS start, count(*) AS len FROM i GROUP BY seq_idx, island HAVING count(*) >= 20""")
+def free_places(spark, sf_dir):
+    """Stretches of 20 or more positions that no edit touches."""
+    totals = seqs(spark, sf_dir).where("seq <> ''").select("seq_idx", F.length("seq").alias("total"))
+    return segments.free_intervals(totals, _edits(spark, sf_dir), ["seq_idx"], 20)
+
+
 def _block_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each alignment as one block: (names, blocks, rows)."""
     rows = _named(spark, sf_dir)

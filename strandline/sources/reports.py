@@ -5,7 +5,7 @@ All return rows of text with the columns that order them; nothing is gathered to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.columns import pair_cells
@@ -98,6 +98,28 @@ def render_stats(stats: DataFrame) -> DataFrame:
     return stats.select(F.posexplode(shown).alias("line_no", "text"))
 
 
+def render_sp(scores: DataFrame) -> DataFrame:
+    """aln_id, line_no, text: the report of sum-of-pairs scores of each alignment."""
+    shown = F.array(*(F.concat(F.lit(f"{title}: "), F.col(c).cast("string")) for title, c in (("SP score", "sp"), ("Avg SP score", "avg_sp"), ("Scaled SP score", "scaled_sp"))))
+    return scores.select("aln_id", F.posexplode(shown).alias("line_no", "text"))
+
+
+def render_dotplot(segments: DataFrame, totals: DataFrame) -> DataFrame:
+    """other, line_no, text: an SVG drawing of each pair, the origin at the upper left.
+
+    ``segments``: other, ord, x1, y1, x2, y2, as :func:`drawable_segments` gives them;
+    ``totals``: other, a_total, b_total.  Segments that rise are red, the others blue.
+    """
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    number = F.row_number().over(Window.partitionBy("other").orderBy("ord", "x1", "y1", "x2", "y2")).cast("long")
+    colour = F.when(F.col("y2") >= F.col("y1"), "red").otherwise("dodgerblue")
+    drawn = segments.select("other", number.alias("line_no"), line('<line x1="', F.col("x1"), '" y1="', F.col("y1"), '" x2="', F.col("x2"), '" y2="', F.col("y2"), '" stroke="', colour, '"/>').alias("text"))
+    head = line('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ', F.col("a_total"), " ", F.col("b_total"), '">')
+    first = totals.select("other", F.lit(0).cast("long").alias("line_no"), head.alias("text"))
+    last = totals.select("other", F.lit(2**62).cast("long").alias("line_no"), F.lit("</svg>").alias("text"))
+    return drawn.unionByName(first).unionByName(last)
+
+
 def render_matches(table: DataFrame) -> DataFrame:
     """aln_id, line_no, text: the tab-separated match report of each alignment; ``table`` has a name for each row, row 0 is the centre."""
     centre = F.col("i") == 0
