@@ -37,7 +37,7 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of every document under a model of good documents less that under a model of all."""
+    """Loss of every document under a model of good documents less that under a model of all others."""
     ship(spark)
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)

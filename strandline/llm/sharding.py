@@ -7,8 +7,11 @@ weight moves rows only into or out of that child: movement stays in the subtrees
 weights change.  :func:`grow` puts a new shard into a region of its own, so all the
 rows that move go to the new shard.
 
-Nulls and repeated rows: a null key is a key like any other (the hash skips it), equal
-keys always share a shard, an empty table gives an empty result.
+A null key is a key like any other (the hash skips it); equal keys always share a shard, and
+repeated rows each get a slot of their own.  Null and empty texts have size 1 and CRC 0;
+whole texts are read.  Equal draws go to the smaller node, equal rows of a slot bucket to
+either slot.  An empty table gives an empty result.  Further columns are not returned,
+and clash with none here.
 """
 
 from __future__ import annotations
