@@ -9,8 +9,9 @@ times is looked up in the long ones by binary search.  Here, on Spark:
 1. Texts with equal sets are one class; only classes take part.
 2. Shingles are ordered by the length of their lists: estimated from a share of the
    classes, chosen by hash and counted over all tasks, so that the order holds however
-   texts are dealt to tasks, and from what single tasks see of all classes; the most
-   frequent ones, a bounded table, are sent to the scan, and the rest go by hash.  Only a text's ``n - T + ell`` shortest lists are built, so a partner occurs
+   texts are dealt to tasks, and from what single tasks see of all classes.  The scan gets
+   the logarithm of the longest list in each of 2**24 buckets of hashes, one byte each:
+   where shingles share a bucket the shorter list is taken for a longer one.  Only a text's ``n - T + ell`` shortest lists are built, so a partner occurs
    at least ``ell`` times among them.
 3. A sort by shingle puts each list together; one streaming pass with bounded memory
    merges it.  Lists up to ``short`` members give pairs, which are counted; those with
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .runtime import lean, most_frequent, slices, stored
+from .runtime import lean, slices, stored
 from .wordhash import mix, shingle_sets
 
 
@@ -122,29 +123,45 @@ def _scan(k: int, key_type: pa.DataType):
     return run
 
 
-class Order:
-    """Ranks shingles by the logarithm of their list's length, then by hash."""
+#: Buckets of hashes in the table that orders lists, and in a row that makes it up, as powers of two.
+BUCKETS, ROW = 24, 12
+
+
+def _levels(shared: DataFrame) -> DataFrame:
+    """(row, body): for ``ROW`` bits' worth of buckets each, the largest level (one more than the logarithm of n) of its shingles (id, n)."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        body = np.zeros(1 << ROW, dtype=np.uint8)
+        np.maximum.at(body, table.column("slot").to_numpy(), table.column("level").to_numpy().astype(np.uint8))
+        return pa.table({"row": table.column("row").slice(0, 1), "body": pa.array([body.tobytes()], pa.binary())})
+
+    bucket = F.shiftrightunsigned("id", 64 - BUCKETS)
+    level = (F.floor(F.log2("n")) + 1).cast("int")
+    placed = shared.select(F.shiftright(bucket, ROW).cast("int").alias("row"), bucket.bitwiseAND((1 << ROW) - 1).cast("int").alias("slot"), level.alias("level"))
+    return placed.groupBy("row").applyInArrow(pack, "row int, body binary")
 
-    def __init__(self, longest: np.ndarray):
-        known = longest.reshape(-1, 2)  # shingle, occurrences
-        known = known[np.argsort(known[:, 0].view(np.uint64))] if len(known) else known
-        self.values, self.lengths = known[:, 0].copy().view(np.uint64), known[:, 1]
 
-    def lengths_of(self, x: np.ndarray) -> np.ndarray:
-        """The counted occurrences of each shingle, 0 where it is not among the longest."""
-        if not len(self.values):
-            return np.zeros(len(x), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
-        return np.where(self.values[at] == x, self.lengths[at], 0)
+def order_table(rows: list[tuple[int, bytes]]) -> np.ndarray:
+    """The level of every bucket, 0 where nothing is known."""
+    out = np.zeros((1 << (BUCKETS - ROW), 1 << ROW), dtype=np.uint8)
+    for row, body in rows:
+        out[row] = np.frombuffer(body, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+class Order:
+    """Ranks shingles by the level of their bucket, then by hash."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
 
     def shortest(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(shingles, their counted occurrences) of the ``count`` shortest lists."""
-        lengths = self.lengths_of(x)
-        if not lengths.any():
-            return x[:count], lengths[:count]
-        levels = np.where(lengths > 0, np.log2(np.maximum(lengths, 1)).astype(np.int8) + 1, 0)
+        """(shingles, their levels) of the ``count`` shortest lists."""
+        levels = self.levels[x >> np.uint64(64 - BUCKETS)]
+        if not levels.any():
+            return x[:count], levels[:count]
         chosen = np.argsort(levels, kind="stable")[:count]
-        return x[chosen], lengths[chosen]
+        return x[chosen], levels[chosen]
 
 
 #: Members of a very long list that go to one task.
@@ -166,9 +183,9 @@ def _post(k: int, num: int, den: int, held):
                 for x, c in zip(sets, class_keys(sets).tolist()):
                     if len(x) and c not in seen:
                         seen.add(c)
-                        chosen, lengths = order.shortest(x, merged_lists(len(x), num, den))
+                        chosen, levels = order.shortest(x, merged_lists(len(x), num, den))
                         out.append(chosen)
-                        many.append(lengths // SHARE)
+                        many.append((np.int64(1) << levels.astype(np.int64)) // (2 * SHARE))
                         ids.append(c)
                         sizes.append(len(x))
                 lengths = [len(x) for x in out]
@@ -383,12 +400,12 @@ def _large_blocks(family: DataFrame, large: DataFrame, star: DataFrame, block: i
     return asked.unionByName(deal(family, "columns", "rows").select("head", F.col("other").alias("p"), F.col("own").alias("q"), F.lit(True).alias("large"), F.lit(1).alias("side"), "id"))
 
 
-def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, short: int = 32, block: int = 256, longest: int = 200_000, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, short: int = 32, block: int = 256, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(links between classes: a, b; documents: key, id, n_shingles).
 
     The links connect every two classes that similarity links, directly or through
-    others; ``longest`` bounds the table that orders lists and ``broadcast_rows`` the
-    keys that are broadcast to the scan for sets (more are joined by a shuffle).
+    others; ``broadcast_rows`` bounds the keys that are broadcast to the scan for sets
+    (more are joined by a shuffle).
     """
     kind = dict(df.dtypes)[key]
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -396,8 +413,8 @@ def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den:
     documents = scan.where("kind = 0").select("key", "id", F.col("n").alias("n_shingles"))
     each = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     shared = scan.where("kind > 0").groupBy("id").agg(each(1).alias("near"), each(2).alias("far")).where("near > 0 or far > 1")
-    frequent = stored(shared.select("id", F.greatest("near", F.col("far") * RATE).alias("n")), "frequent")
-    held = df.sparkSession.sparkContext.broadcast(np.array(most_frequent(frequent, longest, "id").collect(), dtype=np.int64))
+    levels = _levels(shared.select("id", F.greatest("near", F.col("far") * RATE).alias("n")))
+    held = df.sparkSession.sparkContext.broadcast(order_table([(r["row"], r["body"]) for r in levels.collect()]))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = docs.mapInArrow(lean(_post(k, num, den, held)), "shingle long, part int, id long, n int")
     merged = stored(posted.repartition(partitions, "shingle", "part").sortWithinPartitions("shingle", "part", "id").mapInArrow(lean(_merge(num, den, short)), "kind byte, a long, b long, na int, nb int, times long, shingle long"), "merged-lists")
