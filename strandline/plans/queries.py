@@ -98,6 +98,17 @@ def strip_gaps(spark, sf_dir):
     return seqs(spark, sf_dir).select("seq_idx", S.strip_gaps(F.col("seq")).alias("seq"))
 
 
+@query("SELECT doc_id AS seq_idx, regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', '', 'g') AS text FROM documents")
+def strip_space(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_idx"), S.strip_space(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(f"WITH {LETTERS_SQL} SELECT seq_idx, translate(translate(seq, 'ABCDEF', '1234><'), '1234><', 'acgt') AS seq FROM letters")
+def marker_cleanup(spark, sf_dir):
+    """Letters A to F stand for inserted digits and deletion marks."""
+    return letters(spark, sf_dir).select("seq_idx", S.clean_markers(F.translate("seq", "ABCDEF", "1234><")).alias("seq"))
+
+
 @query(f"WITH {SEQS_SQL} SELECT seq_idx, translate(seq, 'ACGTN-', '123457') AS codes, seq AS decoded FROM seqs")
 def base_codes(spark, sf_dir):
     coded = seqs(spark, sf_dir).select("seq_idx", S.encode(F.col("seq")).alias("codes"))
@@ -412,6 +423,14 @@ def greedy_seeds(spark, sf_dir):
     return kmers.greedy_seeds(queries, reference, 15)
 
 
+@query(f"""WITH RECURSIVE {UNGAPPED_SQL}, k AS ({KMER_SQL.format(keys='aln_id, row_idx', k=9, t='u')}),
+qk AS (SELECT aln_id AS ref_idx, row_idx AS query_idx, pos, kmer FROM k WHERE row_idx > 0), rk AS (SELECT aln_id AS ref_idx, pos, kmer FROM k WHERE row_idx = 0),
+{SEEDS_SQL.format(on='q.ref_idx = r.ref_idx AND q.kmer = r.kmer').replace('+ 15 AS length', '+ 9 AS length').replace('AS length FROM top GROUP BY ALL', 'AS length FROM top GROUP BY ALL HAVING count(*) = 1')} SELECT * FROM seeds""")
+def unique_seeds(spark, sf_dir):
+    queries, reference = _reads(spark, sf_dir)
+    return kmers.greedy_seeds(queries, reference, 9, unique=True)
+
+
 # ---- simulation
 
 
