@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, toxicity
+from . import decontam, importance, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, toxicity
 from .runtime import table
 
 SECRET = "key of the registered query; a deployment passes its own"
@@ -83,6 +83,13 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op13_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five per cent of the documents, drawn towards the distribution of the benchmark's texts."""
+    ship(spark)
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP3_SQL = line_dedup.SQL.format(documents="documents") + "SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(left_text, '') END AS text, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed FROM documents d LEFT JOIN result r ON r.doc_id = d.doc_id"
 
 OP9_SQL = r"""
@@ -99,8 +106,23 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.c) AS com
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+OP13_SQL = r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+f AS (SELECT side, doc_id, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))))) AS g FROM w),
+h AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(g))), lambda i: CAST('0x' || substr(hex(g), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT g FROM f), crc),
+p AS MATERIALIZED (SELECT side, doc_id, b, count(*) AS n FROM f JOIN h ON h.g = f.g GROUP BY ALL),
+c AS (SELECT b, CAST(coalesce(sum(n) FILTER (side = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 1), 0) AS DOUBLE) AS t FROM p GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM p JOIN g ON g.b = p.b WHERE side = 0 GROUP BY doc_id),
+x AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id WHERE side = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_words >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity)
+    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity, op13_position_ngrams)
 }
 
-SQL: dict[str, str] = {"op3_line_chunks": OP3_SQL, "op9_divide_skip": OP9_SQL}
+SQL: dict[str, str] = {"op3_line_chunks": OP3_SQL, "op9_divide_skip": OP9_SQL, "op13_position_ngrams": OP13_SQL}
