@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, importance, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, toxicity
-from .runtime import table
+from . import alignment, decontam, importance, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, toxicity
+from .runtime import stored, table
 
 SECRET = "key of the registered query; a deployment passes its own"
 
@@ -83,6 +83,18 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, and how usual its links are in all documents."""
+    import public_tokenizers
+
+    ship(spark)
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    kept = stored(aligned.select("row", "key", "n_a", "n_b", "n_groups", digest, "pairs", "times"), "alignments")
+    out = alignment.alignment_statistics(kept)
+    return out.select(F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", F.col("n_best_b").alias("n_best"), "count_sum", "groups_sha256")
+
+
 def op13_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five per cent of the documents, drawn towards the distribution of the benchmark's texts."""
     ship(spark)
@@ -122,7 +134,7 @@ SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity, op13_position_ngrams)
+    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity, op12_token_alignment, op13_position_ngrams)
 }
 
 SQL: dict[str, str] = {"op3_line_chunks": OP3_SQL, "op9_divide_skip": OP9_SQL, "op13_position_ngrams": OP13_SQL}
