@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import alignment, decontam, importance, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, toxicity
+from . import alignment, decontam, importance, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, sharding, simhash, toxicity
 from .runtime import stored, table
 
 SECRET = "key of the registered query; a deployment passes its own"
@@ -83,6 +83,13 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under SimHash of four-word shingles and four differing bits."""
+    ship(spark)
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every document, and how usual its links are in all documents."""
     import public_tokenizers
@@ -134,7 +141,7 @@ SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity, op12_token_alignment, op13_position_ngrams)
+    f.__name__: f for f in (op1_hash_tree, op2_weak_quality, op3_line_chunks, op4_cross_entropy, op5_payload_chunks, op6_edit_decontam, op7_feistel_pii, op8_best_fit_packing, op9_divide_skip, op10_counterfactual_toxicity, op11_bit_sliced, op12_token_alignment, op13_position_ngrams)
 }
 
 SQL: dict[str, str] = {"op3_line_chunks": OP3_SQL, "op9_divide_skip": OP9_SQL, "op13_position_ngrams": OP13_SQL}
