@@ -31,25 +31,31 @@ def parse_fasta(lines: DataFrame, upper: bool = False, dashes: bool = False) ->
     return rows.select("file", (F.col("rec") - 1).alias("seq_idx"), "name", seq.alias("seq"))
 
 
+def problems(seqs: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """file, problem: what keeps the records of a file from being an alignment (of ``names``, where given), null where nothing does."""
+    found = F.count("*") if names is None else F.count_distinct(F.when(F.col("name").isin(names), F.col("name")))
+    n = F.length("seq") if names is None else F.when(F.col("name").isin(names), F.length("seq"))
+    few = F.lit("an alignment needs two sequences" if names is None else "a named sequence is missing")
+    checked = seqs.groupBy("file").agg(found.alias("_n"), F.min(n).alias("_low"), F.max(n).alias("_high"))
+    least = 2 if names is None else len(set(names))
+    return checked.select("file", F.when(F.col("_n") < least, few).when(F.col("_low") != F.col("_high"), F.lit("sequences differ in length")).alias("problem"))
+
+
+def _without_problems(seqs: DataFrame, found: DataFrame) -> DataFrame:
+    """``seqs``; reading a row of a file with a problem is an error."""
+    ok = F.when(F.col("problem").isNull(), F.col("seq")).otherwise(F.raise_error(F.concat_ws(": ", "file", "problem")))
+    return seqs.join(found, "file").withColumn("seq", ok).select(*seqs.columns)
+
+
 def parse_fasta_named(lines: DataFrame, names: list[str], upper: bool = True) -> DataFrame:
-    """The named sequences; an error where one is missing or lengths differ."""
-    found = parse_fasta(lines, upper).where(F.col("name").isin(names))
-    check = found.agg(F.count_distinct("name").alias("n"), F.min(F.length("seq")).alias("low"), F.max(F.length("seq")).alias("high")).first()
-    if check["n"] < len(set(names)):
-        raise ValueError("a named sequence is missing")
-    if check["low"] != check["high"]:
-        raise ValueError("sequences differ in length")
-    return found
+    """The named sequences of each file; reading is an error where a file lacks one or lengths differ."""
+    seqs = parse_fasta(lines, upper)
+    return _without_problems(seqs, problems(seqs, names)).where(F.col("name").isin(names))
 
 
 def require_alignment(seqs: DataFrame) -> DataFrame:
-    """``seqs`` if it has two sequences at least, all of one length; an error otherwise."""
-    check = seqs.agg(F.count("*").alias("n"), F.min(F.length("seq")).alias("low"), F.max(F.length("seq")).alias("high")).first()
-    if check["n"] < 2:
-        raise ValueError("an alignment needs two sequences")
-    if check["low"] != check["high"]:
-        raise ValueError("sequences differ in length")
-    return seqs
+    """``seqs``; reading is an error where a file has fewer than two sequences, or not all of one length."""
+    return _without_problems(seqs, problems(seqs))
 
 
 def concatenated(seqs: DataFrame) -> DataFrame:

@@ -35,14 +35,19 @@ def test_fasta_keeps_order_over_splits(spark, tmp_path):
 
 
 def test_fasta_checks(spark, tmp_path):
-    rows = lines(spark, tmp_path, ">a\nAC\n>b\nACG\n>c\nTT\n")
-    assert formats.parse_fasta_named(rows, ["a", "c"]).count() == 2
-    with pytest.raises(ValueError, match="length"):
-        formats.parse_fasta_named(rows, ["a", "b"])
-    with pytest.raises(ValueError, match="missing"):
-        formats.parse_fasta_named(rows, ["a", "z"])
-    with pytest.raises(ValueError, match="length"):
-        formats.require_alignment(formats.parse_fasta(rows))
+    rows = lines(spark, tmp_path, ">a\nAC\n>b\nACG\n>c\nTT\n").unionByName(lines(spark, tmp_path, ">a\nACGT\n>c\nTTTT\n", "y"))
+    assert formats.parse_fasta_named(rows, ["a", "c"]).count() == 4  # each file has one length of its own
+    with pytest.raises(Exception, match="x.txt: sequences differ in length"):
+        formats.parse_fasta_named(rows, ["a", "b"]).where("file like '%x.txt'").collect()
+    with pytest.raises(Exception, match="y: a named sequence is missing"):
+        formats.parse_fasta_named(rows, ["a", "b"]).where("file like '%y'").collect()
+    with pytest.raises(Exception, match="length"):
+        formats.require_alignment(formats.parse_fasta(rows)).collect()
+    assert formats.require_alignment(formats.parse_fasta(rows).where("file like '%y'")).count() == 2
+    with pytest.raises(Exception, match="two sequences"):
+        formats.require_alignment(formats.parse_fasta(rows).where("seq_idx = 0")).collect()
+    found = {r["file"][-1]: r["problem"] for r in formats.problems(formats.parse_fasta(rows)).collect()}
+    assert found == {"t": "sequences differ in length", "y": None}
 
 
 def test_clustal(spark, tmp_path):

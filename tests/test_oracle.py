@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import strandline.plans.files
 import strandline.plans.reports  # noqa: F401
 from strandline.plans.registry import QUERIES, SQL
 
