@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .rope import edited, from_rope, to_rope
+from .scan import running
 
 KEYS = ("aln_id", "row_idx")
 
@@ -25,21 +27,21 @@ def symbol_runs(rows: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> D
     return cut.select(*keys, F.sum(F.col("p.core").cast("long")).over(so_far).alias("idx"), F.col("p.number").cast("long").alias("number"))
 
 
-def splice(rows: DataFrame, edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, seq: each sequence with ``len`` symbols at ``start`` exchanged for ``str_value``; edits (keys, start, len, str_value) are disjoint."""
-    own = edits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "len", "str_value"))).alias("_e"))
-    joined = rows.select(*keys, "seq").join(own, list(keys), "left")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_e", lambda e: e["start"] + e["len"]))
-    cut = joined.withColumn("_ends", ends)
-    pieces = F.transform("_e", lambda e, i: F.concat(F.substring("seq", F.get("_ends", i) + 1, e["start"] - F.get("_ends", i)), e["str_value"]))
-    rest = F.substring("seq", F.element_at("_ends", -1) + 1, F.length("seq"))
-    return cut.select(*keys, F.when(F.col("_e").isNull(), F.col("seq")).otherwise(F.concat(F.array_join(pieces, ""), rest)).alias("seq"))
+def splice(rows: DataFrame, *edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, seq: each sequence with ``len`` symbols at ``start`` exchanged for ``str_value``; edits (keys, start, len, str_value) are disjoint.
+
+    Edits are dealt to the chunks of a rope.  Several tables of edits are applied in turn,
+    in the same coordinates: all but the last must keep lengths.
+    """
+    rope = to_rope(rows, keys)
+    for table in edits:
+        rope = edited(rope, table, keys)
+    return from_rope(rope, keys)
 
 
 def run_offsets(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds ``before``: symbols in earlier runs of the sequence."""
-    earlier = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("before", F.coalesce(F.sum("number").over(earlier), F.lit(0)))
+    return running(runs, list(keys), "idx", {"before": F.col("number")}, exclusive=True)
 
 
 def offsets_at(points: DataFrame, runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -62,7 +64,7 @@ def with_runs(rows: DataFrame, symbol: str = "N", keys: tuple[str, ...] = KEYS,
 def insert_runs(cores: DataFrame, runs: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, seq: cores (keys, seq) with their runs put back; the inverse of removing a symbol."""
     back = runs.select(*keys, F.col("idx").alias("start"), F.lit(0).cast("long").alias("len"), F.repeat(F.lit(symbol), F.col("number").cast("int")).alias("str_value"))
-    return splice(cores, back, keys)
+    return splice(cores, back, keys=keys)
 
 
 def merge_needs(gap_runs: DataFrame, n_runs: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def restore_unknown(aligned: DataFrame, n_runs: DataFrame) -> DataFrame:
     wide = aligned.select("aln_id", "row_idx").join(merge_widths(needs), "aln_id").join(own, ["aln_id", "row_idx", "c"], "left")
     left = F.coalesce("left", F.lit(0))
     widen = wide.select("aln_id", "row_idx", F.col("c").alias("start"), F.lit(0).cast("long").alias("len"), F.concat(F.repeat(F.lit("N"), left.cast("int")), F.repeat(F.lit("-"), (F.col("w") - left).cast("int"))).alias("str_value"))
-    return splice(splice(aligned, fill), widen)  # an insertion may fall inside a filled gap, so fill first
+    return splice(aligned, fill, widen)  # an insertion may fall inside a filled gap, so fill first
 
 
 def restore_named(aligned: DataFrame, records: DataFrame) -> DataFrame:

@@ -127,8 +127,8 @@ def variant_edits(variants: DataFrame, reference: DataFrame, times: int = 2, see
 
 
 def apply_edits(reference: DataFrame, edits: DataFrame) -> DataFrame:
-    """seq_idx, seq: the reference with disjoint edits applied, by cutting it at their places."""
-    return splice(reference, edits, ("seq_idx",))
+    """seq_idx, seq: the reference with disjoint edits applied, chunk by chunk."""
+    return splice(reference, edits, keys=("seq_idx",))
 
 
 def liftover(points: DataFrame, edits: DataFrame) -> DataFrame:

@@ -50,6 +50,21 @@ def data_files(path: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.is_file and not hidden(f.path))
 
 
+def following(store: fs.FileSystem, path: str) -> Iterator[str]:
+    """The files behind ``path`` in its ordered set; none where it is in no set."""
+    folder, _, own = path.rpartition("/")
+    names = [f["file"] for f in listed(store, folder)]
+    return (f"{folder}/{n}" for n in (names[names.index(own) + 1 :] if own in names else []))
+
+
+def listed(store: fs.FileSystem, folder: str) -> list[dict]:
+    """file, rows, bytes of the ordered set in a folder."""
+    if not store.get_file_info(f"{folder}/{LISTED}").is_file:
+        return []
+    with store.open_input_stream(f"{folder}/{LISTED}") as file:
+        return json.loads(file.read())
+
+
 def lines_from(store: fs.FileSystem, path: str, at: int) -> Iterator[tuple[int, bytes]]:
     """(offset, line without its end) of a file from byte ``at`` on."""
     with store.open_input_file(path) as file:
@@ -158,7 +173,13 @@ class FastaReader(RecordReader):
                 body.append(line)
             elif offset >= part.stop:
                 return
-        if name is not None:
+        if name is not None:  # the record may go on in the next files of an ordered set
+            for file in following(store, part.file):
+                for _, line in lines_from(store, file, 0):
+                    if line[:1] == b">":
+                        yield self._record(name, body)
+                        return
+                    body.append(line)
             yield self._record(name, body)
 
     def _record(self, name: bytes, body: list[bytes]) -> dict:
@@ -276,16 +297,10 @@ class OrderedWriter(DataSourceArrowWriter):
                         rows, size = rows + 1, size + len(text) + 1
         return Written(part, file, rows, size)
 
-    def _listed(self, store: fs.FileSystem, folder: str) -> list[dict]:
-        if not store.get_file_info(f"{folder}/{LISTED}").is_file:
-            return []
-        with store.open_input_stream(f"{folder}/{LISTED}") as file:
-            return json.loads(file.read())
-
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = self._folder()
         store.create_dir(folder)
-        before = self._listed(store, folder)
+        before = listed(store, folder)
         kept = [] if self.overwrite else before
         first = len(kept)
         for message in sorted((m for m in messages if m and m.rows), key=lambda m: m.part):
