@@ -26,6 +26,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -60,22 +62,13 @@ def merge_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-class Segment:
-    """What a segment adds to its text: tokens of either side, groups, pairs; ``whole`` is false where its bytes got lost."""
+class Segment(NamedTuple):
+    """What a segment adds to its text: tokens of either side, pairs, and groups as text."""
 
-    __slots__ = ("groups", "n_a", "n_b", "pairs", "whole")
-
-    def __init__(self, raw: bytes, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        self.n_a, self.n_b = len(a), len(b)
-        self.whole = b"".join(parts_a) == raw == b"".join(parts_b)
-        ends = merge_ends(np.cumsum([len(p) for p in parts_a]).tolist(), np.cumsum([len(p) for p in parts_b]).tolist()) if self.whole else []
-        self.pairs = [a[i] * SHIFT + b[j] for i, j in ends]
-        groups, x, y = [], 0, 0
-        for i, j in ends:
-            groups.append(",".join(map(str, a[x : i + 1])) + "|" + ",".join(map(str, b[y : j + 1])))
-            x, y = i + 1, j + 1
-        self.groups = ";".join(groups)
+    n_a: int
+    n_b: int
+    pairs: list[int]
+    groups: str
 
 
 class Aligner:
@@ -98,9 +91,10 @@ class Aligner:
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, Segment] = {}
+        self.known: dict[str, Segment | None] = {}  # None where bytes got lost
         self.most = most
 
     def segments(self, text: str) -> list[str]:
@@ -123,10 +117,27 @@ class Aligner:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(segments)
-        a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in new], num_threads=1)
-        for s, x, y in zip(new, a, b):
-            self.known[s] = Segment(s.encode("utf-8", "surrogatepass"), x.ids, y if len(s) > 1 else [self.space], self.bytes_a, self.bytes_b)
+        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        ids_b = [y if len(s) > 1 else [self.space] for s, y in zip(new, self.b.encode([s[1:] for s in new], num_threads=1))]
+        raw = [s.encode("utf-8", "surrogatepass") for s in new]
+        joined = b"".join(raw)
+        lossless = all(b"".join([table[i] for ids in own for i in ids]) == joined for table, own in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+        for s, r, x, y in zip(new, raw, ids_a, ids_b):
+            self.known[s] = self._segment(r, x, y, lossless)
+
+    def _segment(self, raw: bytes, a: list[int], b: list[int], lossless: bool) -> Segment | None:
+        """A segment from its ids; with ``lossless`` the bytes of all segments together are known to be right, so lengths tell."""
+        ends_a, ends_b = list(accumulate([self.sizes_a[i] for i in a])), list(accumulate([self.sizes_b[i] for i in b]))
+        if not ends_a or not ends_b or not ends_a[-1] == ends_b[-1] == len(raw):
+            return None
+        if not lossless and not b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b]):
+            return None
+        pairs, groups, x, y = [], [], 0, 0
+        for i, j in merge_ends(ends_a, ends_b):
+            pairs.append(a[i] * SHIFT + b[j])
+            groups.append(f"{a[i]}|{b[j]}" if i == x and j == y else ",".join(map(str, a[x : i + 1])) + "|" + ",".join(map(str, b[y : j + 1])))
+            x, y = i + 1, j + 1
+        return Segment(len(a), len(b), pairs, ";".join(groups))
 
     def align(self, texts: list[str | None], window: int = 1 << 20) -> Iterator[tuple[int, int, int, str, list[int], list[int]]]:
         """(tokens of A, of B, groups, groups as text, pairs, how often each) of every text, learning segments of about 1 MB of texts at once."""
@@ -140,14 +151,15 @@ class Aligner:
             self.learn({s for own in cut for s in own})
             for own in cut:
                 found = [self.known[s] for s in own]
-                if not found or not all(f.whole for f in found):
+                if not found or None in found:
                     yield 0, 0, 0, "", [], []
                     continue
                 pairs: Counter[int] = Counter()
                 for segment, times in Counter(own).items():
                     for p in self.known[segment].pairs:
                         pairs[p] += times
-                yield sum(f.n_a for f in found), sum(f.n_b for f in found), sum(len(f.pairs) for f in found), ";".join(f.groups for f in found), list(pairs), list(pairs.values())
+                n_a, n_b, _, groups = zip(*found)
+                yield sum(n_a), sum(n_b), sum(pairs.values()), ";".join(groups), list(pairs), list(pairs.values())
             at = to
 
 
