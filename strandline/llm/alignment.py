@@ -9,7 +9,8 @@ largest count of each id of either side, back to every text's links.
 
 A text is cut into segments where a space follows a visible character, which no token of
 either side spans (checked on B's pieces when they are loaded; A's pre-tokenizer rules it
-out), so segments are encoded and merged once as far as a task remembers them.
+out).  A task takes windows of texts and encodes and merges each distinct segment of a
+window once: all segments lie one behind the other on one axis of bytes.
 
 Pair counts grow with the corpus and stay distributed.  The ``broadcast_rows`` most
 frequent pairs are joined by a broadcast, so no hot pair is shuffled; all others, of which
@@ -24,9 +25,9 @@ result.  Further columns are not read, so their names clash with none here.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -62,19 +63,24 @@ def merge_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-class Segment(NamedTuple):
-    """What a segment adds to its text: tokens of either side, pairs, and groups as text."""
+#: A space behind anything but a visible character.
+_UNSAFE = re.compile(r"[^!-~\w] |^ ")
 
-    n_a: int
-    n_b: int
-    pairs: list[int]
-    groups: str
+
+class Texts(NamedTuple):
+    """Alignments of texts: for each its tokens of A and B, its groups as text, its pairs and how often it has each."""
+
+    n_a: list[int]
+    n_b: list[int]
+    groups: list[str]
+    pairs: list[np.ndarray]
+    times: list[np.ndarray]
 
 
 class Aligner:
-    """Both tokenizers and the segments that have been met, at most ``most`` of them."""
+    """Both tokenizers, the bytes of their tokens, and their ids as text with what stands behind them."""
 
-    def __init__(self, path_a: str, path_b: str, most: int = 150_000):
+    def __init__(self, path_a: str, path_b: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,76 +97,95 @@ class Aligner:
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, table))) for table in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, Segment | None] = {}  # None where bytes got lost
-        self.most = most
+        self.written = [f"{i}{mark}" for mark in ",|" for i in range(len(self.bytes_a))] + [f"{i}{mark}" for mark in ",;\n" for i in range(len(self.bytes_b))]
 
     def segments(self, text: str) -> list[str]:
-        """The text with a space before it, cut before each space behind a visible character."""
+        """The text cut before each space behind a visible character; the space before each segment, also the first, is left out."""
         if not self.splits:
-            return [" " + text]
+            return [text]
+        parts = text.split(" ")
+        if not _UNSAFE.search(text):
+            return parts
         out: list[str] = []
         safe = False
-        for part in text.split(" "):
+        for part in parts:
             if safe or not out:
-                out.append(" " + part)
+                out.append(part)
             else:
                 out[-1] += " " + part
             last = part[-1:]
             safe = last.isalnum() or "!" <= last <= "~"
         return out
 
-    def learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(segments)
-        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        ids_b = [y if len(s) > 1 else [self.space] for s, y in zip(new, self.b.encode([s[1:] for s in new], num_threads=1))]
-        raw = [s.encode("utf-8", "surrogatepass") for s in new]
-        joined = b"".join(raw)
-        lossless = all(b"".join([table[i] for ids in own for i in ids]) == joined for table, own in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-        for s, r, x, y in zip(new, raw, ids_a, ids_b):
-            self.known[s] = self._segment(r, x, y, lossless)
-
-    def _segment(self, raw: bytes, a: list[int], b: list[int], lossless: bool) -> Segment | None:
-        """A segment from its ids; with ``lossless`` the bytes of all segments together are known to be right, so lengths tell."""
-        ends_a, ends_b = list(accumulate([self.sizes_a[i] for i in a])), list(accumulate([self.sizes_b[i] for i in b]))
-        if not ends_a or not ends_b or not ends_a[-1] == ends_b[-1] == len(raw):
-            return None
-        if not lossless and not b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b]):
-            return None
-        pairs, groups, x, y = [], [], 0, 0
-        for i, j in merge_ends(ends_a, ends_b):
-            pairs.append(a[i] * SHIFT + b[j])
-            groups.append(f"{a[i]}|{b[j]}" if i == x and j == y else ",".join(map(str, a[x : i + 1])) + "|" + ",".join(map(str, b[y : j + 1])))
-            x, y = i + 1, j + 1
-        return Segment(len(a), len(b), pairs, ";".join(groups))
-
-    def align(self, texts: list[str | None], window: int = 1 << 20) -> Iterator[tuple[int, int, int, str, list[int], list[int]]]:
-        """(tokens of A, of B, groups, groups as text, pairs, how often each) of every text, learning segments of about 1 MB of texts at once."""
-        at = 0
-        while at < len(texts):
-            cut, size, to = [], 0, at
-            while to < len(texts) and (to == at or size + len(texts[to] or "") <= window):
-                cut.append(self.segments(texts[to]) if texts[to] else [])
-                size += len(texts[to] or "")
-                to += 1
-            self.learn({s for own in cut for s in own})
-            for own in cut:
-                found = [self.known[s] for s in own]
-                if not found or None in found:
-                    yield 0, 0, 0, "", [], []
-                    continue
-                pairs: Counter[int] = Counter()
-                for segment, times in Counter(own).items():
-                    for p in self.known[segment].pairs:
-                        pairs[p] += times
-                n_a, n_b, _, groups = zip(*found)
-                yield sum(n_a), sum(n_b), sum(pairs.values()), ";".join(groups), list(pairs), list(pairs.values())
-            at = to
+    def _encoded(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: (ids of all segments, ids of each)."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
+        b = [ids if s else [self.space] for s, ids in zip(segments, self.b.encode(segments, num_threads=1))]
+        return [(np.fromiter(chain.from_iterable(x), np.int64), np.fromiter(map(len, x), np.int64, count=len(x))) for x in (a, b)]
+
+    def _whole(self, raw: list[bytes], ids: np.ndarray, counts: np.ndarray, table: list[bytes]) -> np.ndarray:
+        """Which segments the joined bytes of their tokens give back."""
+        parts = [table[i] for i in ids.tolist()]
+        ends = np.cumsum(counts)
+        if b"".join(parts) == b"".join(raw):
+            sizes = np.fromiter(map(len, parts), np.int64, count=len(parts))
+            got = np.append(0, np.cumsum(sizes))[np.append(0, ends)]
+            if np.array_equal(np.diff(got), [len(r) for r in raw]):
+                return np.ones(len(raw), bool)
+        return np.array([b"".join(parts[x:y]) == r for x, y, r in zip([0, *ends.tolist()], ends.tolist(), raw)], bool)
+
+    def merge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(whole, tokens of A, tokens of B, groups as text, pairs of all, pairs of each) of segments; the last five only of whole ones."""
+        (ids_a, n_a), (ids_b, n_b) = self._encoded(segments)
+        raw = [(" " + s).encode("utf-8", "surrogatepass") for s in segments]
+        whole = self._whole(raw, ids_a, n_a, self.bytes_a) & self._whole(raw, ids_b, n_b, self.bytes_b)
+        ids_a, ids_b = ids_a[np.repeat(whole, n_a)], ids_b[np.repeat(whole, n_b)]
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        i, j = np.array(merge_ends(ends_a.tolist(), ends_b.tolist()), np.int64).reshape(-1, 2).T
+        borders = np.cumsum(np.array([len(r) for r in raw], np.int64)[whole])
+        own = np.bincount(np.searchsorted(borders, ends_a[i]), minlength=len(borders))
+        return whole, n_a[whole], n_b[whole], self._groups(ids_a, ids_b, i, j, np.isin(ends_a[i], borders)), ids_a[i] * SHIFT + ids_b[j], own
+
+    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, i: np.ndarray, j: np.ndarray, last: np.ndarray) -> list[str]:
+        """Groups as text, one string for each segment; group g ends with token i[g] of A and j[g] of B, and ``last`` ones end a segment."""
+        if not len(i):
+            return []
+        of_a, of_b = np.searchsorted(i, np.arange(len(ids_a))), np.searchsorted(j, np.arange(len(ids_b)))
+        code_a, code_b = ids_a.copy(), ids_b + 2 * len(self.bytes_a)
+        code_a[i] += len(self.bytes_a)
+        code_b[j] += np.where(last, 2, 1) * len(self.bytes_b)
+        codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+        codes[np.arange(len(ids_a)) + np.append(0, j + 1)[of_a]] = code_a
+        codes[np.arange(len(ids_b)) + (i + 1)[of_b]] = code_b
+        return "".join([self.written[c] for c in codes.tolist()]).split("\n")[:-1]
+
+    def align(self, texts: list[str | None]) -> Texts:
+        """The alignments of a window of texts."""
+        place: dict[str, int] = {}
+        cut = [[place.setdefault(s, len(place)) for s in self.segments(t)] if t else [] for t in texts]
+        whole, n_a, n_b, groups, pairs, own = self.merge(list(place))
+        at = np.where(whole, np.cumsum(whole) - 1, -1)
+        starts = np.cumsum(own) - own
+        out = Texts([], [], [], [], [])
+        for segments in cut:
+            mine = at[np.array(segments, np.int64)]
+            if not len(mine) or mine.min() < 0:
+                found: tuple = (0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+            else:
+                each = own[mine]
+                before = np.cumsum(each) - each
+                linked = pairs[np.repeat(starts[mine] - before, each) + np.arange(each.sum())]
+                found = (int(n_a[mine].sum()), int(n_b[mine].sum()), ";".join([groups[m] for m in mine.tolist()]), *np.unique(linked, return_counts=True))
+            for column, value in zip(out, found):
+                column.append(value)
+        return out
+
+
+#: Characters of texts that are aligned at once; a longer text alone.
+WINDOW = 8 << 20
 
 
 def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,10 +194,23 @@ def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner = Aligner(path_a, path_b)
+        held, size = [], 0
+
+        def aligned() -> pd.DataFrame:
+            rows = pd.concat(held)
+            found = aligner.align(rows["text"].tolist())
+            return pd.DataFrame({"row": rows["row"].to_numpy(), "key": rows["key"].array, "n_a": found.n_a, "n_b": found.n_b, "n_groups": [int(t.sum()) for t in found.times], "groups": found.groups, "pairs": found.pairs, "times": found.times})
+
         for batch in batches:
-            n_a, n_b, n_groups, groups, pairs, times = zip(*aligner.align(batch["text"].tolist())) if len(batch) else ([],) * 6
-            arrays = {"pairs": [np.array(p, np.int64) for p in pairs], "times": [np.array(t, np.int64) for t in times]}
-            yield pd.DataFrame({"row": batch["row"], "key": batch["key"], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "groups": groups} | arrays)
+            long = batch["text"].str.len().fillna(0).cumsum()
+            for _, part in batch.groupby((long // WINDOW).astype("int64"), sort=False):
+                held.append(part)
+                size += int(part["text"].str.len().fillna(0).sum())
+                if size >= WINDOW:
+                    yield aligned()
+                    held, size = [], 0
+        if held:
+            yield aligned()
 
     numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     return numbered.mapInPandas(run, f"row long, key {kind}, n_a long, n_b long, n_groups long, groups string, pairs array<long>, times array<long>")

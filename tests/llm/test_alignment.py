@@ -95,7 +95,18 @@ def test_frequent_and_rare_pairs_meet_the_same_counts(spark, most):
     assert Counter((r[0], r[1], r[3], r[4]) for r in found.elements()) == Counter((r[0], r[4], r[5], r[6]) for r in plain([(i, f"word{i % 7} the and , {i}") for i in range(60)]))
 
 
-def test_merge_ends_and_forgotten_segments():
+def test_merge_ends_and_windows():
     assert alignment.merge_ends([1, 3, 4, 9], [2, 3, 9]) == [(1, 1), (3, 2)]
+    aligner = alignment.Aligner(A, B)
     texts = [t for _, t in ODD] * 2
-    assert list(alignment.Aligner(A, B, most=3).align(texts, window=10)) == list(alignment.Aligner(A, B).align(texts))
+    listed = lambda found: [(a, b, g, p.tolist(), t.tolist()) for a, b, g, p, t in zip(*found)]
+    assert listed(aligner.align(texts)) == [x for t in texts for x in listed(aligner.align([t]))]
+
+
+def test_windows_of_a_task_are_bounded_and_whole(spark, monkeypatch):
+    rows = [(i, f"a text, number {i} " * (i % 9)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    columns = ["key", "n_a", "n_b", "n_groups", "groups"]
+    wanted = Counter(map(tuple, alignment.align(df, A, B).select(columns).collect()))
+    monkeypatch.setattr(alignment, "WINDOW", 50)
+    assert Counter(map(tuple, alignment.align(df, A, B).select(columns).collect())) == wanted
