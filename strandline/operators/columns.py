@@ -3,7 +3,7 @@
 Rows are cut into chunks of ``CHUNK`` columns while they are strings, chunks of one stretch
 meet by (aln_id, chunk), and only then become a row a cell.  What is shuffled is compact, a
 long alignment is spread over many tasks, and what is grouped or ordered by column inside a
-chunk needs no further exchange.  A cell of a pair carries the letters before it, so gap
+chunk needs no further exchange.  A chunk of a pair carries the letters before it, so gap
 states need no window either.
 """
 
@@ -36,16 +36,21 @@ def column_keys(cells: DataFrame) -> list[str]:
     return ["aln_id", *(c for c in ("chunk",) if c in cells.columns), "pos"]
 
 
-def pair_cells(aln: DataFrame, centre: int = 0) -> DataFrame:
-    """aln_id, row_idx, chunk, pos, x, y, x_before, y_before: the columns of the centre (x) and each row (y), itself included.
+def pair_chunks(aln: DataFrame, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, chunk, a, b, a_before, b_before: chunks of the centre (a) and of each row (b), itself included.
 
-    The letters before are a space in the first column.
+    The letters before a chunk are a space for the first.
     """
     parts = F.transform(_parts(), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
     whole = aln.select("aln_id", "row_idx", parts.alias("_p"))
     before = F.transform("_p", lambda p: F.struct(p["s"].alias("s"), F.when(p["i"] == 0, F.lit(" ")).otherwise(F.right(F.get("_p", p["i"] - 1)["s"], F.lit(1))).alias("before")))
     chunks = whole.select("aln_id", "row_idx", F.posexplode(before).alias("chunk", "_c")).select("aln_id", "row_idx", "chunk", F.col("_c.s").alias("b"), F.col("_c.before").alias("b_before"))
     mid = chunks.where(F.col("row_idx") == centre).select("aln_id", "chunk", F.col("b").alias("a"), F.col("b_before").alias("a_before"))
-    letters = lambda c: F.split(c, "")
-    zipped = F.arrays_zip(letters(F.col("a")).alias("x"), letters(F.col("b")).alias("y"), F.slice(letters(F.concat("a_before", "a")), F.lit(1), F.length("a")).alias("x_before"), F.slice(letters(F.concat("b_before", "b")), F.lit(1), F.length("b")).alias("y_before"))
-    return chunks.join(mid, ["aln_id", "chunk"]).select("aln_id", "row_idx", "chunk", F.posexplode(zipped).alias("_i", "p")).select("aln_id", "row_idx", "chunk", _pos(), "p.x", "p.y", "p.x_before", "p.y_before")
+    return chunks.join(mid, ["aln_id", "chunk"])
+
+
+def pair_cells(aln: DataFrame, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, chunk, pos, x, y: the columns of the centre (x) and each row (y), itself included."""
+    letters = lambda c: F.split(F.col(c), "")
+    zipped = F.arrays_zip(letters("a").alias("x"), letters("b").alias("y"))
+    return pair_chunks(aln, centre).select("aln_id", "row_idx", "chunk", F.posexplode(zipped).alias("_i", "p")).select("aln_id", "row_idx", "chunk", _pos(), "p.x", "p.y")

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .columns import column_keys
+from .rope import WIDTH, to_rope
+from .scan import totals_before
 
 SYMBOLS = {"a": "A", "c": "C", "g": "G", "t": "T", "n": "N", "gap": "-"}
 
@@ -44,7 +47,16 @@ def sp_scores(cells: DataFrame, match: int = 1, mismatch: int = -1, gap1: int =
     return sums.select("aln_id", "sp", average.alias("avg_sp"), (average / F.col("columns")).alias("scaled_sp"))
 
 
-def occurrence_table(cells: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos, base, n_a .. n_gap: how often each symbol occurs up to and at each place of a sequence."""
-    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.select(*keys, "pos", "base", *(F.sum((F.col("base") == s).cast("long")).over(so_far).alias(f"n_{k}") for k, s in SYMBOLS.items()))
+def occurrence_table(seqs: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, base, n_a .. n_gap: how often each symbol occurs up to and at each place of a sequence (keys, seq).
+
+    Symbols are counted by chunks as strings, summed over the chunks before, and counted
+    place by place inside a chunk, so no window goes over a sequence's places.
+    """
+    rope = stored(to_rope(seqs, keys).where("piece <> ''"), "occurrence-rope")
+    many = lambda s: (F.length("piece") - F.length(F.replace("piece", F.lit(s), F.lit("")))).cast("long")
+    before = totals_before(rope.select(*keys, "chunk", *(many(s).alias(f"_{k}") for k, s in SYMBOLS.items())), [*keys], "chunk", [f"_{k}" for k in SYMBOLS])
+    placed = rope.join(before, [*keys, "chunk"]).repartition(*keys, "chunk").select("*", F.posexplode(F.split("piece", "")).alias("_i", "base"))
+    inside = Window.partitionBy(*keys, "chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (F.sum((F.col("base") == s).cast("long")).over(inside) + F.col(f"_{k}") for k, s in SYMBOLS.items())
+    return placed.select(*keys, (F.col("chunk") * WIDTH + F.col("_i")).alias("pos"), "base", *(c.alias(f"n_{k}") for c, k in zip(counts, SYMBOLS)))

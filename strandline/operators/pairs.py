@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .columns import pair_chunks
+from .summaries import affine_scores
 
 
 def length_stats(seqs: DataFrame) -> DataFrame:
@@ -28,70 +30,14 @@ def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return counted.crossJoin(F.broadcast(span)).groupBy(at.cast("long").alias("bin")).agg(F.sum("_n").alias("n"))
 
 
-def equal_letters(a: Column, b: Column) -> Column:
-    """Places where two sequences have the same letter, case folded; a gap equals a gap."""
-    same = F.zip_with(F.split(F.lower(a), ""), F.split(F.lower(b), ""), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-
-
-def identity(a: Column, b: Column) -> Column:
-    """Share of equal letters; null for an empty left side; lengths must agree."""
-    checked = F.when(F.length(a) != F.length(b), F.raise_error(F.lit("sequences differ in length"))).otherwise(equal_letters(a, b))
-    return F.try_divide(checked.cast("double"), F.length(a))
-
-
-def row_pairs(aln: DataFrame) -> DataFrame:
-    """aln_id, i, j, a, b for every i < j of one alignment: a join on the alignment, never across."""
-    left = aln.select("aln_id", F.col("row_idx").alias("i"), F.col("seq").alias("a"))
-    right = aln.select("aln_id", F.col("row_idx").alias("j"), F.col("seq").alias("b"))
-    return left.join(right, "aln_id").where("i < j")
-
-
 def centre_pairs(aln: DataFrame, centre: int = 0) -> DataFrame:
     """aln_id, row_idx, a (the centre), b for every row; alignments without a centre are left out."""
     rows = aln.where(F.col("row_idx") == centre).select("aln_id", F.col("seq").alias("a"))
     return aln.withColumnRenamed("seq", "b").join(rows, "aln_id")
 
 
-def affine_matches(a: Column, b: Column, match: int, mismatch: int, gap_open: int, gap_extend: int) -> Column:
-    """Affine score of two rows: N scores 0, a column with two gaps is skipped and changes no state."""
-    state = "struct<score: bigint, gap: boolean>"
-    step = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-
-    def add(s: Column, p: Column) -> Column:
-        x, y = p["x"], p["y"]
-        gapped = (x == "-") | (y == "-")
-        cost = F.when(gapped, F.when(s["gap"], gap_extend).otherwise(gap_open)).when((x == "N") | (y == "N"), 0).when(x == y, match).otherwise(mismatch)
-        return F.when((x == "-") & (y == "-"), s).otherwise(F.struct((s["score"] + cost).cast("long").alias("score"), gapped.alias("gap"))).cast(state)
-
-    return F.aggregate(step, F.struct(F.lit(0).cast("long").alias("score"), F.lit(False).alias("gap")).cast(state), add)["score"]
-
-
 def match_table(aln: DataFrame) -> DataFrame:
     """aln_id, i, match_num, len_sequence (without gaps), ratio of every row against the centre."""
-    both = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: ((x == y) & ~x.isin("N", "-")).cast("int"))
-    rows = centre_pairs(aln).select("aln_id", F.col("row_idx").alias("i"), F.aggregate(both, F.lit(0), lambda s, x: s + x).cast("long").alias("match_num"), F.length(F.replace("b", F.lit("-"), F.lit(""))).cast("long").alias("len_sequence"))
-    return rows.withColumn("ratio", F.try_divide(F.col("match_num").cast("double"), F.col("len_sequence")))
-
-
-def best_segment(a: Column, b: Column, match: int = 1, mismatch: int = -2, gap: int = -2) -> Column:
-    """The first maximum-scoring segment of two rows: struct(score, start, stop), stop inclusive; null score where nothing is positive."""
-    state = "struct<pos: bigint, run: bigint, begin: bigint, score: bigint, start: bigint, stop: bigint>"
-    zero = F.lit(None).cast("long")
-    first = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("run"), F.lit(0).alias("begin"), zero.alias("score"), zero.alias("start"), zero.alias("stop")).cast(state)
-    step = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == "-") | (y == "-"), gap).when((x == "N") | (y == "N"), 0).when(x == y, match).otherwise(mismatch))
-
-    def add(s: Column, c: Column) -> Column:
-        run = s["run"] + c
-        better = run > F.coalesce(s["score"], F.lit(0))
-        down = run < 0
-        return F.struct(
-            (s["pos"] + 1).alias("pos"),
-            F.when(down, 0).otherwise(run).alias("run"),
-            F.when(down, s["pos"] + 1).otherwise(s["begin"]).alias("begin"),
-            F.when(better, run).otherwise(s["score"]).alias("score"),
-            F.when(better, s["begin"]).otherwise(s["start"]).alias("start"),
-            F.when(better, s["pos"]).otherwise(s["stop"]).alias("stop"),
-        ).cast(state)
-
-    return F.aggregate(step, first, add)
+    matches = affine_scores(pair_chunks(aln), ["aln_id", "row_idx"], 0, 0, 0, 0).select("aln_id", F.col("row_idx").alias("i"), F.col("matches").alias("match_num"))
+    sizes = aln.select("aln_id", F.col("row_idx").alias("i"), F.length(F.replace("seq", F.lit("-"), F.lit(""))).cast("long").alias("len_sequence"))
+    return matches.join(sizes, ["aln_id", "i"]).withColumn("ratio", F.try_divide(F.col("match_num").cast("double"), F.col("len_sequence")))

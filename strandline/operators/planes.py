@@ -45,12 +45,6 @@ def _identities(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy("aln_id", *keys).agg((F.sum(checked).cast("double") / F.max("a_total")).alias("identity"))
 
 
-def pair_identities(aln: DataFrame) -> DataFrame:
-    """aln_id, i, j, identity: share of equal letters of every two rows (i < j) of an alignment; a gap equals a gap."""
-    chunks = chunk_planes(aln, "aln_id", "row_idx")
-    return _identities(_named(chunks, "a_", "i").join(_named(chunks, "b_", "j"), ["aln_id", "chunk"]).where("i < j"), "i", "j")
-
-
 def centre_identities(aln: DataFrame, centre: int = 0) -> DataFrame:
     """aln_id, row_idx, identity of every other row with the centre."""
     chunks = chunk_planes(aln, "aln_id", "row_idx")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.sequence import INVERSION
 from ..storage import stored
 from .columns import cells, column_keys
-from .pairs import best_segment
 from .runs import offsets_at, restore_unknown, run_offsets, symbol_runs
+from .summaries import best_segments, pair_parts
 
 
 def ungapped_segments(cells: DataFrame, tolerance: int = 0) -> DataFrame:
@@ -93,6 +93,13 @@ def drawable_segments(blocks: DataFrame) -> DataFrame:
     return marked.select("other", "ord", a.alias("x1"), y1.alias("y1"), (a + la).alias("x2"), y2.alias("y2"))
 
 
+def _trimmed(aligned: DataFrame) -> DataFrame:
+    """Adds ``m`` (score, start, stop), the first maximum-scoring segment of a and b; pairs without one are left out."""
+    keys = ["aln_id", "row_idx"]
+    best = best_segments(pair_parts(aligned, *keys), keys, *INVERSION).where("score is not null")
+    return aligned.join(best.select(*keys, F.struct("score", "start", "stop").alias("m")), keys)
+
+
 def inverted_blocks(aligned: DataFrame, least: int = 1) -> DataFrame:
     """aln_id, row_idx, a_start, a_len, b_start, b_len, score: where a row matches the reverse complement of another.
 
@@ -100,7 +107,7 @@ def inverted_blocks(aligned: DataFrame, least: int = 1) -> DataFrame:
     are trimmed to their first maximum-scoring segment; spans of fewer than ``least``
     columns between first and last are dropped. ``b_start`` counts on b's own strand.
     """
-    found = aligned.withColumn("m", best_segment(F.col("a"), F.col("b"), *INVERSION)).where(F.col("m.stop") - F.col("m.start") >= least)
+    found = _trimmed(aligned).where(F.col("m.stop") - F.col("m.start") >= least)
     before = lambda c: F.length(F.replace(F.substring(c, F.lit(1), F.col("m.start").cast("int")), F.lit("-"), F.lit(""))).cast("long")
     inside = lambda c: F.length(F.replace(F.substring(c, (F.col("m.start") + 1).cast("int"), (F.col("m.stop") - F.col("m.start") + 1).cast("int")), F.lit("-"), F.lit(""))).cast("long")
     total = F.length(F.replace("b", F.lit("-"), F.lit(""))).cast("long")
@@ -124,10 +131,10 @@ def side_blocks(pairs: DataFrame, n_runs: DataFrame, least: int = 1) -> DataFram
     in_b = pairs.join(others, ["aln_id", "row_idx"]).where("idx > b_start and idx < b_end").select(block, F.lit(1).cast("long").alias("row_idx"), (F.col("b_end") - F.col("idx")).alias("idx"), "number")
     restored = stored(restore_unknown(both, in_a.unionByName(in_b)), "side-blocks")
     rows = restored.groupBy("aln_id").agg(F.max(F.when(F.col("row_idx") == 0, F.col("seq"))).alias("a"), F.max(F.when(F.col("row_idx") == 1, F.col("seq"))).alias("b"))
-    rows = rows.select("aln_id.*", "a", "b")
+    rows = stored(rows.select("aln_id.*", "a", "b"), "side-rows")
     place = inverted_blocks(rows, least).drop("score").withColumnsRenamed({"a_start": "_a", "b_start": "_b"})
     cut = lambda c: F.expr(f"substr({c}, cast(m.start + 1 as int), cast(m.stop - m.start + 1 as int))").alias(c)
-    shown = rows.withColumn("m", best_segment(F.col("a"), F.col("b"), *INVERSION)).where("m.score is not null").select("aln_id", "row_idx", cut("a"), cut("b"))
+    shown = _trimmed(rows).select("aln_id", "row_idx", cut("a"), cut("b"))
     keys = ["aln_id", "row_idx"]
     before_a = offsets_at(pairs.select("aln_id", F.col("a_start").alias("start")).distinct(), centre, ("aln_id",)).withColumnsRenamed({"start": "a_start", "before": "_na"})
     before_b = offsets_at(pairs.select(*keys, F.col("b_start").alias("start")).distinct(), others).withColumnsRenamed({"start": "b_start", "before": "_nb"})
@@ -135,11 +142,23 @@ def side_blocks(pairs: DataFrame, n_runs: DataFrame, least: int = 1) -> DataFram
     return found.select(*keys, (F.col("_a") + F.col("a_start") + F.col("_na")).alias("a_start"), "a_len", "a", (F.col("_b") + F.col("b_start") + F.col("_nb")).alias("b_start"), "b_len", "b")
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Points (keys, idx) with the intervals (keys, start, stop exclusive) that hold them, joined on buckets of ``width``."""
-    p = points.withColumn("_k", F.floor(F.col("idx") / width))
-    i = intervals.where("stop > start").withColumn("_k", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
-    return p.join(i, [*keys, "_k"]).where("idx >= start and idx < stop").drop("_k")
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, idx) with the intervals (keys, start, stop exclusive) that hold them, found by nested bins.
+
+    Bins of level n are 2**n wide.  An interval lies in at most two bins of the level that is
+    as wide as itself; a point lies in one bin of each level that any interval has.  So there
+    are at most two rows an interval and ``levels`` rows a point, and what meets in a bin is
+    no further apart than the interval is long.
+    """
+    n = F.col("stop") - F.col("start")
+    level = F.when(n == 1, 0).otherwise(F.length(F.bin(n - 1)))
+    shifted = lambda c: F.expr(f"shiftright({c}, _level)")
+    i = intervals.where("stop > start").withColumn("_level", level.cast("int")).withColumn("_bin", F.explode(F.array_distinct(F.array(shifted("cast(start as bigint)"), shifted("cast(stop - 1 as bigint)")))))
+    levels = sorted(r[0] for r in i.select("_level").distinct().collect())  # 63 at most
+    if not levels:
+        return points.join(intervals, keys).where("false")
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_bin", shifted("cast(idx as bigint)"))
+    return p.join(i, [*keys, "_level", "_bin"]).where("idx >= start and idx < stop").drop("_level", "_bin")
 
 
 def free_intervals(totals: DataFrame, used: DataFrame, keys: list[str], least: int = 1) -> DataFrame:

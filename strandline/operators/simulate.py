@@ -11,11 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .allocate import allocate
+from .rope import WIDTH, edited, from_rope, to_rope
 from .runs import splice
 
 #: Codes of variant types.
 SMALL_INSERT, SMALL_DELETE, SMALL_SUBSTITUTE, BIG_INSERT, BIG_DELETE, TANDEM, TRANSLOCATION, INVERSION, INVERTED_TRANSLOCATION, DISPERSED, INVERTED_DUPLICATION = 1, 2, 3, 4, 5, 6, 7, 8, 9, 61, 62
 REPORTABLE_ABOVE = 5
+ELSEWHERE = (DISPERSED, INVERTED_DUPLICATION, TRANSLOCATION, INVERTED_TRANSLOCATION)
+INVERTED = (INVERSION, INVERTED_TRANSLOCATION, INVERTED_DUPLICATION)
 
 
 def draw(seed: Column, at: Column, purpose: int) -> Column:
@@ -61,23 +66,34 @@ def substitute(cells: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return distinct_positions(cells, n, 3, seed).withColumn("new_base", other_base(F.col("base"), F.shiftright(draw(F.col("seq_idx") + seed, F.col("pos"), 4), 8)))
 
 
+def _fewest(cells: DataFrame, n: int, number: Column, keys: list[str]) -> DataFrame:
+    """The ``n`` cells of each key with the smallest numbers (then places), with ``rank`` from 1: chosen inside chunks, and then among the chosen."""
+    drawn = cells.withColumn("_number", number)
+    inside = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("_number", "pos"))
+    some = drawn.withColumn("rank", inside).where(F.col("rank") <= n)
+    over = F.row_number().over(Window.partitionBy(*keys).orderBy("_number", "pos"))
+    return some.withColumn("rank", over).where(F.col("rank") <= n).drop("_number")
+
+
 def aligned_samples(template: DataFrame, samples: int, n_sub: int, n_ins: int, n_del: int, seed: int = 1) -> DataFrame:
     """seq_idx, sample, seq: sample 0 is the template; others have substitutions and deletions at disjoint sites and insertions.
 
-    Insertion sites are the union over samples; a sample without an insertion there has a gap.
+    Insertion sites are the union over samples; a sample without an insertion there has a
+    gap.  Sites are chosen chunk by chunk, and samples are edits of the template's rope.
     """
-    cells = template.select("seq_idx", F.posexplode(F.split("seq", "")).alias("pos", "base")).withColumn("pos", F.col("pos").cast("long"))
-    each = cells.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    keys = ["seq_idx", "sample"]
+    rope = stored(to_rope(template, ("seq_idx",)), "template-rope")
+    chunks = rope.where("piece <> ''").repartition("seq_idx", "chunk").select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    cells = chunks.where("sample > 0").select(*keys, "chunk", F.posexplode(F.split("piece", "")).alias("_i", "base")).withColumn("pos", F.col("chunk") * WIDTH + F.col("_i"))
     key = F.col("seq_idx") * 1009 + F.col("sample") + seed
-    order = lambda purpose: Window.partitionBy("seq_idx", "sample").orderBy(draw(key, F.col("pos"), purpose), "pos")
-    ranked = each.withColumn("r", F.row_number().over(order(5))).withColumn("i", F.row_number().over(order(6)))
-    own = F.col("sample") > 0
-    number = F.shiftright(draw(key, F.col("pos"), 7), 8)
-    changed = ranked.withColumn("out", F.when(own & (F.col("r") <= n_sub), other_base(F.col("base"), number)).when(own & (F.col("r") <= n_sub + n_del), "-").otherwise(F.col("base")))
-    changed = changed.withColumn("ins", own & (F.col("i") <= n_ins))
-    site = F.max("ins").over(Window.partitionBy("seq_idx", "pos"))
-    symbol = F.concat(F.when(site, F.when(F.col("ins"), base_of(F.shiftright(draw(key, F.col("pos"), 8), 8))).otherwise("-")).otherwise(""), F.col("out"))
-    return changed.select("seq_idx", "sample", "pos", symbol.alias("s")).groupBy("seq_idx", "sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda c: c["s"]), "").alias("seq"))
+    new = F.when(F.col("rank") <= n_sub, other_base(F.col("base"), F.shiftright(draw(key, F.col("pos"), 7), 8))).otherwise("-")
+    changes = _fewest(cells, n_sub + n_del, draw(key, F.col("pos"), 5), keys).select(*keys, F.col("pos").alias("start"), F.lit(1).cast("long").alias("len"), new.alias("str_value"))
+    own = stored(_fewest(cells, n_ins, draw(key, F.col("pos"), 6), keys).select(*keys, "pos"), "insertion-sites")
+    every = own.select("seq_idx", "pos").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    put = F.when(F.col("_own"), base_of(F.shiftright(draw(key, F.col("pos"), 8), 8))).otherwise("-")
+    inserts = every.join(own.withColumn("_own", F.lit(True)), [*keys, "pos"], "left").select(*keys, F.col("pos").alias("start"), F.lit(0).cast("long").alias("len"), put.alias("str_value"))
+    copies = rope.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return from_rope(edited(copies, changes.unionByName(inserts), tuple(keys)), tuple(keys))
 
 
 def place_variants(reference: DataFrame, wanted: dict[int, tuple[int, int]], seed: int = 1) -> DataFrame:
@@ -99,6 +115,25 @@ def place_variants(reference: DataFrame, wanted: dict[int, tuple[int, int]], see
     return first.join(F.broadcast(plan), "sv_id").join(second, ["seq_idx", "sv_id"])
 
 
+def allocated_variants(reference: DataFrame, wanted: dict[int, tuple[int, int]], seed: int = 1) -> DataFrame:
+    """seq_idx, sv_id, sv_type, a_index, len, b_site: ``wanted`` variants (type: count, length) wherever a sequence has room, the first types first.
+
+    A variant takes its length and one base more, and one base for what it puts elsewhere;
+    it is left out only where no free stretch is left for one of the two.
+    """
+    plan = [(i, t, n) for i, (t, n) in enumerate((t, n) for t, (count, n) in wanted.items() for _ in range(count))]
+    parts = [(i, t, n, 2 * i, n + 1) for i, t, n in plan] + [(i, t, n, 2 * i + 1, 1) for i, t, n in plan if t in ELSEWHERE]
+    kind = "sv_id bigint, sv_type int, len bigint, rank bigint, width bigint".split(", ")
+    rows = F.array(*(F.struct(*(F.lit(v).cast(k.split()[1]).alias(k.split()[0]) for v, k in zip(part, kind))) for part in parts))
+    requests = stored(reference.select("seq_idx", F.explode(rows).alias("r")).select("seq_idx", "r.*"), "variant-requests")
+    totals = reference.select("seq_idx", F.length("seq").cast("long").alias("total"))
+    number = lambda turn: draw(F.col("seq_idx") + seed, F.col("rank") + turn * 1009, 12)
+    placed = requests.join(allocate(totals, requests, ["seq_idx"], number).drop("width"), ["seq_idx", "rank"])
+    own, other = placed.where("rank % 2 = 0"), placed.where("rank % 2 = 1").select("seq_idx", "sv_id", F.col("start").alias("b_site"))
+    both = own.join(other, ["seq_idx", "sv_id"], "left").where(~F.col("sv_type").isin(*ELSEWHERE) | F.col("b_site").isNotNull())
+    return both.select("seq_idx", "sv_id", "sv_type", F.col("start").alias("a_index"), "len", F.coalesce("b_site", "start").alias("b_site"))
+
+
 def variant_edits(variants: DataFrame, reference: DataFrame, times: int = 2, seed: int = 1) -> DataFrame:
     """seq_idx, sv_id, sv_type, kind (INSERT or EXCHANGE), start, len, str_value: what each variant does to the reference.
 
@@ -152,10 +187,6 @@ def reportable(variants: DataFrame) -> DataFrame:
     return variants.where(F.col("sv_type") > REPORTABLE_ABOVE)
 
 
-ELSEWHERE = (DISPERSED, INVERTED_DUPLICATION, TRANSLOCATION, INVERTED_TRANSLOCATION)
-INVERTED = (INVERSION, INVERTED_TRANSLOCATION, INVERTED_DUPLICATION)
-
-
 def variants_by_rate(reference: DataFrame, rates: dict[int, tuple[float, int]], seed: int = 1) -> DataFrame:
     """seq_idx, sv_id, sv_type, a_index, len, b_site: each position draws for every type of ``rates`` (type: chance, length) in turn.
 
@@ -185,26 +216,43 @@ def variants_by_rate(reference: DataFrame, rates: dict[int, tuple[float, int]],
     return placed.select("seq_idx", number.alias("sv_id"), "sv_type", F.col("pos").alias("a_index"), "len", (F.col("pos") + F.col("len") + 1).alias("b_site"))
 
 
-def truth_rows(variants: DataFrame, edits: DataFrame, reference: DataFrame) -> DataFrame:
-    """seq_idx, sv_id, row_ord, name, start, len, strand, src_size, seq: three rows for each reported variant that puts in bases.
-
-    The reference segment, the segment found in the simulated sequence, and the string
-    expected there; inverted variants are on the minus strand, starts counted from its end.
-    """
+def _put(variants: DataFrame, edits: DataFrame, reference: DataFrame) -> DataFrame:
+    """What reported variants put in: seq_idx, sv_id, sv_type, a_index, a_len, str_value, seq, sim and b, its place in the simulated sequence."""
     simulated = apply_edits(reference, edits).withColumnRenamed("seq", "sim")
     put = edits.where((F.col("sv_type") > REPORTABLE_ABOVE) & (F.col("str_value") != ""))
     lifted = liftover(put.select("seq_idx", F.col("start").alias("pos")).distinct(), edits).withColumnRenamed("pos", "start")
-    n = F.length("str_value")
-    at = F.col("lifted") - F.when(F.col("kind") == "INSERT", n).otherwise(0)
-    rows = put.join(lifted, ["seq_idx", "start"]).withColumn("b", at).join(variants.select("seq_idx", "sv_id", "a_index", F.col("len").alias("a_len")), ["seq_idx", "sv_id"]).join(reference.select("seq_idx", "seq"), "seq_idx").join(simulated, "seq_idx")
-    minus = F.col("sv_type").isin(*INVERTED)
-    size = F.length("sim")
+    at = F.col("lifted") - F.when(F.col("kind") == "INSERT", F.length("str_value")).otherwise(0)
+    return put.join(lifted, ["seq_idx", "start"]).withColumn("b", at).join(variants.select("seq_idx", "sv_id", "a_index", F.col("len").alias("a_len")), ["seq_idx", "sv_id"]).join(reference.select("seq_idx", "seq"), "seq_idx").join(simulated, "seq_idx")
+
+
+def _three_rows() -> Column:
+    """The reference segment, the segment found in the simulated sequence, and the string expected there; inverted ones are on the minus strand, starts counted from its end."""
+    n, minus, size = F.length("str_value"), F.col("sv_type").isin(*INVERTED), F.length("sim")
     start = F.when(minus, size - F.col("b") - n).otherwise(F.col("b"))
     line = lambda name, s, length, strand, total, seq: F.struct(F.lit(name).alias("name"), s.cast("long").alias("start"), length.cast("long").alias("len"), strand.alias("strand"), total.cast("long").alias("src_size"), seq.alias("seq"))
     strand = F.when(minus, "-").otherwise("+")
-    three = F.array(
+    return F.array(
         line("reference", F.col("a_index"), F.col("a_len"), F.lit("+"), F.length("seq"), F.expr("substr(seq, cast(a_index + 1 as int), cast(a_len as int))")),
         line("simulated", start, n, strand, size, F.expr("substr(sim, cast(b + 1 as int), length(str_value))")),
         line("expected", start, n, strand, size, F.col("str_value")),
     )
-    return rows.select("seq_idx", "sv_id", F.posexplode(three).alias("row_ord", "r")).select("seq_idx", "sv_id", "row_ord", "r.*")
+
+
+def truth_rows(variants: DataFrame, edits: DataFrame, reference: DataFrame) -> DataFrame:
+    """seq_idx, sv_id, row_ord, name, start, len, strand, src_size, seq: three rows for each reported variant that puts in bases."""
+    return _put(variants, edits, reference).select("seq_idx", "sv_id", F.posexplode(_three_rows()).alias("row_ord", "r")).select("seq_idx", "sv_id", "row_ord", "r.*")
+
+
+def truth_blocks(variants: DataFrame, edits: DataFrame, reference: DataFrame) -> DataFrame:
+    """seq_idx, ord, sv_id, copy, row_ord, name, start, len, strand, src_size, seq: three rows for each copy that a reported variant puts in.
+
+    Several copies in a row are blocks of their own.  Blocks are ordered by their places in
+    the simulated sequence and then, which leaves that order among equals, by those in the reference.
+    """
+    put = _put(variants, edits, reference)
+    copies = F.when(F.col("sv_type") == TANDEM, F.expr("length(str_value) div a_len")).otherwise(1)
+    each = put.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    one = F.expr("cast(length(str_value) div " + f"(case when sv_type = {TANDEM} then length(str_value) div a_len else 1 end) as int)")
+    cut = each.withColumn("_n", one).withColumn("b", F.col("b") + F.col("copy") * F.col("_n")).withColumn("str_value", F.expr("substr(str_value, cast(copy * _n + 1 as int), _n)"))
+    order = F.row_number().over(Window.partitionBy("seq_idx").orderBy("a_index", "b", "sv_id")) - 1
+    return cut.withColumn("ord", order.cast("long")).select("seq_idx", "ord", "sv_id", "copy", F.posexplode(_three_rows()).alias("row_ord", "r")).select("seq_idx", "ord", "sv_id", "copy", "row_ord", "r.*")

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import GAP_EXTEND, GAP_OPEN, HOXD70, hoxd70
 from .columns import column_keys
+from .summaries import window_sums
 
 WIDTH = 100
 
 
-def scored_cells(pair_cells: DataFrame) -> DataFrame:
-    """Adds ``cost``: the substitution score, or a gap that opens, or goes on from the column before."""
-    either = lambda x, y: (F.col(x) == "-") | (F.col(y) == "-")
-    gap = F.when(either("x_before", "y_before"), GAP_EXTEND).otherwise(GAP_OPEN)
-    return pair_cells.withColumn("cost", F.when(either("x", "y"), gap).otherwise(hoxd70(F.col("x"), F.col("y"))))
+def window_scores(chunks: DataFrame) -> DataFrame:
+    """aln_id, win, row_idx, score, score_100 (the centre against itself without gap costs) of each window of 100 columns; the last may be shorter.
 
-
-def row_scores(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("aln_id", "row_idx").agg(F.sum("cost").alias("score"))
+    ``chunks`` are chunks of pairs.  A column costs its substitution score, or a gap that
+    opens, or goes on from the column before; windows are summed inside chunks.
+    """
+    return window_sums(chunks, WIDTH).select("aln_id", "win", "row_idx", "score", "score_100")
 
 
-def self_score(x: Column) -> Column:
-    out = F.when(x == "A", HOXD70["AA"])
-    for base in "CGT":
-        out = out.when(x == base, HOXD70[base * 2])
-    return out.otherwise(0)
+def row_scores(scored: DataFrame) -> DataFrame:
+    """aln_id, row_idx, score of whole rows, from their windows."""
+    return scored.groupBy("aln_id", "row_idx").agg(F.sum("score").alias("score"))
 
 
 def block_scores(scored: DataFrame) -> DataFrame:
@@ -34,12 +30,6 @@ def block_scores(scored: DataFrame) -> DataFrame:
     return row_scores(scored).groupBy("aln_id").agg(F.avg("score").alias("score"))
 
 
-def window_scores(scored: DataFrame) -> DataFrame:
-    """aln_id, win, row_idx, score, score_100 (the centre against itself without gap costs) of each window of 100 columns; the last may be shorter."""
-    win = F.floor(F.col("pos") / WIDTH)
-    return scored.groupBy("aln_id", win.alias("win"), "row_idx").agg(F.sum("cost").alias("score"), F.sum(self_score(F.col("x"))).alias("score_100"))
-
-
 def choose_rows(windows: DataFrame, share: int = 60) -> DataFrame:
     """The largest sets of best rows whose mean reaches ``share`` per cent of the centre's score; ties go to the smaller row."""
     order = Window.partitionBy("aln_id", "win").orderBy(F.desc("score"), "row_idx").rowsBetween(Window.unboundedPreceding, 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import composition as C
-from ..operators import columns, extension, kmers, pairs, planes, runs, segments, simulate, windows
+from ..operators import columns, extension, kmers, pairs, planes, runs, segments, simulate, summaries, tiles, windows
 from ..operators.columns import cells
 from ..session import ship
 from ..sources import formats
@@ -144,7 +144,7 @@ ids AS (SELECT a.aln_id, a.row_idx AS i, b.row_idx AS j, CAST(count(*) FILTER (l
 
 @query(f"WITH {IDENTITY_SQL} SELECT * FROM ids")
 def pair_identity(spark, sf_dir):
-    return planes.pair_identities(aln(spark, sf_dir))
+    return tiles.pair_identities(aln(spark, sf_dir))
 
 
 @query(f"WITH {IDENTITY_SQL}, vals AS (SELECT identity AS v FROM ids), {HIST_SQL}")
@@ -166,7 +166,7 @@ def match_score_tsv(spark, sf_dir):
 c AS (SELECT *, CASE WHEN gap THEN CASE WHEN lag(gap) OVER (PARTITION BY aln_id, row_idx ORDER BY pos) THEN -1 ELSE -2 END WHEN x = 'N' OR y = 'N' THEN 0 WHEN x = y THEN 1 ELSE -1 END AS cost FROM k)
 SELECT p.aln_id, p.row_idx, CAST(coalesce(sum(cost), 0) AS BIGINT) AS score FROM (SELECT DISTINCT aln_id, row_idx FROM pc) p LEFT JOIN c ON c.aln_id = p.aln_id AND c.row_idx = p.row_idx GROUP BY ALL""")
 def affine_match_score(spark, sf_dir):
-    return pairs.centre_pairs(aln(spark, sf_dir)).select("aln_id", "row_idx", pairs.affine_matches(F.col("a"), F.col("b"), 1, -1, -2, -1).alias("score"))
+    return summaries.affine_scores(columns.pair_chunks(aln(spark, sf_dir)), ["aln_id", "row_idx"], 1, -1, -2, -1).drop("matches")
 
 
 @query(f"""WITH {PAIRS_SQL}, c AS (SELECT *, CASE WHEN x = '-' OR y = '-' THEN -2 WHEN x = 'N' OR y = 'N' THEN 0 WHEN x = y THEN 1 ELSE -2 END AS cost FROM pc),
@@ -177,8 +177,7 @@ f AS (SELECT b.aln_id, b.row_idx, min(p.pos) AS reset FROM b JOIN p ON p.aln_id
 SELECT r.aln_id, r.row_idx, CAST(score AS BIGINT) AS score, CASE WHEN score IS NOT NULL THEN coalesce(reset + 1, 0) END AS start, stop
 FROM (SELECT DISTINCT aln_id, row_idx FROM pc) r LEFT JOIN b ON b.aln_id = r.aln_id AND b.row_idx = r.row_idx LEFT JOIN f ON f.aln_id = r.aln_id AND f.row_idx = r.row_idx""")
 def max_scoring_segment(spark, sf_dir):
-    best = pairs.centre_pairs(aln(spark, sf_dir)).select("aln_id", "row_idx", pairs.best_segment(F.col("a"), F.col("b")).alias("m"))
-    return best.select("aln_id", "row_idx", "m.score", "m.start", "m.stop")
+    return summaries.best_segments(columns.pair_chunks(aln(spark, sf_dir)), ["aln_id", "row_idx"])
 
 
 # ---- runs and restoration
@@ -314,7 +313,18 @@ SELECT aln_id, row_idx, idx, number, idx // 250 * 250 AS start, idx // 250 * 250
 def n_runs_in_blocks(spark, sf_dir):
     found = n_runs(spark, sf_dir)
     blocks = found.groupBy("aln_id", "row_idx").agg(F.max("idx").alias("most")).select("aln_id", "row_idx", F.explode(F.expr("sequence(0L, most, 250L)")).alias("start")).withColumn("stop", F.col("start") + 250)
-    return segments.points_in_intervals(found, blocks, ["aln_id", "row_idx"], 100)
+    return segments.points_in_intervals(found, blocks, ["aln_id", "row_idx"])
+
+
+@query(f"""WITH {CELLS_SQL}, r AS ({RUNS_SQL.format(keys='aln_id, row_idx', s='N', cells='cells')}),
+b AS (SELECT aln_id, row_idx, start, start + 10 AS stop FROM (SELECT aln_id, row_idx, unnest(range(0, length(replace(seq, 'N', '')), 40)) AS start FROM aln) UNION ALL SELECT aln_id, row_idx, 0, 1000000 FROM aln)
+SELECT r.aln_id, r.row_idx, r.idx, r.number, b.start, b.stop FROM r JOIN b ON b.aln_id = r.aln_id AND b.row_idx = r.row_idx AND r.idx >= b.start AND r.idx < b.stop""")
+def n_runs_in_mixed_blocks(spark, sf_dir):
+    """N runs in blocks of 10 and of 1,000,000 places."""
+    rows = aln(spark, sf_dir)
+    short = rows.select("aln_id", "row_idx", F.length(S.strip_n(F.col("seq"))).alias("n")).where("n > 0").select("aln_id", "row_idx", F.explode(F.expr("sequence(0L, cast(n as bigint) - 1, 40L)")).alias("start")).withColumn("stop", F.col("start") + 10)
+    long = rows.select("aln_id", "row_idx", F.lit(0).cast("long").alias("start"), F.lit(1_000_000).cast("long").alias("stop"))
+    return segments.points_in_intervals(n_runs(spark, sf_dir), short.unionByName(long), ["aln_id", "row_idx"])
 
 
 # ---- scores and windows
@@ -322,11 +332,11 @@ def n_runs_in_blocks(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL} SELECT aln_id, avg(score) AS score FROM (SELECT aln_id, row_idx, CAST(sum(cost) AS BIGINT) AS score FROM sc GROUP BY ALL) GROUP BY aln_id")
 def block_score_hoxd70(spark, sf_dir):
-    return windows.block_scores(windows.scored_cells(pair_cells(spark, sf_dir)))
+    return windows.block_scores(_windows(spark, sf_dir))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.window_scores(windows.scored_cells(pair_cells(spark, sf_dir)))
+    return windows.window_scores(columns.pair_chunks(aln(spark, sf_dir)))
 
 
 @query(f"WITH {WIN_SQL} SELECT aln_id, win, row_idx, score, score_100 FROM win")

@@ -199,7 +199,7 @@ def block_n_offsets(spark, sf_dir):
 
 @query(f"""WITH {SEQ_CELLS_SQL} SELECT seq_idx, pos, base, {', '.join(f"CAST(sum(CAST(base = '{s}' AS INT)) OVER (PARTITION BY seq_idx ORDER BY pos) AS BIGINT) AS n_{k}" for k, s in composition.SYMBOLS.items())} FROM sc""")
 def occurrence_table(spark, sf_dir):
-    return composition.occurrence_table(cells(seqs(spark, sf_dir).where("seq <> ''"), "seq_idx"), "seq_idx")
+    return composition.occurrence_table(seqs(spark, sf_dir), "seq_idx")
 
 
 # ---- reports

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.columns import pair_cells
+from ..operators.columns import pair_chunks
 from ..operators.runs import restore_unknown
-from ..operators.windows import block_scores, scored_cells
+from ..operators.windows import block_scores, window_scores
 from .formats import parse_xmfa_blocks, parse_xmfa_head, render_fasta
 from .text import number, six_digits
 
@@ -55,7 +55,7 @@ def xmfa_to_maf(lines: DataFrame) -> DataFrame:
     head, blocks = parse_xmfa_head(lines), parse_xmfa_blocks(lines)
     block = F.struct("file", "block_id")
     aln = blocks.select(block.alias("aln_id"), F.col("row_ord").alias("row_idx"), F.upper("seq").alias("seq"))
-    scores = block_scores(scored_cells(pair_cells(aln))).select("aln_id.*", "score")
+    scores = block_scores(window_scores(pair_chunks(aln))).select("aln_id.*", "score")
     known = head.select("file", F.col("id").cast("int").alias("id"), "name", F.col("length").alias("total")).join(widths(head, "file"), "file")
     named = blocks.join(known, ["file", "id"], "left")
     name = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("no sequence has the index "), F.col("id").cast("string")))).otherwise(F.col("name"))

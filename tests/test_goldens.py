@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators import columns, composition, extension, kmers, pairs, runs, segments, simulate, windows
-from strandline.operators.columns import cells, pair_cells
+from strandline.operators import columns, composition, extension, kmers, pairs, runs, segments, simulate, summaries, tiles, windows
+from strandline.operators.columns import cells, pair_cells, pair_chunks
 
 
 def one(spark, column, **values):
@@ -49,10 +49,19 @@ def test_sum_of_pairs_equals_explicit_pairs(spark):
 
 
 def test_identity(spark):
-    assert one(spark, pairs.identity(F.col("a"), F.col("b")), a="acg-t", b="ACC-T") == 0.8
-    assert one(spark, pairs.identity(F.col("a"), F.col("b")), a="", b="") is None
+    assert tiles.pair_identities(aln(spark, "acg-t", "ACC-T")).first()["identity"] == 0.8
+    assert tiles.pair_identities(aln(spark, "", "")).count() == 0
     with pytest.raises(Exception, match="differ in length"):
-        one(spark, pairs.identity(F.col("a"), F.col("b")), a="AC", b="A")
+        tiles.pair_identities(aln(spark, "AC", "A")).collect()
+
+
+def test_tiles_of_deep_alignments(spark):
+    rng = random.Random(2)
+    seqs = ["".join(rng.choices("ACGTacgtn-", k=2100)) for _ in range(tiles.ROWS * 2 + 3)]
+    found = {(r["i"], r["j"]): r["identity"] for r in tiles.pair_identities(aln(spark, *seqs)).collect()}
+    assert len(found) == len(seqs) * (len(seqs) - 1) // 2
+    for i, j in [(0, 1), (0, 64), (63, 64), (5, 130), (128, 129), (64, 127)]:
+        assert found[i, j] == sum(x == y for x, y in zip(seqs[i].lower(), seqs[j].lower())) / 2100
 
 
 def test_runs_and_their_return(spark):
@@ -84,15 +93,45 @@ def test_exact_blocks_reach_the_end(spark):
 
 
 def test_block_score(spark):
-    scored = windows.scored_cells(pair_cells(aln(spark, "ACGT-A", "A--TCA", "ACGTNA")))
+    scored = windows.window_scores(pair_chunks(aln(spark, "ACGT-A", "A--TCA", "ACGTNA")))
     assert [r["score"] for r in windows.row_scores(scored).orderBy("row_idx").collect()] == [73, -557, 73]
     assert windows.block_scores(scored).first()["score"] == -137.0
 
 
-def test_best_segment(spark):
-    got = one(spark, pairs.best_segment(F.col("a"), F.col("b")), a="AACGTTA", b="TACGTNA")
-    assert (got["score"], got["start"], got["stop"]) == (5, 1, 6)
-    assert one(spark, pairs.best_segment(F.col("a"), F.col("b")), a="AA", b="CC")["score"] is None
+def plain_segment(x, y):
+    """The walk over columns that defines the segment."""
+    best, run, begin, found = 0, 0, 0, (None, None, None)
+    for i, (p, q) in enumerate(zip(x, y)):
+        run += -2 if "-" in (p, q) else 0 if "N" in (p, q) else 1 if p == q else -2
+        if run > best:
+            best, found = run, (run, begin, i)
+        if run < 0:
+            run, begin = 0, i + 1
+    return found
+
+
+def plain_affine(x, y):
+    score, gap = 0, False
+    for p, q in zip(x, y):
+        if p == q == "-":
+            continue
+        gapped = "-" in (p, q)
+        score += (-1 if gap else -2) if gapped else 0 if "N" in (p, q) else 1 if p == q else -1
+        gap = gapped
+    return score
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 1000])
+def test_summaries_of_chunks_add_up(spark, width):
+    rng = random.Random(width)
+    given = [("AACGTTA", "TACGTNA"), ("AA", "CC"), ("", ""), ("-", "-"), ("A", "A"), ("--AC", "--AG")]
+    given += [tuple("".join(rng.choices("ACGTN-", (9, 2, 2, 2, 1, 3), k=n)) for _ in range(2)) for n in range(40)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(given)], "k long, a string, b string")
+    chunks = summaries.pair_parts(rows, "k", width=width)
+    found = {r["k"]: (r["score"], r["start"], r["stop"]) for r in summaries.best_segments(chunks, ["k"], width=width).collect()}
+    assert found == {i: plain_segment(a, b) for i, (a, b) in enumerate(given)} and found[0] == (5, 1, 6)
+    scores = {r["k"]: (r["score"], r["matches"]) for r in summaries.affine_scores(chunks, ["k"], 1, -1, -2, -1).collect()}
+    assert scores == {i: (plain_affine(a, b), sum(p == q and p not in "N-" for p, q in zip(a, b))) for i, (a, b) in enumerate(given)}
 
 
 def test_shared_kmers(spark):
@@ -236,7 +275,7 @@ def test_chunks_meet_at_their_edges(spark, monkeypatch):
         "composition": lambda: composition.composition(cells(table)),
         "matches": lambda: segments.exact_match_rows(table),
         "segments": lambda: segments.ungapped_segments(pair_cells(table), 2),
-        "scores": lambda: windows.row_scores(windows.scored_cells(pair_cells(table))),
+        "scores": lambda: windows.row_scores(windows.window_scores(pair_chunks(table))),
         "gaps": lambda: windows.gap_columns(cells(table)),
     }
     whole = {k: sorted(map(tuple, f().collect())) for k, f in ask.items()}

@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 import strandline.plans.files
-import strandline.plans.reports  # noqa: F401
+import strandline.plans.reports
+import strandline.plans.variants  # noqa: F401
 from strandline.plans.registry import QUERIES, SQL
 
 
