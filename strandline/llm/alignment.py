@@ -50,16 +50,15 @@ def byte_letters() -> dict[str, int]:
 
 def merge_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Positions (in a, in b) at which two rising lists of ends have the same one."""
-    i = j = 0
     out = []
-    while i < len(a) and j < len(b):
-        if a[i] < b[j]:
-            i += 1
-        elif a[i] > b[j]:
+    j, last = 0, len(b)
+    for i, end in enumerate(a):
+        while j < last and b[j] < end:
             j += 1
-        else:
+        if j == last:
+            break
+        if b[j] == end:
             out.append((i, j))
-            i, j = i + 1, j + 1
     return out
 
 
@@ -120,11 +119,17 @@ class Aligner:
             safe = last.isalnum() or "!" <= last <= "~"
         return out
 
-    def _encoded(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A and B: (ids of all segments, ids of each)."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = [ids if s else [self.space] for s, ids in zip(segments, self.b.encode(segments, num_threads=1))]
-        return [(np.fromiter(chain.from_iterable(x), np.int64), np.fromiter(map(len, x), np.int64, count=len(x))) for x in (a, b)]
+    def _encoded(self, segments: list[str], slice_: int = 1 << 13) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: (ids of all segments, ids of each).  Tokenizers' own objects are held for a slice of segments only."""
+        parts: tuple[list, list] = [], []
+        for at in range(0, len(segments), slice_):
+            own = segments[at : at + slice_]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in own], add_special_tokens=False)]
+            b = [ids if s else [self.space] for s, ids in zip(own, self.b.encode(own, num_threads=1))]
+            for part, x in zip(parts, (a, b)):
+                part.append((np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int32, count=len(x))))
+        empty = np.zeros(0, np.int64)
+        return [tuple(np.concatenate([empty, *(p[k] for p in part)]) for k in (0, 1)) for part in parts]
 
     def _whole(self, raw: list[bytes], ids: np.ndarray, counts: np.ndarray, table: list[bytes]) -> np.ndarray:
         """Which segments the joined bytes of their tokens give back."""
@@ -185,7 +190,7 @@ class Aligner:
 
 
 #: Characters of texts that are aligned at once; a longer text alone.
-WINDOW = 8 << 20
+WINDOW = 3 << 20
 
 
 def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
