@@ -44,6 +44,16 @@ def shared_kmers(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
     return kmers(ungapped, k, "aln_id", "row_idx").join(known, ["aln_id", "kmer"], "left").groupBy("aln_id", "row_idx").agg(F.count("*").alias("n_kmers"), F.count("hit").alias("n_shared"))
 
 
+def exact_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, similarity: Jaccard similarity of a row's k-mers and the centre's; rows without k-mers are left out."""
+    ungapped = aln.withColumn("seq", F.replace("seq", F.lit("-"), F.lit("")))
+    own = stored(kmers(ungapped, k, "aln_id", "row_idx").select("aln_id", "row_idx", "kmer").distinct(), "kmer-sets")
+    mid = own.where(F.col("row_idx") == centre).select("aln_id", "kmer", F.lit(1).alias("_hit"))
+    counted = own.join(mid, ["aln_id", "kmer"], "left").groupBy("aln_id", "row_idx").agg(F.count("*").alias("_n"), F.count("_hit").alias("_shared"))
+    sizes = counted.where(F.col("row_idx") == centre).select("aln_id", F.col("_n").alias("_m"))
+    return counted.join(sizes, "aln_id").select("aln_id", "row_idx", (F.col("_shared").cast("double") / (F.col("_n") + F.col("_m") - F.col("_shared"))).alias("similarity"))
+
+
 def approximate_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
     """aln_id, row_idx, similarity: Jaccard similarity of k-mer sets from theta sketches (comparative only)."""
     ungapped = aln.withColumn("seq", F.replace("seq", F.lit("-"), F.lit("")))
@@ -84,22 +94,38 @@ def prefix_matches(queries: DataFrame, reference: DataFrame, least: int) -> Data
     return found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))
 
 
+def walked(places: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, query_pos of the places (keys, query_pos, length) that a walk takes: the first one, then the first one behind it, and so on.
+
+    Each place points to the first at or behind its end.  Pointers are doubled, and what the
+    walk reaches doubles with them, so a walk of n places needs about log2(n) joins and no
+    query is gathered in a row.
+    """
+    end = F.col("query_pos") + F.col("length")
+    none = F.lit(None).cast("long")
+    marks = places.select(*keys, F.col("query_pos").alias("_at"), F.lit(0).alias("_kind"), F.col("query_pos").alias("to"), none.alias("query_pos"))
+    asks = places.select(*keys, end.alias("_at"), F.lit(1).alias("_kind"), none.alias("to"), "query_pos")
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    jump = marks.unionByName(asks).withColumn("to", F.last("to", ignorenulls=True).over(behind)).where("_kind = 1 and to is not null").select(*keys, "query_pos", "to")
+    jump = stored(jump, "jumps")
+    reached = places.groupBy(*keys).agg(F.min("query_pos").alias("query_pos"))
+    while not jump.isEmpty():
+        reached = stored(reached.unionByName(reached.join(jump, [*keys, "query_pos"]).select(*keys, F.col("to").alias("query_pos"))), "reached")
+        further = jump.select(*keys, F.col("query_pos").alias("to"), F.col("to").alias("_far"))
+        jump = stored(jump.join(further, [*keys, "to"]).select(*keys, "query_pos", F.col("_far").alias("to")), "jumps")
+    return reached
+
+
 def greedy_seeds(queries: DataFrame, reference: DataFrame, least: int = 15, unique: bool = False) -> DataFrame:
     """ref_idx, query_idx, ref_pos, query_pos, length: from the left, the longest match at a place, then on behind it.
 
     With ``unique``, places whose longest match occurs several times are stepped over.
-    Only places and lengths are walked, in one row for each query; hits are joined to the
-    places that are taken.
     """
     found = stored(longest_matches(queries, reference, least), "matches")
     places = found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.count("*").alias("n"))
     if unique:
         places = places.where("n = 1")
-    ordered = places.groupBy("ref_idx", "query_idx").agg(F.array_sort(F.collect_list(F.struct("query_pos", "length"))).alias("m"))
-    kind = "struct<next: bigint, taken: array<bigint>>"
-    start = F.expr(f"cast(named_struct('next', 0L, 'taken', array()) as {kind})")
-    fold = F.aggregate("m", start, lambda s, x: F.when(x["query_pos"] < s["next"], s).otherwise(F.struct((x["query_pos"] + x["length"]).alias("next"), F.concat(s["taken"], F.array(x["query_pos"])).alias("taken")).cast(kind)))
-    taken = ordered.select("ref_idx", "query_idx", F.explode(fold["taken"]).alias("query_pos"))
+    taken = walked(stored(places, "places"), ["ref_idx", "query_idx"])
     return found.join(taken, ["ref_idx", "query_idx", "query_pos"]).select("ref_idx", "query_idx", "ref_pos", "query_pos", "length")
 
 

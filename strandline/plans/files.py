@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import runs
+from ..operators import rope, runs
 from ..sources import datasource, formats, text
 from ..storage import fresh_path
 from .adapters import ALN_SQL, SEQS_SQL, aln, seqs
@@ -72,6 +72,16 @@ def maf_files(spark, sf_dir):
     return placed.select((F.col("before") + F.col("inside") + F.col("row_ord")).alias("ord"), "name", "start", "len", "strand", "src_size", "seq")
 
 
+@query(f"WITH {SEQS_SQL} SELECT 's' || CAST(seq_idx AS VARCHAR) AS name, seq FROM seqs")
+def rope_files(spark, sf_dir):
+    """Unknown bases put back chunk by chunk and written as wrapped lines; no sequence is joined before it is read again."""
+    rows, keys = seqs(spark, sf_dir), ("seq_idx",)
+    back = runs.symbol_runs(rows, "N", keys).select("seq_idx", F.col("idx").alias("start"), F.lit(0).cast("long").alias("len"), F.repeat(F.lit("N"), F.col("number").cast("int")).alias("str_value"))
+    whole = rope.edited(rope.to_rope(rows.withColumn("seq", S.strip_n(F.col("seq"))), keys), back, keys)
+    path = _written(rope.wrapped(whole, rows, keys, 70), ["seq_idx", "chunk"], "fa")
+    return spark.read.format("strandline-fasta").option("bytes", str(RANGE)).load(path).select("name", "seq")
+
+
 # ---- checks by file
 
 

@@ -441,6 +441,30 @@ def unique_seeds(spark, sf_dir):
     return kmers.greedy_seeds(queries, reference, 9, unique=True)
 
 
+@query(f"""WITH {UNGAPPED_SQL}, k AS ({KMER_SQL.format(keys='aln_id, row_idx', k=15, t='u')}),
+qk AS (SELECT aln_id AS ref_idx, row_idx AS query_idx, pos, kmer FROM k WHERE row_idx > 0), rk AS (SELECT aln_id AS ref_idx, pos, kmer FROM k WHERE row_idx = 0),
+hits AS (SELECT q.ref_idx, query_idx, q.pos AS query_pos, r.pos AS ref_pos FROM qk q JOIN rk r ON q.ref_idx = r.ref_idx AND q.kmer = r.kmer),
+isl AS (SELECT *, query_pos - row_number() OVER (PARTITION BY ref_idx, query_idx, ref_pos - query_pos ORDER BY query_pos) AS island FROM hits),
+len AS (SELECT *, max(query_pos) OVER (PARTITION BY ref_idx, query_idx, ref_pos - query_pos, island) - query_pos + 15 AS length FROM isl),
+top AS (SELECT * FROM len QUALIFY length = max(length) OVER (PARTITION BY ref_idx, query_idx, query_pos))
+SELECT ref_idx, query_idx, query_pos, max(length) AS length, string_agg(CAST(ref_pos AS VARCHAR), ' ' ORDER BY ref_pos) AS ref_positions FROM top GROUP BY ref_idx, query_idx, query_pos""")
+def prefix_matches(spark, sf_dir):
+    """The longest match with the centre from each place of a row, and where it is."""
+    queries, reference = _reads(spark, sf_dir)
+    found = kmers.prefix_matches(queries, reference, 15)
+    return found.withColumn("ref_positions", F.array_join(F.transform("ref_positions", lambda p: p.cast("string")), " "))
+
+
+@query(f"""WITH {UNGAPPED_SQL}, k AS (SELECT DISTINCT aln_id, row_idx, kmer FROM ({KMER_SQL.format(keys='aln_id, row_idx', k=15, t='u')})),
+n AS (SELECT aln_id, row_idx, count(*) AS n FROM k GROUP BY ALL), b AS (SELECT k.aln_id, k.row_idx, count(*) AS shared FROM k JOIN k c ON c.aln_id = k.aln_id AND c.kmer = k.kmer AND c.row_idx = 0 GROUP BY ALL)
+SELECT n.aln_id, n.row_idx, CAST(coalesce(shared, 0) AS DOUBLE) / (n.n + m.n - coalesce(shared, 0)) AS similarity, true AS near FROM n JOIN n m ON m.aln_id = n.aln_id AND m.row_idx = 0 LEFT JOIN b ON b.aln_id = n.aln_id AND b.row_idx = n.row_idx""")
+def kmer_similarity_k15(spark, sf_dir):
+    """Exact similarity of sets of 15-mers, and whether a sketch, which keeps fewer than long rows have, estimates it within 0.05."""
+    rows = aln(spark, sf_dir)
+    both = kmers.exact_similarity(rows, 15).join(kmers.approximate_similarity(rows, 15).withColumnRenamed("similarity", "estimate"), ["aln_id", "row_idx"])
+    return both.select("aln_id", "row_idx", "similarity", (F.abs(F.col("similarity") - F.col("estimate")) <= 0.05).alias("near"))
+
+
 # ---- simulation
 
 

@@ -205,6 +205,19 @@ def occurrence_table(spark, sf_dir):
 # ---- reports
 
 
+@query(f"""WITH {SEQS_SQL}, s AS (SELECT count(*) AS n, min(length(seq)) AS lo, max(length(seq)) AS hi, CAST(sum(length(seq)) AS BIGINT) AS total, avg(length(seq)) AS mean FROM seqs)
+SELECT CAST(i AS INT) AS line_no, CASE i WHEN 0 THEN 'Dataset size: ' || n WHEN 1 THEN 'Min length: ' || lo WHEN 2 THEN 'Max length: ' || hi WHEN 3 THEN 'Sum length: ' || total ELSE 'Avg length: ' || format('{{:.6g}}', mean) END AS text FROM s, (SELECT unnest(range(5)) AS i)""")
+def length_report_whole(spark, sf_dir):
+    """All lines of the length report, the average with six digits."""
+    return reports.render_stats(pairs.length_stats(seqs(spark, sf_dir)))
+
+
+@query(f"""WITH {COMP_SQL}, t AS (SELECT aln_id, sp, CAST(sp AS DOUBLE) / np AS mean, CAST(sp AS DOUBLE) / np / n AS scaled FROM (SELECT aln_id, CAST(sum(n_match - n_mismatch - 2 * n_gap1) AS BIGINT) AS sp, max(n_match + n_mismatch + n_gap1 + n_gap2) AS np, count(*) AS n FROM cls GROUP BY aln_id))
+SELECT aln_id, CAST(i AS INT) AS line_no, CASE i WHEN 0 THEN 'SP score: ' || sp WHEN 1 THEN 'Avg SP score: ' || format('{{:.6g}}', mean) ELSE 'Scaled SP score: ' || format('{{:.6g}}', scaled) END AS text FROM t, (SELECT unnest(range(3)) AS i)""")
+def sp_report_whole(spark, sf_dir):
+    """All lines of the sum-of-pairs report, averages with six digits."""
+    return reports.render_sp(composition.sp_scores(cells(aln(spark, sf_dir))))
+
 @query(f"""WITH {SEQS_SQL}, s AS (SELECT count(*) AS n, min(length(seq)) AS lo, max(length(seq)) AS hi, CAST(sum(length(seq)) AS BIGINT) AS total FROM seqs)
 SELECT CAST(i AS INT) AS line_no, CASE i WHEN 0 THEN 'Dataset size: ' || n WHEN 1 THEN 'Min length: ' || lo WHEN 2 THEN 'Max length: ' || hi ELSE 'Sum length: ' || total END AS text FROM s, (SELECT unnest(range(4)) AS i)""")
 def length_report(spark, sf_dir):

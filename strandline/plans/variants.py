@@ -56,10 +56,10 @@ put AS (SELECT e.*, v.a_index, v.len AS a_len, seq, sim, length(str_value) AS n,
     - CASE WHEN e.kind = 'INSERT' THEN length(str_value) ELSE 0 END AS b
   FROM ve e JOIN va v ON v.seq_idx = e.seq_idx AND v.sv_id = e.sv_id JOIN seqs ON seqs.seq_idx = e.seq_idx JOIN sim ON sim.seq_idx = e.seq_idx WHERE e.sv_type > 5 AND str_value <> ''),
 cp AS (SELECT *, n // c AS m, unnest(range(c)) AS copy FROM (SELECT *, CASE WHEN sv_type = 6 THEN n // a_len ELSE 1 END AS c FROM put)),
-bl AS (SELECT *, b + copy * m AS at, substr(str_value, CAST(copy * m + 1 AS INT), CAST(m AS INT)) AS v, sv_type IN (8, 9, 62) AS minus FROM cp),
-od2 AS (SELECT *, row_number() OVER (PARTITION BY seq_idx ORDER BY a_index, at, sv_id) - 1 AS ord, CASE WHEN minus THEN length(sim) - at - m ELSE at END AS put_at, CASE WHEN minus THEN '-' ELSE '+' END AS strand FROM bl)
+bl AS (SELECT *, b + copy * m AS bpos, substr(str_value, CAST(copy * m + 1 AS INT), CAST(m AS INT)) AS v, sv_type IN (8, 9, 62) AS minus FROM cp),
+od2 AS (SELECT *, row_number() OVER (PARTITION BY seq_idx ORDER BY a_index, bpos, sv_id) - 1 AS ord, CASE WHEN minus THEN length(sim) - bpos - m ELSE bpos END AS put_at, CASE WHEN minus THEN '-' ELSE '+' END AS strand FROM bl)
 SELECT seq_idx, ord, CAST(sv_id AS BIGINT) AS sv_id, copy, CAST(r AS INT) AS row_ord, ['reference', 'simulated', 'expected'][r + 1] AS name, CAST(CASE r WHEN 0 THEN a_index ELSE put_at END AS BIGINT) AS start, CAST(CASE r WHEN 0 THEN a_len ELSE m END AS BIGINT) AS len,
-  CASE r WHEN 0 THEN '+' ELSE strand END AS strand, length(CASE r WHEN 0 THEN seq ELSE sim END) AS src_size, CASE r WHEN 0 THEN substr(seq, CAST(a_index + 1 AS INT), CAST(a_len AS INT)) WHEN 1 THEN substr(sim, CAST(at + 1 AS INT), CAST(m AS INT)) ELSE v END AS seq
+  CASE r WHEN 0 THEN '+' ELSE strand END AS strand, length(CASE r WHEN 0 THEN seq ELSE sim END) AS src_size, CASE r WHEN 0 THEN substr(seq, CAST(a_index + 1 AS INT), CAST(a_len AS INT)) WHEN 1 THEN substr(sim, CAST(bpos + 1 AS INT), CAST(m AS INT)) ELSE v END AS seq
 FROM od2, (SELECT unnest(range(3)) AS r)""")
 def sv_truth_blocks(spark, sf_dir):
     """Truth blocks in order, one a copy: tandem duplications stand three times."""

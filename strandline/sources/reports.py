@@ -93,14 +93,14 @@ def aligned_fasta(aligned: DataFrame, n_runs: DataFrame, names: DataFrame) -> Da
 
 
 def render_stats(stats: DataFrame) -> DataFrame:
-    """line_no, text: the lines of a length report."""
-    shown = F.array(*(F.concat(F.lit(f"{title}: "), F.col(c).cast("string")) for title, c in (("Dataset size", "size"), ("Min length", "min_len"), ("Max length", "max_len"), ("Sum length", "sum_len"), ("Avg length", "avg_len"))))
+    """line_no, text: the lines of a length report; the average has six significant digits."""
+    shown = F.array(*(F.concat(F.lit(f"{title}: "), six_digits(F.col(c)) if c == "avg_len" else F.col(c).cast("string")) for title, c in (("Dataset size", "size"), ("Min length", "min_len"), ("Max length", "max_len"), ("Sum length", "sum_len"), ("Avg length", "avg_len"))))
     return stats.select(F.posexplode(shown).alias("line_no", "text"))
 
 
 def render_sp(scores: DataFrame) -> DataFrame:
-    """aln_id, line_no, text: the report of sum-of-pairs scores of each alignment."""
-    shown = F.array(*(F.concat(F.lit(f"{title}: "), F.col(c).cast("string")) for title, c in (("SP score", "sp"), ("Avg SP score", "avg_sp"), ("Scaled SP score", "scaled_sp"))))
+    """aln_id, line_no, text: the report of sum-of-pairs scores of each alignment; averages have six significant digits."""
+    shown = F.array(*(F.concat(F.lit(f"{title}: "), F.col(c).cast("string") if c == "sp" else six_digits(F.col(c))) for title, c in (("SP score", "sp"), ("Avg SP score", "avg_sp"), ("Scaled SP score", "scaled_sp"))))
     return scores.select("aln_id", F.posexplode(shown).alias("line_no", "text"))
 
 

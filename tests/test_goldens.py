@@ -147,6 +147,21 @@ def test_greedy_seeds(spark):
     assert got == [(0, 5, 5), (6, 0, 5)]
 
 
+def test_walks_by_doubled_pointers(spark):
+    rng = random.Random(6)
+    walks = {k: {p: rng.randint(1, 30) for p in rng.sample(range(1200), n)} for k, n in enumerate([1, 2, 3, 50, 300, 1100])}
+    rows = [(k, p, n) for k, own in walks.items() for p, n in own.items()]
+    wanted = set()
+    for k, own in walks.items():
+        at = 0
+        for p in sorted(own):
+            if p >= at:
+                wanted.add((k, p))
+                at = p + own[p]
+    found = kmers.walked(spark.createDataFrame(rows, "k long, query_pos long, length long"), ["k"]).collect()
+    assert len(found) == len(wanted) and set(map(tuple, found)) == wanted
+
+
 def test_edits_and_liftover(spark):
     ref = spark.createDataFrame([(0, "AACCGGTT")], "seq_idx long, seq string")
     edits = spark.createDataFrame([(0, "INSERT", 2, 0, "tt"), (0, "EXCHANGE", 4, 2, "")], "seq_idx long, kind string, start long, len long, str_value string")
