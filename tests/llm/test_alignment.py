@@ -15,11 +15,13 @@ from strandline.llm.queries import op12_token_alignment
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+VISIBLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+HIDDEN = [b for b in range(256) if b not in VISIBLE]
+
+
 def to_bytes(letters):
     """Bytes of a byte-level entry, by the rule that visible Latin-1 stands for itself."""
-    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
-    hidden = [b for b in range(256) if b not in visible]
-    return bytes(ord(c) if ord(c) < 256 else hidden[ord(c) - 256] for c in letters)
+    return bytes(ord(c) if ord(c) < 256 else HIDDEN[ord(c) - 256] for c in letters)
 
 
 def plain(documents):
