@@ -58,7 +58,7 @@ class Sheet:
         return self.letters[np.ix_([self.place[r] for r in rows], columns)]
 
 
-def column_costs(open_: np.ndarray, broken: np.ndarray, edge: np.ndarray, paired: np.ndarray) -> np.ndarray:
+def column_costs(broken: np.ndarray, edge: np.ndarray, paired: np.ndarray) -> np.ndarray:
     """Mean score of each column: a substitution, or a gap that opens or goes on from the column before (``edge`` for the first)."""
     before = np.column_stack([edge, broken[:, :-1]])
     return np.where(broken, np.where(before, GAP_EXTEND, GAP_OPEN), paired).mean(axis=0)
@@ -85,7 +85,7 @@ def extended(sheet: Sheet, block: Block, columns: np.ndarray, share: float = SHA
     own, centre = sheet.rows(block.rows, columns), sheet.centre[columns]
     open_ = own == _GAP
     edge = sheet.rows(block.rows, columns[:1] - step)[:, 0] == _GAP
-    costs = column_costs(open_, open_ | (centre == _GAP), edge, _SCORES[centre[None, :], own])
+    costs = column_costs(open_ | (centre == _GAP), edge, _SCORES[centre[None, :], own])
     have = block.score * block.width + 100 * np.cumsum(costs)
     full = block.score_100 * block.width + 100 * np.cumsum(_SCORES[centre, centre])
     fails = np.flatnonzero(have < full * share / 100)

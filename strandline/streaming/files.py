@@ -19,10 +19,13 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def parse_folder(spark: SparkSession, folder: str, parser: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Parses new files of ``folder`` and appends the rows to the Parquet table ``sink``."""
+    """Parses new files of ``folder`` into the Parquet table ``sink``, a partition ``batch`` for each micro-batch.
+
+    A batch that is repeated after a failure replaces its own partition, so each row is there once.
+    """
     files = spark.readStream.schema("value string").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def put(batch: DataFrame, number: int) -> None:
-        parser(lines_of(batch)).write.mode("append").parquet(sink)
+        parser(lines_of(batch)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -27,6 +27,7 @@ def test_sequence_functions(spark):
     assert one(spark, S.header(s, dashes=True), s="> a b \r") == "a-b"
     assert one(spark, S.wrap(s, 2), s="ACGTA") == "AC\nGT\nA"
     assert one(spark, S.strip_space(s), s="A C\tG") == "ACG"
+    assert [one(spark, S.hoxd70(F.col("a"), F.col("b")), a=a, b=b) for a, b in ("AA", "TA", "CG", "AN", "--")] == [91, -123, -125, 0, 0]
 
 
 def test_sum_of_pairs(spark):
