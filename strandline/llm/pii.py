@@ -11,6 +11,12 @@ one place), so no value is its own pseudonym unless its format has a single valu
 e-mail addresses the local part is permuted and the domain stays, of phones the country
 code, of IBANs the country: they are part of the format.
 
+Values are ranked, not their notations: ten digits of the North American plan have one
+pseudonym with or without separators, brackets or +1, and a date has one as year-month-day,
+day/month/year and month/day/year.  Other phones are linked within one country code as
+written, other kinds within one length (cards) or country (IBANs).  Digits are 0 to 9;
+digits of other scripts make no value.
+
 Null texts stay null; empty texts stay empty.  Whole texts are read, in slices of about
 1 MB, a longer text alone.  Where two kinds could be read, the first of ``KINDS`` in the
 pattern's order wins.  Repeated rows get equal results; an empty table gives an empty
@@ -34,24 +40,26 @@ from .runtime import lean, slices
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>\b(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})\b)"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+[1-9](?:(?:[ ./-]| ?\(|\)[ ./-]?)?\d){6,15}(?!\w|[.-]\w)"
-    r"|(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])"
-    r"|(?<![\w+.,-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,]\d))"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<date>\b(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})\b)"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
+    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+[1-9](?:(?:[ ./-]| ?\(|\)[ ./-]?)?[0-9]){6,15}(?!\w|[.-]\w)"
+    r"|(?<![\w])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    r"|(?<![\w+.,-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w-]|[.,][0-9]))"
 )
 #: ITU country codes of one and two digits; all others have three.
 _COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 #: Fewest and most digits after the country code where they are not 4 to 12; all numbers have 7 to 15 with it.
 _DIGITS = {"+1": (10, 10), "+7": (10, 10), "+31": (9, 9), "+32": (8, 9), "+33": (9, 9), "+34": (9, 9), "+39": (6, 11), "+41": (9, 9), "+43": (4, 13), "+44": (9, 10), "+49": (5, 13)}
+_AMERICAN = re.compile(r"[2-9]\d{2}[2-9]\d{6}")
 _MAYBE = re.compile(r"[0-9@]")
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
-#: Dates that can only be read with the month first.
+#: Dates whose day is no month: one way to read them, also with the month first.  They are permuted among themselves, and so are all others.
 _LATE = [d for d in range(_DAYS) if datetime.date.fromordinal(d + _DAY0).day > 12]
+_EARLY = [d for d in range(_DAYS) if datetime.date.fromordinal(d + _DAY0).day <= 12]
 
 
 class Feistel:
@@ -187,11 +195,8 @@ class Pseudonyms:
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def _phone(self, value: str) -> str | None:
-        if re.fullmatch(r"\d{10}", value):  # North American: area and exchange begin with 2 to 9
-            rank = (int(value[0]) - 2) * 8 * 10**8 + int(value[1:3]) * 8 * 10**6 + (int(value[3]) - 2) * 10**6 + int(value[4:])
-            rank, low = divmod(self._permute(rank, 64 * 10**8, b"phone10"), 10**6)
-            rank, exchange = divmod(rank, 8)
-            return f"{rank // 100 + 2}{rank % 100:02d}{exchange + 2}{low:06d}"
+        if re.fullmatch(r"\d{10}", value):
+            return self._american(value)
         plain = re.fullmatch(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}", value)
         country = re.match(r"\+\d{1,3}(?=[ .(-])", value) if plain else _COUNTRY.match(value)
         head = country.group(0) if country else ""
@@ -208,8 +213,22 @@ class Pseudonyms:
             fits = least <= len(digits) <= most and 7 <= len(head) - 1 + len(digits) <= 15
         if not fits:
             return None
+        if head in ("", "+1") and len(digits) == 10 and not trunk:
+            return shown + _fill(rest, self._american(digits))
         return shown + _fill(rest, _mixed(digits, self._permute, b"phone" + head.encode()))
 
+    def _american(self, digits: str) -> str:
+        """Ten digits, in any notation; where area and exchange begin with 2 to 9 so do the new ones, and other numbers stay others."""
+        if not _AMERICAN.fullmatch(digits):
+            new = _mixed(digits, self._permute, b"phone")
+            while _AMERICAN.fullmatch(new):
+                new = _mixed(new, self._permute, b"phone")
+            return new
+        rank = (int(digits[0]) - 2) * 8 * 10**8 + int(digits[1:3]) * 8 * 10**6 + (int(digits[3]) - 2) * 10**6 + int(digits[4:])
+        rank, low = divmod(self._permute(rank, 64 * 10**8, b"phone10"), 10**6)
+        rank, exchange = divmod(rank, 8)
+        return f"{rank // 100 + 2}{rank % 100:02d}{exchange + 2}{low:06d}"
+
     def _ip(self, value: str) -> str | None:
         octets = [int(x) for x in value.split(".")]
         if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
@@ -231,10 +250,8 @@ class Pseudonyms:
             return None
         if not 0 <= at < _DAYS:
             return None
-        if us:
-            at = _LATE[self._permute(bisect.bisect_left(_LATE, at), len(_LATE), b"month first")]
-        else:
-            at = self._permute(at, _DAYS, b"date")
+        own = _LATE if day > 12 else _EARLY
+        at = own[self._permute(bisect.bisect_left(own, at), len(own), b"late date" if day > 12 else b"date")]
         new = datetime.date.fromordinal(at + _DAY0)
         width = 1 if any(len(x) == 1 for x in said) else 2
         day, month = f"{new.day:0{width}d}", f"{new.month:0{width}d}"

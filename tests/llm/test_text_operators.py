@@ -288,3 +288,32 @@ def test_media_round_trip(spark, few):
     bytes_kept = sum(len(p) for r in packs.collect() for p in r["parts"])
     assert bytes_kept < 0.6 * sum(len(media.to_wav(media.payload_of(t)[0])) for t in texts)
     assert media.media_features(df.limit(0)).collect() == []
+
+
+def test_notations_of_one_value_share_a_pseudonym():
+    of = pii.Pseudonyms(b"k").of
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    for number in ("2125551234", "9876543210", "3052001000"):
+        a, b, c = number[:3], number[3:6], number[6:]
+        shown = [of("phone", x) for x in (number, f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}")]
+        far = [of("phone", x) for x in (f"+1 {a}-{b}-{c}", f"+1{number}", f"+1 ({a}) {b}-{c}")]
+        assert len({digits(x) for x in shown} | {digits(x)[1:] for x in far}) == 1 and digits(shown[0]) != number
+    for day, month, year in ((25, 12, 1999), (31, 1, 2024), (13, 11, 1950)):
+        iso, mine, theirs = of("date", f"{year}-{month:02d}-{day:02d}"), of("date", f"{day}/{month}/{year}"), of("date", f"{month}/{day}/{year}")
+        y, m, d = iso.split("-")
+        assert [int(x) for x in mine.split("/")] == [int(d), int(m), int(y)] and [int(x) for x in theirs.split("/")] == [int(m), int(d), int(y)]
+    y, m, d = of("date", "2001-03-04").split("-")
+    assert [int(x) for x in of("date", "4.3.2001").split(".")] == [int(d), int(m), int(y)] and int(d) <= 12
+
+
+def test_every_date_has_one_pseudonym_of_its_own():
+    of = pii.Pseudonyms(b"k").of
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(i) for i in range(-36524, 36525, 7)]
+    new = [of("date", d.isoformat()) for d in days if 1900 <= d.year < 2100]
+    assert len(set(new)) == len(new) and all((int(n[8:]) > 12) == (d.day > 12) for n, d in zip(new, (d for d in days if 1900 <= d.year < 2100)))
+
+
+def test_other_digits_are_never_taken_for_values():
+    arabic = "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in "212-555-1234, 2020-01-31, 10.0.0.1, 123-45-6789")
+    for text in (arabic, arabic + " and 7"):
+        assert pii.Pseudonyms(b"k").replace(text) == (text, [])
