@@ -51,7 +51,7 @@ def _dealt(edits: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
     return each.select(*keys, "chunk", low.alias("at"), n.alias("n"), value.alias("str_value"))
 
 
-def _rebuilt(piece: Column, edits: Column) -> Column:
+def rebuilt(piece: Column, edits: Column) -> Column:
     """A piece with sorted edits (at, n, str_value): what lies between them and what they put in."""
     end = lambda i: F.when(i > 0, F.get(edits, i - 1)["at"] + F.get(edits, i - 1)["n"]).otherwise(0)
     parts = F.transform(edits, lambda e, i: F.concat(F.substring(piece, (end(i) + 1).cast("int"), (e["at"] - end(i)).cast("int")), e["str_value"]))
@@ -62,10 +62,16 @@ def _rebuilt(piece: Column, edits: Column) -> Column:
 def edited(rope: DataFrame, edits: DataFrame, keys: tuple[str, ...], width: int = WIDTH) -> DataFrame:
     """keys, chunk, piece: a rope of chunks of ``width`` symbols with edits (keys, start, len, str_value)."""
     own = _dealt(edits, keys, width).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n", "str_value"))).alias("_e"))
-    piece = F.when(F.col("_e").isNull(), F.col("piece")).otherwise(_rebuilt(F.col("piece"), F.col("_e")))
+    piece = F.when(F.col("_e").isNull(), F.col("piece")).otherwise(rebuilt(F.col("piece"), F.col("_e")))
     return rope.select(*keys, "chunk", "piece").join(own, [*keys, "chunk"], "left").select(*keys, "chunk", piece.alias("piece"))
 
 
+def between(place: Column, width: int = WIDTH) -> tuple[Column, Column]:
+    """(chunk, place in it) of what is put in before symbol ``place``: between two chunks, the end of the first."""
+    chunk = F.floor(F.greatest(place - 1, F.lit(0)) / width)
+    return chunk, place - chunk * width
+
+
 def placed(rope: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Adds ``offset``: how many symbols stand before each piece."""
     sizes = rope.select(*keys, "chunk", F.length("piece").cast("long").alias("offset"))

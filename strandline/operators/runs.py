@@ -6,11 +6,11 @@ running counts; windows are partitioned by sequence and never global.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .rope import edited, from_rope, to_rope
+from .rope import between, edited, from_rope, rebuilt, to_rope
 from .scan import running
 
 KEYS = ("aln_id", "row_idx")
@@ -27,16 +27,12 @@ def symbol_runs(rows: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> D
     return cut.select(*keys, F.sum(F.col("p.core").cast("long")).over(so_far).alias("idx"), F.col("p.number").cast("long").alias("number"))
 
 
-def splice(rows: DataFrame, *edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def splice(rows: DataFrame, edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, seq: each sequence with ``len`` symbols at ``start`` exchanged for ``str_value``; edits (keys, start, len, str_value) are disjoint.
 
-    Edits are dealt to the chunks of a rope.  Several tables of edits are applied in turn,
-    in the same coordinates: all but the last must keep lengths.
+    Edits are dealt to the chunks of a rope.
     """
-    rope = to_rope(rows, keys)
-    for table in edits:
-        rope = edited(rope, table, keys)
-    return from_rope(rope, keys)
+    return from_rope(edited(to_rope(rows, keys), edits, keys), keys)
 
 
 def run_offsets(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -64,7 +60,7 @@ def with_runs(rows: DataFrame, symbol: str = "N", keys: tuple[str, ...] = KEYS,
 def insert_runs(cores: DataFrame, runs: DataFrame, symbol: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, seq: cores (keys, seq) with their runs put back; the inverse of removing a symbol."""
     back = runs.select(*keys, F.col("idx").alias("start"), F.lit(0).cast("long").alias("len"), F.repeat(F.lit(symbol), F.col("number").cast("int")).alias("str_value"))
-    return splice(cores, back, keys=keys)
+    return splice(cores, back, keys)
 
 
 def merge_needs(gap_runs: DataFrame, n_runs: DataFrame) -> DataFrame:
@@ -91,11 +87,28 @@ def restore_unknown(aligned: DataFrame, n_runs: DataFrame) -> DataFrame:
     aligned = stored(aligned.select("aln_id", "row_idx", "seq"), "aligned")
     needs = stored(merge_needs(symbol_runs(aligned, "-"), n_runs), "needs")
     fill = needs.where("used > 0").select("aln_id", "row_idx", (F.col("c") - F.col("g")).alias("start"), F.col("used").alias("len"), F.repeat(F.lit("N"), F.col("used").cast("int")).alias("str_value"))
-    own = needs.where("left > 0").select("aln_id", "row_idx", "c", "left")
-    wide = aligned.select("aln_id", "row_idx").join(merge_widths(needs), "aln_id").join(own, ["aln_id", "row_idx", "c"], "left")
-    left = F.coalesce("left", F.lit(0))
-    widen = wide.select("aln_id", "row_idx", F.col("c").alias("start"), F.lit(0).cast("long").alias("len"), F.concat(F.repeat(F.lit("N"), left.cast("int")), F.repeat(F.lit("-"), (F.col("w") - left).cast("int"))).alias("str_value"))
-    return splice(aligned, fill, widen)  # an insertion may fall inside a filled gap, so fill first
+    filled = edited(to_rope(aligned, KEYS), fill, KEYS)  # an insertion may fall inside a filled gap, so fill first
+    return from_rope(_widened(filled, merge_widths(needs), needs.where("left > 0")), KEYS)
+
+
+def _widened(rope: DataFrame, widths: DataFrame, own: DataFrame) -> DataFrame:
+    """The pieces of aligned rows with the columns ``widths`` put in: a row's own N first (``left``), then gaps.
+
+    Widths are the same for all rows of an alignment, so they meet the pieces as one array
+    for each stretch of columns, and not as an edit for each row.
+    """
+    chunk, at = between(F.col("c"))
+    sites = widths.select("aln_id", chunk.alias("chunk"), at.alias("at"), "w").groupBy("aln_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("_sites"))
+    mine = own.select(*KEYS, chunk.alias("chunk"), at.alias("at"), "left").groupBy(*KEYS, "chunk").agg(F.map_from_entries(F.collect_list(F.struct("at", "left"))).alias("_mine"))
+    joined = rope.join(mine, [*KEYS, "chunk"], "left").join(sites, ["aln_id", "chunk"], "left")
+
+    def put(site: Column) -> Column:
+        n = F.coalesce(F.try_element_at("_mine", site["at"]), F.lit(0)).cast("int")
+        value = F.concat(F.repeat(F.lit("N"), n), F.repeat(F.lit("-"), site["w"].cast("int") - n))
+        return F.struct(site["at"].alias("at"), F.lit(0).cast("long").alias("n"), value.alias("str_value"))
+
+    piece = F.when(F.col("_sites").isNull(), F.col("piece")).otherwise(rebuilt(F.col("piece"), F.transform("_sites", put)))
+    return joined.select(*KEYS, "chunk", piece.alias("piece"))
 
 
 def restore_named(aligned: DataFrame, records: DataFrame) -> DataFrame:
