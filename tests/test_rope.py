@@ -99,16 +99,3 @@ def test_running_sums(spark, width, exclusive):
     found = scan.running(spark.createDataFrame(rows, "k long, at long, v long"), ["k"], "at", {"sum": F.col("v"), "n": F.lit(1)}, exclusive, width=width)
     before = lambda k, at: [v for a, b, v in rows if a == k and (b < at if exclusive else b <= at)]
     assert sorted(map(tuple, found.collect())) == sorted((k, at, v, sum(before(k, at)), len(before(k, at))) for k, at, v in rows)
-
-
-def test_restoration_over_the_borders_of_chunks(spark):
-    rng = random.Random(9)
-    originals = {i: "".join(rng.choices("ACGTN", (5, 5, 5, 5, 2), k=rng.randint(2200, 2600))) for i in range(3)}
-    cores = {i: s.replace("N", "") for i, s in originals.items()}
-    gapped = {i: "".join(c + "-" * (rng.random() < 0.2) * rng.randint(1, 3) for c in s) for i, s in cores.items()}
-    wide = max(map(len, gapped.values()))
-    rows = spark.createDataFrame([(0, i, s.ljust(wide, "-")) for i, s in gapped.items()], "aln_id long, row_idx long, seq string")
-    n = runs.symbol_runs(spark.createDataFrame([(0, i, s) for i, s in originals.items()], "aln_id long, row_idx long, seq string"), "N")
-    found = {r["row_idx"]: r["seq"] for r in runs.restore_unknown(rows, n).collect()}
-    assert {i: s.replace("-", "") for i, s in found.items()} == originals
-    assert len({len(s) for s in found.values()}) == 1 and len(found[0]) > wide
