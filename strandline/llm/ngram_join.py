@@ -11,8 +11,11 @@ times is looked up in the long ones by binary search.  Here, on Spark:
    classes, chosen by hash and counted over all tasks, so that the order holds however
    texts are dealt to tasks, and from what single tasks see of all classes.  The scan gets
    the logarithm of the longest list in each of 2**24 buckets of hashes, one byte each:
-   where shingles share a bucket the shorter list is taken for a longer one.  Only a text's ``n - T + ell`` shortest lists are built, so a partner occurs
-   at least ``ell`` times among them.
+   where shingles share a bucket the shorter list is taken for a longer one.  Only a text's
+   ``n - T + ell`` shortest lists are built, so a partner occurs at least ``ell`` times among
+   them, or as often as its own ``ell`` if that is less.  The lists beyond the ``n - T + 1``
+   that any partner calls for are taken only while they are short: short texts of one
+   template do not merge the template's own lists.
 3. A sort by shingle puts each list together; one streaming pass with bounded memory
    merges it.  Lists up to ``short`` members give pairs, which are counted; those with
    ``ell`` occurrences are looked up in the partner's sorted set by binary search.  Lists
@@ -63,14 +66,18 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def occurrences(n: int) -> int:
-    """``ell`` of a set of size n: how often a partner must occur in the merged lists."""
-    return 2 + n // 20
+#: The highest level (one more than the logarithm of its length) of a list that is merged beyond those that are needed.
+FURTHER = 6
 
 
-def merged_lists(n: int, num: int, den: int) -> int:
-    """How many of the shortest lists are merged."""
-    return min(n, n - least_overlap(n, num, den) + min(occurrences(n), least_overlap(n, num, den)))
+def merged_lists(levels: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """(how many of a set's lists are merged, ``ell``: how often a partner must occur in them), given all lists' ``levels``, lowest first."""
+    n = len(levels)
+    need = least_overlap(n, num, den)
+    first = n - need + 1
+    further = levels[first : n - need + min(2 + n // 20, need)]
+    ell = 1 + int(np.searchsorted(further, FURTHER, side="right"))
+    return n - need + ell, ell
 
 
 def class_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -155,13 +162,13 @@ class Order:
     def __init__(self, levels: np.ndarray):
         self.levels = levels
 
-    def shortest(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(shingles, their levels) of the ``count`` shortest lists."""
+    def sorted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, their levels), the shortest lists first."""
         levels = self.levels[x >> np.uint64(64 - BUCKETS)]
         if not levels.any():
-            return x[:count], levels[:count]
-        chosen = np.argsort(levels, kind="stable")[:count]
-        return x[chosen], levels[chosen]
+            return x, levels
+        order = np.argsort(levels, kind="stable")
+        return x[order], levels[order]
 
 
 #: Members of a very long list that go to one task.
@@ -169,7 +176,7 @@ SHARE = 4096
 
 
 def _post(k: int, num: int, den: int, held):
-    """Rows (shingle, part, class, set size) of the merged lists; a task posts a class once as far as it remembers.
+    """Rows (shingle, part, class, set size, ``ell``) of the merged lists; a task posts a class once as far as it remembers.
 
     A list that must be expected to be longer than ``SHARE`` has parts 1 and up, any other one part 0.
     """
@@ -178,31 +185,30 @@ def _post(k: int, num: int, den: int, held):
         order, seen = Order(held.value), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out, many, ids, sizes = [], [], [], []
+                out, many, ids, sizes, ells = [], [], [], [], []
                 sets = shingle_sets(part.column("text"), k)
                 for x, c in zip(sets, class_keys(sets).tolist()):
                     if len(x) and c not in seen:
                         seen.add(c)
-                        chosen, levels = order.shortest(x, merged_lists(len(x), num, den))
-                        out.append(chosen)
-                        many.append((np.int64(1) << levels.astype(np.int64)) // (2 * SHARE))
+                        lists, levels = order.sorted(x)
+                        count, ell = merged_lists(levels, num, den)
+                        out.append(lists[:count])
+                        many.append((np.int64(1) << levels[:count].astype(np.int64)) // (2 * SHARE))
                         ids.append(c)
                         sizes.append(len(x))
+                        ells.append(ell)
                 lengths = [len(x) for x in out]
                 shingle = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
                 parts = np.concatenate(many) if many else np.zeros(0, np.int64)
                 members = np.repeat(np.array(ids, np.int64), lengths)
                 parts = np.where(parts > 0, (members >> 8) % np.maximum(parts + 1, 1) + 1, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(parts), pa.array(members), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["shingle", "part", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(parts), pa.array(members), *(pa.array(np.repeat(np.array(v, np.int32), lengths)) for v in (sizes, ells))], names=["shingle", "part", "id", "n", "ell"])
                 if len(seen) > REMEMBERED:
                     seen.clear()
 
     return run
 
 
-_PAIR = ["a", "b", "na", "nb", "times"]
-
-
 def _merge(num: int, den: int, short: int):
     """Merges sorted lists: counted pairs (kind 0) of short ones, members (kind 1) of long ones.
 
@@ -210,23 +216,23 @@ def _merge(num: int, den: int, short: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: dict[tuple[int, int, int, int], int] = {}
-        members: list[tuple[int, int, int]] = []
+        pairs: dict[tuple[int, int, int], int] = {}
+        members: list[tuple[int, int]] = []
         token, own, long = None, [], False  # a list, or a part of one
 
         def close() -> None:
             if not long and len(own) > 1:
-                for i, (b, nb) in enumerate(own):
-                    for a, na in own[:i]:
+                for i, (b, nb, eb) in enumerate(own):
+                    for a, na, ea in own[:i]:
                         if min(na, nb) * den >= num * max(na, nb):
-                            pair = (a, b, na, nb)
+                            pair = (a, b, min(ea, eb))
                             pairs[pair] = pairs.get(pair, 0) + 1
 
         def flush() -> pa.RecordBatch:
-            rows = [(0, *p, t, None) for p, t in pairs.items()] + [(1, c, None, n, None, None, t) for t, c, n in members]
+            rows = [(0, *p, t, None) for p, t in pairs.items()] + [(1, c, None, None, None, t) for t, c in members]
             pairs.clear()
             members.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])], names=["kind", *_PAIR, "shingle"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=["kind", "a", "b", "ell", "times", "shingle"])
 
         for batch in batches:
             tokens, parts = batch.column("shingle").to_numpy(), batch.column("part").to_numpy()
@@ -238,20 +244,20 @@ def _merge(num: int, den: int, short: int):
                 same[:-1] |= equal
                 same[0] = same[-1] = True
             look = np.flatnonzero(same)
-            ids, sizes = batch.column("id").to_numpy()[look].tolist(), batch.column("n").to_numpy()[look].tolist()
-            for t, p, c, n in zip(tokens[look].tolist(), parts[look].tolist(), ids, sizes):
+            ids, sizes, ells = (batch.column(name).to_numpy()[look].tolist() for name in ("id", "n", "ell"))
+            for t, p, c, n, e in zip(tokens[look].tolist(), parts[look].tolist(), ids, sizes, ells):
                 if (t, p) != token:
                     close()
                     token, own, long = (t, p), [], p > 0
                 if own and own[-1][0] == c:
                     continue
                 if long:
-                    own = [(c, n)]
-                    members.append((t, c, n))
+                    own = [(c, n, e)]
+                    members.append((t, c))
                 else:
-                    own.append((c, n))
+                    own.append((c, n, e))
                     if len(own) > short:
-                        members += [(t, *x) for x in own]
+                        members += [(t, x[0]) for x in own]
                         long = True
                 if len(members) > 50_000 or len(pairs) > 100_000:
                     yield flush()
@@ -416,10 +422,9 @@ def links_and_classes(df: DataFrame, key: str, text: str, k: int, num: int, den:
     levels = _levels(shared.select("id", F.greatest("near", F.col("far") * RATE).alias("n")))
     held = df.sparkSession.sparkContext.broadcast(order_table([(r["row"], r["body"]) for r in levels.collect()]))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = docs.mapInArrow(lean(_post(k, num, den, held)), "shingle long, part int, id long, n int")
-    merged = stored(posted.repartition(partitions, "shingle", "part").sortWithinPartitions("shingle", "part", "id").mapInArrow(lean(_merge(num, den, short)), "kind byte, a long, b long, na int, nb int, times long, shingle long"), "merged-lists")
-    ell = lambda c: F.expr(f"least(2 + {c} div 20, ({num} * {c} + {den} - 1) div {den})")
-    pairs = merged.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times")).where(F.col("times") >= F.least(ell("na"), ell("nb"))).select("a", "b")
+    posted = docs.mapInArrow(lean(_post(k, num, den, held)), "shingle long, part int, id long, n int, ell int")
+    merged = stored(posted.repartition(partitions, "shingle", "part").sortWithinPartitions("shingle", "part", "id").mapInArrow(lean(_merge(num, den, short)), "kind byte, a long, b long, ell int, times long, shingle long"), "merged-lists")
+    pairs = merged.where("kind = 0").groupBy("a", "b", "ell").agg(F.sum("times").alias("times")).where("times >= ell").select("a", "b")
     members = merged.where("kind = 1").select("shingle", F.col("a").alias("id"))
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(members.select("id")).distinct()

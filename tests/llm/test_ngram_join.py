@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from strandline.llm import ngram_join
 from strandline.llm.components import components
-from strandline.llm.ngram_join import divide_skip, linked, near_duplicate_components
+from strandline.llm.ngram_join import divide_skip, linked, merged_lists, near_duplicate_components
 from strandline.llm.wordhash import shingle_sets
 
 
@@ -72,6 +73,30 @@ def test_empty_table_and_null_keys(spark):
     assert len(rows) == 3 and all(r["component_id"] == 3 for r in rows)
 
 
+def test_templates_do_not_merge_their_own_lists(spark, monkeypatch):
+    """Short texts of one template: what is merged stays linear, and links between close ones are still found."""
+    seen = {}
+    keep = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: seen.setdefault(name, keep(df, name)))
+    texts = [f"posted by the admin u{i}" for i in range(600)] + [f"u{i} wrote this in the forum" for i in range(300)]
+    long_ = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    texts += [f"v{i} {long_} {long_[::-1]}" for i in range(40)]  # one shingle of 33 differs
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicate_components(df, k=4, num=85, block=16).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts, 4, 85, 100)
+    merged = seen["merged-lists"]
+    members = {r["a"] for r in merged.where("kind = 1").collect()}
+    assert len(members) <= 40 and merged.where("kind = 0").count() <= 40 * 39 // 2
+
+
+def test_merged_lists_beyond_the_needed_are_short():
+    levels = np.array([0] * 10 + [3] * 10 + [9] * 80)
+    assert merged_lists(levels, 85, 100) == (20, 5)
+    assert merged_lists(np.full(100, 9), 85, 100) == (16, 1)
+    assert merged_lists(np.zeros(100, np.uint8), 85, 100) == (22, 7)
+    assert merged_lists(np.zeros(1, np.uint8), 85, 100) == (1, 1)
+
+
 def test_shingle_sets_over_slices():
     texts = corpus(2)
     column = pa.array(["pad", *texts])[1:]
