@@ -8,7 +8,8 @@ with every run of other characters than letters and digits as one space.
 
 Items are taken in blocks of bounded size (``block_bytes``), each block being one pass
 over the documents; nothing that is sent to executors grows with the documents.
-Items without letters or digits match nothing; null and empty texts have no hits;
+Items without letters or digits match nothing; an item of one or two letters has a budget of
+no edits and hits every text that holds it, in a word too; null and empty texts have no hits;
 repeated items are reported under each id, repeated rows once each.  Whole texts are
 searched, in slices of about 1 MB, a longer text alone.  Of equally near places the first
 is reported.  Empty tables have no hits.  ``find_leaks`` returns its own columns only,
@@ -17,6 +18,8 @@ is reported.  Empty tables have no hits.  ``find_leaks`` returns its own columns
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import lean, slices
+from .runtime import lean, slices, stored
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -149,18 +152,44 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.08, block_bytes: int = 8 << 20) -> DataFrame:
-    """``df`` without the documents that hold a benchmark item; all columns stay, and no row is shuffled."""
-    out = df
-    for block in blocks(benchmark, "item_id", "text", block_bytes):
-        held = df.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, rate)
-            for batch in batches:
-                for part in slices(batch, text):
-                    keep = [not matcher.find(value) for value in part.column(text).to_pylist()]
-                    yield part.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(lean(run), df.schema)
-    return out
+def _leaking(df: DataFrame, text: str, held, rate: float) -> DataFrame:
+    """(digest) of the texts that hold an item of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(held.value, rate)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hits = [hashlib.sha256(value.encode()).digest() for value in part.column("text").to_pylist() if matcher.find(value)]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array(hits, pa.binary())], names=["digest"])
+
+    return df.select(F.col(text).alias("text")).mapInArrow(lean(run), "digest binary")
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.08, block_bytes: int = 8 << 20, broadcast_rows: int = 250_000) -> DataFrame:
+    """``df`` without the documents that hold a benchmark item; all columns stay.
+
+    One block of items is a filter, and no row is shuffled.  Of several blocks each marks the
+    digests of texts in tasks of its own, so a task has one automaton; the marks are
+    broadcast up to ``broadcast_rows``, and joined by a shuffle beyond.
+    """
+    rest = blocks(benchmark, "item_id", "text", block_bytes)
+    context = df.sparkSession.sparkContext
+    held, second = context.broadcast(next(rest)), next(rest, None)
+    if second is not None:
+        marks = _leaking(df, text, held, rate)
+        for block in itertools.chain([second], rest):
+            marks = marks.unionByName(_leaking(df, text, context.broadcast(block), rate))
+        marks = stored(marks.distinct(), "leaking-texts")
+        few = marks.count() <= broadcast_rows
+        digest = F.unhex(F.sha2(df[text].cast("binary"), 256))
+        return df.join(F.broadcast(marks) if few else marks, digest == marks["digest"], "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(held.value, rate)
+        for batch in batches:
+            for part in slices(batch, text):
+                keep = [not matcher.find(value) for value in part.column(text).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(lean(run), df.schema)

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import decontam, line_dedup, media, pii
 
@@ -148,9 +149,10 @@ def test_leaks_equal_brute_force(spark):
     for size in (8 << 20, 100):  # one block, and many
         got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_leaks(df, bench, block_bytes=size).collect()}
         assert {g for g in got if g[0] < len(texts) - 1} == wanted and (len(texts) - 1, 3, 0) in got
-    kept = decontam.decontaminate(df, bench)
-    assert kept.columns == df.columns
-    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {g[0] for g in got}
+    for more in ({}, {"block_bytes": 100}, {"block_bytes": 100, "broadcast_rows": 0}):
+        kept = decontam.decontaminate(df.withColumn("digest", F.lit(1)), bench, **more)
+        assert kept.columns == [*df.columns, "digest"]
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(len(texts))) - {g[0] for g in got})
     assert decontam.decontaminate(df, bench.limit(0)).count() == len(texts)
     assert decontam.find_leaks(df.limit(0), bench).collect() == []
 
