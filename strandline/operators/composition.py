@@ -7,11 +7,18 @@ base and a gap are ``gap1`` as N and a gap are, and N-N, N-base and gap-gap are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..session import ship
 from ..storage import stored
-from .columns import column_keys
+from .columns import CHUNK, column_keys
+from .letters import by_stretch
 from .rope import WIDTH, to_rope
 from .scan import totals_before
 
@@ -23,6 +30,15 @@ def composition(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*column_keys(cells)).agg(*(F.count_if(F.col("base") == s).alias(k) for k, s in SYMBOLS.items())).drop("chunk")
 
 
+def column_counts(aln: DataFrame) -> DataFrame:
+    """aln_id, pos, a, c, g, t, n, gap of alignments (aln_id, row_idx, seq): as :func:`composition` of their cells, counted on chunks as they pass."""
+
+    def rows(aln_id: object, chunk: int, stretch) -> list[np.ndarray]:
+        return [chunk * CHUNK + np.arange(stretch.width), *stretch.counts[:, : stretch.width]]
+
+    return by_stretch(aln, ", ".join(f"{c} bigint" for c in ("pos", *SYMBOLS)), rows, "".join(SYMBOLS.values()))
+
+
 def pair_classes(comp: DataFrame) -> DataFrame:
     """aln_id, pos and the number of row pairs of each class."""
     pairs = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
@@ -38,8 +54,8 @@ def pair_classes(comp: DataFrame) -> DataFrame:
 
 
 def sp_scores(cells: DataFrame, match: int = 1, mismatch: int = -1, gap1: int = -2, gap2: int = 0) -> DataFrame:
-    """aln_id, sp, avg_sp (over pairs of rows), scaled_sp (over columns); alignments with one row are left out."""
-    classes = pair_classes(composition(cells))
+    """aln_id, sp, avg_sp (over pairs of rows), scaled_sp (over columns) of cells, or of columns' counts; alignments with one row are left out."""
+    classes = pair_classes(cells if "gap" in cells.columns else composition(cells))
     total = F.col("n_match") * match + F.col("n_mismatch") * mismatch + F.col("n_gap1") * gap1 + F.col("n_gap2") * gap2
     pairs = F.col("n_match") + F.col("n_mismatch") + F.col("n_gap1") + F.col("n_gap2")
     sums = classes.groupBy("aln_id").agg(F.sum(total).alias("sp"), F.max(pairs).alias("pairs"), F.count("*").alias("columns")).where("pairs > 0")
@@ -51,12 +67,35 @@ def occurrence_table(seqs: DataFrame, *keys: str) -> DataFrame:
     """keys, pos, base, n_a .. n_gap: how often each symbol occurs up to and at each place of a sequence (keys, seq).
 
     Symbols are counted by chunks as strings, summed over the chunks before, and counted
-    place by place inside a chunk, so no window goes over a sequence's places.
+    place by place inside a chunk in numpy on Arrow batches, some chunks at a time, so no
+    place is sorted or shuffled.
     """
+    ship(seqs.sparkSession)
     rope = stored(to_rope(seqs, keys).where("piece <> ''"), "occurrence-rope")
     many = lambda s: (F.length("piece") - F.length(F.replace("piece", F.lit(s), F.lit("")))).cast("long")
-    before = totals_before(rope.select(*keys, "chunk", *(many(s).alias(f"_{k}") for k, s in SYMBOLS.items())), [*keys], "chunk", [f"_{k}" for k in SYMBOLS])
-    placed = rope.join(before, [*keys, "chunk"]).repartition(*keys, "chunk").select("*", F.posexplode(F.split("piece", "")).alias("_i", "base"))
-    inside = Window.partitionBy(*keys, "chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    counts = (F.sum((F.col("base") == s).cast("long")).over(inside) + F.col(f"_{k}") for k, s in SYMBOLS.items())
-    return placed.select(*keys, (F.col("chunk") * WIDTH + F.col("_i")).alias("pos"), "base", *(c.alias(f"n_{k}") for c, k in zip(counts, SYMBOLS)))
+    names = [f"n_{k}" for k in SYMBOLS]
+    before = totals_before(rope.select(*keys, "chunk", *(many(s).alias(n) for n, s in zip(names, SYMBOLS.values()))), [*keys], "chunk", names)
+    schema = StructType([*rope.select(*keys).schema, StructField("pos", LongType()), StructField("base", StringType()), *(StructField(n, LongType()) for n in names)])
+    n_keys = len(keys)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                chunk, pieces = part.column(n_keys).to_numpy(), part.column(n_keys + 1).to_pylist()
+                letters = "".join(pieces)
+                sizes = np.array([len(p) for p in pieces])
+                row, begins = np.repeat(np.arange(len(pieces)), sizes), np.cumsum(sizes) - sizes
+                codes = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32)
+                counts = []
+                for k, s in enumerate(SYMBOLS.values()):
+                    hit = codes == ord(s)
+                    sums = np.cumsum(hit)
+                    counts.append(sums + (part.column(n_keys + 2 + k).to_numpy() - sums[begins] + hit[begins])[row])
+                pos = (chunk * WIDTH - begins)[row] + np.arange(len(codes))
+                own = [part.column(k).take(pa.array(row)) for k in range(n_keys)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pos, pa.int64()), pa.array(list(letters), pa.string()), *(pa.array(c, pa.int64()) for c in counts)], schema=kind)
+
+    return rope.join(before, [*keys, "chunk"]).select(*keys, "chunk", "piece", *names).mapInArrow(placed, schema)

@@ -52,7 +52,9 @@ def merged_windows(chosen: DataFrame) -> DataFrame:
 
 
 def gap_columns(cells: DataFrame) -> DataFrame:
-    """aln_id, columns, gap_columns: columns with at least one gap."""
+    """aln_id, columns, gap_columns: columns with at least one gap, of cells or of columns' counts."""
+    if "gap" in cells.columns:
+        return cells.groupBy("aln_id").agg(F.count("*").alias("columns"), F.count_if(F.col("gap") > 0).alias("gap_columns"))
     columns = cells.groupBy(*column_keys(cells)).agg(F.bool_or(F.col("base") == "-").alias("gap"))
     return columns.groupBy("aln_id").agg(F.count("*").alias("columns"), F.count_if("gap").alias("gap_columns"))
 
