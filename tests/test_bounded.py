@@ -29,3 +29,13 @@ def test_columns_are_counted_as_they_pass(spark):
     for least in (1, 3):
         same(segments.exact_match_blocks(table, least), segments.exact_match_blocks(columns.cells(table), least))
     assert composition.column_counts(table.limit(0)).collect() == []
+
+
+def test_segments_of_chunks(spark):
+    """Runs over several chunks, at edges, of one chunk, none at all; against cells."""
+    rows = ["A" * 3500, "A" * 1000 + "-" + "C" * 2499, "-" * 1000 + "A" * 1500 + "-" * 1000, "A" * 999 + "-" + "A" * 2500, "-" * 3500, "AC-GT" * 700]
+    table = alignment(spark, *rows).union(alignment(spark, *(r[:2000] for r in reversed(rows[:4])), aln_id=2)).union(alignment(spark, "-", "A", aln_id=3)).repartition(4)
+    for tolerance in (0, 2, 3):
+        same(segments.ungapped_segments(columns.pair_chunks(table), tolerance), segments.ungapped_segments(columns.pair_cells(table), tolerance))
+    totals = table.select("aln_id", "row_idx", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n"))
+    assert segments.pair_segments(columns.pair_chunks(table)).join(totals, ["aln_id", "row_idx"]).where("n <> total").isEmpty()
