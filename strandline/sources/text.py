@@ -6,6 +6,7 @@ the split; numbers across splits come from a small table with one row a split.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,14 @@ def write_text(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def six_digits(value: Column) -> Column:
-    """A number with six significant digits and no trailing zeros; ties go to the even digit."""
-    v = value.cast("double")
-    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(v))))
-    shown = F.format_string("%.6g", F.when(v == 0, v).otherwise(F.rint(v * scale) / scale))
-    return F.regexp_replace(shown, r"\.0+(?=$|e)|(?<=\.\d{1,9})0+(?=$|e)", "")
+    """A number with six significant digits and no trailing zeros; the number itself is rounded, and only its exact ties go to the even digit.
+
+    The digits must come from the binary number: its shortest decimal form, or its product
+    with a power of ten, can be a tie where the number is none.
+    """
+
+    @F.arrow_udf("string")
+    def shown(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.6g}" for v in values.to_pylist()], pa.string())
+
+    return shown(value.cast("double"))

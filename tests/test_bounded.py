@@ -39,3 +39,33 @@ def test_segments_of_chunks(spark):
         same(segments.ungapped_segments(columns.pair_chunks(table), tolerance), segments.ungapped_segments(columns.pair_cells(table), tolerance))
     totals = table.select("aln_id", "row_idx", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("n"))
     assert segments.pair_segments(columns.pair_chunks(table)).join(totals, ["aln_id", "row_idx"]).where("n <> total").isEmpty()
+
+
+def test_six_digits_of_the_number_itself(spark):
+    """Numbers next to ties, whose product with a power of ten is a tie, and exact ties."""
+    import duckdb
+
+    from strandline.sources.text import six_digits
+
+    values = [(a * 2 + 1) / 2 / 10**e for e in (1, 3, 6, 9) for a in range(100000, 101500)] + [0.5859375, 1234565.0, 1e-7, 3e20, 0.0]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").coalesce(1).select(six_digits(F.col("v"))).collect()]
+    wanted = [duckdb.execute("SELECT format('{:.6g}', ?::DOUBLE)", [v]).fetchone()[0] for v in values[::7] + values[-5:]]
+    assert got[: len(values)][::7] + got[-5:] == wanted
+
+
+def test_least_draws_and_hits(spark):
+    from pyspark.sql import Window
+
+    from strandline.operators import draws, simulate
+
+    seqs = spark.createDataFrame([(1, "ACGé-" * 700), (-5, "ACGTNACG"), (7, ""), (8, None), (3_000_000, "N" * 1001)], "seq_idx long, seq string").repartition(2)
+    cells = columns.cells(seqs, "seq_idx")
+    number = simulate.draw(F.col("seq_idx") + 1, F.col("pos"), 3)
+    rank = F.row_number().over(Window.partitionBy("seq_idx").orderBy(number, "pos"))
+    found = draws.least_draws(seqs, ["seq_idx"], 9, F.col("seq_idx") + 1, 3)
+    assert "posexplode(split" not in found._jdf.queryExecution().executedPlan().toString()
+    same(found, cells.withColumn("rank", rank).where("rank <= 9"))
+    chances = [(20, 2**26), (21, 2**25)]
+    kind = F.when(simulate.draw(F.col("seq_idx") + 1, F.col("pos"), 20) < 2**26, 0).when(simulate.draw(F.col("seq_idx") + 1, F.col("pos"), 21) < 2**25, 1)
+    total = seqs.select("seq_idx", F.length("seq").alias("total"))
+    same(draws.hits(total, chances, 1), cells.join(total.withColumn("total", F.col("total").cast("long")), "seq_idx").withColumn("nth", kind.cast("long")).where("nth is not null"))
