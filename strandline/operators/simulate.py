@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .allocate import allocate
-from .rope import WIDTH, edited, from_rope, to_rope
+from .draws import hits, least_draws
+from .rope import edited, from_rope, to_rope
 from .runs import splice
 
 #: Codes of variant types.
@@ -55,24 +56,14 @@ def balanced_sequences(ids: DataFrame, length: int, seed: int = 1) -> DataFrame:
     return cells.groupBy("seq_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda c: c["base"]), "").alias("seq"))
 
 
-def distinct_positions(cells: DataFrame, n: int, purpose: int, seed: int = 1, keys: tuple[str, ...] = ("seq_idx",)) -> DataFrame:
-    """The n positions of each sequence with the smallest draws; all where a sequence is shorter."""
-    order = Window.partitionBy(*keys).orderBy(draw(F.col(keys[0]) + seed, F.col("pos"), purpose), "pos")
-    return cells.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
+def distinct_positions(seqs: DataFrame, n: int, purpose: int, seed: int = 1, keys: tuple[str, ...] = ("seq_idx",)) -> DataFrame:
+    """keys, pos, base of the n positions of each sequence (keys, seq) with the smallest draws; all where a sequence is shorter."""
+    return least_draws(seqs, [*keys], n, F.col(keys[0]) + seed, purpose).drop("rank")
 
 
-def substitute(cells: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """seq_idx, pos, base, new_base at n distinct positions."""
-    return distinct_positions(cells, n, 3, seed).withColumn("new_base", other_base(F.col("base"), F.shiftright(draw(F.col("seq_idx") + seed, F.col("pos"), 4), 8)))
-
-
-def _fewest(cells: DataFrame, n: int, number: Column, keys: list[str]) -> DataFrame:
-    """The ``n`` cells of each key with the smallest numbers (then places), with ``rank`` from 1: chosen inside chunks, and then among the chosen."""
-    drawn = cells.withColumn("_number", number)
-    inside = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("_number", "pos"))
-    some = drawn.withColumn("rank", inside).where(F.col("rank") <= n)
-    over = F.row_number().over(Window.partitionBy(*keys).orderBy("_number", "pos"))
-    return some.withColumn("rank", over).where(F.col("rank") <= n).drop("_number")
+def substitute(seqs: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """seq_idx, pos, base, new_base at n distinct positions of sequences (seq_idx, seq)."""
+    return distinct_positions(seqs, n, 3, seed).withColumn("new_base", other_base(F.col("base"), F.shiftright(draw(F.col("seq_idx") + seed, F.col("pos"), 4), 8)))
 
 
 def aligned_samples(template: DataFrame, samples: int, n_sub: int, n_ins: int, n_del: int, seed: int = 1) -> DataFrame:
@@ -82,17 +73,15 @@ def aligned_samples(template: DataFrame, samples: int, n_sub: int, n_ins: int, n
     gap.  Sites are chosen chunk by chunk, and samples are edits of the template's rope.
     """
     keys = ["seq_idx", "sample"]
-    rope = stored(to_rope(template, ("seq_idx",)), "template-rope")
-    chunks = rope.where("piece <> ''").repartition("seq_idx", "chunk").select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    cells = chunks.where("sample > 0").select(*keys, "chunk", F.posexplode(F.split("piece", "")).alias("_i", "base")).withColumn("pos", F.col("chunk") * WIDTH + F.col("_i"))
+    changed = template.select("seq_idx", "seq", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).where("sample > 0")
     key = F.col("seq_idx") * 1009 + F.col("sample") + seed
     new = F.when(F.col("rank") <= n_sub, other_base(F.col("base"), F.shiftright(draw(key, F.col("pos"), 7), 8))).otherwise("-")
-    changes = _fewest(cells, n_sub + n_del, draw(key, F.col("pos"), 5), keys).select(*keys, F.col("pos").alias("start"), F.lit(1).cast("long").alias("len"), new.alias("str_value"))
-    own = stored(_fewest(cells, n_ins, draw(key, F.col("pos"), 6), keys).select(*keys, "pos"), "insertion-sites")
+    changes = least_draws(changed, keys, n_sub + n_del, key, 5).select(*keys, F.col("pos").alias("start"), F.lit(1).cast("long").alias("len"), new.alias("str_value"))
+    own = stored(least_draws(changed, keys, n_ins, key, 6).select(*keys, "pos"), "insertion-sites")
     every = own.select("seq_idx", "pos").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     put = F.when(F.col("_own"), base_of(F.shiftright(draw(key, F.col("pos"), 8), 8))).otherwise("-")
     inserts = every.join(own.withColumn("_own", F.lit(True)), [*keys, "pos"], "left").select(*keys, F.col("pos").alias("start"), F.lit(0).cast("long").alias("len"), put.alias("str_value"))
-    copies = rope.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    copies = to_rope(template, ("seq_idx",)).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     return from_rope(edited(copies, changes.unionByName(inserts), tuple(keys)), tuple(keys))
 
 
@@ -195,13 +184,9 @@ def variants_by_rate(reference: DataFrame, rates: dict[int, tuple[float, int]],
     where the last placed one does not reach it and the sequence has room.  The walk begins
     anew wherever no earlier event reaches, so it goes over a few events at a time.
     """
-    cells = reference.select("seq_idx", F.length("seq").alias("total"), F.explode(F.expr("sequence(0L, cast(length(seq) as bigint) - 1)")).alias("pos")).where("pos >= 0")
-    kind = None
-    for purpose, (t, (chance, _)) in enumerate(rates.items(), 20):
-        hit = draw(F.col("seq_idx") + seed, F.col("pos"), purpose) < int(chance * 2**31)
-        kind = F.when(hit, t) if kind is None else kind.when(hit, t)
-    length = F.create_map(*(F.lit(x) for t, (_, n) in rates.items() for x in (t, n)))
-    drawn = cells.withColumn("sv_type", kind).where("sv_type is not null").withColumn("len", F.element_at(length, F.col("sv_type")).cast("long"))
+    found = hits(reference.select("seq_idx", F.length("seq").alias("total")), [(purpose, int(chance * 2**31)) for purpose, (chance, _) in enumerate(rates.values(), 20)], seed)
+    of = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), (F.col("nth") + 1).cast("int")).cast(kind)
+    drawn = found.select("seq_idx", "total", "pos", of(rates, "int").alias("sv_type"), of([n for _, n in rates.values()], "long").alias("len"))
     wide = (F.col("len") + 1) * F.when(F.col("sv_type").isin(*ELSEWHERE), 2).otherwise(1)
     room = drawn.withColumn("stop", F.col("pos") + wide).where("stop <= total")
     order = Window.partitionBy("seq_idx").orderBy("pos")
