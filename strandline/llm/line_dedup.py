@@ -131,26 +131,33 @@ def _with_pairs(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
+def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_removed", chunks: bool = False) -> DataFrame:
     """``df`` without repeated passages of two or more lines; ``removed`` counts the lines taken out.
 
     A line goes where it and a neighbour stand, byte for byte, at an earlier place (by key,
     then by line); runs of such pairs are whole passages, edges included, wherever chunks
     are cut.  It takes all that ``dedup_line_chunks`` takes but chunks of blank lines.  A
     line's first place in the corpus always stays, and single lines are never removed.
+    With ``chunks``, the chunks of ``dedup_line_chunks`` are found and compared as there, in
+    the same shuffles, and pairs take what chunks leave: repeated chunks of blank lines go too.
     """
     keyed = _keyed(df, key, text, removed)
     who = ["_ld_key", "_ld_text"]
     cut = _with_pairs(keyed.select(*who, "_ld_value"), "_ld_value").select(*who, F.explode_outer("_c").alias("_c")).where("_c.at IS NOT NULL")
-    index = stored(cut.select(*who, "_c.at", "_c.hash").distinct(), "line-pairs")
+    found = cut.select(*who, "_c.at", F.lit(2).alias("n"), "_c.hash")
+    if chunks:
+        whole = _with_chunks(keyed.select(*who, "_ld_value"), "_ld_value").select(*who, F.explode_outer("_c").alias("_c")).where("_c.n > 1")
+        found = found.unionByName(whole.select(*who, "_c.at", "_c.n", F.xxhash64("_c.body", F.reverse("_c.body")).alias("hash")))
+    index = stored(found.distinct(), "line-pairs")
     places = _places(_repeated(index, who), who)
-    body = F.concat_ws("\n", F.get("_ld_lines", F.col("p.at")), F.get("_ld_lines", F.col("p.at") + 1))
+    body = F.array_join(F.slice("_ld_lines", F.col("p.at") + 1, F.col("p.n")), "\n")
     split = keyed.join(places, _same()).withColumn("_ld_lines", F.split("_ld_value", "\n", -1))
     found = split.select(*who, "_ld_lines", F.explode("_ld_places").alias("p")).select(*who, "p", body.alias("body"))
-    gone = _later(found, who).groupBy(*who).agg(F.collect_set("at").alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
+    gone = _later(found, who).groupBy(*who).agg(F.collect_set(F.struct("at", "n")).alias("_ld_gone")).select(F.col("_ld_key").alias("_ld_pk"), F.col("_ld_text").alias("_ld_pt"), "_ld_gone")
     # array_except looks places up in a hash set, so a text costs time in proportion to its lines.
     joined = keyed.join(gone, _same(), "left").withColumn("_ld_lines", F.split("_ld_value", "\n", -1))
-    joined = joined.withColumn("_ld_stay", F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.concat("_ld_gone", F.transform("_ld_gone", lambda i: i + 1))))
+    lines = F.flatten(F.transform("_ld_gone", lambda g: F.sequence(g["at"], g["at"] + g["n"] - 1)))
+    joined = joined.withColumn("_ld_stay", F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), lines))
     left = F.array_join(F.transform("_ld_stay", lambda i: F.get("_ld_lines", i)), "\n")
     count = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_stay")).cast("long")
     out = joined.withColumn(removed, count).withColumn("_ld_value", F.when(F.col("_ld_gone").isNull(), F.col("_ld_value")).otherwise(left))

@@ -71,3 +71,16 @@ def test_stages_on_odd_rows_and_extra_columns(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.where("doc_id = 1").count() == 2 and {r["length"] for r in packed.where("doc_id in (1, 2)").collect()} == {1}
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).collect() == []
+
+
+def test_line_stage_takes_all_that_chunks_take(spark):
+    """The stage cuts and compares op3's chunks, those of blank lines too, and leaves no repeated pair of lines."""
+    from strandline.llm import line_dedup
+
+    lines = [f"line {i} of a passage" for i in range(12)]
+    values = [(1, "\n\n"), (2, "\n\n"), (3, "\n".join(lines)), (4, "\n".join(["x", *lines[2:9], "y"])), (5, None), (6, "")]
+    docs = rows(spark, values)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, DATA).collect()}
+    assert got == dict(values) | {2: "", 4: "x\ny"}
+    for r in line_dedup.dedup_line_chunks(docs).collect():
+        assert r["text"] is None or len(got[r["doc_id"]]) <= len(r["text"])
