@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .segments import free_intervals
 
-
+#: Rounds whose winners are read from tables of their own before they become one.
+TABLES = 4
 
 
 def _free_starts(free: DataFrame, waiting: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,6 +85,8 @@ def allocate(totals: DataFrame, requests: DataFrame, keys: list[str], number, mo
         judged = stored(marked.select(*keys, "rank", "width", "start", wins.alias("_wins")), f"judged-{turn}")
         won = judged.where("_wins").drop("_wins")
         settled = won if settled is None else settled.unionByName(won)
+        if turn % TABLES == TABLES - 1:  # else plans grow with the rounds, and the driver keeps them all
+            settled = stored(settled, f"settled-{turn}")
         waiting = judged.where("not _wins").select(*keys, "rank", "width")
         if waiting.isEmpty():
             return settled
