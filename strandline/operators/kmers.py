@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..storage import stored
+from .matching import MOST_K, shared_hits, split_by_letters
 
 CHUNK = 64
 
@@ -71,6 +72,28 @@ def unique_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
 
 
 
+def _joined_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    index = kmers(reference, k, "ref_idx").withColumnRenamed("pos", "ref_pos")
+    known = [c for c in ("ref_idx", "query_idx") if c in queries.columns]
+    found = kmers(queries, k, *known).withColumnRenamed("pos", "query_pos").join(index, [*(c for c in known if c == "ref_idx"), "kmer"])
+    return found.select("ref_idx", "query_idx", "query_pos", "ref_pos")
+
+
+def kmer_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """ref_idx, query_idx, query_pos, ref_pos: where a query's k-mer is a reference's.
+
+    Queries with a ref_idx meet their reference as strings (:mod:`matching`); others, long
+    k-mers and references with letters beyond A, C, G, T, N and the gap are joined by k-mer.
+    """
+    if "ref_idx" not in queries.columns or k > MOST_K:
+        return _joined_hits(queries, reference, k)
+    odd = split_by_letters(queries, reference)
+    if odd is None:
+        return shared_hits(queries, reference, k)
+    of = lambda rows, how: rows.join(odd, "ref_idx", how)
+    return shared_hits(of(queries, "left_anti"), of(reference, "left_anti"), k).unionByName(_joined_hits(of(queries, "left_semi"), of(reference, "left_semi"), k))
+
+
 def longest_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
     """ref_idx, query_idx, query_pos, length, ref_pos: the longest exact match from each place of a query, a row for each of its places.
 
@@ -78,9 +101,7 @@ def longest_matches(queries: DataFrame, reference: DataFrame, least: int) -> Dat
     k-mer hits on one diagonal are one match: a hit's length follows from the end of its
     island, without comparing bases.
     """
-    index = kmers(reference, least, "ref_idx").withColumnRenamed("pos", "ref_pos")
-    known = [c for c in ("ref_idx", "query_idx") if c in queries.columns]
-    hits = kmers(queries, least, *known).withColumnRenamed("pos", "query_pos").join(index, [*(c for c in known if c == "ref_idx"), "kmer"]).drop("kmer")
+    hits = kmer_hits(queries, reference, least)
     diagonal = ["ref_idx", "query_idx", F.col("ref_pos") - F.col("query_pos")]
     island = F.col("query_pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("query_pos"))
     grown = hits.withColumn("island", island).withColumn("length", (F.max("query_pos").over(Window.partitionBy(*diagonal, "island")) - F.col("query_pos") + least).cast("long"))

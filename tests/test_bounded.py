@@ -69,3 +69,33 @@ def test_least_draws_and_hits(spark):
     kind = F.when(simulate.draw(F.col("seq_idx") + 1, F.col("pos"), 20) < 2**26, 0).when(simulate.draw(F.col("seq_idx") + 1, F.col("pos"), 21) < 2**25, 1)
     total = seqs.select("seq_idx", F.length("seq").alias("total"))
     same(draws.hits(total, chances, 1), cells.join(total.withColumn("total", F.col("total").cast("long")), "seq_idx").withColumn("nth", kind.cast("long")).where("nth is not null"))
+
+
+def test_kmer_hits_inside_references(spark, monkeypatch):
+    """Many small references at a time, one dealt to several shares, pieces with edges, letters without a code; against a join."""
+    import random
+
+    from strandline.operators import kmers, matching
+
+    pick = random.Random(3)
+    text = lambda n, of="ACGTN": "".join(pick.choices(of, k=n))
+    base = text(700)
+    reference = spark.createDataFrame([(1, base), (2, text(60)), (3, "acgtACGT" * 9), (4, ""), (5, "A" * 40)], "ref_idx long, seq string")
+    queries = spark.createDataFrame([(1, 1, base[90:400] + text(50)), (1, 2, text(300)), (2, 1, text(900, "AC")), (3, 1, "tACGTacgt" * 5), (4, 1, base), (5, 2, "A" * 30), (6, 1, base)], "ref_idx long, query_idx long, seq string").repartition(3)
+    for share, piece, together in ((1 << 22, 1 << 16, 1 << 20), (100, 64, 50)):
+        monkeypatch.setattr(matching, "SHARE", share)
+        monkeypatch.setattr(matching, "PIECE", piece)
+        for k in (4, 15):
+            same(kmers.kmer_hits(queries, reference, k), kmers._joined_hits(queries, reference, k))
+
+
+def test_plans_of_the_allocator_do_not_grow_with_its_rounds(spark):
+    """All requests draw the first free place, so each round settles one."""
+    from strandline.operators.allocate import TABLES, allocate
+
+    n = 10
+    totals = spark.createDataFrame([(1, n)], "seq_idx long, total long")
+    requests = spark.createDataFrame([(1, i, 1) for i in range(n)], "seq_idx long, rank long, width long")
+    placed = allocate(totals, requests, ["seq_idx"], lambda turn: F.lit(0).cast("long"))
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= TABLES
+    assert sorted((r["rank"], r["start"]) for r in placed.collect()) == [(i, i) for i in range(n)]
