@@ -99,3 +99,53 @@ def test_plans_of_the_allocator_do_not_grow_with_its_rounds(spark):
     placed = allocate(totals, requests, ["seq_idx"], lambda turn: F.lit(0).cast("long"))
     assert placed._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= TABLES
     assert sorted((r["rank"], r["start"]) for r in placed.collect()) == [(i, i) for i in range(n)]
+
+
+def test_restoration_by_chunks_of_columns(spark):
+    """Rows over several chunks, runs at edges, in gaps and beyond them, letters that are no ASCII; against letters one by one."""
+    import random
+    import re
+
+    from strandline.operators import runs
+
+    pick = random.Random(5)
+    table = {(a, r): "".join(pick.choices("ACGT-", weights=[3, 3, 3, 3, 4], k=w)) for a, w in ((1, 2500), (2, 1000), (3, 3), (4, 1001)) for r in range(3)} | {(5, 0): "---", (6, 0): "Aé-C", (6, 1): "-C-A"}
+    found = [(a, r, i, pick.randint(1, 5)) for (a, r), s in table.items() for i in range(len(s.replace("-", "")) + 1) if pick.random() < 0.3] + [(2, 1, 0, 2500), (5, 0, 0, 5)]
+    number = {(a, r, i): n for a, r, i, n in found}
+
+    def plain(aln_id):
+        needs, parts = {}, {}
+        for (a, r), s in table.items():
+            if a != aln_id:
+                continue
+            own, idx = [], 0  # runs of gaps, also empty ones, before each letter
+            for part in re.findall(r"-*[^-]|-+$|$", s):
+                gaps = len(part) - len(part.lstrip("-"))
+                n = number.get((a, r, idx), 0)
+                own.append(("N" * min(n, gaps) + "-" * (gaps - n), max(n - gaps, 0), part[gaps:]))
+                idx += 1
+            parts[r], c = own, 0
+            for filled, left, letter in own:
+                c += len(filled)
+                if left:
+                    needs[c] = max(needs.get(c, 0), left)
+                c += len(letter)
+        out = {}
+        for r, own in parts.items():
+            text, lefts = "", {}
+            for filled, left, letter in own:
+                text += filled
+                lefts[len(text)] = lefts.get(len(text), 0) + left
+                text += letter
+            out[r] = "".join("N" * lefts.get(c, 0) + "-" * (needs.get(c, 0) - lefts.get(c, 0)) + text[c : c + 1] for c in range(len(text) + 1))
+        return out
+
+    aligned = spark.createDataFrame([(*k, s) for k, s in table.items()], "aln_id long, row_idx long, seq string").repartition(3)
+    n_runs = spark.createDataFrame(sorted({(a, r, i): (a, r, i, n) for a, r, i, n in found}.values(), key=lambda _: pick.random()), "aln_id long, row_idx long, idx long, number long").repartition(4)
+    restored = runs.restore_unknown(aligned, n_runs)
+    assert "Join" not in restored._jdf.queryExecution().executedPlan().toString()  # no table of edits
+    assert {(x.aln_id, x.row_idx): x.seq for x in restored.collect()} == {(a, r): s for a in range(1, 7) for r, s in plain(a).items()}
+    block = F.struct("aln_id", F.lit("x").alias("other")).alias("aln_id")
+    same(runs.restore_unknown(aligned.withColumn("aln_id", block), n_runs.withColumn("aln_id", block)).select("aln_id.aln_id", "row_idx", "seq"), restored)
+    runs_ = runs.symbol_runs(restored, "N")
+    assert "Window" not in runs_._jdf.queryExecution().executedPlan().toString()
