@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..storage import stored
-from .matching import MOST_K, shared_hits, split_by_letters
+from .matching import MOST_K, set_sizes, shared_hits, split_by_letters, without_code
 
 CHUNK = 64
 
@@ -45,8 +45,8 @@ def shared_kmers(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
     return kmers(ungapped, k, "aln_id", "row_idx").join(known, ["aln_id", "kmer"], "left").groupBy("aln_id", "row_idx").agg(F.count("*").alias("n_kmers"), F.count("hit").alias("n_shared"))
 
 
-def exact_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
-    """aln_id, row_idx, similarity: Jaccard similarity of a row's k-mers and the centre's; rows without k-mers are left out."""
+def _joined_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, similarity: Jaccard similarity of a row's k-mers and the centre's, by a join of k-mers."""
     ungapped = aln.withColumn("seq", F.replace("seq", F.lit("-"), F.lit("")))
     own = stored(kmers(ungapped, k, "aln_id", "row_idx").select("aln_id", "row_idx", "kmer").distinct(), "kmer-sets")
     mid = own.where(F.col("row_idx") == centre).select("aln_id", "kmer", F.lit(1).alias("_hit"))
@@ -55,8 +55,8 @@ def exact_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
     return counted.join(sizes, "aln_id").select("aln_id", "row_idx", (F.col("_shared").cast("double") / (F.col("_n") + F.col("_m") - F.col("_shared"))).alias("similarity"))
 
 
-def approximate_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
-    """aln_id, row_idx, similarity: Jaccard similarity of k-mer sets from theta sketches (comparative only)."""
+def _sketched_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, similarity: Jaccard similarity of k-mer sets from theta sketches."""
     ungapped = aln.withColumn("seq", F.replace("seq", F.lit("-"), F.lit("")))
     sketches = kmers(ungapped, k, "aln_id", "row_idx").groupBy("aln_id", "row_idx").agg(F.expr("theta_sketch_agg(kmer)").alias("s"))
     mid = sketches.where(F.col("row_idx") == centre).select("aln_id", F.col("s").alias("c"))
@@ -64,6 +64,35 @@ def approximate_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame
     return sketches.join(mid, "aln_id").select("aln_id", "row_idx", share.cast("double").alias("similarity"))
 
 
+def similarities(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, similarity, estimate: :func:`exact_similarity` and :func:`approximate_similarity` in one pass; the rows of an alignment meet as strings (:mod:`matching`).
+
+    Long k-mers and alignments with letters that have no code are joined by k-mer.
+    """
+    ungapped = aln.select("aln_id", "row_idx", F.replace("seq", F.lit("-"), F.lit("")).alias("seq"))
+    by_join = lambda rows: _joined_similarity(rows, k, centre).join(_sketched_similarity(rows, k, centre).withColumnRenamed("similarity", "estimate"), ["aln_id", "row_idx"])
+    if k > MOST_K:
+        return by_join(ungapped)
+    odd = without_code(ungapped.select(F.col("aln_id").alias("ref_idx"), "seq"))
+    rows = ungapped if odd is None else ungapped.join(odd.withColumnRenamed("ref_idx", "aln_id"), "aln_id", "left_anti")
+    found = set_sizes(rows.select(F.col("aln_id").alias("ref_idx"), F.col("row_idx").alias("query_idx"), "seq"), k, centre)
+    counted = found.groupBy(F.col("ref_idx").alias("aln_id"), F.col("query_idx").alias("row_idx")).agg(*(F.sum(c).alias(c) for c in ("n", "shared", "estimate")))
+    sizes = counted.where(F.col("row_idx") == centre).select("aln_id", F.col("n").alias("_m"))
+    either = F.col("n") + F.col("_m") - F.col("shared")
+    known = counted.join(sizes, "aln_id").select("aln_id", "row_idx", (F.col("shared").cast("double") / either).alias("similarity"), (F.col("estimate") / either).alias("estimate"))
+    return known if odd is None else known.unionByName(by_join(ungapped.join(odd.withColumnRenamed("ref_idx", "aln_id"), "aln_id", "left_semi")))
+
+
+def exact_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, similarity: Jaccard similarity of a row's k-mers and the centre's; rows without k-mers are left out."""
+    return similarities(aln, k, centre).drop("estimate")
+
+
+def approximate_similarity(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
+    """aln_id, row_idx, similarity: Jaccard similarity of k-mer sets estimated on their least hashes (comparative only)."""
+    return similarities(aln, k, centre).select("aln_id", "row_idx", F.col("estimate").alias("similarity"))
+
+
 def unique_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """ref_idx, ref_pos, query_idx, query_pos of k-mers that the reference has exactly once; queries are cut every k bases."""
     once = kmers(reference, k, "ref_idx").groupBy("ref_idx", "kmer").agg(F.count("*").alias("n"), F.min("pos").alias("ref_pos")).where("n = 1")

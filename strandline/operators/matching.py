@@ -25,6 +25,9 @@ MOST_K, PIECE = 20, 1 << 16
 #: Letters that are compared at once (several small references), and hits that are given at once.
 TOGETHER, GIVEN = 1 << 20, 1 << 17
 
+#: Least hashes of two sets that an estimate of their similarity looks at.
+SKETCH = 1 << 12
+
 _CODES = np.zeros(256, np.int64)
 _CODES[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
 
@@ -134,6 +137,55 @@ def shared_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     return compared(rows, k, kind, made)
 
 
+def _mixed(code: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each code, another for each."""
+    x = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _share_of(own: np.ndarray, others: np.ndarray, both: np.ndarray) -> float:
+    """How many codes of either set are in both, estimated on the ``SKETCH`` of least hashes; exact where there are no more."""
+    more = np.setdiff1d(others, own[both], assume_unique=True)
+    n = len(own) + len(more)
+    if n <= SKETCH:
+        return float(both.sum())
+    least = np.argpartition(_mixed(np.concatenate([own, more])), SKETCH)[:SKETCH]
+    return float(both[least[least < len(own)]].sum()) * n / SKETCH
+
+
+def set_sizes(rows: DataFrame, k: int, centre: int) -> DataFrame:
+    """ref_idx, query_idx, n, shared, estimate: distinct k-mers of each sequence (ref_idx, query_idx, seq), those that ``centre`` has too, and their estimate, by share."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    zero = F.lit(0).cast("long")
+    kind = rows.select("ref_idx", "query_idx", zero.alias("n"), zero.alias("shared"), F.lit(0.0).alias("estimate")).schema
+
+    def made(group, code, row, pos, refs, queries) -> Iterator[pa.RecordBatch]:
+        found, begins = [], np.flatnonzero(np.diff(group, prepend=-1))
+        for lo, hi in zip(begins, [*begins[1:], len(group)]):
+            pieces = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
+            own: dict[object, list[np.ndarray]] = {}
+            for r, part in zip(row[lo:hi][pieces], np.split(code[lo:hi], pieces[1:])):
+                own.setdefault(queries[r], []).append(part)
+            sets = {q: np.unique(np.concatenate(parts)) for q, parts in own.items()}
+            mid = sets.get(centre, code[:0])
+            for q, codes_ in sets.items():
+                both = np.isin(codes_, mid, assume_unique=True)
+                found.append((refs[row[lo]], q, len(codes_), int(both.sum()), _share_of(codes_, mid, both)))
+        names = to_arrow_schema(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), names)], schema=names)
+
+    return compared(rows, k, kind, made)
+
+
+def without_code(rows: DataFrame) -> DataFrame | None:
+    """ref_idx of the references that have letters without a code; null where no sequence has."""
+    odd = rows.where(F.col("seq").rlike("[^" + LETTERS + "]")).select("ref_idx").distinct()
+    return None if odd.isEmpty() else odd
+
+
 def split_by_letters(queries: DataFrame, reference: DataFrame) -> DataFrame | None:
     """ref_idx of the references that have letters without a code, their queries' too; null where no sequence has."""
     other = F.col("seq").rlike("[^" + LETTERS + "]")

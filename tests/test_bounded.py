@@ -1,5 +1,6 @@
 """Steps that hold a bounded number of rows in a task, against the plain forms of the same."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.operators import columns, composition, segments, windows
@@ -149,3 +150,28 @@ def test_restoration_by_chunks_of_columns(spark):
     same(runs.restore_unknown(aligned.withColumn("aln_id", block), n_runs.withColumn("aln_id", block)).select("aln_id.aln_id", "row_idx", "seq"), restored)
     runs_ = runs.symbol_runs(restored, "N")
     assert "Window" not in runs_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarity_of_sets_inside_alignments(spark, monkeypatch):
+    """Rows as strings, also dealt to shares and with letters without a code, against joins; an estimate on fewer hashes is near."""
+    import random
+
+    from strandline.operators import kmers, matching
+
+    pick = random.Random(7)
+    base = "".join(pick.choices("ACGTN", k=9000))
+    rows = [base, base[3000:] + "ACGT", "--" + base[:200] + "-", "ACG", ""]
+    table = alignment(spark, *rows).union(alignment(spark, "AC", base, aln_id=2)).union(alignment(spark, "ACxé" * 40, "CxéA" * 30, "ACGT" * 9, aln_id=3)).repartition(3)
+    for share, piece, together in ((1 << 22, 1 << 16, 1 << 20), (100, 64, 50)):
+        monkeypatch.setattr(matching, "SHARE", share)
+        monkeypatch.setattr(matching, "PIECE", piece)
+        monkeypatch.setattr(matching, "TOGETHER", together)
+        for k in (4, 15):
+            found = kmers.similarities(table, k)
+            same(found.drop("estimate"), kmers._joined_similarity(table, k))
+            assert found.where("abs(similarity - estimate) > 0.05").isEmpty()
+    plan = kmers.exact_similarity(table.where("aln_id < 3"), 15)._jdf.queryExecution().executedPlan().toString()
+    assert "substring" not in plan.split("MapInArrow")[0]  # no row a k-mer
+    a, b = np.arange(90_000), np.arange(45_000, 135_000)
+    estimate = matching._share_of(a, b, np.isin(a, b))
+    assert estimate != 45_000 and abs(estimate / 135_000 - 1 / 3) < 0.05
