@@ -12,17 +12,23 @@ Blocks of one alignment wait for each other's ends; alignments are independent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.sequence import GAP_EXTEND, GAP_OPEN, HOXD70
+from ..session import ship
+from ..storage import stored
 
 SCHEMA = "aln_id long, start long, end long, rows string, score double, score_100 double"
 #: Columns or cells that a stretch of gaps may have, and the share of the centre's score in per cent.
 PATIENCE, SHARE = 5, 98.0
+#: Blocks that are given at once.
+GIVEN = 1 << 12
 
 _GAP = ord("-")
 _SCORES = np.zeros((256, 256))
@@ -120,17 +126,49 @@ def extend_all(sheet: Sheet, blocks: list[Block], share: float = SHARE) -> list[
 
 
 def extend_blocks(aln: DataFrame, merged: DataFrame, width: int = 100, share: float = SHARE) -> DataFrame:
-    """aln_id, start, end, rows, score, score_100 of extended and fused blocks of merged windows."""
-
-    def run(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        seqs = dict(zip(rows.row_idx, rows.seq))
-        if found.empty or 0 not in seqs:
-            return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    """aln_id, start, end, rows, score, score_100 of extended and fused blocks of merged windows.
+
+    Rows and, behind them, blocks of one alignment pass one behind the other, many alignments
+    in a task, so none needs a group of its own.
+    """
+
+    ship(aln.sparkSession)
+    none = lambda kind: F.lit(None).cast(kind)
+    found = ["first_win", "n_win", "rows", "score", "score_100"]
+    merged = stored(merged, "merged-windows")
+    with_blocks = aln.join(merged.select("aln_id").distinct(), "aln_id", "left_semi")
+    letters = with_blocks.select("aln_id", "row_idx", "seq", *(none(merged.schema[c].dataType).alias(c) for c in found))
+    blocks = merged.select("aln_id", none("long").alias("row_idx"), none("string").alias("seq"), *found)
+    both = letters.unionByName(blocks).repartition("aln_id").sortWithinPartitions("aln_id", "first_win")
+    kind = aln.select("aln_id", *(none(c.split()[1]).alias(c.split()[0]) for c in SCHEMA.split(", ")[1:])).schema
+
+    def ends(aln_id, seqs: dict[int, str], own: list[tuple]) -> list[tuple]:
+        if not own or 0 not in seqs:
+            return []
         sheet = Sheet(seqs)
-        found = found.sort_values("first_win")
-        ends = np.minimum((found.first_win + found.n_win) * width, sheet.columns)
-        sets = (tuple(map(int, r.split(","))) for r in found["rows"])
-        blocks = list(map(Block, found.first_win * width, ends, sets, found.score, found.score_100))
-        return pd.DataFrame([(key[0], int(b.start), int(b.end), ",".join(map(str, b.rows)), b.score, b.score_100) for b in extend_all(sheet, blocks, share)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return aln.groupBy("aln_id").cogroup(merged.groupBy("aln_id")).applyInPandas(run, SCHEMA)
+        given = [Block(first * width, min((first + n) * width, sheet.columns), tuple(map(int, rows.split(","))), score, score_100) for first, n, rows, score, score_100 in own]
+        return [(aln_id, int(b.start), int(b.end), ",".join(map(str, b.rows)), b.score, b.score_100) for b in extend_all(sheet, given, share)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        names = to_arrow_schema(kind)
+        given = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), names)], schema=names)
+        at, seqs, own, held = None, {}, [], []
+        for batch in batches:
+            for aln_id, row_idx, seq, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                if aln_id != at:
+                    held.extend(ends(at, seqs, own))
+                    at, seqs, own = aln_id, {}, []
+                if row_idx is None:
+                    own.append(tuple(block))
+                else:
+                    seqs[row_idx] = seq
+            if len(held) > GIVEN:
+                yield given(held)
+                held = []
+        held.extend(ends(at, seqs, own))
+        if held:
+            yield given(held)
+
+    return both.mapInArrow(run, kind)

@@ -175,3 +175,20 @@ def test_similarity_of_sets_inside_alignments(spark, monkeypatch):
     a, b = np.arange(90_000), np.arange(45_000, 135_000)
     estimate = matching._share_of(a, b, np.isin(a, b))
     assert estimate != 45_000 and abs(estimate / 135_000 - 1 / 3) < 0.05
+
+
+def test_blocks_of_alignments_are_extended_as_they_pass(spark):
+    """Some alignments without blocks, one without a centre; against the blocks of each alignment by themselves."""
+    from strandline.operators import extension
+
+    texts = {a: ["ACGTA" * 90, "ACGTA" * 90, "ACG-A" * 90][: 1 + a % 3] for a in range(9)}
+    table = spark.createDataFrame([(a, i + (a == 8), s) for a, rows in texts.items() for i, s in enumerate(rows)], "aln_id long, row_idx long, seq string").repartition(3)
+    blocks = [(a, w, 1, "0" if a % 3 == 0 else "0,1", 9000.0, 9500.0) for a in range(9) for w in (3, 1) if a % 4]
+    merged = spark.createDataFrame(blocks, "aln_id long, first_win long, n_win long, rows string, score double, score_100 double")
+    found = extension.extend_blocks(table, merged)
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()  # no group an alignment
+    wanted = []
+    for a in range(8):
+        own = [extension.Block(w * 100, w * 100 + 100, tuple(map(int, r.split(","))), s, t) for b, w, _, r, s, t in sorted(blocks) if b == a]
+        wanted += [(a, int(b.start), int(b.end), ",".join(map(str, b.rows)), b.score, b.score_100) for b in extension.extend_all(extension.Sheet(dict(enumerate(texts[a]))), own)]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and wanted
