@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import ship
-from ..storage import stored
 from .columns import CHUNK, column_keys
 from .letters import by_stretch
-from .rope import WIDTH, to_rope
-from .scan import totals_before
+from .restoration import GIVEN as LETTERS
+from .restoration import code_points, single_letters
+from .rope import WIDTH
 
+#: Letters of a sequence that are cut at once: whole chunks.
+GIVEN = LETTERS // WIDTH * WIDTH
 SYMBOLS = {"a": "A", "c": "C", "g": "G", "t": "T", "n": "N", "gap": "-"}
 
 
@@ -66,17 +68,41 @@ def sp_scores(cells: DataFrame, match: int = 1, mismatch: int = -1, gap1: int =
 def occurrence_table(seqs: DataFrame, *keys: str) -> DataFrame:
     """keys, pos, base, n_a .. n_gap: how often each symbol occurs up to and at each place of a sequence (keys, seq).
 
-    Symbols are counted by chunks as strings, summed over the chunks before, and counted
-    place by place inside a chunk in numpy on Arrow batches, some chunks at a time, so no
-    place is sorted or shuffled.
+    A sequence is cut into chunks as it is read, each with the counts before it; chunks are
+    dealt to tasks in the only exchange, and counted place by place in numpy on Arrow
+    batches, some at a time.  No place is sorted or shuffled, and nothing is stored or joined.
     """
     ship(seqs.sparkSession)
-    rope = stored(to_rope(seqs, keys).where("piece <> ''"), "occurrence-rope")
-    many = lambda s: (F.length("piece") - F.length(F.replace("piece", F.lit(s), F.lit("")))).cast("long")
-    names = [f"n_{k}" for k in SYMBOLS]
-    before = totals_before(rope.select(*keys, "chunk", *(many(s).alias(n) for n, s in zip(names, SYMBOLS.values()))), [*keys], "chunk", names)
-    schema = StructType([*rope.select(*keys).schema, StructField("pos", LongType()), StructField("base", StringType()), *(StructField(n, LongType()) for n in names)])
-    n_keys = len(keys)
+    names, symbols, n_keys = [f"n_{k}" for k in SYMBOLS], [ord(s) for s in SYMBOLS.values()], len(keys)
+    own = seqs.select(*keys).schema
+    counts = [StructField(n, LongType()) for n in names]
+    cut = StructType([*own, StructField("chunk", LongType()), StructField("piece", StringType()), *counts])
+    schema = StructType([*own, StructField("pos", LongType()), StructField("base", StringType()), *counts])
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(cut)
+        for batch in batches:
+            held, size = [], 0
+            whole = lambda: pa.RecordBatch.from_arrays([
+                *(batch.column(k).take(pa.array(np.repeat([h[0] for h in held], [len(h[2]) for h in held]))) for k in range(n_keys)),
+                pa.array(np.concatenate([h[1] for h in held]), pa.int64()), pa.array([p for h in held for p in h[2]], pa.string()),
+                *(pa.array(c, pa.int64()) for c in np.concatenate([h[3] for h in held], axis=1)),
+            ], schema=kind)
+            for row, seq in enumerate(batch.column(n_keys).to_pylist()):
+                so_far = np.zeros((len(symbols), 1), np.int64)
+                for low in range(0, len(seq or ""), GIVEN):
+                    text = seq[low : low + GIVEN]
+                    codes, begins = code_points(text), np.arange(0, len(text), WIDTH)
+                    found = np.stack([np.add.reduceat(codes == s, begins, dtype=np.int64) for s in symbols])
+                    held.append((row, (low + begins) // WIDTH, [text[i : i + WIDTH] for i in begins], so_far + np.cumsum(found, axis=1) - found))
+                    so_far, size = so_far + found.sum(axis=1, keepdims=True), size + len(text)
+                    if size >= GIVEN:
+                        yield whole()
+                        held, size = [], 0
+            if held:
+                yield whole()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,18 +110,16 @@ def occurrence_table(seqs: DataFrame, *keys: str) -> DataFrame:
         kind = to_arrow_schema(schema)
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                chunk, pieces = part.column(n_keys).to_numpy(), part.column(n_keys + 1).to_pylist()
-                letters = "".join(pieces)
-                sizes = np.array([len(p) for p in pieces])
-                row, begins = np.repeat(np.arange(len(pieces)), sizes), np.cumsum(sizes) - sizes
-                codes = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32)
+                pieces = part.column(n_keys + 1).to_pylist()
+                codes, sizes = code_points("".join(pieces)), np.array([len(p) for p in pieces])
+                begins, row = np.cumsum(sizes) - sizes, pa.array(np.repeat(np.arange(len(pieces)), sizes))
+                pos = np.repeat(part.column(n_keys).to_numpy() * WIDTH - begins, sizes) + np.arange(len(codes))
                 counts = []
-                for k, s in enumerate(SYMBOLS.values()):
-                    hit = codes == ord(s)
+                for k, s in enumerate(symbols):
+                    hit = codes == s
                     sums = np.cumsum(hit)
-                    counts.append(sums + (part.column(n_keys + 2 + k).to_numpy() - sums[begins] + hit[begins])[row])
-                pos = (chunk * WIDTH - begins)[row] + np.arange(len(codes))
-                own = [part.column(k).take(pa.array(row)) for k in range(n_keys)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(pos, pa.int64()), pa.array(list(letters), pa.string()), *(pa.array(c, pa.int64()) for c in counts)], schema=kind)
+                    counts.append(sums + np.repeat(part.column(n_keys + 2 + k).to_numpy() - sums[begins] + hit[begins], sizes))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(n_keys)), pa.array(pos), single_letters(codes), *map(pa.array, counts)], schema=kind)
 
-    return rope.join(before, [*keys, "chunk"]).select(*keys, "chunk", "piece", *names).mapInArrow(placed, schema)
+    chunks = seqs.select(*keys, "seq").mapInArrow(chunked, cut)
+    return chunks.repartition(*keys, "chunk").mapInArrow(placed, schema)

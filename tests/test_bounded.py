@@ -192,3 +192,25 @@ def test_blocks_of_alignments_are_extended_as_they_pass(spark):
         own = [extension.Block(w * 100, w * 100 + 100, tuple(map(int, r.split(","))), s, t) for b, w, _, r, s, t in sorted(blocks) if b == a]
         wanted += [(a, int(b.start), int(b.end), ",".join(map(str, b.rows)), b.score, b.score_100) for b in extension.extend_all(extension.Sheet(dict(enumerate(texts[a]))), own)]
     assert sorted(map(tuple, found.collect())) == sorted(wanted) and wanted
+
+
+def test_occurrences_are_counted_with_one_exchange(spark, monkeypatch):
+    """Sequences over several chunks and over several cuts of letters, letters that are no ASCII, none at all; against running counts."""
+    from strandline.operators import composition
+
+    texts = {1: "ACGTN-" * 700, 2: "ACGé-N" * 400, 3: "", 4: None, 5: "N", 6: "-" * 1000, 7: "AC" * 500 + "G"}
+    table = spark.createDataFrame([("x", k, s) for k, s in texts.items()], "g string, seq_idx long, seq string").repartition(3)
+    wanted = []
+    for k, s in texts.items():
+        so_far = dict.fromkeys("ACGTN-", 0)
+        for i, c in enumerate(s or ""):
+            if c in so_far:
+                so_far[c] += 1
+            wanted.append(("x", k, i, c, *so_far.values()))
+    for given in (composition.GIVEN, 2000):
+        monkeypatch.setattr(composition, "GIVEN", given)
+        found = composition.occurrence_table(table, "g", "seq_idx")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not {w for w in ("Join", "Sort", "Window", "Aggregate") if w in plan} and plan.count("RepartitionByExpression") == 1
+        assert found.columns == ["g", "seq_idx", "pos", "base", *(f"n_{k}" for k in composition.SYMBOLS)]
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
