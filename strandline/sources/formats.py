@@ -163,12 +163,21 @@ def render_maf(rows: DataFrame, scores: DataFrame, keys: list[str], name_width:
 # ---- records of unknown-base runs
 
 
-def render_run_records(seqs: DataFrame, runs: DataFrame) -> DataFrame:
-    """seq_idx, text: name, run count and length without N, and the runs, of each sequence."""
-    parts = runs.groupBy("seq_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "number"))).alias("runs"))
+#: Lines of a run record that are put into one row.
+TOGETHER = 1000
+
+
+def render_run_records(seqs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """seq_idx, text: name, run count and length without N, and the runs, of each sequence.
+
+    ``seqs`` has seq_idx, name, seq, and an ordered array ``runs`` where there is no table of them.
+    """
+    seqs = seqs.select("seq_idx", "name", F.length(strip_n(F.col("seq"))).alias("_length"), *(["runs"] if runs is None else []))
     lines = F.transform("runs", lambda r: F.concat(r["idx"].cast("string"), F.lit(" "), r["number"].cast("string"), F.lit(" ")))
-    head = F.concat(F.lit("> "), F.col("name"), F.lit("\n"), F.coalesce(F.size("runs"), F.lit(0)).cast("string"), F.lit(" "), F.length(strip_n(F.col("seq"))).cast("string"))
-    return seqs.join(parts, "seq_idx", "left").select("seq_idx", F.concat_ws("\n", head, F.when(F.size("runs") > 0, F.array_join(lines, "\n"))).alias("text"))
+    head = F.concat(F.lit("> "), F.col("name"), F.lit("\n"), F.coalesce(F.size("runs"), F.lit(0)).cast("string"), F.lit(" "), F.col("_length").cast("string"))
+    if runs is not None:
+        seqs = seqs.join(runs.groupBy("seq_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "number"))).alias("runs")), "seq_idx", "left")
+    return seqs.select("seq_idx", F.concat_ws("\n", head, F.when(F.size("runs") > 0, F.array_join(lines, "\n"))).alias("text"))
 
 
 def render_runs(seqs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -177,11 +186,30 @@ def render_runs(seqs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def parse_runs(lines: DataFrame) -> DataFrame:
-    """file, seq_idx, name, length, idx, number of every run; a sequence without runs has one row with null idx."""
-    marked = number(lines, {"rec": F.col("line").startswith(">")}).where("rec > 0")
-    place = F.row_number().over(Window.partitionBy("file", "rec").orderBy("line_no")) - 1
-    rows = marked.withColumn("place", place).withColumn("t", F.split(F.trim("line"), r"\s+"))
-    at = lambda i: F.get("t", F.lit(i)).cast("long")
-    heads = rows.groupBy("file", "rec").agg(F.max(F.when(F.col("place") == 0, header(F.col("line")))).alias("name"), F.max(F.when(F.col("place") == 1, F.try_element_at("t", F.lit(2)).try_cast("long"))).alias("length"))
-    runs = rows.where("place > 1 and trim(line) <> ''").select("file", "rec", at(0).alias("idx"), at(1).alias("number"))
-    return heads.join(runs, ["file", "rec"], "left").select("file", (F.col("rec") - 1).alias("seq_idx"), "name", "length", "idx", "number")
+    """file, seq_idx, name, length, idx, number of every run; a sequence without runs has one row with null idx.
+
+    Lines are put together where they lie, up to ``TOGETHER`` of a record and block in one
+    row, and only these rows meet by record.
+    """
+    mark = F.col("line").startswith(">").cast("long")
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    counted = lines.select("file", "block", "at", "line", F.sum(mark).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rec"), F.floor((F.row_number().over(inside) - 1) / TOGETHER).alias("cut"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    pieces = counted.groupBy("file", "block", "rec", "cut").agg(listed.alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum(mark).alias("_marks")).select("file", "block", F.coalesce(F.sum("_marks").over(before), F.lit(0)).alias("_marks"))
+    placed = pieces.join(blocks, ["file", "block"]).withColumn("rec", F.col("rec") + F.col("_marks")).where("rec > 0")
+    record = Window.partitionBy("file", "rec")
+    start = F.coalesce(F.sum(F.size("lines")).over(record.orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = lambda line: F.split(F.trim(line), r"\s+")
+    at = lambda line, i: F.get(words(line), F.lit(i)).cast("long")
+    own = F.filter("lines", lambda line, i: (F.col("start") + i > 1) & (F.trim(line) != ""))
+    second = F.when(F.col("start") < 2, F.get("lines", (1 - F.col("start")).cast("int")))
+    known = placed.withColumn("start", start).select(
+        "file", "rec", "start",
+        F.max(F.when(F.col("start") == 0, header(F.get("lines", F.lit(0))))).over(record).alias("name"),
+        F.max(F.try_element_at(words(second), F.lit(2)).try_cast("long")).over(record).alias("length"),
+        F.transform(own, lambda line: F.struct(at(line, 0).alias("idx"), at(line, 1).alias("number"))).alias("runs"),
+    )
+    some = known.withColumn("_all", F.sum(F.size("runs")).over(record)).where("size(runs) > 0 or (start = 0 and _all = 0)")
+    return some.select("file", (F.col("rec") - 1).alias("seq_idx"), "name", "length", F.explode_outer("runs").alias("r")).select("file", "seq_idx", "name", "length", "r.idx", "r.number")

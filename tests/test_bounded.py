@@ -214,3 +214,47 @@ def test_occurrences_are_counted_with_one_exchange(spark, monkeypatch):
         assert not {w for w in ("Join", "Sort", "Window", "Aggregate") if w in plan} and plan.count("RepartitionByExpression") == 1
         assert found.columns == ["g", "seq_idx", "pos", "base", *(f"n_{k}" for k in composition.SYMBOLS)]
         assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_run_records_meet_in_few_rows(spark, monkeypatch):
+    """Records cut by blocks and rows at any line, without runs, with blank lines, behind text without a header; against a plain parser."""
+    import random
+
+    from strandline.operators import runs
+    from strandline.sources import formats
+
+    pick = random.Random(11)
+    texts = {"a": ["lost", "> r1", "3 40"] + [f"{i * 2} {i} " for i in range(9)] + ["", "> r2", "0 7", "> r3 more", "1 5", "", "4 2"], "b": ["> r1", "0 0"], "c": ["lost"], "d": ["> x", "1 9", "2 3", "> y", "2 8", "0 1", "5 5"]}
+    wanted = []
+    for file, body in texts.items():
+        heads = [i for i, line in enumerate(body) if line.startswith(">")]
+        for n, (i, j) in enumerate(zip(heads, [*heads[1:], len(body)])):
+            own = [tuple(map(int, line.split()[:2])) for line in body[i + 2 : j] if line.strip()] or [(None, None)]
+            wanted += [(file, n, body[i][1:].strip(), int(body[i + 1].split()[1]), *r) for r in own]
+    for together in (1000, 1, 2, 3):
+        monkeypatch.setattr(formats, "TOGETHER", together)
+        rows = []
+        for file, body in texts.items():
+            block = 0
+            for i, line in enumerate(body):
+                block = i if pick.random() < 0.3 else block
+                rows.append((file, block, i, line))
+        lines = spark.createDataFrame(pick.sample(rows, len(rows)), "file string, block long, at long, line string").repartition(3)
+        found = formats.parse_runs(lines)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of pieces and blocks' totals
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    table = spark.createDataFrame([(1, 0, "NNACN"), (1, 1, ""), (1, 2, None), (2, 0, "AC")], "aln_id long, row_idx long, seq string")
+    listed = runs.with_runs(table)
+    assert "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()  # no run is grouped
+    assert {(r.aln_id, r.row_idx): [tuple(x) for x in r.n_runs] for r in listed.collect()} == {(1, 0): [(0, 2), (2, 1)], (1, 1): [], (1, 2): [], (2, 0): []}
+
+
+def test_rows_find_the_first_record_of_their_name(spark):
+    """Records of one name and of rows that are not there, which widen nothing."""
+    from strandline.operators import runs
+
+    aligned = spark.createDataFrame([(1, "b", "ACCGT"), (1, "a", "AC-GT"), (2, "a", "AC")], "aln_id long, name string, seq string")
+    records = [(1, 0, "a", 4, 2, 3), (1, 1, "b", 5, None, None), (1, 2, "a", 9, 0, 50), (1, 3, "c", 2, 1, 70), (2, 4, "a", 2, 2, 1), (2, 4, "a", 2, 0, 2)]
+    found = runs.restore_named(aligned, spark.createDataFrame(records, "aln_id long, seq_idx long, name string, length long, idx long, number long").repartition(2))
+    got = {(r["aln_id"], r["row_idx"]): (r["name"], r["seq"]) for r in found.collect()}
+    assert got == {(1, 1): ("b", "ACC--GT"), (1, 0): ("a", "ACNNNGT"), (2, 4): ("a", "NNACN")}
