@@ -82,8 +82,8 @@ def side_block_maf(found: DataFrame, names: DataFrame) -> DataFrame:
 # ---- aligned FASTA
 
 
-def aligned_fasta(aligned: DataFrame, n_runs: DataFrame, names: DataFrame) -> DataFrame:
-    """aln_id, row_idx, text: rows with their unknown bases back, named with their strand in brackets; ``names`` has name and plus."""
+def aligned_fasta(aligned: DataFrame, n_runs: DataFrame | None, names: DataFrame) -> DataFrame:
+    """aln_id, row_idx, text: rows with their unknown bases back, named with their strand in brackets; ``names`` has name and plus.  Rows may carry their runs, as in :func:`restore_unknown`."""
     rows = restore_unknown(aligned, n_runs).join(names, ["aln_id", "row_idx"])
     text = render_fasta(rows.select(F.struct("aln_id", "row_idx").alias("seq_idx"), "name", "seq", F.when(F.col("plus"), "+").otherwise("-").alias("sign")), "> ", sign="sign")
     return text.select("seq_idx.*", "text")

@@ -152,6 +152,23 @@ def test_restoration_by_chunks_of_columns(spark):
     assert "Window" not in runs_._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_that_carry_their_runs_meet_none(spark, small_dir):
+    """Runs beside rows, over several chunks and without any, against a table of runs; the queries' letters pass two exchanges."""
+    from strandline.operators import runs
+    from strandline.plans import queries
+
+    own = alignment(spark, "ACGT" * 700, "NNAC-GTN" * 300 + "N", "NNN").union(alignment(spark, "ACNNGé", "N" * 1500 + "A", aln_id=2)).union(alignment(spark, "", "N", aln_id=3)).repartition(3)
+    core = F.replace("seq", F.lit("N"), F.lit(""))
+    carrying = runs.with_runs(own).select("aln_id", "row_idx", F.rpad(core, 3000, "-").alias("seq"), "n_runs")
+    apart = carrying.select("aln_id", "row_idx", F.explode("n_runs").alias("r")).select("aln_id", "row_idx", "r.*")
+    same(runs.restore_unknown(carrying), runs.restore_unknown(carrying.drop("n_runs"), apart))
+    aligned, found = queries._restorable(spark, small_dir)
+    restored = queries.n_restore(spark, small_dir)
+    plan = restored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan
+    same(restored, runs.restore_unknown(aligned, found))
+
+
 def test_similarity_of_sets_inside_alignments(spark, monkeypatch):
     """Rows as strings, also dealt to shares and with letters without a code, against joins; an estimate on fewer hashes is near."""
     import random
