@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import ship
-from .columns import CHUNK, column_keys
+from .columns import column_keys
 from .letters import by_stretch
 from .restoration import GIVEN as LETTERS
 from .restoration import code_points, single_letters
@@ -35,8 +35,8 @@ def composition(cells: DataFrame) -> DataFrame:
 def column_counts(aln: DataFrame) -> DataFrame:
     """aln_id, pos, a, c, g, t, n, gap of alignments (aln_id, row_idx, seq): as :func:`composition` of their cells, counted on chunks as they pass."""
 
-    def rows(aln_id: object, chunk: int, stretch) -> list[np.ndarray]:
-        return [chunk * CHUNK + np.arange(stretch.width), *stretch.counts[:, : stretch.width]]
+    def rows(aln_id: object, begin: int, stretch) -> list[np.ndarray]:
+        return [begin + np.arange(stretch.width), *stretch.counts[:, : stretch.width]]
 
     return by_stretch(aln, ", ".join(f"{c} bigint" for c in ("pos", *SYMBOLS)), rows, "".join(SYMBOLS.values()))
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .columns import CHUNK, stretches
+from . import columns
+from .columns import stretches
 
 GAP = ord("-")
 #: Chunks that are looked at together, which bounds a task's matrices.
@@ -35,9 +36,9 @@ def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Stretch:
     """What is known of one stretch of columns so far: how many rows have each symbol, and the least and greatest letter."""
 
-    def __init__(self, symbols: str):
-        self.counts = np.zeros((len(symbols), CHUNK), np.int64)
-        self.low, self.high = np.full(CHUNK, 2**32 - 1, np.int64), np.zeros(CHUNK, np.int64)
+    def __init__(self, symbols: str, columns: int):
+        self.counts = np.zeros((len(symbols), columns), np.int64)
+        self.low, self.high = np.full(columns, 2**32 - 1, np.int64), np.zeros(columns, np.int64)
         self.width = 0
 
     def add(self, counts: list[np.ndarray], low: np.ndarray, high: np.ndarray, width: int) -> None:
@@ -48,7 +49,7 @@ class Stretch:
         np.maximum(self.high[: len(high)], high, out=self.high[: len(high)])
 
 
-def _passed(batches: Iterator[pa.RecordBatch], symbols: str) -> Iterator[tuple[object, int, Stretch]]:
+def _passed(batches: Iterator[pa.RecordBatch], symbols: str, chunk: int) -> Iterator[tuple[object, int, Stretch]]:
     """(aln_id, chunk, its columns) of sorted rows aln_id, chunk, piece, each as soon as it is whole."""
     at, known = None, None
     for batch in batches:
@@ -64,7 +65,7 @@ def _passed(batches: Iterator[pa.RecordBatch], symbols: str) -> Iterator[tuple[o
                 if known is None or keys[i] != at:
                     if known is not None:
                         yield *at, known
-                    at, known = keys[i], Stretch(symbols)
+                    at, known = keys[i], Stretch(symbols, chunk)
                 w = int(width[g])
                 known.add([c[g, :w] for c in counts], low[g, :w], high[g, :w], w)
     if known is not None:
@@ -72,9 +73,9 @@ def _passed(batches: Iterator[pa.RecordBatch], symbols: str) -> Iterator[tuple[o
 
 
 def by_stretch(aln: DataFrame, schema: str, made: Callable[[object, int, Stretch], list[np.ndarray]], symbols: str) -> DataFrame:
-    """Rows (aln_id, ``schema``) that ``made`` gives for each stretch of columns of an alignment (aln_id, row_idx, seq), as columns of numpy."""
+    """Rows (aln_id, ``schema``) that ``made`` gives for each stretch of columns of an alignment (aln_id, row_idx, seq) and its first column, as columns of numpy."""
     ship(aln.sparkSession)
-    kind = aln.schema["aln_id"].dataType
+    kind, width = aln.schema["aln_id"].dataType, columns.CHUNK  # workers import their own
     fields = aln.select("aln_id", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", "))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +86,13 @@ def by_stretch(aln: DataFrame, schema: str, made: Callable[[object, int, Stretch
 
         def batch() -> pa.RecordBatch:
             ids = pa.array([i for i, _ in held], id_type).take(pa.array(np.repeat(np.arange(len(held)), [len(c[0]) for _, c in held])))
-            columns = [np.concatenate(c) for c in zip(*(c for _, c in held))]
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, list(names)[1:]))], schema=names)
+            whole = [np.concatenate(c) for c in zip(*(c for _, c in held))]
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(whole, list(names)[1:]))], schema=names)
 
-        for aln_id, chunk, stretch in _passed(batches, symbols):
-            columns = made(aln_id, chunk, stretch)
-            held.append((aln_id, columns))
-            n += len(columns[0])
+        for aln_id, chunk, stretch in _passed(batches, symbols, width):
+            found = made(aln_id, chunk * width, stretch)
+            held.append((aln_id, found))
+            n += len(found[0])
             if n > 1 << 16 or len(held) > 1 << 12:
                 yield batch()
                 held, n = [], 0

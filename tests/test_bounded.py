@@ -169,6 +169,22 @@ def test_rows_that_carry_their_runs_meet_none(spark, small_dir):
     same(restored, runs.restore_unknown(aligned, found))
 
 
+def test_starts_of_matches_without_a_row_for_each_gap(spark):
+    """Rows over several chunks, with gaps at edges, other letters, and an uneven one; against prefixes of the rows."""
+    from strandline.operators.columns import CHUNK
+
+    a, b = "AC--GTN-" * 400, "AC--GTTT" * 400
+    edge = "-" * CHUNK + "A" * CHUNK + "-" * (CHUNK - 1) + "AC"
+    tables = {1: [a, b, a], 2: [edge, edge], 3: ["é-ACG", "é-ATG"], 4: ["-A-CG", "-A-CGTT"], 5: ["", ""]}
+    table = spark.createDataFrame([(k, i, s) for k, rows in tables.items() for i, s in enumerate(rows)], "aln_id long, row_idx long, seq string").repartition(3)
+    for least in (1, 2):
+        found = segments.exact_match_rows(table, least)
+        windows_of = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Window ")
+        assert windows_of(found) == windows_of(segments.exact_match_blocks(table, least))
+        wanted = [(k, r.start, r.length, i, len(s[: r.start].replace("-", ""))) for r in segments.exact_match_blocks(table, least).collect() for k in [r.aln_id] for i, s in enumerate(tables[k]) if r.start < len(s)]
+        assert len(wanted) > 1000 and sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 def test_similarity_of_sets_inside_alignments(spark, monkeypatch):
     """Rows as strings, also dealt to shares and with letters without a code, against joins; an estimate on fewer hashes is near."""
     import random
