@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .allocate import allocate
-from .draws import hits, least_draws
+from .allocate import FEW, allocate, allocate_few
+from .draws import hits, least_draws, numbers
 from .rope import edited, from_rope, to_rope
 from .runs import splice
 
@@ -112,10 +112,16 @@ def allocated_variants(reference: DataFrame, wanted: dict[int, tuple[int, int]],
     """
     plan = [(i, t, n) for i, (t, n) in enumerate((t, n) for t, (count, n) in wanted.items() for _ in range(count))]
     parts = [(i, t, n, 2 * i, n + 1) for i, t, n in plan] + [(i, t, n, 2 * i + 1, 1) for i, t, n in plan if t in ELSEWHERE]
+    totals = reference.select("seq_idx", F.length("seq").cast("long").alias("total"))
+    if 0 < len(parts) <= FEW:
+        asked = sorted((rank, width) for *_, rank, width in parts)
+        found = allocate_few(totals, asked, lambda key, rank, turn: numbers(key + seed, rank + turn * 1009, 12))
+        at = {rank: F.get("starts", F.lit(i)) for i, (rank, _) in enumerate(asked)}
+        each = [F.struct(F.lit(i).cast("long").alias("sv_id"), F.lit(t).cast("int").alias("sv_type"), at[2 * i].alias("a_index"), F.lit(n).cast("long").alias("len"), at[2 * i + 1 if t in ELSEWHERE else 2 * i].alias("b_site")) for i, t, n in plan]
+        return found.select("seq_idx", F.explode(F.array(*each)).alias("v")).select("seq_idx", "v.*").where("a_index is not null and b_site is not null")
     kind = "sv_id bigint, sv_type int, len bigint, rank bigint, width bigint".split(", ")
     rows = F.array(*(F.struct(*(F.lit(v).cast(k.split()[1]).alias(k.split()[0]) for v, k in zip(part, kind))) for part in parts))
     requests = stored(reference.select("seq_idx", F.explode(rows).alias("r")).select("seq_idx", "r.*"), "variant-requests")
-    totals = reference.select("seq_idx", F.length("seq").cast("long").alias("total"))
     number = lambda turn: draw(F.col("seq_idx") + seed, F.col("rank") + turn * 1009, 12)
     placed = requests.join(allocate(totals, requests, ["seq_idx"], number).drop("width"), ["seq_idx", "rank"])
     own, other = placed.where("rank % 2 = 0"), placed.where("rank % 2 = 1").select("seq_idx", "sv_id", F.col("start").alias("b_site"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import simulate
-from strandline.operators.allocate import allocate
+from strandline.operators.allocate import allocate, allocate_few
 
 
 def number(key, rank, turn):
@@ -94,3 +94,23 @@ def test_one_truth_block_a_copy_in_order(spark, times):
     assert [p[0] for p in places] == sorted(p[0] for p in places)
     for own in shown.values():
         assert own["simulated"]["seq"] == own["expected"]["seq"] and len(own["expected"]["seq"]) == 20
+
+
+def test_few_requests_are_settled_in_a_task(spark, monkeypatch):
+    """The rounds of a plan of variants are those of the distributed allocator, in one stage that stores nothing."""
+    rng = random.Random(2)
+    asked = sorted((r, rng.choice([1, 1, 2, 5, 11])) for r in range(14))
+    totals = {k: n for k, n in enumerate([0, 1, 10, 40, 90, 400, 2000])}
+    made = spark.createDataFrame([*totals.items(), (7, None), (None, 5)], "k long, total long")
+    rows = allocate_few(made, asked, lambda key, rank, turn: (key * 7919 + rank * 104729 + turn * 1299709 + 17) % 1000003).collect()  # number, which workers cannot import
+    assert [r["starts"] for r in rows if r["k"] == 7] == [[None] * len(asked)] and all(r["k"] is not None for r in rows)
+    found = {(row["k"], r): a for row in rows for (r, _), a in zip(asked, row["starts"]) if a is not None}
+    assert found == plain(totals, [(k, r, w) for k in totals for r, w in asked])
+    wanted = {simulate.INVERSION: (1, 30), simulate.TRANSLOCATION: (2, 10), simulate.SMALL_INSERT: (3, 1)}
+    ref = simulate.random_sequences(spark.createDataFrame([(i,) for i in range(3)], "seq_idx long"), 70).unionByName(spark.createDataFrame([(7, "ACGT" * 8), (8, ""), (9, None)], "seq_idx long, seq string"))
+    monkeypatch.setattr(simulate, "FEW", 0)
+    before = sorted(simulate.allocated_variants(ref, wanted).collect())
+    monkeypatch.undo()
+    for module in ("allocate", "simulate"):
+        monkeypatch.setattr(f"strandline.operators.{module}.stored", lambda *_: pytest.fail("a round is stored"))
+    assert sorted(simulate.allocated_variants(ref, wanted).collect()) == before
