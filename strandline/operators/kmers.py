@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..storage import stored
-from .matching import MOST_K, set_sizes, shared_hits, split_by_letters, without_code
+from .matching import MOST_K, letters_of, set_sizes, shared_counts, shared_hits, split_by_letters, without_code
 
 CHUNK = 64
 
@@ -39,8 +39,22 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_kmers(aln: DataFrame, k: int, centre: int = 0) -> DataFrame:
-    """aln_id, row_idx, n_kmers, n_shared: a row's k-mers that the centre has, exactly."""
-    ungapped = aln.withColumn("seq", F.replace("seq", F.lit("-"), F.lit("")))
+    """aln_id, row_idx, n_kmers, n_shared: a row's k-mers that the centre has, exactly.
+
+    The rows of an alignment meet as strings (:mod:`matching`); long k-mers and alignments
+    with letters that have no code are joined by k-mer.
+    """
+    ungapped = aln.select("aln_id", "row_idx", F.replace("seq", F.lit("-"), F.lit("")).alias("seq"))
+    if k > MOST_K:
+        return _joined_shared(ungapped, k, centre)
+    rows = ungapped.select(F.col("aln_id").alias("ref_idx"), F.col("row_idx").alias("query_idx"), "seq")
+    odd, large = letters_of(rows)
+    found = shared_counts(rows if odd is None else rows.join(odd, "ref_idx", "left_anti"), k, centre, large)
+    counted = found.groupBy(F.col("ref_idx").alias("aln_id"), F.col("query_idx").alias("row_idx")).agg(F.sum("n").alias("n_kmers"), F.sum("shared").alias("n_shared"))
+    return counted if odd is None else counted.unionByName(_joined_shared(ungapped.join(odd.withColumnRenamed("ref_idx", "aln_id"), "aln_id", "left_semi"), k, centre))
+
+
+def _joined_shared(ungapped: DataFrame, k: int, centre: int) -> DataFrame:
     known = kmers(ungapped.where(F.col("row_idx") == centre), k, "aln_id").select("aln_id", "kmer", F.lit(1).alias("hit")).distinct()
     return kmers(ungapped, k, "aln_id", "row_idx").join(known, ["aln_id", "kmer"], "left").groupBy("aln_id", "row_idx").agg(F.count("*").alias("n_kmers"), F.count("hit").alias("n_shared"))
 

@@ -41,17 +41,23 @@ def codes(text: str, k: int) -> np.ndarray:
     return out
 
 
-def _pieces(rows: DataFrame, k: int) -> DataFrame:
-    """ref_idx, query_idx, base, piece, shares of rows (ref_idx, query_idx, seq): pieces have the first letters of the next."""
-    total = rows.groupBy("ref_idx").agg(F.sum(F.length("seq")).alias("_total"))
+def _pieces(rows: DataFrame, k: int, large: bool = True) -> DataFrame:
+    """ref_idx, query_idx, base, piece, shares of rows (ref_idx, query_idx, seq): pieces have the first letters of the next.
+
+    Unless some reference is ``large``, none is dealt to shares, and rows need not meet their reference's size.
+    """
     parts = F.regexp_extract_all("seq", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
-    cut = rows.where(F.length("seq") >= k).join(total, "ref_idx").select("ref_idx", "query_idx", F.ceil(F.col("_total") / SHARE).cast("long").alias("shares"), parts.alias("_p"))
+    sized, shares = rows.where(F.length("seq") >= k), F.lit(1).cast("long")
+    if large:
+        total = rows.groupBy("ref_idx").agg(F.sum(F.length("seq")).alias("_total"))
+        sized, shares = sized.join(total, "ref_idx", "left"), F.coalesce(F.ceil(F.col("_total") / SHARE).cast("long"), F.lit(1).cast("long"))  # a null meets none
+    cut = sized.select("ref_idx", "query_idx", shares.alias("shares"), parts.alias("_p"))
     pieces = F.transform("_p", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_p", i + 1), 1, k - 1), F.lit(""))))
     each = cut.select("ref_idx", "query_idx", "shares", F.posexplode(pieces).alias("_c", "piece")).where(F.length("piece") >= k)
     return each.select("ref_idx", "query_idx", (F.col("_c").cast("long") * PIECE).alias("base"), "piece", "shares")
 
 
-def _dealt(pieces: DataFrame, k: int) -> DataFrame:
+def _dealt(pieces: DataFrame, k: int, large: bool = True) -> DataFrame:
     """ref_idx, query_idx, base, piece, share, at, code: pieces of small references as they are, others as places and codes by share."""
     kind = pieces.select("ref_idx", "query_idx", "base", "piece", F.lit(0).cast("long").alias("share"), F.col("piece").cast("binary").alias("at"), F.col("piece").cast("binary").alias("code")).schema
 
@@ -70,12 +76,14 @@ def _dealt(pieces: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*ids, pa.array([base] * len(found), pa.int64()), pa.nulls(len(found), pa.string()), pa.array(found, pa.int64()), pa.array([p.astype(np.int64).tobytes() for p in parts]), pa.array([code[p].tobytes() for p in parts])], schema=names)
 
     none = [F.lit(None).cast("binary").alias(c) for c in ("at", "code")]
+    if not large:
+        return pieces.select("ref_idx", "query_idx", "base", "piece", F.lit(0).cast("long").alias("share"), *none)
     small = pieces.where("shares <= 1").select("ref_idx", "query_idx", "base", "piece", F.lit(0).cast("long").alias("share"), *none)
     return small.unionByName(pieces.where("shares > 1").mapInArrow(run, kind))
 
 
-def compared(rows: DataFrame, k: int, kind: StructType, made: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-    """What ``made`` gives for the k-mers of some whole references (or shares) at a time.
+def compared(rows: DataFrame, k: int, kind: StructType, made: Callable[..., Iterator[pa.RecordBatch]], large: bool = True) -> DataFrame:
+    """What ``made`` gives for the k-mers of some whole references (or shares, where some reference is ``large``) at a time.
 
     ``rows`` has ref_idx, query_idx (null for the reference's own sequence) and seq.
     ``made`` gets the arrays group, code, row and pos of k-mers, and the lists of ref_idx and query_idx by row.
@@ -98,7 +106,7 @@ def compared(rows: DataFrame, k: int, kind: StructType, made: Callable[..., Iter
         if held:
             yield from _given(held, made)
 
-    dealt = _dealt(_pieces(rows, k), k).repartition("ref_idx", "share").sortWithinPartitions("ref_idx", "share")
+    dealt = _dealt(_pieces(rows, k, large), k, large).repartition("ref_idx", "share").sortWithinPartitions("ref_idx", "share")
     return dealt.select("ref_idx", "query_idx", "base", "piece", "share", "at", "code").mapInArrow(run, kind)
 
 
@@ -180,6 +188,34 @@ def set_sizes(rows: DataFrame, k: int, centre: int) -> DataFrame:
     return compared(rows, k, kind, made)
 
 
+def shared_counts(rows: DataFrame, k: int, centre: int, large: bool) -> DataFrame:
+    """ref_idx, query_idx, n, shared: k-mers of each sequence (ref_idx, query_idx, seq), repeats counted, and those that ``centre`` has, by piece and share."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    zero = F.lit(0).cast("long")
+    kind = rows.select("ref_idx", "query_idx", zero.alias("n"), zero.alias("shared")).schema
+
+    def made(group, code, row, pos, refs, queries) -> Iterator[pa.RecordBatch]:
+        if (int(group[-1]) + 1).bit_length() + 3 * k > 62:
+            code = np.unique(code, return_inverse=True)[1]
+        key = group * (int(code.max(initial=0)) + 1) + code
+        mid = np.array([q == centre and r is not None for r, q in zip(refs, queries)])[row]
+        hit = np.isin(key, np.unique(key[mid]))
+        counts = [np.bincount(row, weights, minlength=len(refs)).astype(np.int64) for weights in (None, hit)]
+        names = to_arrow_schema(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((refs, queries, *counts), names)], schema=names)
+
+    return compared(rows, k, kind, made, large)
+
+
+def letters_of(rows: DataFrame) -> tuple[DataFrame | None, bool]:
+    """(ref_idx of the references that have letters without a code, null where none has; whether the sequences of any have more letters than a share), in one pass."""
+    other = F.col("seq").rlike("[^" + LETTERS + "]")
+    each = rows.groupBy("ref_idx").agg(F.sum(F.length("seq")).alias("total"), F.max(other).alias("odd"))
+    most, odd = each.agg(F.max("total"), F.max("odd")).first()
+    return (rows.where(other).select("ref_idx").distinct() if odd else None), (most or 0) > SHARE
+
+
 def without_code(rows: DataFrame) -> DataFrame | None:
     """ref_idx of the references that have letters without a code; null where no sequence has."""
     odd = rows.where(F.col("seq").rlike("[^" + LETTERS + "]")).select("ref_idx").distinct()

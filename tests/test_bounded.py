@@ -210,6 +210,29 @@ def test_similarity_of_sets_inside_alignments(spark, monkeypatch):
     assert estimate != 45_000 and abs(estimate / 135_000 - 1 / 3) < 0.05
 
 
+def test_shared_kmers_inside_alignments(spark, monkeypatch):
+    """Rows meet as strings, also dealt to shares, with letters without a code and without a centre; against a join of k-mers."""
+    import random
+
+    from strandline.operators import kmers, matching
+
+    pick = random.Random(11)
+    base = "".join(pick.choices("ACGTN", k=3000))
+    odd = alignment(spark, "ACxé" * 40, "CxéA" * 30, "ACGT" * 9, aln_id=3)
+    plain = alignment(spark, base, base[900:] + "ACGT", "--" + base[:200] + "-", "ACG", "").union(alignment(spark, "AC", base, aln_id=2)).union(alignment(spark, "ACGTACGT", "CGTACG", aln_id=4).where("row_idx > 0"))
+    plain = plain.union(plain.where("aln_id = 2").selectExpr("cast(null as bigint)", "row_idx", "seq")).repartition(3)
+    for share, piece, together in ((1 << 22, 1 << 16, 1 << 20), (100, 64, 50)):
+        monkeypatch.setattr(matching, "SHARE", share)
+        monkeypatch.setattr(matching, "PIECE", piece)
+        monkeypatch.setattr(matching, "TOGETHER", together)
+        for table in (plain, plain.union(odd)):
+            for k in (4, 20):
+                same(kmers.shared_kmers(table, k), kmers._joined_shared(table.withColumn("seq", F.replace("seq", F.lit("-"), F.lit(""))), k, 0))
+    monkeypatch.setattr(matching, "SHARE", 1 << 22)
+    plan = kmers.shared_kmers(plain, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 3  # the table's own, letters once, and counts of rows
+
+
 def test_blocks_of_alignments_are_extended_as_they_pass(spark):
     """Some alignments without blocks, one without a centre; against the blocks of each alignment by themselves."""
     from strandline.operators import extension
