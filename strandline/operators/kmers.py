@@ -1,16 +1,19 @@
 """k-mer tables, shared k-mers and exact-match seeds.
 
-A reference is indexed as a table of its k-mers and their places, joined on the k-mer;
-matches are then extended base by base with built-in string functions.
+The sequences of a reference meet as strings and are compared in numpy; queries of all
+references, and references too large for a task, meet by a join on k-mers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..storage import stored
+from . import longest, matching
 from .matching import MOST_K, letters_of, set_sizes, shared_counts, shared_hits, split_by_letters, without_code
 
 CHUNK = 64
@@ -137,12 +140,44 @@ def kmer_hits(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     return shared_hits(of(queries, "left_anti"), of(reference, "left_anti"), k).unionByName(_joined_hits(of(queries, "left_semi"), of(reference, "left_semi"), k))
 
 
-def longest_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
+def _with_reference(queries: DataFrame, reference: DataFrame | None) -> DataFrame:
+    """ref_idx, query_idx, own, seq: queries and their references' own sequences."""
+    if reference is None:
+        return queries.select("ref_idx", "query_idx", "own", "seq")
+    own = reference.select("ref_idx", F.lit(None).cast(queries.schema["query_idx"].dataType).alias("query_idx"), F.lit(True).alias("own"), "seq")
+    return queries.select("ref_idx", "query_idx", F.lit(False).alias("own"), "seq").unionByName(own)
+
+
+def _by_size(queries: DataFrame, reference: DataFrame | None, near: Callable[[DataFrame], DataFrame], far: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``near`` of references whose sequences have up to ``SHARE`` letters together, which one task holds, and ``far`` of the others.
+
+    Queries without a ref_idx are searched on all references by ``far``; those with ``own``
+    hold their references' sequences themselves, and ``reference`` is None.
+    """
+    if "ref_idx" not in queries.columns:
+        return far(queries, reference)
+    rows = _with_reference(queries, reference)
+    large = rows.groupBy("ref_idx").agg(F.sum(F.length("seq")).alias("_total")).where(F.col("_total") > matching.SHARE).select("ref_idx")
+    if large.isEmpty():
+        return near(rows)
+    rest = rows.join(large, "ref_idx", "left_semi")
+    return near(rows.join(large, "ref_idx", "left_anti")).unionByName(far(rest.where("not own").drop("own"), rest.where("own").select("ref_idx", "seq")))
+
+
+def longest_matches(queries: DataFrame, reference: DataFrame | None, least: int) -> DataFrame:
     """ref_idx, query_idx, query_pos, length, ref_pos: the longest exact match from each place of a query, a row for each of its places.
 
-    Queries with a ref_idx are compared with that reference, others with all.  Neighbouring
-    k-mer hits on one diagonal are one match: a hit's length follows from the end of its
-    island, without comparing bases.
+    Queries with a ref_idx are compared with that reference (:mod:`longest`), others with all;
+    they may come with their reference's own sequences, marked by ``own``.
+    """
+    return _by_size(queries, reference, lambda rows: longest.inside(rows, least), lambda q, r: _matches_by_hits(q, r, least))
+
+
+def _matches_by_hits(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
+    """The longest matches from hits of k-mers.
+
+    Neighbouring hits on one diagonal are one match: a hit's length follows from the end of
+    its island, without comparing bases.
     """
     hits = kmer_hits(queries, reference, least)
     diagonal = ["ref_idx", "query_idx", F.col("ref_pos") - F.col("query_pos")]
@@ -152,10 +187,10 @@ def longest_matches(queries: DataFrame, reference: DataFrame, least: int) -> Dat
     return grown.withColumn("most", F.max("length").over(best)).where("length = most").select("ref_idx", "query_idx", "query_pos", "length", "ref_pos")
 
 
-def prefix_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
+def prefix_matches(queries: DataFrame, reference: DataFrame | None, least: int) -> DataFrame:
     """ref_idx, query_idx, query_pos, length, ref_positions: the longest match from each place, with all its places in one row."""
-    found = longest_matches(queries, reference, least)
-    return found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))
+    listed = lambda found: found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))
+    return _by_size(queries, reference, lambda rows: longest.inside(rows, least, listed=True), lambda q, r: listed(_matches_by_hits(q, r, least)))
 
 
 def walked(places: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,17 +215,22 @@ def walked(places: DataFrame, keys: list[str]) -> DataFrame:
     return reached
 
 
-def greedy_seeds(queries: DataFrame, reference: DataFrame, least: int = 15, unique: bool = False) -> DataFrame:
+def greedy_seeds(queries: DataFrame, reference: DataFrame | None, least: int = 15, unique: bool = False) -> DataFrame:
     """ref_idx, query_idx, ref_pos, query_pos, length: from the left, the longest match at a place, then on behind it.
 
     With ``unique``, places whose longest match occurs several times are stepped over.
     """
-    found = stored(longest_matches(queries, reference, least), "matches")
+    near = lambda rows: longest.inside(rows, least, walk=True, unique=unique)
+    return _by_size(queries, reference, near, lambda q, r: _seeds_by_hits(q, r, least, unique)).select("ref_idx", "query_idx", "ref_pos", "query_pos", "length")
+
+
+def _seeds_by_hits(queries: DataFrame, reference: DataFrame, least: int, unique: bool) -> DataFrame:
+    found = stored(_matches_by_hits(queries, reference, least), "matches")
     places = found.groupBy("ref_idx", "query_idx", "query_pos").agg(F.max("length").alias("length"), F.count("*").alias("n"))
     if unique:
         places = places.where("n = 1")
     taken = walked(stored(places, "places"), ["ref_idx", "query_idx"])
-    return found.join(taken, ["ref_idx", "query_idx", "query_pos"]).select("ref_idx", "query_idx", "ref_pos", "query_pos", "length")
+    return found.join(taken, ["ref_idx", "query_idx", "query_pos"]).select("ref_idx", "query_idx", "query_pos", "length", "ref_pos")
 
 
 def map_reads(reads: DataFrame, references: DataFrame, least: int = 15, unique: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps that hold a bounded number of rows in a task, against the plain forms of the same."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import columns, composition, segments, windows
@@ -233,6 +234,45 @@ def test_shared_kmers_inside_alignments(spark, monkeypatch):
     assert "Join" not in plan and plan.count("Exchange") == 3  # the table's own, letters once, and counts of rows
 
 
+@pytest.mark.parametrize("share, together, given", [(1 << 22, 1 << 20, 1 << 17), (1 << 22, 50, 7), (600, 50, 7)])
+def test_longest_matches_inside_references(spark, monkeypatch, share, together, given):
+    """Repeats, equal ends, odd letters, no reference, a reference too large for a task; against hits of k-mers and walks by joins."""
+    import random
+
+    from strandline.operators import kmers, longest, matching
+
+    pick = random.Random(5)
+    text = lambda n, of="ACGT": "".join(pick.choices(of, k=n))
+    base, line = text(500), text(40)
+    reference = spark.createDataFrame([(1, base), (2, text(90, "AC")), (3, "acgé" * 9), (4, ""), (5, "A" * 40), (7, line * 4), (None, base)], "ref_idx long, seq string")
+    queries = [(1, 1, base[90:400] + text(50)), (1, 2, base[-30:]), (2, 1, text(120, "AC")), (3, 1, "gécacgég" * 5), (4, 1, base), (5, 2, "A" * 50), (6, 1, base), (7, 1, text(9) + line * 2 + line[5:]), (7, 2, None), (7, 3, "A"), (None, 1, base)]
+    queries = spark.createDataFrame(queries, "ref_idx long, query_idx long, seq string").repartition(3)
+    monkeypatch.setattr(matching, "SHARE", share)
+    monkeypatch.setattr(longest, "TOGETHER", together)
+    monkeypatch.setattr(longest, "GIVEN", given)
+    known = queries.where("ref_idx is not null")  # a null is no reference, as in SQL
+    for least in (3, 15, 25):
+        wanted = kmers._matches_by_hits(known, reference, least)
+        same(kmers.longest_matches(queries, reference, least), wanted)
+        listed = wanted.groupBy("ref_idx", "query_idx", "query_pos", "length").agg(F.array_sort(F.collect_list("ref_pos")).alias("ref_positions"))
+        same(kmers.prefix_matches(queries, reference, least), listed)
+    for unique in (False, True):
+        wanted = kmers._seeds_by_hits(known, reference, 5, unique)
+        same(kmers.greedy_seeds(queries, reference, 5, unique), wanted)
+        same(kmers.greedy_seeds(kmers._with_reference(queries, reference), None, 5, unique), wanted)
+
+
+def test_seeds_take_one_exchange(spark):
+    """A repeat of 3,000 letters against itself: neither hits nor pointers are rows, and no seed is stored."""
+    from strandline.operators import kmers
+
+    rows = spark.createDataFrame([(1, None, True, "A" * 3000), (1, 1, False, "A" * 3000)], "ref_idx long, query_idx long, own boolean, seq string")
+    seeds = kmers.greedy_seeds(rows, None, 9, unique=True)
+    plan = seeds._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "FileScan" not in plan
+    assert [tuple(r) for r in seeds.collect()] == [(1, 1, 0, 0, 3000)]
+
+
 def test_blocks_of_alignments_are_extended_as_they_pass(spark):
     """Some alignments without blocks, one without a centre; against the blocks of each alignment by themselves."""
     from strandline.operators import extension
