@@ -170,6 +170,22 @@ def test_rows_that_carry_their_runs_meet_none(spark, small_dir):
     same(restored, runs.restore_unknown(aligned, found))
 
 
+def test_widths_of_rows_that_carry_their_runs(spark, small_dir):
+    """Runs in gaps, beyond them and at both ends, rows of N alone; against runs joined as rows. Only needs are exchanged."""
+    from strandline.operators import runs
+    from strandline.plans import queries
+
+    own = alignment(spark, "ACGT" * 700, "NNAC-GTN" * 300 + "N", "NNN").union(alignment(spark, "NN", "NNNN", "", aln_id=2)).union(alignment(spark, "é-N", "éNN", None, aln_id=3)).repartition(3)
+    carrying = runs.with_runs(own).withColumn("seq", F.replace("seq", F.lit("N"), F.lit("")))
+    apart = carrying.select("aln_id", "row_idx", F.explode("n_runs").alias("r")).select("aln_id", "row_idx", "r.*")
+    same(runs.carried_widths(carrying), runs.merge_widths(runs.merge_needs(runs.symbol_runs(carrying, "-"), apart)))
+    aligned, found = queries._restorable(spark, small_dir)
+    widths = queries.n_merge_widths(spark, small_dir)
+    plan = widths._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Window" not in plan and "Join" not in plan
+    same(widths, runs.merge_widths(runs.merge_needs(runs.symbol_runs(aligned, "-"), found)))
+
+
 def test_starts_of_matches_without_a_row_for_each_gap(spark):
     """Rows over several chunks, with gaps at edges, other letters, and an uneven one; against prefixes of the rows."""
     from strandline.operators.columns import CHUNK
