@@ -112,15 +112,18 @@ def parse_clustal(lines: DataFrame, legacy: bool = False) -> DataFrame:
 
 def parse_xmfa_head(lines: DataFrame) -> DataFrame:
     """file, id, name, length of the sequences that the head lists."""
-    marked = number(lines, {"id": F.col("line").rlike(r"^#+\s*Sequence\s*Index")}).where(F.col("line").startswith("#") & (F.col("id") > 0))
+    marked = number(lines.where(F.col("line").startswith("#")), {"id": F.col("line").rlike(r"^#+\s*Sequence\s*Index")}).where("id > 0")
     name = F.max(F.when(F.col("line").rlike("^#+SequenceHeader"), header(F.regexp_replace(F.col("line"), r"^#+SequenceHeader\s*>?", ""), dashes=True)))
     length = F.max(F.when(F.col("line").rlike("^#+SequenceLength"), F.regexp_extract("line", r"(\d+)\s*bp", 1).cast("long")))
     return marked.groupBy("file", "id").agg(name.alias("name"), length.alias("length"))
 
 
 def parse_xmfa_blocks(lines: DataFrame) -> DataFrame:
-    """file, block_id, row_ord, id, start, len, strand, seq; interval bounds are inclusive, starts stay as written."""
-    marked = number(lines, {"block_id": F.col("line").startswith("="), "row": F.col("line").startswith(">")}).where(~F.col("line").startswith("#") & ~F.col("line").startswith("="))
+    """file, block_id, row_ord, id, start, len, strand, seq; interval bounds are inclusive, starts stay as written.
+
+    Lines are numbered without the head's, and those of a block then meet in one task, where its rows stay.
+    """
+    marked = number(lines.where(~F.col("line").startswith("#")), {"block_id": F.col("line").startswith("="), "row": F.col("line").startswith(">")}).where(~F.col("line").startswith("=")).repartition("file", "block_id")
     head = r"^>\s*(\d+):(\d+)-(\d+)\s+([+-])"
     body = F.when(~F.col("line").startswith(">"), F.trim("line")).otherwise("")
     part = lambda i: F.max(F.when(F.col("line").startswith(">"), F.regexp_extract("line", head, i)))

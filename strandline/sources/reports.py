@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.columns import pair_chunks
 from ..operators.runs import restore_unknown
-from ..operators.windows import block_scores, window_scores
+from ..operators.summaries import mean_scores
+from ..session import ship
 from .formats import parse_xmfa_blocks, parse_xmfa_head, render_fasta
 from .text import number, six_digits
 
@@ -32,9 +32,13 @@ def _in_order(order: str, value: str, mark: str = "\n") -> Column:
 # ---- MAF
 
 
+def _widths(name: str, number: str) -> list[Column]:
+    return [(F.max(F.length(name)) + 1).alias("name_width"), F.length(F.max(number).cast("string")).alias("number_width")]
+
+
 def widths(rows: DataFrame, *keys: str, name: str = "name", number: str = "length") -> DataFrame:
     """keys, name_width (the longest name and one), number_width (digits of the largest number)."""
-    return rows.groupBy(*keys).agg((F.max(F.length(name)) + 1).alias("name_width"), F.length(F.max(number).cast("string")).alias("number_width"))
+    return rows.groupBy(*keys).agg(*_widths(name, number))
 
 
 def maf_line(name: Column, name_width: Column | int, start: Column, length: Column, number_width: Column | int, strand: Column, total: Column, seq: Column, total_width: int = 9) -> Column:
@@ -51,18 +55,25 @@ def xmfa_to_maf(lines: DataFrame) -> DataFrame:
     Ids become the names and lengths that the file's head gives them (an id that it does
     not list is an error), columns are as wide as the file's longest name and largest
     length, and a block's score is the mean of its rows' scores against its first row.
+
+    A block is one row of text in the end, so its rows meet once and are scored and written
+    there; no chunk of them is joined.
     """
     head, blocks = parse_xmfa_head(lines), parse_xmfa_blocks(lines)
-    block = F.struct("file", "block_id")
-    aln = blocks.select(block.alias("aln_id"), F.col("row_ord").alias("row_idx"), F.upper("seq").alias("seq"))
-    scores = block_scores(window_scores(pair_chunks(aln))).select("aln_id.*", "score")
-    known = head.select("file", F.col("id").cast("int").alias("id"), "name", F.col("length").alias("total")).join(widths(head, "file"), "file")
-    named = blocks.join(known, ["file", "id"], "left")
-    name = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("no sequence has the index "), F.col("id").cast("string")))).otherwise(F.col("name"))
-    line = maf_line(name, F.col("name_width"), F.col("start"), F.col("len"), F.col("number_width"), F.col("strand"), F.col("total"), F.col("seq"))
-    bodies = named.withColumn("line", line).groupBy("file", "block_id").agg(_in_order("row_ord", "line").alias("body"))
-    text = F.concat(F.lit("a score="), six_digits(F.col("score")), F.lit("\n"), F.col("body"), F.lit("\n"))
-    return bodies.join(scores, ["file", "block_id"]).select("file", "block_id", text.alias("text")).unionByName(head.select("file").distinct().select("file", F.lit(-1).cast("long").alias("block_id"), F.lit(MAF_HEAD).alias("text")))
+    ship(lines.sparkSession)
+    parts = ("row_ord", "id", "start", "len", "strand", "seq")
+    whole = blocks.groupBy("file", "block_id").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("rows"))
+    known = F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("int"), F.struct("name", F.col("length").alias("total")))))
+    files = head.groupBy("file").agg(known.alias("known"), *_widths("name", "length"))
+    named = whole.withColumn("score", mean_scores(F.transform("rows", lambda r: F.upper(r["seq"])))).where("score is not null").join(files, "file", "left")
+
+    def line(r: Column) -> Column:
+        own = F.try_element_at("known", r["id"])
+        name = F.when(own["name"].isNull(), F.raise_error(F.concat(F.lit("no sequence has the index "), F.coalesce(r["id"].cast("string"), F.lit(""))))).otherwise(own["name"])
+        return maf_line(name, F.col("name_width"), r["start"], r["len"], F.col("number_width"), r["strand"], own["total"], r["seq"])
+
+    text = F.concat(F.lit("a score="), six_digits(F.col("score")), F.lit("\n"), F.array_join(F.transform("rows", line), "\n"), F.lit("\n"))
+    return named.select("file", "block_id", text.alias("text")).unionByName(head.select("file").distinct().select("file", F.lit(-1).cast("long").alias("block_id"), F.lit(MAF_HEAD).alias("text")))
 
 
 def side_block_maf(found: DataFrame, names: DataFrame) -> DataFrame:

@@ -109,6 +109,35 @@ def test_xmfa_ids_must_be_listed(spark):
         reports.xmfa_to_maf(table).collect()
 
 
+def test_xmfa_blocks_are_scored_where_their_rows_meet(spark):
+    """Several blocks and splits of a file, wrapped, long, uneven and empty rows; against scores of joined chunks. No chunk is a row."""
+    import random
+
+    from strandline.operators.columns import pair_chunks
+    from strandline.operators.windows import block_scores, window_scores
+    from strandline.sources import reports
+
+    pick = random.Random(4)
+    text = lambda n: "".join(pick.choices("acgtN-", k=n))
+    blocks = [[text(2300), text(2300)], ["AC", "ACG", "A"], [text(1000) + "-", text(999) + "--", text(1500)], ["ACGT"], ["", "A"], ["é-A", "C-é"]]
+    lines = [x for i in range(3) for x in (f"#SequenceIndex {i + 1}", f"#SequenceHeader >s {'x' * i}", f"#SequenceLength {10**i}bp")]
+    for rows in blocks:
+        for i, seq in enumerate(rows):
+            lines += [f">{i + 1}:{i + 1}-9 {'+-'[i % 2]} c", *(seq[j : j + 70] for j in range(0, len(seq), 70))]
+        lines.append("=")
+    table = spark.createDataFrame([(f, i // 9, i, x) for f in "ab" for i, x in enumerate(lines)], "file string, block long, at long, line string").repartition(3)
+    found = reports.xmfa_to_maf(table)
+    texts = {(r["file"], r["block_id"]): r["text"] for r in found.collect()}
+    aln = spark.createDataFrame([(b, i, s.upper()) for b, rows in enumerate(blocks) for i, s in enumerate(rows)], "aln_id long, row_idx long, seq string")
+    scores = {r["aln_id"]: r["score"] for r in block_scores(window_scores(pair_chunks(aln))).collect()}
+    assert set(texts) == {(f, b) for f in "ab" for b in [-1, *scores]}
+    for b, score in scores.items():
+        shown = [f"s {'s-' + 'x' * i if i else 's':<5}{i + 1:>3} {9 - i:>3} {'+-'[i % 2]} {10**i:>9} {s}" for i, s in enumerate(blocks[b])]
+        assert texts["a", b] == texts["b", b] == "\n".join([f"a score={score:.6g}", *shown, ""])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 0
+
+
 def test_six_digits(spark):
     from strandline.sources.text import six_digits
 
