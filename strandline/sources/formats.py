@@ -189,7 +189,13 @@ def render_runs(seqs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def parse_runs(lines: DataFrame) -> DataFrame:
-    """file, seq_idx, name, length, idx, number of every run; a sequence without runs has one row with null idx.
+    """file, seq_idx, name, length, idx, number of every run; a sequence without runs has one row with null idx."""
+    listed = parse_listed_runs(lines)
+    return listed.select("file", "seq_idx", "name", "length", F.explode_outer("runs").alias("r")).select("file", "seq_idx", "name", "length", "r.idx", "r.number")
+
+
+def parse_listed_runs(lines: DataFrame) -> DataFrame:
+    """file, seq_idx, name, length, runs (idx, number): the runs of a sequence as lists, in some rows where they are many.
 
     Lines are put together where they lie, up to ``TOGETHER`` of a record and block in one
     row, and only these rows meet by record.
@@ -215,4 +221,4 @@ def parse_runs(lines: DataFrame) -> DataFrame:
         F.transform(own, lambda line: F.struct(at(line, 0).alias("idx"), at(line, 1).alias("number"))).alias("runs"),
     )
     some = known.withColumn("_all", F.sum(F.size("runs")).over(record)).where("size(runs) > 0 or (start = 0 and _all = 0)")
-    return some.select("file", (F.col("rec") - 1).alias("seq_idx"), "name", "length", F.explode_outer("runs").alias("r")).select("file", "seq_idx", "name", "length", "r.idx", "r.number")
+    return some.select("file", (F.col("rec") - 1).alias("seq_idx"), "name", "length", "runs")

@@ -370,3 +370,17 @@ def test_rows_find_the_first_record_of_their_name(spark):
     found = runs.restore_named(aligned, spark.createDataFrame(records, "aln_id long, seq_idx long, name string, length long, idx long, number long").repartition(2))
     got = {(r["aln_id"], r["row_idx"]): (r["name"], r["seq"]) for r in found.collect()}
     assert got == {(1, 1): ("b", "ACC--GT"), (1, 0): ("a", "ACNNNGT"), (2, 4): ("a", "NNACN")}
+
+
+def test_rows_keep_the_number_of_their_record(spark):
+    """Records as lists of runs, in several rows, against one row a run; restored letters meet no table of records."""
+    from strandline.operators import runs
+
+    aligned = spark.createDataFrame([(1, "b", "ACCGT"), (1, "a", "AC-GT"), (2, "a", "é-C"), (2, "b", "---"), (2, "c", None)], "aln_id long, name string, seq string")
+    records = [(1, 0, "a", 4, 2, 3), (1, 1, "b", 5, None, None), (1, 2, "a", 9, 0, 50), (2, 4, "a", 2, 2, 1), (2, 4, "a", 2, 0, 2), (2, 5, "b", 0, 0, 3)]
+    single = spark.createDataFrame(records, "aln_id long, seq_idx long, name string, length long, idx long, number long").repartition(2)
+    listed = single.groupBy("aln_id", "seq_idx", "name", "length", (F.col("idx") > 1).alias("late")).agg(F.expr("filter(collect_list(struct(idx, number)), r -> r.idx is not null)").alias("runs")).drop("late")
+    found = runs.restore_named(aligned, listed)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    same(found, runs.restore_named(aligned, single))
+    assert {(r["aln_id"], r["row_idx"], r["name"]): r["seq"] for r in found.collect()} == {(1, 0, "a"): "ACNNNGT", (1, 1, "b"): "ACC--GT", (2, 4, "a"): "NNé-CN", (2, 5, "b"): "--NNN-"}
