@@ -6,11 +6,17 @@ return an ordered table with a column ``text``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import encode, header, reverse_complement, strip_n
 from ..operators.runs import with_runs
+from ..session import ship
 from .text import number, six_digits
 
 
@@ -194,22 +200,45 @@ def parse_runs(lines: DataFrame) -> DataFrame:
     return listed.select("file", "seq_idx", "name", "length", F.explode_outer("runs").alias("r")).select("file", "seq_idx", "name", "length", "r.idx", "r.number")
 
 
+def _together(lines: DataFrame) -> DataFrame:
+    """file, block, at, mark, lines: lines that follow each other in a partition and in their block, up to ``TOGETHER`` of one record; mark is 1 where a record begins with them, else 0."""
+    ship(lines.sparkSession)
+    most = TOGETHER
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            file, block, at, line = batch.columns
+            head = pc.fill_null(pc.starts_with(line, ">"), False).to_numpy(zero_copy_only=False)
+            new = head.copy()
+            new[0] = True
+            for key in (file, block):
+                new[1:] |= pc.fill_null(pc.not_equal(key.slice(1), key.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            new[1:] |= np.diff(at.to_numpy()) != 1
+            place = np.arange(n)
+            new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % most == 0
+            begins = np.flatnonzero(new)
+            first, ends = pa.array(begins), pa.array(np.append(begins, n), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(first) for c in (file, block, at)), pa.array(head[begins].astype(np.int64)), pa.ListArray.from_arrays(ends, line)], names=["file", "block", "at", "mark", "lines"])
+
+    return lines.select("file", F.col("block").cast("long").alias("block"), F.col("at").cast("long").alias("at"), "line").mapInArrow(run, "file string, block bigint, at bigint, mark bigint, lines array<string>")
+
+
 def parse_listed_runs(lines: DataFrame) -> DataFrame:
     """file, seq_idx, name, length, runs (idx, number): the runs of a sequence as lists, in some rows where they are many.
 
-    Lines are put together where they lie, up to ``TOGETHER`` of a record and block in one
-    row, and only these rows meet by record.
+    Lines are put together where they lie (:func:`_together`), and only these rows meet by
+    block and by record.
     """
-    mark = F.col("line").startswith(">").cast("long")
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    counted = lines.select("file", "block", "at", "line", F.sum(mark).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rec"), F.floor((F.row_number().over(inside) - 1) / TOGETHER).alias("cut"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
-    pieces = counted.groupBy("file", "block", "rec", "cut").agg(listed.alias("lines"))
+    pieces = _together(lines)
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.sum(mark).alias("_marks")).select("file", "block", F.coalesce(F.sum("_marks").over(before), F.lit(0)).alias("_marks"))
-    placed = pieces.join(blocks, ["file", "block"]).withColumn("rec", F.col("rec") + F.col("_marks")).where("rec > 0")
+    blocks = pieces.groupBy("file", "block").agg(F.sum("mark").alias("_marks")).select("file", "block", F.coalesce(F.sum("_marks").over(before), F.lit(0)).alias("_marks"))
+    placed = pieces.withColumn("rec", F.sum("mark").over(inside)).join(blocks, ["file", "block"]).withColumn("rec", F.col("rec") + F.col("_marks")).where("rec > 0")
     record = Window.partitionBy("file", "rec")
-    start = F.coalesce(F.sum(F.size("lines")).over(record.orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum(F.size("lines")).over(record.orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     words = lambda line: F.split(F.trim(line), r"\s+")
     at = lambda line, i: F.get(words(line), F.lit(i)).cast("long")
     own = F.filter("lines", lambda line, i: (F.col("start") + i > 1) & (F.trim(line) != ""))

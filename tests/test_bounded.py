@@ -373,8 +373,9 @@ def test_rows_find_the_first_record_of_their_name(spark):
 
 
 def test_rows_keep_the_number_of_their_record(spark):
-    """Records as lists of runs, in several rows, against one row a run; restored letters meet no table of records."""
+    """Records as lists of runs, in several rows, against one row a run; restored letters meet no table of records, and lines without a file are none's."""
     from strandline.operators import runs
+    from strandline.sources import formats
 
     aligned = spark.createDataFrame([(1, "b", "ACCGT"), (1, "a", "AC-GT"), (2, "a", "é-C"), (2, "b", "---"), (2, "c", None)], "aln_id long, name string, seq string")
     records = [(1, 0, "a", 4, 2, 3), (1, 1, "b", 5, None, None), (1, 2, "a", 9, 0, 50), (2, 4, "a", 2, 2, 1), (2, 4, "a", 2, 0, 2), (2, 5, "b", 0, 0, 3)]
@@ -383,4 +384,8 @@ def test_rows_keep_the_number_of_their_record(spark):
     found = runs.restore_named(aligned, listed)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     same(found, runs.restore_named(aligned, single))
+    lines = spark.createDataFrame([(None, 0, 0, "> x"), (None, 0, 1, "0 1"), *(("f", b, i, t) for b in range(2) for i, t in enumerate(["> r", "2 9", "1 4", "2 2"]))], "file string, block long, at int, line string").coalesce(1)
+    listed = formats.parse_listed_runs(lines)
+    assert "array_sort" not in listed._jdf.queryExecution().executedPlan().toString()  # lines are put together before they are exchanged
+    assert [(r["seq_idx"], r["name"], r["length"], [tuple(x) for x in r["runs"]]) for r in listed.orderBy("seq_idx").collect()] == [(i, "r", 9, [(1, 4), (2, 2)]) for i in range(2)]
     assert {(r["aln_id"], r["row_idx"], r["name"]): r["seq"] for r in found.collect()} == {(1, 0, "a"): "ACNNNGT", (1, 1, "b"): "ACC--GT", (2, 4, "a"): "NNé-CN", (2, 5, "b"): "--NNN-"}
